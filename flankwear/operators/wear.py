@@ -68,9 +68,10 @@ def wear_rate(wear: DataFrame, value: str = "vb_mean", keys: Sequence[str] = ("t
     p = with_position(wear.select(*keys, order, value), keys, [order], name="_pos")
     nb = neighbourhood(p, keys, "_pos", [value, order], [-1, 1])
     prev, cur, nxt = (F.col(f"{value}_at_m1"), F.col(f"{value}_at_0"), F.col(f"{value}_at_1"))
-    rate = (F.when(F.col(f"_has_{value}_m1").isNull() & F.col(f"_has_{value}_1").isNull(), F.lit(None))
-            .when(F.col(f"_has_{value}_m1").isNull(), nxt - cur)
-            .when(F.col(f"_has_{value}_1").isNull(), cur - prev)
+    no_prev, no_next = F.col(f"_has_{value}_m1") == 0, F.col(f"_has_{value}_1") == 0
+    rate = (F.when(no_prev & no_next, F.lit(None))
+            .when(no_prev, nxt - cur)
+            .when(no_next, cur - prev)
             .otherwise((nxt - prev) / 2.0))
     return nb.select(*keys, F.col(f"{order}_at_0").alias(order), cur.alias(value), rate.alias("rate"))
 
@@ -89,7 +90,7 @@ def rolling_mean(df: DataFrame, value: str, n: int = 5, keys: Sequence[str] = ("
     full = F.lit(True)
     total = F.lit(0.0)
     for o in offs:
-        full = full & F.col(f"_has_{value}_{tag(o)}").isNotNull() & F.col(f"{value}_at_{tag(o)}").isNotNull()
+        full = full & (F.col(f"_has_{value}_{tag(o)}") == 1) & F.col(f"{value}_at_{tag(o)}").isNotNull()
         total = total + F.col(f"{value}_at_{tag(o)}")
     return nb.select(*keys, F.col(f"{order}_at_0").alias(order), F.col(f"{value}_at_0").alias(value),
                      F.when(full, total / n).alias(out or f"{value}_roll{n}"))

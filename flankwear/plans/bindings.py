@@ -116,3 +116,20 @@ wear AS (
   SELECT tool, passe, vb1, vb2, vb3,
          CASE WHEN max(vb_raw) OVER (PARTITION BY tool) > 10 THEN vb_raw / 1000.0 ELSE vb_raw END AS vb_mean
   FROM wear0)"""
+
+
+def channel_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Long signals with the sample index counted per channel (for sample-wise joins)."""
+    ev = table(spark, d, "events").select(
+        F.concat(F.lit("c"), (F.col("user_id") % N_TOOLS).cast("string")).alias("tool"),
+        F.dayofmonth("ts").cast("int").alias("passe"),
+        F.col("event_type").alias("channel"), "event_id", F.col("value").alias("x"))
+    return with_position(ev, ["tool", "passe", "channel"], ["event_id"], name="i").drop("event_id")
+
+
+CHANNEL_SIGNALS_SQL = """signals AS (
+  SELECT 'c' || CAST(user_id % 6 AS VARCHAR) AS tool, CAST(day(ts) AS INTEGER) AS passe,
+         event_type AS channel,
+         row_number() OVER (PARTITION BY user_id % 6, day(ts), event_type ORDER BY event_id) - 1 AS i,
+         value AS x
+  FROM events)"""

@@ -9,12 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from flankwear.operators import signal_stats as ss
-from flankwear.operators import wear as wr
-from flankwear.plans import bindings as b
-from flankwear.plans.sqlgen import moments_sql, present, r, with_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,37 +23,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-CH = b.EVENT_CHANNELS
-STATS = ss.STATS
-
-
-def _wide_sql(src: str, keys: list[str], channels: list[str], stats: list[str]) -> str:
-    cols = ", ".join(r(f"max(CASE WHEN channel = '{c}' THEN {s} END)", f"{c}_{s}")
-                     for c in channels for s in stats)
-    k = ", ".join(keys)
-    return f"SELECT {k}, {cols} FROM {src} GROUP BY {k}"
-
-
-# ------------------------------------------------------------------ A15 / J01
-def pass_features(spark, d, rounded=False):
-    return ss.extract_pass_features(b.signals(spark, d), channels=CH, rounded=rounded)
-
-
-register("a15_pass_features", with_ctes(b.SIGNALS_SQL, moments_sql("signals", ["tool", "passe", "channel"]))
-         + _wide_sql("feat", ["tool", "passe"], CH, STATS))(
-    lambda spark, d: present(pass_features(spark, d)))
-
-
-def labeled_features(spark, d):
-    feats = pass_features(spark, d)
-    wear = wr.wear_table(b.raw_wear(spark, d))
-    return wr.label_passes(feats, wear, how="left", preset="three_state", missing="inconnu")
+def load_all() -> None:
+    """Import every query module so that it registers itself."""
+    import importlib
+    for m in MODULES:
+        importlib.import_module(f"flankwear.plans.{m}")
 
 
-FLAGSHIP_SQL = (with_ctes(b.SIGNALS_SQL, b.WEAR_SQL, moments_sql("signals", ["tool", "passe", "channel"]),
-                          "wide AS (" + _wide_sql("feat", ["tool", "passe"], CH, STATS).replace(" AS ", " AS ", ) + ")")
-                + """SELECT wide.*, """ + r("w.vb_mean", "vb_mean") + """,
-  CASE WHEN w.vb_mean IS NULL THEN 'inconnu' WHEN w.vb_mean < 0.1 THEN 'neuf'
-       WHEN w.vb_mean < 0.2 THEN 'intermediaire' ELSE 'use' END AS etat
-FROM wide LEFT JOIN wear w USING (tool, passe)""")
-register("j01_label_passes", FLAGSHIP_SQL)(lambda spark, d: present(labeled_features(spark, d)))
+MODULES = ["q_signals"]

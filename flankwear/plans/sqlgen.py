@@ -7,22 +7,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DIGITS = 6
+DIGITS = 7  # significant digits kept when comparing with the oracle
+FLOOR = 1e-9  # |x| below this is reported as 0
+TIE = 1.0 + 1e-11  # nudges exact decimal ties the same way in both engines
 
 
-def present(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every floating column for a stable comparison with the oracle."""
+def _sig(c):
+    a = F.abs(c)
+    d = F.lit(DIGITS - 1) - F.floor(F.log10(a))
+    p = F.pow(F.lit(10.0), F.abs(d))
+    y = c * F.lit(TIE)
+    v = F.when(d >= 0, F.round(y * p, 0) / p).otherwise(F.round(y / p, 0) * p)
+    return F.when(c.isNull(), F.lit(None).cast("double")).when(a < FLOOR, F.lit(0.0)).otherwise(v) + F.lit(0.0)
+
+
+def present(df: DataFrame) -> DataFrame:
+    """Round every floating column to DIGITS significant digits (oracle comparison)."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits)
+            c = _sig(c.cast("double"))
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
 
-def r(expr: str, alias: str, digits: int = DIGITS) -> str:
-    return f"round(CAST({expr} AS DOUBLE), {digits}) AS {alias}"
+def sig_sql(expr: str) -> str:
+    """DuckDB spelling of ``present`` for one expression."""
+    x = f"CAST({expr} AS DOUBLE)"
+    d = f"({DIGITS - 1} - floor(log10(abs({x}))))"
+    p = f"power(10.0, abs({d}))"
+    y = f"({x} * {TIE!r})"
+    return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN abs({x}) < {FLOOR!r} THEN 0.0 "
+            f"WHEN {d} >= 0 THEN round({y} * {p}) / {p} ELSE round({y} / {p}) * {p} END + 0.0)")
+
+
+def r(expr: str, alias: str) -> str:
+    return f"{sig_sql(expr)} AS {alias}"
 
 
 def with_ctes(*ctes: str) -> str:
