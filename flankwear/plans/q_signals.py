@@ -49,7 +49,7 @@ FLAGSHIP_SQL = (with_ctes(b.SIGNALS_SQL, b.WEAR_SQL, moments_sql("signals", ["to
   CASE WHEN w.vb_mean IS NULL THEN 'inconnu' WHEN w.vb_mean < 0.1 THEN 'neuf'
        WHEN w.vb_mean < 0.2 THEN 'intermediaire' ELSE 'use' END AS etat
 FROM wide LEFT JOIN wear w USING (tool, passe)""")
-register("j01_label_passes", FLAGSHIP_SQL)(lambda spark, d: present(labeled_features(spark, d)))
+register("j01_label_passes", FLAGSHIP_SQL)(lambda spark, d: present(labeled_features(spark, d), ["vb_mean"]))
 
 
 # ------------------------------------------------------------------ wear table

@@ -21,12 +21,12 @@ def _sig(c):
     return F.when(c.isNull(), F.lit(None).cast("double")).when(a < FLOOR, F.lit(0.0)).otherwise(v) + F.lit(0.0)
 
 
-def present(df: DataFrame) -> DataFrame:
-    """Round every floating column to DIGITS significant digits (oracle comparison)."""
+def present(df: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
+    """Round floating columns (all, or ``only``) to DIGITS significant digits (oracle comparison)."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and (only is None or f.name in only):
             c = _sig(c.cast("double"))
         cols.append(c.alias(f.name))
     return df.select(*cols)
