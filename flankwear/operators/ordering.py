@@ -10,26 +10,20 @@ Only a small table of slice counts (one row per slice and group) is joined
 back; the data itself is never gathered per group.
 
 The sliced projection is read twice (slice counts, then the join back).  Two
-separate range exchanges would sample independently and could disagree on
-slice bounds, so the sliced projection is persisted once: both readers then
-share one shuffle (and a lost block is recomputed from that same shuffle).
-``release()`` drops these caches when a pipeline is done with them.
+evaluations of a range exchange sample independently and can disagree on
+slice bounds (and an in-memory cache does not pin them either), so the
+sliced projection is checkpointed to the shared checkpoint folder: both
+readers see the same rows, and a lost executor re-reads the files instead of
+re-slicing.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CACHED: list[DataFrame] = []
-
-
-def release() -> None:
-    """Unpersist the sliced projections created by this module."""
-    while _CACHED:
-        _CACHED.pop().unpersist()
+from flankwear.session import cut_lineage
 
 
 def _n_slices(df: DataFrame, n: int | None) -> int:
@@ -52,9 +46,8 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     s = (df.repartitionByRange(_n_slices(df, slices), *sort_cols)
          .sortWithinPartitions(*sort_cols)
          .withColumn("_slice", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id())
-         .persist(StorageLevel.MEMORY_AND_DISK))
-    _CACHED.append(s)
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    s = cut_lineage(s)
     blocks = s.groupBy("_slice", *keys).agg(F.min("_mid").alias("_m0"),
                                              F.count(F.lit(1)).alias("_bn"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -133,3 +133,75 @@ CHANNEL_SIGNALS_SQL = """signals AS (
          row_number() OVER (PARTITION BY user_id % 6, day(ts), event_type ORDER BY event_id) - 1 AS i,
          value AS x
   FROM events)"""
+
+
+# ---------------------------------------------------------------- experiments, labels, runs, programs
+# Order status read as the machining phase of an experiment sample.
+PHASE_OF_STATUS = {"F": "Layer 1 Up", "O": "Layer 2 Down", "P": "Prep"}
+EXP_SIGNALS = ["S1_OutputPower", "X1_OutputCurrent"]
+
+
+def experiments(spark: SparkSession, d: str) -> DataFrame:
+    """Experiment time series from ``orders``: one experiment per customer."""
+    o = table(spark, d, "orders")
+    phase = F.when(F.col("o_orderstatus") == "F", PHASE_OF_STATUS["F"]) \
+        .when(F.col("o_orderstatus") == "O", PHASE_OF_STATUS["O"]).otherwise(PHASE_OF_STATUS["P"])
+    e = o.select(F.col("o_custkey").cast("int").alias("exp_id"), "o_orderkey",
+                 phase.alias("Machining_Process"),
+                 F.col("o_totalprice").alias("S1_OutputPower"),
+                 F.substring("o_orderpriority", 1, 1).cast("double").alias("X1_OutputCurrent"))
+    return with_position(e, ["exp_id"], ["o_orderkey"], name="i").drop("o_orderkey")
+
+
+EXPERIMENTS_SQL = """exps AS (
+  SELECT CAST(o_custkey AS INTEGER) AS exp_id,
+         CASE o_orderstatus WHEN 'F' THEN 'Layer 1 Up' WHEN 'O' THEN 'Layer 2 Down' ELSE 'Prep' END AS Machining_Process,
+         o_totalprice AS S1_OutputPower, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS X1_OutputCurrent,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i
+  FROM orders)"""
+
+
+def exp_labels(spark: SparkSession, d: str) -> DataFrame:
+    """``train.csv`` stand-in from ``customer``."""
+    c = table(spark, d, "customer")
+    return c.select(F.col("c_custkey").cast("int").alias("No"),
+                    F.when(F.col("c_mktsegment").isin("MACHINERY", "AUTOMOBILE"), "worn")
+                    .otherwise("unworn").alias("tool_condition"),
+                    F.col("c_acctbal").alias("feedrate"), F.col("c_nationkey").cast("double").alias("clamp_pressure"))
+
+
+EXP_LABELS_SQL = """labs AS (
+  SELECT CAST(c_custkey AS INTEGER) AS No,
+         CASE WHEN c_mktsegment IN ('MACHINERY', 'AUTOMOBILE') THEN 'worn' ELSE 'unworn' END AS tool_condition,
+         c_acctbal AS feedrate, CAST(c_nationkey AS DOUBLE) AS clamp_pressure
+  FROM customer)"""
+
+RUN_ORDER = ["R_measurement", "l_partkey", "l_suppkey", "Ra", "Rz", "Rsk", "Rku", "l_shipdate"]
+
+
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    """Turning measurements from ``lineitem``: one run per order, one measurement per line."""
+    li = table(spark, d, "lineitem")
+    return li.select(F.col("l_orderkey").cast("string").alias("Run_ID"),
+                     F.col("l_linenumber").alias("R_measurement"), "l_partkey", "l_suppkey", "l_shipdate",
+                     F.col("l_quantity").alias("Ra"), F.col("l_extendedprice").alias("Rz"),
+                     F.col("l_discount").alias("Rsk"), F.col("l_tax").alias("Rku"),
+                     (F.col("l_discount") * 100 - 4).alias("Condition"),
+                     F.col("l_returnflag").alias("Tool_ID"), F.col("l_linestatus").alias("Experiment"))
+
+
+RUNS_SQL = """runs AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS Run_ID, l_linenumber AS R_measurement, l_partkey, l_suppkey, l_shipdate,
+         l_quantity AS Ra, l_extendedprice AS Rz, l_discount AS Rsk, l_tax AS Rku,
+         l_discount * 100 - 4 AS Condition, l_returnflag AS Tool_ID, l_linestatus AS Experiment
+  FROM lineitem)"""
+
+ENERGIES = ["ENERGY|x", "ENERGY|y", "ENERGY|z", "ENERGY|S"]
+
+
+def programs(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed-program rows from ``lineitem``: program = line status, four energy columns."""
+    li = table(spark, d, "lineitem")
+    return li.select(F.col("l_linestatus").alias("program"), F.col("l_returnflag").alias("Commands"),
+                     F.col("l_quantity").alias("ENERGY|x"), F.col("l_extendedprice").alias("ENERGY|y"),
+                     F.col("l_discount").alias("ENERGY|z"), F.col("l_tax").alias("ENERGY|S"))

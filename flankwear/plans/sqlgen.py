@@ -50,11 +50,11 @@ def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-def moments_sql(src: str, keys: Sequence[str], x: str = "x", eps: str = "1e-12") -> str:
-    """Per-group A01-A14 in DuckDB (population skew/kurt spelled from moments)."""
+def moments_sql(src: str, keys: Sequence[str], x: str = "x", eps: str = "1e-12", name: str = "feat") -> str:
+    """Per-group A01-A14 in DuckDB (population skew/kurt spelled from moments) as CTE ``name``."""
     k = ", ".join(keys)
     on = " AND ".join(f"s.{c} = g.{c}" for c in keys)
-    return f"""g0 AS (SELECT {k}, count({x}) AS n, avg({x}) AS mu FROM {src} GROUP BY {k}),
+    sql = f"""g0 AS (SELECT {k}, count({x}) AS n, avg({x}) AS mu FROM {src} GROUP BY {k}),
 mom AS (
   SELECT {', '.join('g.' + c for c in keys)}, g.n, g.mu,
          stddev_pop(s.{x}) AS std, sqrt(avg(s.{x} * s.{x})) AS rms, max(abs(s.{x})) AS mx,
@@ -71,3 +71,8 @@ feat AS (
          CASE WHEN rms IS NULL THEN NULL WHEN rms > {eps} THEN mx / rms ELSE 0.0 END AS crest,
          rms / (mabs + {eps}) AS shape, energy, p25, p75, p75 - p25 AS iqr, energy_mean
   FROM mom)"""
+    if name == "feat":
+        return sql
+    return (sql.replace("g0 AS", f"{name}_g0 AS").replace("JOIN g0 g", f"JOIN {name}_g0 g")
+            .replace("mom AS", f"{name}_mom AS").replace("FROM mom", f"FROM {name}_mom")
+            .replace("feat AS", f"{name} AS"))
