@@ -42,19 +42,23 @@ SIGNALS_SQL = """signals AS (
   FROM events)"""
 
 
+SPECTRAL_FS = 25_000.0
+SPECTRAL_L = 64
+
+
 def spectral_signals(spark: SparkSession, d: str) -> DataFrame:
-    """One long series per (tool, channel): passe = month, i = order of event_id."""
+    """Longer series per (tool, channel): passe = ten-day block, i = order of event_id."""
     ev = table(spark, d, "events").select(
         F.concat(F.lit("c"), (F.col("user_id") % N_TOOLS).cast("string")).alias("tool"),
-        F.month("ts").cast("int").alias("passe"),
+        (F.floor((F.dayofmonth("ts") - 1) / 10) + 1).cast("int").alias("passe"),
         F.col("event_type").alias("channel"), "event_id", F.col("value").alias("x"))
     return with_position(ev, ["tool", "passe", "channel"], ["event_id"], name="i").drop("event_id")
 
 
 SPECTRAL_SIGNALS_SQL = """signals AS (
-  SELECT 'c' || CAST(user_id % 6 AS VARCHAR) AS tool, CAST(month(ts) AS INTEGER) AS passe,
+  SELECT 'c' || CAST(user_id % 6 AS VARCHAR) AS tool, CAST(floor((day(ts) - 1) / 10) + 1 AS INTEGER) AS passe,
          event_type AS channel,
-         row_number() OVER (PARTITION BY user_id % 6, month(ts), event_type ORDER BY event_id) - 1 AS i,
+         row_number() OVER (PARTITION BY user_id % 6, floor((day(ts) - 1) / 10), event_type ORDER BY event_id) - 1 AS i,
          value AS x
   FROM events)"""
 
