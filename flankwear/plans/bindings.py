@@ -209,3 +209,50 @@ def programs(spark: SparkSession, d: str) -> DataFrame:
     return li.select(F.col("l_linestatus").alias("program"), F.col("l_returnflag").alias("Commands"),
                      F.col("l_quantity").alias("ENERGY|x"), F.col("l_extendedprice").alias("ENERGY|y"),
                      F.col("l_discount").alias("ENERGY|z"), F.col("l_tax").alias("ENERGY|S"))
+
+
+# ---------------------------------------------------------------- out-of-fold prediction stand-ins
+def oof_classification(spark: SparkSession, d: str) -> DataFrame:
+    """Two deterministic rule 'models' predicting the order status."""
+    o = table(spark, d, "orders")
+    base = o.select(F.col("o_orderkey").alias("row_id"), (F.col("o_orderkey") % 5).cast("int").alias("fold"),
+                    F.col("o_orderstatus").alias("y_true"), "o_totalprice", "o_orderpriority")
+    m1 = base.select(F.lit("01_PriceRule").alias("model"), "row_id", "fold", "y_true",
+                     F.when(F.col("o_totalprice") > 200000, "F").when(F.col("o_totalprice") > 100000, "O")
+                     .otherwise("P").alias("y_pred"))
+    m2 = base.select(F.lit("02_PriorityRule").alias("model"), "row_id", "fold", "y_true",
+                     F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "F")
+                     .when(F.col("o_orderpriority") == "3-MEDIUM", "O").otherwise("P").alias("y_pred"))
+    return m1.unionByName(m2)
+
+
+OOF_CLASS_SQL = """oof AS (
+  SELECT '01_PriceRule' AS model, o_orderkey AS row_id, CAST(o_orderkey % 5 AS INTEGER) AS fold, o_orderstatus AS y_true,
+         CASE WHEN o_totalprice > 200000 THEN 'F' WHEN o_totalprice > 100000 THEN 'O' ELSE 'P' END AS y_pred FROM orders
+  UNION ALL
+  SELECT '02_PriorityRule', o_orderkey, CAST(o_orderkey % 5 AS INTEGER), o_orderstatus,
+         CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'F' WHEN o_orderpriority = '3-MEDIUM' THEN 'O' ELSE 'P' END
+  FROM orders)"""
+
+
+def oof_regression(spark: SparkSession, d: str) -> DataFrame:
+    """Two 'models' predicting the order total from its line items."""
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("net"),
+        F.sum("l_extendedprice").alias("gross"))
+    o = table(spark, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    base = o.select(F.col("o_orderkey").alias("row_id"), (F.col("o_orderkey") % 5).cast("int").alias("fold"),
+                    F.col("o_totalprice").alias("y_true"), "net", "gross")
+    return (base.select(F.lit("01_NetLines").alias("model"), "row_id", "fold", "y_true", F.col("net").alias("y_pred"))
+            .unionByName(base.select(F.lit("02_GrossLines").alias("model"), "row_id", "fold", "y_true",
+                                     F.col("gross").alias("y_pred"))))
+
+
+OOF_REG_SQL = """li AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS net,
+                       sum(l_extendedprice) AS gross FROM lineitem GROUP BY 1),
+oof AS (
+  SELECT '01_NetLines' AS model, o_orderkey AS row_id, CAST(o_orderkey % 5 AS INTEGER) AS fold, o_totalprice AS y_true,
+         net AS y_pred FROM orders JOIN li ON o_orderkey = l_orderkey
+  UNION ALL
+  SELECT '02_GrossLines', o_orderkey, CAST(o_orderkey % 5 AS INTEGER), o_totalprice, gross
+  FROM orders JOIN li ON o_orderkey = l_orderkey)"""
