@@ -224,3 +224,36 @@ def q_a11(spark, d):
 def q_a15_wide(spark, d):
     long = b.wide_signals(spark, d).unpivot(["tool", "passe"], b.WIDE_CHANNELS, "channel", "x")
     return ss.to_wide(present(ss.channel_stats(long)), ["tool", "passe"], b.WIDE_CHANNELS)
+
+
+# ------------------------------------------------------------------ file-name keys (S03, S04) on derived paths
+def _paths(spark, d):
+    ev = b.table(spark, d, "events")
+    t = (F.col("user_id") % 6).cast("string")
+    day = F.lpad(F.dayofmonth("ts").cast("string"), 3, "0")
+    name = F.when(F.col("event_type") == "error", F.concat(F.lit("c"), t, F.lit("_wear.csv"))) \
+        .otherwise(F.concat(F.lit("c_"), t, F.lit("_"), day, F.lit(".csv")))
+    return ev.select(F.concat(F.lit("/data/c"), t, F.lit("/"), name).alias("file"))
+
+
+@register("s03_s04_file_keys", """WITH p AS (SELECT '/data/c' || CAST(user_id % 6 AS VARCHAR) || '/' ||
+  CASE WHEN event_type = 'error' THEN 'c' || CAST(user_id % 6 AS VARCHAR) || '_wear.csv'
+       ELSE 'c_' || CAST(user_id % 6 AS VARCHAR) || '_' || lpad(CAST(day(ts) AS VARCHAR), 3, '0') || '.csv' END AS file FROM events),
+k AS (SELECT 'c' || regexp_extract(file, 'c_(\\d+)_(\\d+)\\.csv$', 1) AS tool,
+             TRY_CAST(regexp_extract(file, 'c_(\\d+)_(\\d+)\\.csv$', 2) AS INTEGER) AS passe,
+             split(file, '/')[-2] AS tool_dir, regexp_extract(file, 'c_(\\d+)_(\\d+)\\.csv$', 1) AS t FROM p)
+SELECT tool, passe, tool_dir, count(*) AS n FROM k WHERE t <> '' AND passe IS NOT NULL GROUP BY 1, 2, 3""")
+def q_s03(spark, d):
+    from flankwear.sources.files import with_pass_key, with_tool_dir
+    k = with_tool_dir(with_pass_key(_paths(spark, d)))
+    return k.groupBy("tool", "passe", "tool_dir").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("x01_tumbling_window_stats", """SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start,
+  time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS window_end, event_type AS channel, """
+          + r("sqrt(avg(value * value))", "rms") + ", " + r("max(value) - min(value)", "p2p") + """, count(value) AS n
+FROM events GROUP BY 1, 2, 3""")
+def q_x01(spark, d):
+    from flankwear.streaming.windows import tumbling_stats
+    ev = b.table(spark, d, "events").select("ts", F.col("event_type").alias("channel"), F.col("value").alias("x"))
+    return present(tumbling_stats(ev, "ts", "6 hours", ["channel"]))
