@@ -57,10 +57,13 @@ def make_model(name: str, task: str, features: str = "features", label: str = "l
     """The benchmark grid as pyspark.ml estimators."""
     cls = task == "classification"
     kw = dict(featuresCol=features, labelCol=label)
+    # tree growth: larger node batches per pass over the data and cached node ids
+    tkw = dict(maxMemoryInMB=2048, cacheNodeIds=True, checkpointInterval=10)
     wkw = dict(weightCol=weight_col) if weight_col else {}
     if name == "random_forest":
-        return (RandomForestClassifier(numTrees=300, maxDepth=30, seed=seed, **kw, **wkw) if cls
-                else RandomForestRegressor(numTrees=300, maxDepth=30, featureSubsetStrategy="all", seed=seed, **kw, **wkw))
+        return (RandomForestClassifier(numTrees=300, maxDepth=30, seed=seed, **tkw, **kw, **wkw) if cls
+                else RandomForestRegressor(numTrees=300, maxDepth=30, featureSubsetStrategy="all", seed=seed, **tkw,
+                                           **kw, **wkw))
     if name == "extra_trees":
         return (RandomForestClassifier(numTrees=300, maxDepth=30, bootstrap=False, featureSubsetStrategy="sqrt",
                                        maxBins=16, seed=seed, **kw, **wkw) if cls
