@@ -91,8 +91,7 @@ def raw_wear(spark: SparkSession, d: str) -> DataFrame:
         *[F.avg(F.when(F.col("event_type") == t, F.col("value"))).alias(f"d{k + 1}")
           for k, t in enumerate(FLUTE_TYPES)])
     w = Window.partitionBy("tool").orderBy("passe").rowsBetween(Window.unboundedPreceding, 0)
-    out = daily.select("tool", "passe", *[F.round(F.sum(f"d{k}").over(w) / 10.0, 3).alias(f"vb{k}")
-                                          for k in (1, 2, 3)])
+    out = daily.select("tool", "passe", *[(F.sum(f"d{k}").over(w) / 10.0).alias(f"vb{k}") for k in (1, 2, 3)])
     return out.withColumn("vb2", F.when(F.col("passe") % 10 != 0, F.col("vb2")))
 
 
@@ -104,9 +103,9 @@ RAW_WEAR_SQL = """daily AS (
   FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1, 2),
 raw_wear AS (
   SELECT tool, passe,
-         round(sum(d1) OVER w / 10.0, 3) AS vb1,
-         CASE WHEN passe % 10 <> 0 THEN round(sum(d2) OVER w / 10.0, 3) END AS vb2,
-         round(sum(d3) OVER w / 10.0, 3) AS vb3
+         sum(d1) OVER w / 10.0 AS vb1,
+         CASE WHEN passe % 10 <> 0 THEN sum(d2) OVER w / 10.0 END AS vb2,
+         sum(d3) OVER w / 10.0 AS vb3
   FROM daily WINDOW w AS (PARTITION BY tool ORDER BY passe ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 # Wear table after mean + per-tool unit rule (the library's ``wear_table``).

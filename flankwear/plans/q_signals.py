@@ -105,7 +105,7 @@ def q_a25(spark, d):
 
 
 @register("a36_wear_inventory", with_ctes(b.WEAR_SQL) + """SELECT tool, count(*) AS n_passes,
-  least(min(vb1), min(vb2), min(vb3)) AS vb_min, greatest(max(vb1), max(vb2), max(vb3)) AS vb_max,
+  """ + r("least(min(vb1), min(vb2), min(vb3))", "vb_min") + ", " + r("greatest(max(vb1), max(vb2), max(vb3))", "vb_max") + """,
   """ + r("(avg(vb1) + avg(vb2) + avg(vb3)) / 3", "vb_mean") + " FROM wear GROUP BY tool")
 def q_a36(spark, d):
     return present(wr.wear_inventory(_wear(spark, d)))
@@ -156,7 +156,8 @@ def q_w04(spark, d):
 
 
 @register("w09_feature_evolution", with_ctes(b.SIGNALS_SQL, moments_sql("signals", ["tool", "passe", "channel"]))
-          + "SELECT tool, passe, " + r("rms", "click_rms") + " FROM feat WHERE channel = 'click'")
+          + "SELECT tool, passe, " + r("max(CASE WHEN channel = 'click' THEN rms END)", "click_rms")
+          + " FROM feat GROUP BY tool, passe")
 def q_w09(spark, d):
     return present(wr.feature_evolution(pass_features(spark, d), "click_rms"))
 
