@@ -53,8 +53,14 @@ def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 # ------------------------------------------------------------------ estimators
 def make_model(name: str, task: str, features: str = "features", label: str = "label",
                weight_col: str | None = None, seed: int = SEED, n_features: int | None = None,
-               n_classes: int | None = None) -> Estimator:
-    """The benchmark grid as pyspark.ml estimators."""
+               n_classes: int | None = None, n_rows: int | None = None, weight_sum: float | None = None,
+               sigma_y: float | None = None, C: float = 1.0, alpha: float = 1.0) -> Estimator:
+    """The benchmark grid as pyspark.ml estimators.
+
+    M14 (C=1, L2): ``regParam = 1/(C·n)`` (``1/(C·Σw)`` with weights); M15 (α=1):
+    ``regParam = α·σ_y/n`` with the population σ of the label and the normal solver.
+    ``n_rows`` / ``weight_sum`` / ``sigma_y`` are the training-fold statistics.
+    """
     cls = task == "classification"
     kw = dict(featuresCol=features, labelCol=label)
     # tree growth: larger node batches per pass over the data and cached node ids
@@ -83,9 +89,12 @@ def make_model(name: str, task: str, features: str = "features", label: str = "l
         return (DecisionTreeClassifier(maxDepth=10, maxBins=256, seed=seed, **kw, **wkw) if cls
                 else DecisionTreeRegressor(maxDepth=10, maxBins=256, seed=seed, **kw, **wkw))
     if name == "logistic_regression":
-        return LogisticRegression(regParam=1e-3, elasticNetParam=0.0, standardization=False, maxIter=200, **kw, **wkw)
+        denom = (weight_sum if weight_col and weight_sum else n_rows) or 1000
+        return LogisticRegression(regParam=1.0 / (C * denom), elasticNetParam=0.0, standardization=False,
+                                  maxIter=200, **kw, **wkw)
     if name == "ridge":
-        return LinearRegression(regParam=1e-3, elasticNetParam=0.0, standardization=False, solver="normal", **kw, **wkw)
+        reg = alpha * (sigma_y or 1.0) / (n_rows or 1000)
+        return LinearRegression(regParam=reg, elasticNetParam=0.0, standardization=False, solver="normal", **kw, **wkw)
     if name == "linear_regression":
         return LinearRegression(regParam=0.0, **kw, **wkw)
     if name == "svm":

@@ -227,3 +227,46 @@ def sparsest(df: DataFrame, k: int = 10, cols: Sequence[str] | None = None) -> D
 def head(df: DataFrame, n: int, order: Sequence) -> DataFrame:
     """First ``n`` rows under an explicit total order."""
     return df.orderBy(*order).limit(n)
+
+
+def profile_table(df: DataFrame, target: str | None = None) -> DataFrame:
+    """One-row dataset profile (target, task, meta / feature / leaky / recommended
+    columns, correlations, quality counts) built from ≤ 4 aggregations."""
+    tgt = detect_target(df.schema, target=target)
+    task = task_stats(df, [tgt]).first().task
+    meta = detect_meta(df, tgt)
+    feats = [c for c in numeric_cols(df, exclude=[tgt]) if c not in meta]
+    y = F.col(f"`{tgt}`")
+    enc = df
+    if task == "classification":
+        from flankwear.functions.scalar import label_encode
+        enc = label_encode(df, tgt, out="_y")
+        y = F.col("_y")
+    else:
+        enc = df.withColumn("_y", y.cast("double"))
+    corr = corr_with_target(enc, feats, "_y") if feats else None
+    corr_map = (corr.agg(F.map_from_entries(F.collect_list(F.struct("feature", "abs_r"))).alias("correlations"))
+                if corr is not None else df.sparkSession.createDataFrame([({},)], "correlations map<string,double>"))
+    leaky_list = (leaky(corr).agg(F.collect_list(F.when(F.col("leaky"), F.col("feature"))).alias("features_leaky"))
+                  if corr is not None else df.sparkSession.createDataFrame([([],)], "features_leaky array<string>"))
+    nulls = null_profile(df).agg(F.sum("n_null").alias("total_nan"), F.first("n_rows").alias("n_rows"),
+                                 F.first("rows_after_dropna").alias("rows_after_dropna"))
+    dup = duplicate_count(df).select("n_duplicates")
+    from flankwear.operators.stats import with_scalars
+    out = with_scalars(with_scalars(with_scalars(corr_map, leaky_list), nulls), dup)
+    return out.select(
+        F.lit(tgt).alias("target_column"), F.lit(task).alias("task"),
+        F.array(*[F.lit(m) for m in meta]).cast("array<string>").alias("meta_columns"),
+        F.array(*[F.lit(f) for f in feats]).cast("array<string>").alias("features"),
+        "features_leaky",
+        F.array_except(F.array(*[F.lit(f) for f in feats]).cast("array<string>"), F.col("features_leaky"))
+        .alias("features_recommended"),
+        "correlations", "n_rows", F.lit(len(feats)).alias("n_features"), "total_nan",
+        (F.col("total_nan") / (F.col("n_rows") * F.lit(max(len(df.columns), 1))) * 100).alias("nan_pct"),
+        "n_duplicates", "rows_after_dropna")
+
+
+def profile_signals(wear_inv: DataFrame, pass_inv: DataFrame, fs: float = 50_000) -> DataFrame:
+    """Raw-signal profile per tool: wear inventory beside pass inventory and constants."""
+    return (pass_inv.join(wear_inv.withColumnRenamed("n_passes", "n_wear_rows"), "tool", "full_outer")
+            .withColumn("sampling_rate_hz", F.lit(float(fs))))

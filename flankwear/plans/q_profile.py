@@ -253,3 +253,15 @@ def q_f20(spark, d):
     li = b.table(spark, d, "lineitem")
     return present(li.select("l_orderkey", "l_linenumber", "l_partkey",
                              fx.rel_deviation("l_tax", F.col("l_discount") / 2).alias("rel_dev")))
+
+
+@register("a41_profile_table")
+def q_a41(spark, d):
+    return pr.profile_table(prof(spark, d), target="l_returnflag")
+
+
+@register("a42_profile_signals")
+def q_a42(spark, d):
+    from flankwear.operators import wear as wr
+    return pr.profile_signals(wr.wear_inventory(wr.wear_table(b.raw_wear(spark, d))),
+                              wr.pass_inventory(b.signals(spark, d)))
