@@ -21,6 +21,9 @@ def tumbling_stats(df: DataFrame, ts: str, duration: str, keys: Sequence[str] =
                    watermark: str | None = None) -> DataFrame:
     """RMS, peak-to-peak and count per tumbling window (and keys)."""
     if watermark:
+        # event-time watermarks need TIMESTAMP (session-zone) values
+        if dict(df.dtypes)[ts] == "timestamp_ntz":
+            df = df.withColumn(ts, F.col(ts).cast("timestamp"))
         df = df.withWatermark(ts, watermark)
     g = df.groupBy(F.window(ts, duration).alias("w"), *keys).agg(
         F.sqrt(F.avg(F.col(x) * F.col(x))).alias("rms"), (F.max(x) - F.min(x)).alias("p2p"),
