@@ -25,7 +25,7 @@ from flankwear.operators import spectral as sp  # noqa: E402
 from flankwear.operators import wear as wr  # noqa: E402
 from flankwear.plans import bindings as b  # noqa: E402
 from flankwear.plans import q_fusion, q_models, q_spectral  # noqa: E402
-from flankwear.session import checkpoint_dir, get_spark  # noqa: E402
+from flankwear.session import checkpoint_dir, get_spark, write_stage  # noqa: E402
 
 
 def force(df) -> None:
@@ -33,10 +33,18 @@ def force(df) -> None:
 
 
 def plans(spark, d):
+    staged = {}
+
+    def ingest():
+        # S01 + rule R1: long signals with their sample index, written once as a stage table
+        staged["sig"] = write_stage(b.signals(spark, d))
+        return staged["sig"]
+
     out = {
-        "a15_pass_features": lambda: ss.extract_pass_features(b.signals(spark, d), channels=b.EVENT_CHANNELS),
+        "s01_r1_ingest": ingest,
+        "a15_pass_features": lambda: ss.extract_pass_features(staged["sig"], channels=b.EVENT_CHANNELS),
         "j01_label_join": lambda: wr.label_passes(
-            ss.extract_pass_features(b.signals(spark, d), channels=b.EVENT_CHANNELS),
+            ss.extract_pass_features(staged["sig"], channels=b.EVENT_CHANNELS),
             wr.wear_table(b.raw_wear(spark, d))),
         "g08_welch_features": lambda: sp.extract_spectral_features(
             b.spectral_signals(spark, d), q_spectral.spectral_wear(spark, d), b.SPECTRAL_FS, b.SPECTRAL_L,

@@ -12,9 +12,9 @@ back; the data itself is never gathered per group.
 The sliced projection is read twice (slice counts, then the join back).  Two
 evaluations of a range exchange sample independently and can disagree on
 slice bounds (and an in-memory cache does not pin them either), so the
-sliced projection is checkpointed to the shared checkpoint folder: both
-readers see the same rows, and a lost executor re-reads the files instead of
-re-slicing.
+sliced projection is written once as a parquet stage in the shared
+checkpoint folder (``spark.checkpoint.dir``): both readers see the same rows,
+and a lost executor re-reads the files instead of re-slicing.
 """
 from __future__ import annotations
 
@@ -23,13 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flankwear.session import cut_lineage
-
-
-def _n_slices(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+from flankwear.session import write_stage
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
@@ -43,11 +37,13 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     """
     keys = list(keys)
     sort_cols = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
-    s = (df.repartitionByRange(_n_slices(df, slices), *sort_cols)
-         .sortWithinPartitions(*sort_cols)
+    # without an explicit count AQE may merge neighbouring (small) slices; merged
+    # slices are still contiguous ranges, which is all the offsets rely on
+    rp = df.repartitionByRange(slices, *sort_cols) if slices else df.repartitionByRange(*sort_cols)
+    s = (rp.sortWithinPartitions(*sort_cols)
          .withColumn("_slice", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))
-    s = cut_lineage(s)
+    s = write_stage(s)
     blocks = s.groupBy("_slice", *keys).agg(F.min("_mid").alias("_m0"),
                                              F.count(F.lit(1)).alias("_bn"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

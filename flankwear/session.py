@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,8 +57,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_stage(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
-    """Write a stage table under the shared checkpoint folder and read it back."""
+def write_stage(df: DataFrame, name: str | None = None, fmt: str = "parquet") -> DataFrame:
+    """Write a stage table under the shared checkpoint folder and read it back.
+
+    Columnar files are cheaper to write and re-read than serialized RDD
+    checkpoints, and they pin the exact rows every later reader sees.
+    """
+    name = name or f"stage-{uuid.uuid4().hex}"
     path = os.path.join(checkpoint_dir(df.sparkSession), "stages", name)
     df.write.mode("overwrite").format(fmt).save(path)
-    return df.sparkSession.read.format(fmt).load(path)
+    return df.sparkSession.read.schema(df.schema).format(fmt).load(path)
