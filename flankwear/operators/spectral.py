@@ -149,10 +149,19 @@ def compare_psd(psd: DataFrame, a: dict, b: dict, fmax: float = 8000.0, on: Sequ
     return j.withColumn("ratio", F.try_divide(F.col("psd_b"), F.col("psd_a")))
 
 
+def spectral_names() -> list[str]:
+    """The 28 per-channel feature names of G08, in output order."""
+    tstats = [s if s != "max" else "peak" for s in STATS]
+    return tstats + [f"band_{lo}_{hi}" for lo, hi in BANDS] + [f"band_{lo}_{hi}_rel" for lo, hi in BANDS] \
+        + [f"tpf_h{h}" for h in range(1, N_HARMONICS + 1)]
+
+
 def extract_spectral_features(sig: DataFrame, wear: DataFrame, fs: float, L: int,
-                              channels: Sequence[str] = CHANNELS, f0: float | None = None) -> DataFrame:
+                              channels: Sequence[str] = CHANNELS, f0: float | None = None,
+                              long_hook=None) -> DataFrame:
     """13 time + 5 band + 5 relative band + 5 harmonic features per channel,
-    labeled passes only (inner join with the wear table)."""
+    labeled passes only (inner join with the wear table).  ``long_hook`` may
+    transform the long ``(tool, passe, channel, stat, v)`` table before the pivot."""
     keys = ["tool", "passe", "channel"]
     f0 = f0 if f0 is not None else tooth_pass_hz()
     tstat = (channel_stats(sig, keys).withColumnRenamed("max", "peak")
@@ -166,8 +175,9 @@ def extract_spectral_features(sig: DataFrame, wear: DataFrame, fs: float, L: int
     tstats = [s if s != "max" else "peak" for s in STATS]
     tl = tstat.unpivot(keys, tstats, "stat", "v")
     long = tl.unionByName(bl).unionByName(hl)
-    names = tstats + [f"band_{lo}_{hi}" for lo, hi in BANDS] + [f"band_{lo}_{hi}_rel" for lo, hi in BANDS] \
-        + [f"tpf_h{h}" for h in range(1, N_HARMONICS + 1)]
+    if long_hook is not None:
+        long = long_hook(long)
+    names = spectral_names()
     long = long.withColumn("col", F.concat_ws("_", "channel", "stat"))
     wide = long.groupBy("tool", "passe").pivot("col", [f"{c}_{s}" for c in channels for s in names]).agg(F.first("v"))
     return wide.join(wear.select("tool", "passe", F.col("vb_mean").alias("vb")), ["tool", "passe"], "inner")

@@ -11,7 +11,7 @@ from flankwear.operators import spectral as sp
 from flankwear.operators import wear as wr
 from flankwear.plans import bindings as b
 from flankwear.plans.catalog import register
-from flankwear.plans.sqlgen import present, r, with_ctes
+from flankwear.plans.sqlgen import moments_sql, present, r, with_ctes
 
 FS, L = b.SPECTRAL_FS, b.SPECTRAL_L
 F0 = sp.tooth_pass_hz()
@@ -107,11 +107,42 @@ def spectral_wear(spark, d):
             .groupBy("tool", "passe").agg(F.max("vb_mean").alias("vb_mean")))
 
 
-@register("g08_spectral_features")
+TSTATS = [s if s != "max" else "peak" for s in ["mean", "std", "rms", "max", "p2p", "skew", "kurt", "crest", "shape",
+                                                  "energy", "p25", "p75", "iqr"]]
+G08_SQL = with_ctes(
+    b.SPECTRAL_SIGNALS_SQL, PSD_SQL, BANDS_SQL, HARM_SQL, b.WEAR_SQL,
+    moments_sql("signals", K, name="tfeat"),
+    """tl AS (SELECT tool, passe, channel, stat, v FROM (
+  SELECT tool, passe, channel, mean, std, rms, max AS peak, p2p, skew, kurt, max / (rms + 1e-12) AS crest, shape,
+         energy_mean AS energy, p25, p75, iqr FROM tfeat)
+  UNPIVOT INCLUDE NULLS (v FOR stat IN (""" + ", ".join(TSTATS) + """))),
+bp AS (SELECT p.tool, p.passe, p.channel, bd.band, sum(p.psd) AS power FROM psd p JOIN bands bd
+       ON p.freq >= bd.lo AND p.freq < bd.hi GROUP BY 1, 2, 3, 4),
+tot AS (SELECT tool, passe, channel, sum(psd) AS tot FROM psd GROUP BY 1, 2, 3),
+bl AS (SELECT t.tool, t.passe, t.channel, bd.band AS stat, coalesce(bp.power, 0.0) AS v
+       FROM tot t CROSS JOIN bands bd LEFT JOIN bp ON bp.tool = t.tool AND bp.passe = t.passe
+       AND bp.channel = t.channel AND bp.band = bd.band
+       UNION ALL
+       SELECT t.tool, t.passe, t.channel, bd.band || '_rel', coalesce(bp.power, 0.0) / (t.tot + 1e-12)
+       FROM tot t CROSS JOIN bands bd LEFT JOIN bp ON bp.tool = t.tool AND bp.passe = t.passe
+       AND bp.channel = t.channel AND bp.band = bd.band),
+he AS (SELECT p.tool, p.passe, p.channel, h.harmonic, sum(p.psd) AS energy FROM psd p JOIN harm h
+       ON p.freq BETWEEN h.lo AND h.hi GROUP BY 1, 2, 3, 4),
+hl AS (SELECT g.tool, g.passe, g.channel, h.harmonic AS stat, coalesce(he.energy, 0.0) AS v
+       FROM (SELECT DISTINCT tool, passe, channel FROM psd) g CROSS JOIN harm h LEFT JOIN he ON he.tool = g.tool
+       AND he.passe = g.passe AND he.channel = g.channel AND he.harmonic = h.harmonic),
+lng AS (SELECT * FROM tl UNION ALL SELECT * FROM bl UNION ALL SELECT * FROM hl),
+wide AS (SELECT tool, passe, """ + ", ".join(
+        r(f"max(CASE WHEN channel = '{c}' AND stat = '{n}' THEN v END)", f"{c}_{n}")
+        for c in b.EVENT_CHANNELS for n in sp.spectral_names()) + """ FROM lng GROUP BY tool, passe),
+w3 AS (SELECT tool, CAST(floor((passe - 1) / 10) + 1 AS INTEGER) AS passe, max(vb_mean) AS vb FROM wear GROUP BY 1, 2)""")
+
+
+@register("g08_spectral_features", G08_SQL + "SELECT wide.*, " + r("w3.vb", "vb") + " FROM wide JOIN w3 USING (tool, passe)")
 def q_g08(spark, d):
     out = sp.extract_spectral_features(b.spectral_signals(spark, d), spectral_wear(spark, d), FS, L,
-                                       channels=b.EVENT_CHANNELS, f0=F0)
-    return out
+                                       channels=b.EVENT_CHANNELS, f0=F0, long_hook=present)
+    return present(out, ["vb"])
 
 
 _ = math
