@@ -317,3 +317,47 @@ def smote(df: DataFrame, y: str, vec: str = "vec", row_id: str = "row_id", k: in
 
 
 
+
+
+# ------------------------------------------------------------------ M18, M20, E19
+def multi_output_predict(df: DataFrame, features: Sequence[str], targets: Sequence[str],
+                         make: Callable[[str], Estimator], row_id: str = "row_id",
+                         folds: Sequence[int] | None = None, fold: str = "fold") -> DataFrame:
+    """One regressor per target; predictions joined back on ``row_id``.
+    With ``folds`` each target's predictions are out-of-fold (V05), else in-sample (V07)."""
+    base = assemble(df, features)
+    out = base.select(row_id, *([fold] if folds is not None else []))
+    for t in targets:
+        if folds is None:
+            p = make(t).fit(base).transform(base).select(row_id, F.col("prediction").alias(f"{t}_pred"))
+        else:
+            p = oof_predict(base, lambda t=t: make(t), folds, t, label=t, row_id=row_id, fold=fold) \
+                .select(row_id, F.col("y_pred").alias(f"{t}_pred"))
+        out = out.join(p, row_id).join(df.select(row_id, F.col(t).alias(f"{t}_true")), row_id)
+    return out
+
+
+def with_source_feature(df: DataFrame, source: str = "source", out: str = "source_idx") -> DataFrame:
+    """The data source as an alphabetical index, ready to join the feature vector."""
+    from flankwear.functions.scalar import label_encode
+    return label_encode(df, source, out=out)
+
+
+def permutation_importance(model, df: DataFrame, features: Sequence[str], label: str = "label",
+                           repeats: int = 10, seed: int = SEED, row_id: str = "row_id") -> DataFrame:
+    """Mean drop of the support-weighted F1 when one feature column is permuted
+    (seeded, per repeat).  One scoring job per (feature, repeat)."""
+    from flankwear.operators.evaluate import classification_metrics
+
+    def score(frame: DataFrame) -> float:
+        pred = model.transform(assemble(frame, features)).select(
+            F.lit("m").alias("model"), row_id, F.lit(0).alias("fold"),
+            F.col(label).cast("string").alias("y_true"), F.col("prediction").cast("string").alias("y_pred"))
+        return classification_metrics(pred).first().f1_weighted
+
+    base = score(df)
+    rows = []
+    for f in features:
+        drops = [base - score(permute_column(df, f, seed + r, row_id)) for r in range(repeats)]
+        rows.append((f, float(np.mean(drops)), float(np.std(drops))))
+    return df.sparkSession.createDataFrame(rows, "feature string, importance double, importance_std double")

@@ -87,3 +87,25 @@ def q_e17(spark, d):
     t = _ml_table(spark, d)
     m = mo.make_model("decision_tree", "classification").fit(t)
     return mo.feature_importances(spark, m, [f"dim_{i}" for i in range(64)])
+
+
+@register("m18_multi_output_tree")
+def q_m18(spark, d):
+    from flankwear.functions import scalar as fx
+    p = b.programs(spark, d)
+    p = fx.one_hot(p, "Commands", ["A", "N", "R"]).withColumn("row_id", F.monotonically_increasing_id())
+    p = p.withColumn("is_F", (F.col("program") == "F").cast("int"))
+    p = p.withColumnRenamed("ENERGY|x", "E_x").withColumnRenamed("ENERGY|z", "E_z").withColumnRenamed("ENERGY|S", "E_S")
+    from flankwear.session import write_stage
+    p = write_stage(p.select("row_id", "Commands_A", "Commands_N", "Commands_R", "is_F", "E_x", "E_z", "E_S"))
+    feats = ["Commands_A", "Commands_N", "Commands_R", "is_F", "E_z", "E_S"]
+    return mo.multi_output_predict(p, feats, ["E_x"], lambda t: mo.make_model("decision_tree", "regression", label=t))
+
+
+@register("m20_source_feature", """SELECT source, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS source_idx
+FROM (SELECT DISTINCT 'phm' AS source FROM events UNION SELECT DISTINCT 'exp' FROM orders
+      UNION SELECT DISTINCT 'turning' FROM lineitem)""")
+def q_m20(spark, d):
+    from flankwear.plans.q_fusion import fused
+    f = fused(spark, d).select("source").distinct()
+    return mo.with_source_feature(f).select("source", "source_idx")

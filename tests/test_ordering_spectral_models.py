@@ -70,3 +70,23 @@ def test_stratified_folds_balanced(spark):
     f = ba.stratified_folds(df, "y", 5).groupBy("y", "fold").count().toPandas()
     for _, g in f.groupby("y"):
         assert g["count"].max() - g["count"].min() <= 1
+
+
+def test_permutation_importance_and_multi_output(spark):
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(120, 3))
+    y = (X[:, 0] > 0).astype(float)
+    df = spark.createDataFrame([(i, float(X[i, 0]), float(X[i, 1]), float(X[i, 2]), float(y[i])) for i in range(120)],
+                               "row_id long, a double, b double, c double, label double")
+    m = mo.make_model("decision_tree", "classification").fit(mo.assemble(df, ["a", "b", "c"]))
+    imp = {r.feature: r.importance for r in mo.permutation_importance(m, df, ["a", "b", "c"], repeats=2).collect()}
+    assert imp["a"] > imp["b"] and imp["a"] > imp["c"]
+    out = mo.multi_output_predict(df.withColumn("t2", F.col("a") * 2), ["a", "b"], ["label", "t2"],
+                                  lambda t: mo.make_model("decision_tree", "regression", label=t))
+    assert out.count() == 120 and {"label_pred", "t2_pred", "t2_true"} <= set(out.columns)
+
+
+def test_standard_scale_population(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "x double")
+    z = [r.x_z for r in mo.standard_scale(df, ["x"]).orderBy("x").collect()]
+    assert np.allclose(z, (np.array([1, 2, 3, 4]) - 2.5) / np.std([1, 2, 3, 4]))
