@@ -23,14 +23,18 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- signals
-def signals(spark: SparkSession, d: str) -> DataFrame:
-    """Long signals ``(tool, passe, channel, i, x)`` from ``events``."""
+def signals(spark: SparkSession, d: str, index: bool = True) -> DataFrame:
+    """Long signals ``(tool, passe, channel, i, x)`` from ``events``.
+
+    ``index=False`` skips the sample index for order-free statistics (no staging job)."""
     ev = table(spark, d, "events").select(
         F.concat(F.lit("c"), (F.col("user_id") % N_TOOLS).cast("string")).alias("tool"),
         F.dayofmonth("ts").cast("int").alias("passe"),
         F.col("event_type").alias("channel"),
         "event_id",
         F.col("value").alias("x"))
+    if not index:
+        return ev.drop("event_id")
     return with_position(ev, ["tool", "passe"], ["event_id"], name="i").drop("event_id")
 
 
@@ -144,8 +148,8 @@ PHASE_OF_STATUS = {"F": "Layer 1 Up", "O": "Layer 2 Down", "P": "Prep"}
 EXP_SIGNALS = ["S1_OutputPower", "X1_OutputCurrent"]
 
 
-def experiments(spark: SparkSession, d: str) -> DataFrame:
-    """Experiment time series from ``orders``: one experiment per customer."""
+def experiments(spark: SparkSession, d: str, index: bool = True) -> DataFrame:
+    """Experiment time series from ``orders``: one experiment per customer (``i`` optional)."""
     o = table(spark, d, "orders")
     phase = F.when(F.col("o_orderstatus") == "F", PHASE_OF_STATUS["F"]) \
         .when(F.col("o_orderstatus") == "O", PHASE_OF_STATUS["O"]).otherwise(PHASE_OF_STATUS["P"])
@@ -153,6 +157,8 @@ def experiments(spark: SparkSession, d: str) -> DataFrame:
                  phase.alias("Machining_Process"),
                  F.col("o_totalprice").alias("S1_OutputPower"),
                  F.substring("o_orderpriority", 1, 1).cast("double").alias("X1_OutputCurrent"))
+    if not index:
+        return e.drop("o_orderkey")
     return with_position(e, ["exp_id"], ["o_orderkey"], name="i").drop("o_orderkey")
 
 

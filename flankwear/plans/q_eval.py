@@ -137,7 +137,7 @@ def q_v02(spark, d):
 @register("v03_group_folds", with_ctes(b.SIGNALS_SQL) + """SELECT s.tool, s.passe, CAST(g.fold AS INTEGER) AS fold FROM (SELECT DISTINCT tool, passe FROM signals) s
 JOIN (SELECT tool, row_number() OVER (ORDER BY tool) - 1 AS fold FROM (SELECT DISTINCT tool FROM signals)) g USING (tool)""")
 def q_v03(spark, d):
-    return ba.group_folds(b.signals(spark, d).select("tool", "passe").distinct(), "tool")
+    return ba.group_folds(b.signals(spark, d, index=False).select("tool", "passe").distinct(), "tool")
 
 
 
@@ -354,7 +354,7 @@ imp AS (SELECT channel || '_rms' AS feature, abs(corr(rms, vb_mean)) AS importan
 SELECT regexp_extract(feature, '^([^_]+)_', 1) AS sensor, """ + r("sum(importance)", "importance") + " FROM imp GROUP BY 1")
 def q_a40(spark, d):
     from flankwear.operators import signal_stats as ss
-    long = ss.channel_stats(b.signals(spark, d)).select("tool", "passe", "channel", "rms", "mean")
+    long = ss.channel_stats(b.signals(spark, d, index=False)).select("tool", "passe", "channel", "rms", "mean")
     j = long.join(wr.wear_table(b.raw_wear(spark, d)).select("tool", "passe", "vb_mean"), ["tool", "passe"])
     imp = (j.groupBy("channel").agg(F.abs(F.corr("rms", "vb_mean")).alias("i_rms"), F.abs(F.corr("mean", "vb_mean")).alias("i_mean"))
            .select(F.explode(F.array(F.struct(F.concat("channel", F.lit("_rms")).alias("feature"), F.col("i_rms").alias("importance")),

@@ -24,17 +24,17 @@ EXL_SQL = f"""exl AS (
 @register("p01_active_only", with_ctes(b.EXPERIMENTS_SQL) + f"""SELECT Machining_Process, count(*) AS n
 FROM exps WHERE Machining_Process IN ({ACTIVE}) GROUP BY 1""")
 def q_p01(spark, d):
-    return fu.active_only(b.experiments(spark, d)).groupBy("Machining_Process").agg(F.count(F.lit(1)).alias("n"))
+    return fu.active_only(b.experiments(spark, d, index=False)).groupBy("Machining_Process").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("a16_experiment_features", with_ctes(b.EXPERIMENTS_SQL, EXL_SQL, moments_sql("exl", ["exp_id", "channel"]))
           + "SELECT exp_id, channel, n, " + ", ".join(r(s, s) for s in ss.STATS) + " FROM feat")
 def q_a16(spark, d):
-    return present(fu.experiment_features(b.experiments(spark, d), SIG).drop("energy_mean"))
+    return present(fu.experiment_features(b.experiments(spark, d, index=False), SIG).drop("energy_mean"))
 
 
 def exp_wide(spark, d):
-    long = present(fu.experiment_features(b.experiments(spark, d), SIG))
+    long = present(fu.experiment_features(b.experiments(spark, d, index=False), SIG))
     return ss.to_wide(long, ["exp_id"], SIG)
 
 
@@ -53,7 +53,7 @@ def q_j03(spark, d):
 
 @register("a38_experiment_lengths", with_ctes(b.EXPERIMENTS_SQL) + "SELECT exp_id, count(*) AS n_rows FROM exps GROUP BY 1")
 def q_a38(spark, d):
-    return fu.experiment_lengths(b.experiments(spark, d))
+    return fu.experiment_lengths(b.experiments(spark, d, index=False))
 
 
 @register("a39_phase_spans", with_ctes(b.EXPERIMENTS_SQL)
@@ -66,7 +66,7 @@ def q_a39(spark, d):
     f"round(avg({c}), 3) AS {c}_mean, round(stddev_samp({c}), 3) AS {c}_std" for c in SIG)
           + " FROM exps JOIN labs ON exps.exp_id = labs.No GROUP BY 1")
 def q_a32(spark, d):
-    e = b.experiments(spark, d).join(b.exp_labels(spark, d).withColumnRenamed("No", "exp_id"), "exp_id")
+    e = b.experiments(spark, d, index=False).join(b.exp_labels(spark, d).withColumnRenamed("No", "exp_id"), "exp_id")
     return fu.stats_by_label(e, "tool_condition", SIG)
 
 

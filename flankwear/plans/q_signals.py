@@ -25,7 +25,7 @@ def _wide_sql(src: str, keys: list[str], channels: list[str], stats: list[str])
 def pass_features(spark, d, checked=False):
     """A15 on the event-signal binding; ``checked`` rounds the long statistics
     for the oracle before the pivot (keeps the wide projection small)."""
-    sig = b.signals(spark, d)
+    sig = b.signals(spark, d, index=False)
     if not checked:
         return ss.extract_pass_features(sig, channels=CH, rounded=False)
     long = present(ss.channel_stats(sig, ["tool", "passe", "channel"]))
@@ -152,7 +152,7 @@ def q_w03(spark, d):
          count(*) OVER (PARTITION BY tool) AS n FROM (SELECT DISTINCT tool, passe FROM signals))
 SELECT tool, passe FROM p WHERE pos = least(greatest(10, 0), n - 1)""")
 def q_w04(spark, d):
-    return wr.nth_pass(b.signals(spark, d), 10)
+    return wr.nth_pass(b.signals(spark, d, index=False), 10)
 
 
 @register("w09_feature_evolution", with_ctes(b.SIGNALS_SQL, moments_sql("signals", ["tool", "passe", "channel"]))
@@ -167,7 +167,7 @@ def q_w09(spark, d):
           + r("w.vb_mean", "vb_mean") + ", " + STATE4.format(v="w.vb_mean") + """ AS etat
 FROM feat f JOIN wear w USING (tool, passe) GROUP BY f.tool, f.passe, w.vb_mean""")
 def q_j02(spark, d):
-    long = ss.channel_stats(b.signals(spark, d))
+    long = ss.channel_stats(b.signals(spark, d, index=False))
     wide = ss.to_wide(long, channels=["view"], stats=["rms"])
     return present(wr.label_passes(wide, _wear(spark, d), how="inner", preset="four_state", missing=None))
 
@@ -175,7 +175,7 @@ def q_j02(spark, d):
 @register("j04_unlabeled", with_ctes(b.SIGNALS_SQL, b.WEAR_SQL) + """SELECT DISTINCT s.tool, s.passe FROM signals s
 WHERE NOT EXISTS (SELECT 1 FROM wear w WHERE w.tool = s.tool AND w.passe = s.passe)""")
 def q_j04(spark, d):
-    return wr.unlabeled(b.signals(spark, d).select("tool", "passe").distinct(), _wear(spark, d))
+    return wr.unlabeled(b.signals(spark, d, index=False).select("tool", "passe").distinct(), _wear(spark, d))
 
 
 @register("j06_compare_passes", with_ctes(b.CHANNEL_SIGNALS_SQL) + """, a AS (
@@ -202,7 +202,7 @@ def q_a17(spark, d):
           + r("sqrt(avg(CASE WHEN passe = 30 THEN x * x END)) / nullif(sqrt(avg(CASE WHEN passe = 1 THEN x * x END)), 0)",
               "ratio") + " FROM signals WHERE passe IN (1, 30) GROUP BY tool, channel")
 def q_a18(spark, d):
-    return present(ss.rms_ratio(b.signals(spark, d), 1, 30))
+    return present(ss.rms_ratio(b.signals(spark, d, index=False), 1, 30))
 
 
 @register("f12_p08_time_axis", with_ctes(b.CHANNEL_SIGNALS_SQL) + """SELECT tool, passe, channel, i, """
@@ -216,7 +216,7 @@ def q_f12(spark, d):
           + "SELECT tool, passe, channel, n, " + r("energy", "energy") + ", " + r("energy_mean", "energy_mean")
           + " FROM feat")
 def q_a11(spark, d):
-    return present(ss.channel_stats(b.signals(spark, d)).select("tool", "passe", "channel", "n", "energy",
+    return present(ss.channel_stats(b.signals(spark, d, index=False)).select("tool", "passe", "channel", "n", "energy",
                                                                 "energy_mean"))
 
 
