@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flankwear.operators.signal_stats import CHANNELS, STATS, channel_stats, to_wide
+from flankwear.session import write_stage
 
 # Frequency bands (Hz), tooth-pass parameters and harmonic half-width.
 BANDS = [(0, 200), (200, 600), (600, 1500), (1500, 4000), (4000, 10000)]
@@ -167,7 +168,8 @@ def extract_spectral_features(sig: DataFrame, wear: DataFrame, fs: float, L: int
     tstat = (channel_stats(sig, keys).withColumnRenamed("max", "peak")
              .withColumn("energy", F.col("energy_mean"))
              .withColumn("crest", F.col("peak") / (F.col("rms") + F.lit(1e-12))))
-    psd = welch(sig, fs, L, keys)
+    # the PSD feeds four aggregations; write it once instead of re-running the UDF per reader
+    psd = write_stage(welch(sig, fs, L, keys))
     bp = band_power(psd, keys)
     bl = bp.select(*keys, F.col("band").alias("stat"), F.col("power").alias("v")).unionByName(
         bp.select(*keys, F.concat("band", F.lit("_rel")).alias("stat"), F.col("power_rel").alias("v")))
