@@ -52,7 +52,7 @@ def q_w10(spark, d):
 def _kw_sql(col):
     return f"""SELECT '{col}' AS "column", k, n, H, p FROM (
   SELECT k, n, Hraw / (1 - T / (CAST(n AS DOUBLE) * n * n - n)) AS H, exp(-(Hraw / (1 - T / (CAST(n AS DOUBLE) * n * n - n))) / 2) AS p
-  FROM (SELECT count(*) AS k, sum(n_g) AS n,
+  FROM (SELECT count(*) AS k, CAST(sum(n_g) AS BIGINT) AS n,
                12.0 / (sum(n_g) * (sum(n_g) + 1.0)) * sum(R * R / n_g) - 3 * (sum(n_g) + 1.0) AS Hraw
         FROM (SELECT g, sum(rk) AS R, count(*) AS n_g FROM (
                 SELECT l_returnflag AS g, rank() OVER (ORDER BY {col}) + (count(*) OVER (PARTITION BY {col}) - 1) / 2.0 AS rk
@@ -75,7 +75,7 @@ def q_t01(spark, d):
 
 @register("t02_linreg", """SELECT l_returnflag, """ + r("regr_slope(l_extendedprice, l_quantity)", "slope") + ", "
           + r("regr_intercept(l_extendedprice, l_quantity)", "intercept") + ", "
-          + r("corr(l_quantity, l_extendedprice)", "r") + ", regr_count(l_extendedprice, l_quantity) AS n FROM lineitem GROUP BY 1")
+          + r("corr(l_quantity, l_extendedprice)", "r") + ", CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY 1")
 def q_t02(spark, d):
     return present(st.linreg(b.table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"]).drop("p"))
 
@@ -87,14 +87,14 @@ def q_t02p(spark, d):
 
 
 # ------------------------------------------------------------------ balance and folds
-@register("b01_class_weights", """SELECT toxic AS class, count(*) AS n_c, sum(count(*)) OVER () AS n, count(*) OVER () AS k,
+@register("b01_class_weights", """SELECT toxic AS class, count(*) AS n_c, CAST(sum(count(*)) OVER () AS BIGINT) AS n, count(*) OVER () AS k,
   """ + r("round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 4)", "weight") + " FROM labels GROUP BY toxic")
 def q_b01(spark, d):
     return present(ba.class_weights(b.table(spark, d, "labels"), "toxic"))
 
 
 def _strat_sql(tab, col, name):
-    return f"""SELECT '{name}' AS target, max(n_c) / min(n_c) AS imbalance_ratio, sum(n_c) AS n FROM
+    return f"""SELECT '{name}' AS target, max(n_c) / min(n_c) AS imbalance_ratio, CAST(sum(n_c) AS BIGINT) AS n FROM
   (SELECT count(*) AS n_c FROM {tab} GROUP BY {col})"""
 
 
@@ -158,7 +158,7 @@ def q_v06(spark, d):
 
 # ------------------------------------------------------------------ metrics
 PCR = """pc AS (
-  SELECT model, cls, sum(support) AS support, sum(tp) AS tp, sum(pred) AS pred FROM (
+  SELECT model, cls, CAST(sum(support) AS BIGINT) AS support, sum(tp) AS tp, sum(pred) AS pred FROM (
     SELECT model, y_true AS cls, count(*) AS support, count(*) FILTER (WHERE y_true = y_pred) AS tp, 0 AS pred FROM oof GROUP BY 1, 2
     UNION ALL SELECT model, y_pred, 0, 0, count(*) FROM oof GROUP BY 1, 2) GROUP BY 1, 2),
 rep AS (SELECT model, cls,
@@ -179,9 +179,9 @@ def q_e01(spark, d):
 @register("e14_classification_report", with_ctes(C, PCR) + """SELECT model, cls, """ + ", ".join(
     r(c, c) for c in ("precision", "recall", "f1")) + """, support FROM (
   SELECT model, cls, precision, recall, f1, support FROM rep
-  UNION ALL SELECT model, 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM rep GROUP BY 1
+  UNION ALL SELECT model, 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM rep GROUP BY 1
   UNION ALL SELECT model, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
-                   sum(f1 * support) / sum(support), sum(support) FROM rep GROUP BY 1)""")
+                   sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM rep GROUP BY 1)""")
 def q_e14(spark, d):
     return present(ev.classification_report(b.oof_classification(spark, d)))
 

@@ -110,7 +110,7 @@ def q_a21(spark, d):
 
 
 @register("a22_class_balance", """WITH c AS (SELECT CAST(toxic AS VARCHAR) AS class, count(*) AS count FROM labels GROUP BY 1)
-SELECT class, count, sum(count) OVER () AS total, """ + r("count / sum(count) OVER () * 100.0", "pct") + ", "
+SELECT class, count, CAST(sum(count) OVER () AS BIGINT) AS total, """ + r("count / sum(count) OVER () * 100.0", "pct") + ", "
           + r("max(count) OVER () / sum(count) OVER () * 100.0", "majority_pct") + """,
   max(count) OVER () / sum(count) OVER () * 100.0 > 70.0 AS is_imbalanced, """
           + r("max(count) OVER () / min(count) OVER ()", "imbalance_ratio") + """, count(*) OVER () AS n_classes
