@@ -33,23 +33,28 @@ def tooth_pass_hz(rpm: float = SPINDLE_RPM, flutes: int = FLUTES) -> float:
 
 
 def segments(sig: DataFrame, L: int, keys: Sequence[str] = ("tool", "passe", "channel")) -> DataFrame:
-    """Assign samples to full, half-overlapping segments of length ``L``.
+    """Gather samples into full, half-overlapping segments of length ``L``.
 
-    Output ``keys + (seg, j, x, L)`` where ``j`` is the offset inside the
-    segment.  A signal shorter than ``L`` becomes one segment of its length.
+    Output ``keys + (seg, L, x)`` with ``x`` the ordered sample array.  Every
+    sample is copied to the (at most two) segments covering it and segments
+    are grouped on ``(keys, seg)``: the raw samples are never joined with
+    anything, and a hot pass is spread over its many segments.  A signal
+    shorter than ``L`` becomes one segment of its own length.
     """
     keys = list(keys)
-    n = sig.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    lg = F.least(F.lit(L), F.col("_n"))
-    s = (sig.join(n, keys)  # one row per group on the right: broadcast when small, else shuffle
-         .withColumn("_L", lg.cast("int"))
-         .withColumn("_step", (F.col("_L") - F.floor(F.col("_L") / 2)).cast("int"))
-         .withColumn("_nseg", F.floor((F.col("_n") - F.col("_L")) / F.col("_step")) + 1))
-    base = F.floor(F.col("i") / F.col("_step")).cast("int")
-    s = s.withColumn("seg", F.explode(F.array(base, base - 1)))
-    s = s.withColumn("j", (F.col("i") - F.col("seg") * F.col("_step")).cast("int"))
-    s = s.where((F.col("seg") >= 0) & (F.col("seg") < F.col("_nseg")) & (F.col("j") >= 0) & (F.col("j") < F.col("_L")))
-    return s.select(*keys, "seg", "j", "x", F.col("_L").alias("L"))
+    step = L - L // 2
+    base = F.floor(F.col("i") / F.lit(step)).cast("int")
+    s = sig.select(*keys, "i", "x").withColumn("seg", F.explode(F.array(base, base - 1)))
+    s = s.withColumn("j", (F.col("i") - F.col("seg") * F.lit(step)).cast("int"))
+    s = s.where((F.col("seg") >= 0) & (F.col("j") < F.lit(L)))
+    arr = (s.groupBy(*keys, "seg")
+           .agg(F.sort_array(F.collect_list(F.struct("j", "x"))).alias("_s"), F.count(F.lit(1)).alias("L"))
+           .select(*keys, "seg", F.col("L").cast("int").alias("L"), F.col("_s.x").alias("x")))
+    # one row per group: the longest segment tells whether any segment is full
+    longest = arr.groupBy(*keys).agg(F.max("L").alias("_mx"))
+    arr = arr.join(longest, keys)
+    keep = (F.col("L") == F.lit(L)) | ((F.col("_mx") < F.lit(L)) & (F.col("seg") == 0))
+    return arr.where(keep).drop("_mx")
 
 
 def _periodogram_udf(fs: float):
@@ -76,11 +81,8 @@ def _periodogram_udf(fs: float):
 def welch(sig: DataFrame, fs: float, L: int, keys: Sequence[str] = ("tool", "passe", "channel")) -> DataFrame:
     """Welch PSD ``keys + (bin, freq, psd)``, one-sided density, mean over segments."""
     keys = list(keys)
-    seg = segments(sig, L, keys)
-    arr = (seg.groupBy(*keys, "seg", "L")
-           .agg(F.sort_array(F.collect_list(F.struct("j", "x"))).alias("_s"))
-           .select(*keys, "seg", "L", F.col("_s.x").alias("_x")))
-    pg = arr.select(*keys, "L", F.posexplode(_periodogram_udf(float(fs))("_x")).alias("bin", "p"))
+    arr = segments(sig, L, keys)
+    pg = arr.select(*keys, "L", F.posexplode(_periodogram_udf(float(fs))("x")).alias("bin", "p"))
     psd = pg.groupBy(*keys, "L", "bin").agg(F.avg("p").alias("psd"))
     return psd.select(*keys, "bin", (F.col("bin") * F.lit(float(fs)) / F.col("L")).alias("freq"), "psd")
 

@@ -50,7 +50,8 @@ def psd(spark, d):
           + "SELECT tool, passe, channel, seg, count(*) AS n, " + r("sum(x)", "sx") + " FROM seg GROUP BY 1, 2, 3, 4")
 def q_g01(spark, d):
     s = sp.segments(b.spectral_signals(spark, d), L, K)
-    return present(s.groupBy(*K, "seg").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx")))
+    return present(s.select(*K, "seg", F.col("L").cast("bigint").alias("n"),
+                            F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v).alias("sx")))
 
 
 @register("g02_welch", with_ctes(b.SPECTRAL_SIGNALS_SQL, PSD_SQL)

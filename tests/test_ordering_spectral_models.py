@@ -90,3 +90,13 @@ def test_standard_scale_population(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "x double")
     z = [r.x_z for r in mo.standard_scale(df, ["x"]).orderBy("x").collect()]
     assert np.allclose(z, (np.array([1, 2, 3, 4]) - 2.5) / np.std([1, 2, 3, 4]))
+
+
+def test_short_signal_single_segment(spark):
+    x = np.cos(2 * np.pi * 3 * np.arange(40) / 40)
+    df = spark.createDataFrame([("c", 1, "ch", i, float(v)) for i, v in enumerate(x)],
+                               "tool string, passe int, channel string, i long, x double")
+    seg = sp.segments(df, 64).collect()
+    assert len(seg) == 1 and seg[0].L == 40
+    psd = sp.welch(df, 1.0, 64).orderBy("bin").toPandas()
+    assert len(psd) == 21 and int(psd.psd.idxmax()) == 3
