@@ -270,3 +270,13 @@ def profile_signals(wear_inv: DataFrame, pass_inv: DataFrame, fs: float = 50_000
     """Raw-signal profile per tool: wear inventory beside pass inventory and constants."""
     return (pass_inv.join(wear_inv.withColumnRenamed("n_passes", "n_wear_rows"), "tool", "full_outer")
             .withColumn("sampling_rate_hz", F.lit(float(fs))))
+
+
+def select_features(df: DataFrame, meta: Sequence[str], leaky_cols: Sequence[str], target: str,
+                    recommended: Sequence[str] | None = None) -> list[str]:
+    """P10: recommended features if given, else every numeric column that is
+    neither meta, leaky nor the target (schema only, no job)."""
+    if recommended:
+        return [c for c in recommended if c in df.columns]
+    drop = set(meta) | set(leaky_cols) | {target}
+    return [c for c in numeric_cols(df) if c not in drop]

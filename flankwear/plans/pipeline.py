@@ -1,0 +1,131 @@
+"""The five-step pipeline as plain functions over DataFrames.
+
+profile -> features -> balance -> benchmark -> report.  Each step reads the
+previous step's stage table and writes its own under ``out``, so resuming at
+step n is reading step n-1's table.
+"""
+from __future__ import annotations
+
+import json
+import os
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flankwear.functions.scalar import label_mapping
+from flankwear.operators import balance as ba
+from flankwear.operators import evaluate as ev
+from flankwear.operators import models as mo
+from flankwear.operators import profile as pr
+from flankwear.operators import report as rp
+from flankwear.operators import signal_stats as ss
+from flankwear.operators import wear as wr
+from flankwear.sources import files as fs
+from flankwear.sources import sinks as sk
+
+DEFAULT_MODELS = ("logistic_regression", "decision_tree", "random_forest", "knn")
+
+
+def _p(out: str, name: str) -> str:
+    return os.path.join(out, name)
+
+
+def step_profile(spark: SparkSession, path: str, out: str, target: str | None = None) -> str:
+    """Step 1: classify the source and profile it; returns the source kind."""
+    probe = spark.read.option("header", "false").option("inferSchema", "true") \
+        .option("recursiveFileLookup", "true").csv(path)
+    kind = fs.classify_source(probe.schema) if not path.endswith(".parquet") else "table"
+    if kind == "raw_signals":
+        sig = fs.with_pass_key(fs.read_signals(spark, path))
+        wear = wr.wear_table(fs.read_wear(spark, path))
+        prof = pr.profile_signals(wr.wear_inventory(wear), wr.pass_inventory(sig))
+    else:
+        kind = "table"
+        prof = pr.profile_table(fs.read_table(spark, path), target=target)
+    sk.write_profile(prof.withColumn("kind", F.lit(kind)), _p(out, "profile"), "profile")
+    return kind
+
+
+def step_features(spark: SparkSession, path: str, out: str, kind: str, target: str | None = None) -> DataFrame:
+    """Step 2: pass features + wear labels (raw signals), or cleaned feature table."""
+    if kind == "raw_signals":
+        sig = fs.with_pass_key(fs.read_signals(spark, path)).select("tool", "passe", "channel", "i", "x")
+        feats = ss.extract_pass_features(sig)
+        lab = wr.label_passes(feats, wr.wear_table(fs.read_wear(spark, path)), how="left")
+        table = lab.where(F.col("etat") != "inconnu")  # unlabeled passes stay out of training (Q6)
+        y = "etat"
+        cols = [c for c in table.columns if c not in ("tool", "passe", "vb_mean", "etat")]
+    else:
+        df = fs.read_table(spark, path)
+        y = pr.detect_target(df.schema, target=target)
+        meta = pr.detect_meta(df, y)
+        cols = pr.select_features(df, meta, [], y)
+        table = pr.complete_cases(df, [*cols, y])
+    table = table.withColumn("row_id", F.xxhash64(*[F.col(f"`{c}`") for c in table.columns]))
+    table = table.select("row_id", F.col(y).cast("string").alias("y"), *cols)
+    sk.write_features(table, _p(out, "features"), partition_by=None)
+    return spark.read.parquet(_p(out, "features"))
+
+
+def step_balance(spark: SparkSession, feats: DataFrame, out: str) -> DataFrame:
+    """Step 3: strategy and balanced class weights (resampling happens inside folds, Q10)."""
+    w = ba.class_weights(feats, "y").select("class", "weight")
+    strat = ba.strategy_table(feats, "y")
+    sk.write_balanced(w, _p(out, "class_weights"))
+    strat.write.mode("overwrite").json(_p(out, "strategy"))
+    return w
+
+
+def step_benchmark(spark: SparkSession, feats: DataFrame, out: str, cv: int = 5,
+                   models: Sequence[str] = DEFAULT_MODELS) -> tuple[DataFrame, DataFrame]:
+    """Step 4: encode, fold, fit every model once per fold, keep the OOF table."""
+    mapping = label_mapping(feats, "y")
+    enc = feats.join(F.broadcast(mapping.withColumnRenamed("label", "y")), "y")
+    k = ba.n_splits(enc, "y", cv).first()[0]
+    cols = [c for c in feats.columns if c not in ("row_id", "y")]
+    enc = ba.stratified_folds(enc, "y", k).withColumn("label", F.col("label_idx").cast("double"))
+    enc = mo.assemble(enc, cols).withColumn("vec", F.array(*[F.col(f"`{c}`").cast("double") for c in cols]))
+    n_classes = mapping.count()
+    grid = {}
+    for name in models:
+        if name == "knn":
+            continue
+        grid[name] = (lambda name=name: mo.make_model(name, "classification", n_features=len(cols),
+                                                      n_classes=n_classes))
+    oof, status = mo.benchmark(enc, grid, range(k), "classification")
+    if "knn" in models:
+        oof = oof.unionByName(mo.knn_oof(enc.select("row_id", "vec", "label", "fold"), 5, range(k),
+                                         "classification", model_name="knn"))
+        status.append({"model": "knn", "status": "ok", "error": None, "fit_time_s": 0.0})
+    oof = oof.select("model", "row_id", "fold", F.col("y_true").cast("string").alias("y_true"),
+                     F.col("y_pred").cast("int").cast("string").alias("y_pred"))
+    oof = oof.withColumn("y_true", F.regexp_replace("y_true", r"\.0$", ""))
+    metrics = ev.classification_metrics(oof).join(mo.status_table(spark, status), "model", "right")
+    sk.write_results(oof, metrics, spark.createDataFrame([(json.dumps({"cv": k}),)], "meta string"),
+                     _p(out, "results"))
+    return oof, metrics
+
+
+def step_report(spark: SparkSession, oof: DataFrame, metrics: DataFrame, out: str) -> None:
+    """Step 5: leaderboard, radar and confusion tables."""
+    rp.leaderboard(metrics, "f1_macro").write.mode("overwrite").parquet(_p(out, "leaderboard"))
+    rp.radar_scores(rp.ok_only(metrics), ["accuracy", "balanced_accuracy", "f1_macro"]) \
+        .write.mode("overwrite").parquet(_p(out, "radar"))
+    ev.confusion_matrix(oof).write.mode("overwrite").parquet(_p(out, "confusion"))
+
+
+def run(spark: SparkSession, path: str, out: str, cv: int = 5, target: str | None = None,
+        models: Sequence[str] = DEFAULT_MODELS, from_step: int = 1) -> None:
+    """Run steps ``from_step``..5; earlier steps are read back from ``out``."""
+    kind = step_profile(spark, path, out, target) if from_step <= 1 else \
+        spark.read.json(_p(out, "profile")).first().kind
+    feats = step_features(spark, path, out, kind, target) if from_step <= 2 else spark.read.parquet(_p(out, "features"))
+    if from_step <= 3:
+        step_balance(spark, feats, out)
+    if from_step <= 4:
+        oof, metrics = step_benchmark(spark, feats, out, cv, models)
+    else:
+        oof = spark.read.parquet(_p(out, "results", ) + "/oof")
+        metrics = spark.read.parquet(_p(out, "results") + "/metrics")
+    step_report(spark, oof, metrics, out)

@@ -1,0 +1,27 @@
+"""End-to-end five-step run on a small raw-signal folder."""
+import numpy as np
+from pyspark.sql import functions as F
+
+from flankwear.plans import pipeline as pl
+
+
+def test_pipeline_raw_signals(spark, tmp_path):
+    src = tmp_path / "data"
+    rng = np.random.default_rng(7)
+    for tool in (1, 4):
+        d = src / f"c{tool}"
+        d.mkdir(parents=True)
+        lines = []
+        for p in range(1, 13):
+            scale = 1 + p / 4
+            x = rng.normal(scale=scale, size=(60, 7))
+            (d / f"c_{tool}_{p:03d}.csv").write_text("\n".join(",".join(f"{v:.5f}" for v in r) for r in x) + "\n")
+            lines.append(f"{p},{40 + 25 * p},{41 + 25 * p},{39 + 25 * p}")
+        (d / f"c{tool}_wear.csv").write_text("\n".join(lines) + "\n")
+    out = str(tmp_path / "out")
+    pl.run(spark, str(src), out, cv=3, models=("logistic_regression", "decision_tree", "knn"))
+    lb = spark.read.parquet(out + "/leaderboard")
+    assert lb.count() == 3 and lb.where(F.col("rank") == 1).count() == 1
+    oof = spark.read.parquet(out + "/results/oof")
+    feats = spark.read.parquet(out + "/features")
+    assert oof.groupBy("model").count().where(F.col("count") != feats.count()).count() == 0
