@@ -201,7 +201,7 @@ def _blocks(n: int, target: int) -> int:
 
 
 def knn(query: DataFrame, ref: DataFrame, k: int, vec: str = "vec", qid: str = "qid", rid: str = "rid",
-        within: str | None = None, exclude_self: bool = False, block_rows: int = 1024) -> DataFrame:
+        within: str | None = None, exclude_self: bool = False, block_rows: int | None = None) -> DataFrame:
     """Exact k nearest references per query row: ``(qid, rid, dist2, rank)``.
 
     ``within`` restricts neighbours to rows with the same value (e.g. class).
@@ -212,7 +212,10 @@ def knn(query: DataFrame, ref: DataFrame, k: int, vec: str = "vec", qid: str = "
     block leave the task.
     """
     nq, nr = query.count(), ref.count()
-    bq, br = _blocks(nq, block_rows), _blocks(nr, block_rows)
+    # blocks of 1k-16k rows: at most ~64 blocks per side below a million rows, which
+    # bounds the copy factor of each side while a task holds only two blocks
+    size = block_rows or min(16384, max(1024, math.ceil(max(nq, nr) / 64)))
+    bq, br = _blocks(nq, size), _blocks(nr, size)
     g = [within] if within else []
     q = (query.select(F.col(qid).alias("_id"), F.col(vec).alias("_v"), *g)
          .withColumn("_bq", F.pmod(F.xxhash64("_id"), F.lit(bq)))
@@ -233,9 +236,10 @@ def knn(query: DataFrame, ref: DataFrame, k: int, vec: str = "vec", qid: str = "
         A = np.vstack(qs["_v"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
         B = np.vstack(rs["_v"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
         d2 = np.empty((A.shape[0], B.shape[0]))
-        for s0 in range(0, A.shape[0], 64):  # bounded temporaries: 64 x block x dim
-            diff = A[s0:s0 + 64, None, :] - B[None, :, :]
-            d2[s0:s0 + 64] = np.einsum("ijk,ijk->ij", diff, diff)
+        ch = max(1, int(4_000_000 // max(1, B.shape[0] * B.shape[1])))  # temporaries of ~32 MB
+        for s0 in range(0, A.shape[0], ch):
+            diff = A[s0:s0 + ch, None, :] - B[None, :, :]
+            d2[s0:s0 + ch] = np.einsum("ijk,ijk->ij", diff, diff)
         qi, ri = qs["_id"].to_numpy(), rs["_id"].to_numpy()
         if exclude_self:
             d2 = np.where(qi[:, None] == ri[None, :], np.inf, d2)
