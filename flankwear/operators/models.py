@@ -313,7 +313,7 @@ def smote(df: DataFrame, y: str, vec: str = "vec", row_id: str = "row_id", k: in
     req = req.join(nn.withColumnRenamed("qid", row_id), [row_id, "rank"])
     nv = df.select(F.col(row_id).alias("rid"), F.col(vec).alias("_nv"))
     syn = req.join(nv, "rid").select(
-        (F.lit(-1) * (F.col(row_id) * 1000 + F.col("_q") + 1)).alias(row_id), y,
+        (-F.abs(F.xxhash64(F.col(row_id), F.col("_q"), F.lit(seed))) - 1).alias(row_id), y,
         F.zip_with(vec, "_nv", lambda a, b: a + F.col("_lam") * (b - a)).alias(vec),
         F.lit(True).alias("is_synthetic"))
     orig = df.select(row_id, y, vec, F.lit(False).alias("is_synthetic"))

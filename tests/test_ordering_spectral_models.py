@@ -100,3 +100,52 @@ def test_short_signal_single_segment(spark):
     assert len(seg) == 1 and seg[0].L == 40
     psd = sp.welch(df, 1.0, 64).orderBy("bin").toPandas()
     assert len(psd) == 21 and int(psd.psd.idxmax()) == 3
+
+
+def test_importance_spread(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(80, 3))
+    df = spark.createDataFrame([(float(X[i, 0]), float(X[i, 1]), float(X[i, 2]), float(X[i, 0] > 0)) for i in range(80)],
+                               "a double, b double, c double, label double")
+    m = RandomForestClassifier(numTrees=5, seed=1).fit(mo.assemble(df, ["a", "b", "c"]))
+    sp_ = {r.feature: r for r in mo.importance_spread(spark, m, ["a", "b", "c"]).collect()}
+    assert sp_["a"].mean > sp_["b"].mean and all(r.std >= 0 for r in sp_.values())
+    imp = mo.feature_importances(spark, m, ["a", "b", "c"]).collect()
+    assert abs(sum(r.importance for r in imp) - 1.0) < 1e-9
+
+
+def test_pvalues_known():
+    from flankwear.functions.pvalues import chi2_sf_value, t_two_sided_value
+    assert t_two_sided_value(2.228139, 10) == pytest.approx(0.05, abs=1e-6)
+    assert t_two_sided_value(2.0, 10) == pytest.approx(0.0733880, abs=1e-6)
+    assert chi2_sf_value(3.841459, 1) == pytest.approx(0.05, abs=1e-6)
+    assert chi2_sf_value(4.5714, 2) == pytest.approx(np.exp(-4.5714 / 2), rel=1e-10)
+    assert chi2_sf_value(11.0705, 5) == pytest.approx(0.05, abs=1e-5)
+
+
+def test_smote_between_parents_and_deterministic(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(v)], 0) for i, v in enumerate(rng.normal(0, 1, 30))] + \
+           [(100 + i, [float(v)], 1) for i, v in enumerate(rng.normal(10, 1, 8))]
+    df = spark.createDataFrame(rows, "row_id long, vec array<double>, label int")
+    a = mo.smote(df, "label", k=3).toPandas()
+    b2 = mo.smote(df, "label", k=3).toPandas()
+    key = lambda t: t.sort_values("row_id").reset_index(drop=True)
+    assert key(a)[["row_id", "label"]].equals(key(b2)[["row_id", "label"]])
+    minority = [r[1][0] for r in rows if r[2] == 1]
+    syn = a[a.is_synthetic & (a.label == 1)]
+    assert len(syn) == 22 and syn.vec.map(lambda v: min(minority) <= v[0] <= max(minority)).all()
+
+
+def test_oof_beats_majority(spark):
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(150, 2))
+    y = (X[:, 0] + X[:, 1] > 0).astype(float)
+    df = spark.createDataFrame([(i, float(X[i, 0]), float(X[i, 1]), float(y[i])) for i in range(150)],
+                               "row_id long, a double, b double, label double")
+    df = ba.kfolds(mo.assemble(df, ["a", "b"]), 5)
+    oof = mo.oof_predict(df, lambda: mo.make_model("logistic_regression", "classification", n_rows=120), range(5), "lr")
+    assert oof.count() == 150 and oof.select("row_id").distinct().count() == 150
+    acc = oof.select(F.avg((F.col("y_true") == F.col("y_pred")).cast("double"))).first()[0]
+    assert acc > max(y.mean(), 1 - y.mean()) + 0.2
