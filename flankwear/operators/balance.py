@@ -1,8 +1,6 @@
 """Class balancing and fold assignment."""
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flankwear.functions.scalar import energy_name, ensure_columns, union_all
-from flankwear.operators.signal_stats import STATS, channel_stats, to_wide
+from flankwear.operators.signal_stats import channel_stats, to_wide
 
 # The six active machining phases.
 ACTIVE_PHASES = ["Layer 1 Up", "Layer 1 Down", "Layer 2 Up", "Layer 2 Down", "Layer 3 Up", "Layer 3 Down"]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flankwear.operators.signal_stats import CHANNELS, STATS, channel_stats, to_wide
+from flankwear.operators.signal_stats import CHANNELS, STATS, channel_stats
 from flankwear.session import write_stage
 
 # Frequency bands (Hz), tooth-pass parameters and harmonic half-width.

@@ -11,7 +11,7 @@ from flankwear.operators import wear as wr
 from flankwear.plans import bindings as b
 from flankwear.plans.catalog import register
 from flankwear.plans.q_signals import CH, pass_features
-from flankwear.plans.sqlgen import moments_sql, present, r, sig_sql, with_ctes
+from flankwear.plans.sqlgen import moments_sql, present, r, with_ctes
 
 SIG = b.EXP_SIGNALS
 ACTIVE = ", ".join(f"'{p}'" for p in fu.ACTIVE_PHASES)
@@ -76,8 +76,7 @@ RUN_FIRSTS = ["Condition", "Tool_ID", "Experiment"]
 
 def run_rollup(spark, d):
     ru = fu.rollup_runs(b.runs(spark, d), RUN_MEANS, RUN_FIRSTS, b.RUN_ORDER)
-    ru = fx.harmonise_condition(ru, "Condition")
-    return fx.round_cols(ru, {}) if False else ru
+    return fx.harmonise_condition(ru, "Condition")
 
 
 ORD_SQL = "{" + ", ".join(f"'k{i}': {c}" for i, c in enumerate(b.RUN_ORDER)) + "}"
@@ -226,5 +225,3 @@ def q_f11(spark, d):
     return (m.select(fx.feature_group("feature").alias("feature_group"), "feature")
             .groupBy("feature_group").agg(F.count_distinct("feature").alias("n_features")))
 
-
-_ = sig_sql

@@ -3,8 +3,6 @@ feature table (G01-G05, G07, G08, J07, J08).  The oracle spells the periodic-
 Hann DFT out with cos/sin sums."""
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from flankwear.operators import spectral as sp
@@ -145,5 +143,3 @@ def q_g08(spark, d):
                                        channels=b.EVENT_CHANNELS, f0=F0, long_hook=present)
     return present(out, ["vb"])
 
-
-_ = math

@@ -37,17 +37,23 @@ def get_spark(master: str | None = None, app: str = "flankwear",
     return b.getOrCreate()
 
 
+_LOCAL_DIR: str | None = None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there; only when it is unset (local tests)
     is a private scratch folder created.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    global _LOCAL_DIR
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _LOCAL_DIR
     if not d:
-        d = tempfile.mkdtemp(prefix="flankwear-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        # unset (local tests only): a private scratch folder; the session conf itself is
+        # not modifiable at runtime, so only the context's checkpoint folder is set
+        d = _LOCAL_DIR = tempfile.mkdtemp(prefix="flankwear-ckpt-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
