@@ -1 +1 @@
-"""Composed plans: test-data bindings, the query catalogue and the pipeline."""
+"""Composed plans: test-data bindings, the query catalogue and the five-step run."""

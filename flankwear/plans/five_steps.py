@@ -1,4 +1,4 @@
-"""The five-step pipeline as plain functions over DataFrames.
+"""The five analysis steps as plain functions over DataFrames.
 
 profile -> features -> balance -> benchmark -> report.  Each step reads the
 previous step's stage table and writes its own under ``out``, so resuming at

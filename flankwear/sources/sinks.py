@@ -25,7 +25,7 @@ def write_fused(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_profile(df: DataFrame, path: str, step: str) -> None:
-    """Append one JSON row per pipeline step instead of mutating a document."""
+    """Append one JSON row per analysis step instead of mutating a document."""
     df.withColumn("step", F.lit(step)).write.mode("append").json(path)
 
 

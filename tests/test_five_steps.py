@@ -2,10 +2,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from flankwear.plans import pipeline as pl
+from flankwear.plans import five_steps as pl
 
 
-def test_pipeline_raw_signals(spark, tmp_path):
+def test_five_steps_raw_signals(spark, tmp_path):
     src = tmp_path / "data"
     rng = np.random.default_rng(7)
     for tool in (1, 4):

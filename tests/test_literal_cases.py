@@ -133,3 +133,14 @@ def test_union_and_availability(spark):
     assert u.count() == 3 and u.where("source = 's1'").first().y is None
     av = spark.createDataFrame([("s", 1.0, None), ("s", 1.0, 2.0)], "source string, p double, q double")
     assert fu.availability(av, {"g": ["p", "q"]}).first().availability == 0.5
+
+
+def test_shared_columns_and_set_ops(spark):
+    m = spark.createDataFrame([("force", "phm"), ("force", "exp"), ("force", "turning"), ("current", "exp"),
+                               ("current", "turning"), ("ae", "phm")], "feature string, source string")
+    out = {r.feature: (r.sharing, r.n_datasets) for r in fu.shared_columns(m).collect()}
+    assert out == {"force": ("all", 3), "current": ("several", 2), "ae": ("unique", 1)}
+    a = m.where("source = 'phm'").select("feature")
+    b = m.where("source = 'exp'").select("feature")
+    assert sorted(r.feature for r in fu.only_in(a, b).collect()) == ["ae"]
+    assert sorted(r.feature for r in fu.in_both(a, b).collect()) == ["force"]
