@@ -112,20 +112,23 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 
 def rbf_features(df: DataFrame, cols: Sequence[str], n: int = 100, gamma: float | None = None,
-                 seed: int = SEED, prefix: str = "rff_") -> DataFrame:
-    """M09/M10 mapping: random Fourier features sqrt(2/n)·cos(w·x + b) as column expressions."""
+                 seed: int = SEED, out: str = "features") -> DataFrame:
+    """M09/M10 mapping: random Fourier features ``sqrt(2/n)·cos(W x + b)`` approximating an
+    RBF kernel, computed batch-wise (Arrow) with one matrix product per batch."""
+    from pyspark.ml.functions import array_to_vector
     d = len(cols)
     g = gamma if gamma is not None else 1.0 / d
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, math.sqrt(2 * g), size=(n, d))
     b = rng.uniform(0, 2 * math.pi, size=n)
-    exprs = []
-    for j in range(n):
-        z = F.lit(float(b[j]))
-        for i, c in enumerate(cols):
-            z = z + F.col(c) * float(w[j, i])
-        exprs.append((F.lit(math.sqrt(2.0 / n)) * F.cos(z)).alias(f"{prefix}{j}"))
-    return df.select("*", *exprs)
+
+    @F.pandas_udf("array<double>")
+    def rff(x: pd.Series) -> pd.Series:
+        X = np.vstack(x.map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+        Z = math.sqrt(2.0 / n) * np.cos(X @ w.T + b)
+        return pd.Series(list(Z))
+
+    return df.withColumn(out, array_to_vector(rff(F.array(*[F.col(c).cast("double") for c in cols]))))
 
 
 # ------------------------------------------------------------------ V05, V07, E17-E21

@@ -30,4 +30,4 @@ def load_all() -> None:
         importlib.import_module(f"flankwear.plans.{m}")
 
 
-MODULES = ["q_signals", "q_profile", "q_fusion", "q_spectral", "q_eval", "q_models"]
+MODULES = ["q_signals", "q_profile", "q_fusion", "q_spectral", "q_eval", "q_models", "q_grid"]
