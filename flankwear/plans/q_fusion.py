@@ -225,3 +225,11 @@ def q_f11(spark, d):
     return (m.select(fx.feature_group("feature").alias("feature_group"), "feature")
             .groupBy("feature_group").agg(F.count_distinct("feature").alias("n_features")))
 
+
+
+@register("a43_feature_counts", FUSED_SQL + NONEMPTY_SQL + """SELECT CASE WHEN regexp_matches(feature, 'band_|tpf_') THEN 'frequency'
+  ELSE 'time' END AS kind, count(DISTINCT feature) AS n_features FROM nonempty WHERE n > 0 GROUP BY 1""")
+def q_a43(spark, d):
+    from flankwear.operators import report as rp
+    m = fu.non_empty_counts(fused(spark, d)).where(F.col("n") > 0)
+    return rp.feature_counts(m.select("feature"))

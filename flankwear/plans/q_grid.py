@@ -88,3 +88,11 @@ def q_e20(spark, d):
     metrics = ev.regression_metrics(oof)
     return mo.status_table(spark, status).join(metrics, "model", "left").select("model", "status", "error", "mae",
                                                                                "rmse", "r2")
+
+
+@register("e17_e18_forest_importance_spread")
+def q_e18(spark, d):
+    t, cols = ml_table(spark, d)
+    m = mo.make_model("random_forest", "classification", label="label_cls").fit(t)
+    spread = mo.importance_spread(spark, m, cols)
+    return mo.feature_importances(spark, m, cols).join(spread, "feature")

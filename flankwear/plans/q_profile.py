@@ -265,3 +265,19 @@ def q_a42(spark, d):
     from flankwear.operators import wear as wr
     return pr.profile_signals(wr.wear_inventory(wr.wear_table(b.raw_wear(spark, d))),
                               wr.pass_inventory(b.signals(spark, d)))
+
+
+@register("p09_p10_p12_p13_p15_column_roles")
+def q_roles(spark, d):
+    """Schema rules on the profiled table: numeric columns, target, meta, selected features, roles."""
+    df = prof(spark, d)
+    tgt = pr.detect_target(df.schema)
+    meta = pr.detect_meta(df, tgt)
+    num = pr.numeric_cols(df)
+    sel = pr.select_features(df, meta, [], tgt)
+    roles = pr.detect_roles(df.schema, {"price": ["l_extendedprice"], "rates": ["l_discount", "l_tax"],
+                                        "flags": ["flag", "status"]})
+    role_of = {c: r for r, cs in roles.items() for c in cs}
+    rows = [(c, c in num, c == tgt, c in meta, c in sel, role_of.get(c)) for c in df.columns]
+    return spark.createDataFrame(rows, "column string, is_numeric boolean, is_target boolean, is_meta boolean, "
+                                       "selected boolean, role string")
