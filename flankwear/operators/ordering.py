@@ -28,14 +28,18 @@ from flankwear.session import write_stage
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                   name: str = "pos", count_name: str | None = None,
-                  slices: int | None = None) -> DataFrame:
+                  slices: int | None = None, stage_input: bool = False) -> DataFrame:
     """Add the 0-based position of each row inside its ``keys`` group, ordered by ``order``.
 
     Equivalent to ``row_number() - 1`` over ``partitionBy(keys).orderBy(order)``
     (ties broken arbitrarily), but no group is ever processed by a single task.
-    If ``count_name`` is given the group size is added as well.
+    If ``count_name`` is given the group size is added as well.  The range
+    partitioner samples its input in a separate pass; ``stage_input`` writes an
+    expensive input (e.g. an aggregate) once so that pass does not recompute it.
     """
     keys = list(keys)
+    if stage_input:
+        df = write_stage(df)
     sort_cols = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
     # without an explicit count AQE may merge neighbouring (small) slices; merged
     # slices are still contiguous ranges, which is all the offsets rely on

@@ -110,9 +110,10 @@ def nth_pass(df: DataFrame, k: int, keys: Sequence[str] = ("tool",), order: str
     return p.where(F.col("_pos") == want).select(*keys, order)
 
 
-def with_seq(df: DataFrame, order: Sequence[str], name: str = "seq") -> DataFrame:
-    """Global 0-based sequence number in ``order`` (skew-safe, no single-task window)."""
-    return with_position(df, [], list(order), name=name)
+def with_seq(df: DataFrame, order: Sequence[str], name: str = "seq", stage_input: bool = True) -> DataFrame:
+    """Global 0-based sequence number in ``order`` (skew-safe, no single-task window).
+    The input is usually a grouped table, so it is staged once before slicing."""
+    return with_position(df, [], list(order), name=name, stage_input=stage_input)
 
 
 def feature_evolution(df: DataFrame, feature: str, keys: Sequence[str] = ("tool", "passe")) -> DataFrame:
