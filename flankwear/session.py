@@ -40,6 +40,23 @@ def get_spark(master: str | None = None, app: str = "flankwear",
 _LOCAL_DIR: str | None = None
 
 
+def partitions_for(input_bytes: int, target_bytes: int = 128 * 1024 * 1024, cores: int | None = None) -> int:
+    """Shuffle partition count so each partition holds about ``target_bytes`` of shuffled data
+    (at least 2x the cores, so every core gets work and AQE can coalesce the rest)."""
+    n = max(1, -(-int(input_bytes) // int(target_bytes)))
+    return max(n, 2 * (cores or 1))
+
+
+def configure_for_input(spark: SparkSession, input_bytes: int, target_bytes: int = 128 * 1024 * 1024) -> int:
+    """Size ``spark.sql.shuffle.partitions`` and the scan split size for an input of ``input_bytes``."""
+    cores = spark.sparkContext.defaultParallelism
+    n = partitions_for(input_bytes, target_bytes, cores)
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_bytes))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    return n
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
