@@ -15,7 +15,8 @@ WEAR_PRESETS = {
     "four_state": ([0.1, 0.2, 0.3], ["new", "ok", "worn", "eol"]),
     "binary": ([0.2], ["unworn", "worn"]),
 }
-# Right-closed wear classes used for the per-tool distribution.
+# Right-closed wear classes used for the per-tool distribution (the plot labels,
+# with their line break written as a space because they become column names).
 WEAR_CLASSES_RIGHT = ([0.1, 0.2, 0.3], ["New (<0.1)", "Acceptable (0.1-0.2)", "Worn (0.2-0.3)", "EOL (>0.3)"])
 # Feature-group prefixes.
 FEATURE_GROUPS = [("force", "^force_"), ("vibration", "^vib_"), ("acoustic", "^ae_"),

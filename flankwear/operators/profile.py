@@ -14,11 +14,15 @@ from pyspark.sql import types as T
 
 from flankwear.operators.ordering import exact_quantiles
 
-# Target keywords (ordered), meta keywords, thresholds.
-TARGET_KEYWORDS = ["vb", "vb_mean", "wear", "etat", "state", "label", "target", "class", "y", "condition",
-                   "tool_condition"]
-META_KEYWORDS = ["id", "time", "timestamp", "date", "index", "cut", "run", "experiment", "sample",
-                 "passe", "pass", "condition", "tool", "file", "no"]
+# Target keywords in priority order (exact lower-case match), then meta
+# keywords (substring match), as used by the profiler.
+TARGET_KEYWORDS = ["etat", "tcond", "tool_cond", "tool_state", "wear", "vbb", "vb_mean",
+                   "usure", "flank", "toolwear", "condition", "label", "class", "target",
+                   "output", "state", "status"]
+META_KEYWORDS = ["condition", "outil", "tool", "id", "index", "passe", "pass",
+                 "cut", "exp", "run", "trial", "sample", "timestamp", "time"]
+# The fused table's label column matches none of the keywords above; it is accepted too (quirk Q8).
+EXTRA_TARGETS = ["tool_condition"]
 LEAKAGE_THRESHOLD = 0.98
 IMBALANCE_MAJORITY = 0.70
 ZERO_VARIANCE_STD = 1e-9
@@ -65,7 +69,7 @@ def detect_target(schema: T.StructType, keywords: Sequence[str] = TARGET_KEYWORD
     if target:
         return target
     low = {n.lower(): n for n in names}
-    for k in keywords:
+    for k in [*keywords, *EXTRA_TARGETS]:
         if k in low:
             return low[k]
     strings = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
@@ -88,7 +92,9 @@ def detect_meta(df: DataFrame, target: str, keywords: Sequence[str] = META_KEYWO
         elif isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
             ints.append(f.name)
     if ints:
-        row = df.agg(*[F.approx_count_distinct(_q(c)).alias(c) for c in ints]).first()
+        # HLL++ at 1 % error is near-exact at the small cardinalities that matter here, and
+        # unlike an exact distinct it keeps a bounded state per column
+        row = df.agg(*[F.approx_count_distinct(_q(c), 0.01).alias(c) for c in ints]).first()
         meta += [c for c in ints if row[c] < max_int_distinct]
     return meta
 
