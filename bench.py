@@ -82,7 +82,14 @@ def main():
     spark = get_spark(f"local[{cpus}]", app="flankwear-bench", shuffle_partitions=int(cpus) * 2, extra=extra)
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
-    force(b.table(spark, d, "region"))  # warm-up
+    # warm-up: JVM code paths, Python workers for Arrow UDFs, one staged position plan
+    from flankwear.operators.ordering import exact_quantiles
+    reg = b.table(spark, d, "region")
+    force(reg)
+    force(exact_quantiles(reg.withColumn("g", F.lit(1)), ["g"], "r_regionkey", {"q": 0.5}))
+    force(sp.welch(reg.select(F.lit("t").alias("tool"), F.lit(1).alias("passe"), F.lit("c").alias("channel"),
+                              F.col("r_regionkey").cast("long").alias("i"), F.col("r_regionkey").cast("double").alias("x")),
+                   1.0, 4))
     times = {}
     for name, mk in plans(spark, d).items():
         if name.startswith("_"):
