@@ -10,6 +10,7 @@ spread over many independent segments.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -167,11 +168,15 @@ def extract_spectral_features(sig: DataFrame, wear: DataFrame, fs: float, L: int
     transform the long ``(tool, passe, channel, stat, v)`` table before the pivot."""
     keys = ["tool", "passe", "channel"]
     f0 = f0 if f0 is not None else tooth_pass_hz()
-    tstat = (channel_stats(sig, keys).withColumnRenamed("max", "peak")
+    # time statistics and the PSD are independent: their staging jobs run side by side.
+    # The PSD feeds four aggregations, so it is written once instead of re-running the UDF per reader.
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        f_t = pool.submit(channel_stats, sig, keys)
+        f_p = pool.submit(lambda: write_stage(welch(sig, fs, L, keys)))
+        tstat, psd = f_t.result(), f_p.result()
+    tstat = (tstat.withColumnRenamed("max", "peak")
              .withColumn("energy", F.col("energy_mean"))
              .withColumn("crest", F.col("peak") / (F.col("rms") + F.lit(1e-12))))
-    # the PSD feeds four aggregations; write it once instead of re-running the UDF per reader
-    psd = write_stage(welch(sig, fs, L, keys))
     bp = band_power(psd, keys)
     bl = bp.select(*keys, F.col("band").alias("stat"), F.col("power").alias("v")).unionByName(
         bp.select(*keys, F.concat("band", F.lit("_rel")).alias("stat"), F.col("power_rel").alias("v")))

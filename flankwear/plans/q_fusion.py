@@ -2,6 +2,8 @@
 (P01, P05, P06, P17, A16, A30-A32, A35, A38, A39, J03, U01, U03-U05, W05, F07, F09, F11, F13)."""
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from flankwear.functions import scalar as fx
@@ -113,17 +115,26 @@ def q_f13(spark, d):
 
 # ------------------------------------------------------------------ fused table
 def fused(spark, d):
-    phm = wr.label_passes(pass_features(spark, d, checked=True), wr.wear_table(b.raw_wear(spark, d)), how="left")
-    phm = present(phm.select(F.lit("phm").alias("source"), F.col("tool").alias("condition_exp"), "passe",
-                             F.col("vb_mean").alias("vb_mm"), fx.worn_label("vb_mean").alias("tool_condition"),
-                             *[f"{c}_{s}" for c in CH for s in ss.STATS]), ["vb_mm"])
-    ex = fu.label_experiments(exp_wide(spark, d), b.exp_labels(spark, d)).select(
-        F.lit("exp").alias("source"), F.col("exp_id").cast("string").alias("condition_exp"), "tool_condition",
-        *[f"{c}_{s}" for c in SIG for s in ss.STATS])
-    ru = present(wr.with_seq(run_rollup(spark, d), ["Run_ID"], name="seq"))
-    ru = ru.select(F.lit("turning").alias("source"), F.col("Run_ID").alias("condition_exp"),
-                   F.col("seq").cast("int").alias("passe"), "tool_condition", *RUN_MEANS, "Tool_ID", "Experiment")
-    return fu.fuse(phm, ex, ru)
+    def phm_part():
+        phm = wr.label_passes(pass_features(spark, d, checked=True), wr.wear_table(b.raw_wear(spark, d)), how="left")
+        return present(phm.select(F.lit("phm").alias("source"), F.col("tool").alias("condition_exp"), "passe",
+                                  F.col("vb_mean").alias("vb_mm"), fx.worn_label("vb_mean").alias("tool_condition"),
+                                  *[f"{c}_{s}" for c in CH for s in ss.STATS]), ["vb_mm"])
+
+    def exp_part():
+        return fu.label_experiments(exp_wide(spark, d), b.exp_labels(spark, d)).select(
+            F.lit("exp").alias("source"), F.col("exp_id").cast("string").alias("condition_exp"), "tool_condition",
+            *[f"{c}_{s}" for c in SIG for s in ss.STATS])
+
+    def run_part():
+        ru = present(wr.with_seq(run_rollup(spark, d), ["Run_ID"], name="seq"))
+        return ru.select(F.lit("turning").alias("source"), F.col("Run_ID").alias("condition_exp"),
+                         F.col("seq").cast("int").alias("passe"), "tool_condition", *RUN_MEANS, "Tool_ID", "Experiment")
+
+    # the three sources are independent; their staging jobs are submitted side by side
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        parts = [f.result() for f in [pool.submit(phm_part), pool.submit(exp_part), pool.submit(run_part)]]
+    return fu.fuse(*parts)
 
 
 PHM_FEATS = ", ".join(f"{c}_{s}" for c in CH for s in ss.STATS)
