@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import time
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -133,14 +134,21 @@ def rbf_features(df: DataFrame, cols: Sequence[str], n: int = 100, gamma: float
 
 # ------------------------------------------------------------------ V05, V07, E17-E21
 def oof_predict(df: DataFrame, make: Callable[[], Estimator], folds: Sequence[int], model_name: str,
-                label: str = "label", row_id: str = "row_id", fold: str = "fold") -> DataFrame:
-    """Each row predicted by a model fitted on the other folds (k fits, one per fold)."""
-    parts = []
-    for f in folds:
+                label: str = "label", row_id: str = "row_id", fold: str = "fold",
+                parallelism: int = 4) -> DataFrame:
+    """Each row predicted by a model fitted on the other folds (k fits, one per fold).
+
+    Like ``CrossValidator(parallelism=…)``, up to ``parallelism`` fold fits are
+    submitted concurrently; each fit is itself a distributed job."""
+    def one(f):
         m = make().fit(df.where(F.col(fold) != f))
         p = m.transform(df.where(F.col(fold) == f))
-        parts.append(p.select(F.lit(model_name).alias("model"), row_id, fold, F.col(label).alias("y_true"),
-                              F.col("prediction").alias("y_pred")))
+        return p.select(F.lit(model_name).alias("model"), row_id, fold, F.col(label).alias("y_true"),
+                        F.col("prediction").alias("y_pred"))
+
+    folds = list(folds)
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(folds)))) as pool:
+        parts = list(pool.map(one, folds))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -275,13 +283,16 @@ def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, task: str = "clas
 
 
 def knn_oof(df: DataFrame, k: int, folds: Sequence[int], task: str, vec: str = "vec", label: str = "label",
-            row_id: str = "row_id", fold: str = "fold", model_name: str = "knn") -> DataFrame:
-    """V05 for M11/M12."""
-    parts = []
-    for f in folds:
+            row_id: str = "row_id", fold: str = "fold", model_name: str = "knn", parallelism: int = 4) -> DataFrame:
+    """V05 for M11/M12 (fold plans built concurrently, like ``oof_predict``)."""
+    def one(f):
         p = knn_predict(df.where(F.col(fold) != f), df.where(F.col(fold) == f), k, task, vec, label, row_id)
-        parts.append(p.join(df.select(row_id, fold, F.col(label).alias("y_true")), row_id)
-                     .select(F.lit(model_name).alias("model"), row_id, fold, "y_true", F.col("prediction").alias("y_pred")))
+        return (p.join(df.select(row_id, fold, F.col(label).alias("y_true")), row_id)
+                .select(F.lit(model_name).alias("model"), row_id, fold, "y_true", F.col("prediction").alias("y_pred")))
+
+    folds = list(folds)
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(folds)))) as pool:
+        parts = list(pool.map(one, folds))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
