@@ -66,8 +66,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     global _LOCAL_DIR
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _LOCAL_DIR
     if not d:
-        # unset (local tests only): a private scratch folder; the session conf itself is
-        # not modifiable at runtime, so only the context's checkpoint folder is set
+        if not spark.sparkContext.master.startswith("local"):
+            # a machine-local folder is invisible to executors: a cluster must name a shared one
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (stage tables are written there)")
+        # unset in a local session (tests): a private scratch folder; the session conf itself
+        # is not modifiable at runtime, so only the context's checkpoint folder is set
         d = _LOCAL_DIR = tempfile.mkdtemp(prefix="flankwear-ckpt-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
