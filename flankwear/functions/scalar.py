@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flankwear.operators.joins import bounded_broadcast
+
 # Wear-state presets (thresholds in mm, labels in order).
 WEAR_PRESETS = {
     "three_state": ([0.1, 0.2], ["neuf", "intermediaire", "use"]),
@@ -150,14 +152,14 @@ def label_encode(df: DataFrame, col: str, out: str = "label_idx", missing: str =
     m = label_mapping(df, col, missing)
     key = F.coalesce(F.col(col).cast("string"), F.lit(missing))
     return (df.withColumn("_lbl", key)
-            .join(F.broadcast(m.withColumnRenamed("label", "_lbl")), "_lbl", "left")
+            .join(bounded_broadcast(m.withColumnRenamed("label", "_lbl")), "_lbl", "left")
             .withColumnRenamed("label_idx", out).drop("_lbl"))
 
 
 def label_decode(df: DataFrame, mapping: DataFrame, col: str, out: str) -> DataFrame:
     """index -> label through the mapping table."""
     m = mapping.select(F.col("label_idx").alias(col), F.col("label").alias(out))
-    return df.join(F.broadcast(m), col, "left")
+    return df.join(bounded_broadcast(m), col, "left")
 
 
 def binary_target(c: str | Column, positive: str = "worn") -> Column:

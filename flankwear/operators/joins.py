@@ -1,0 +1,15 @@
+"""Join helpers."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows a data-dependent lookup side may have and still be broadcast explicitly.
+BROADCAST_MAX_ROWS = 200_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint only after checking the side's row count; larger sides are returned
+    unhinted so the planner (and AQE's runtime statistics) pick a shuffle join instead."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

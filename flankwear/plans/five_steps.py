@@ -21,6 +21,7 @@ from flankwear.operators import profile as pr
 from flankwear.operators import report as rp
 from flankwear.operators import signal_stats as ss
 from flankwear.operators import wear as wr
+from flankwear.operators.joins import bounded_broadcast
 from flankwear.sources import files as fs
 from flankwear.sources import sinks as sk
 
@@ -81,7 +82,7 @@ def step_benchmark(spark: SparkSession, feats: DataFrame, out: str, cv: int = 5,
                    models: Sequence[str] = DEFAULT_MODELS) -> tuple[DataFrame, DataFrame]:
     """Step 4: encode, fold, fit every model once per fold, keep the OOF table."""
     mapping = label_mapping(feats, "y")
-    enc = feats.join(F.broadcast(mapping.withColumnRenamed("label", "y")), "y")
+    enc = feats.join(bounded_broadcast(mapping.withColumnRenamed("label", "y")), "y")
     k = ba.n_splits(enc, "y", cv).first()[0]
     cols = [c for c in feats.columns if c not in ("row_id", "y")]
     enc = ba.stratified_folds(enc, "y", k).withColumn("label", F.col("label_idx").cast("double"))
