@@ -144,3 +144,14 @@ def test_shared_columns_and_set_ops(spark):
     b = m.where("source = 'exp'").select("feature")
     assert sorted(r.feature for r in fu.only_in(a, b).collect()) == ["ae"]
     assert sorted(r.feature for r in fu.in_both(a, b).collect()) == ["force"]
+
+
+def test_bounded_broadcast_and_sizing(spark):
+    from flankwear.operators.joins import bounded_broadcast
+    from flankwear.session import partitions_for
+    small = spark.range(5)
+    big = spark.range(50)
+    assert bounded_broadcast(small, 10).count() == 5
+    assert bounded_broadcast(big, 10).count() == 50
+    assert "broadcast" in bounded_broadcast(small, 10)._jdf.queryExecution().logical().toString().lower()
+    assert partitions_for(100 * 2 ** 40, cores=8000) == 819200 and partitions_for(10, cores=4) == 8
