@@ -23,6 +23,7 @@ from flankwear.operators import signal_stats as ss
 from flankwear.operators import wear as wr
 from flankwear.operators.joins import bounded_broadcast
 from flankwear.sources import files as fs
+from flankwear.session import write_stage
 from flankwear.sources import sinks as sk
 
 DEFAULT_MODELS = ("logistic_regression", "decision_tree", "random_forest", "knn")
@@ -87,6 +88,8 @@ def step_benchmark(spark: SparkSession, feats: DataFrame, out: str, cv: int = 5,
     cols = [c for c in feats.columns if c not in ("row_id", "y")]
     enc = ba.stratified_folds(enc, "y", k).withColumn("label", F.col("label_idx").cast("double"))
     enc = mo.assemble(enc, cols).withColumn("vec", F.array(*[F.col(f"`{c}`").cast("double") for c in cols]))
+    # read k x models times by the fits: written once (rule R6), not recomputed per fit
+    enc = write_stage(enc)
     n_classes = mapping.count()
     grid = {}
     for name in models:

@@ -149,3 +149,13 @@ def test_oof_beats_majority(spark):
     assert oof.count() == 150 and oof.select("row_id").distinct().count() == 150
     acc = oof.select(F.avg((F.col("y_true") == F.col("y_pred")).cast("double"))).first()[0]
     assert acc > max(y.mean(), 1 - y.mean()) + 0.2
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    from flankwear.operators.ordering import approx_quantiles
+    rng = np.random.default_rng(9)
+    rows = [("hot", float(v)) for v in rng.normal(size=3000)] + [("cold", float(v)) for v in rng.normal(size=50)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    ex = {r.k: r.p25 for r in exact_quantiles(df, ["k"], "v", {"p25": 0.25}).collect()}
+    ap = {r.k: r.p25 for r in approx_quantiles(df, ["k"], "v", {"p25": 0.25}).collect()}
+    assert ex["hot"] == pytest.approx(ap["hot"], abs=0.01) and set(ex) == set(ap)
