@@ -137,3 +137,8 @@ def classify_source(schema: T.StructType) -> str:
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
     """Nested JSON result / profile documents (one per line or multi-line)."""
     return spark.read.option("multiLine", "true").json(path)
+
+
+def profile_maps_long(profile: DataFrame, column: str = "correlations") -> DataFrame:
+    """One row per entry of a map column of a profile / result document."""
+    return profile.select(F.explode(F.col(column)).alias("key", "value"))

@@ -57,6 +57,11 @@ def test_sinks_roundtrip(spark, tmp_path):
     assert {"tool=c1", "tool=c4"} <= set(os.listdir(tmp_path / "feats"))
     sk.write_profile(df.limit(1), str(tmp_path / "prof"), "step1")
     assert fs.read_profile(spark, str(tmp_path / "prof")).first().step == "step1"
+    prof = spark.createDataFrame([({"a": 0.5, "b": 0.25},)], "correlations map<string,double>")
+    sk.write_profile(prof, str(tmp_path / "prof2"), "profile")
+    back = fs.read_profile(spark, str(tmp_path / "prof2"))
+    assert sorted(r.key for r in fs.profile_maps_long(back.select(
+        F.from_json(F.to_json("correlations"), "map<string,double>").alias("correlations"))).collect()) == ["a", "b"]
     sk.write_summary(df, str(tmp_path / "summary"))
     assert spark.read.option("header", "true").csv(str(tmp_path / "summary")).count() == 2
 
