@@ -96,3 +96,14 @@ def q_e18(spark, d):
     m = mo.make_model("random_forest", "classification", label="label_cls").fit(t)
     spread = mo.importance_spread(spark, m, cols)
     return mo.feature_importances(spark, m, cols).join(spread, "feature")
+
+
+@register("r03_score_vs_time")
+def q_r03(spark, d):
+    t, _ = ml_table(spark, d)
+    t = ba.kfolds(t, 3)
+    grid = {"decision_tree": lambda: mo.make_model("decision_tree", "regression", label="vb_mean"),
+            "linear_regression": lambda: mo.make_model("linear_regression", "regression", label="vb_mean")}
+    oof, status = mo.benchmark(t, grid, range(3), "regression", label="vb_mean")
+    metrics = ev.regression_metrics(oof).join(mo.status_table(spark, status), "model")
+    return rp.score_vs_time(metrics, "r2")
