@@ -159,3 +159,23 @@ def test_approx_quantiles_close_to_exact(spark):
     ex = {r.k: r.p25 for r in exact_quantiles(df, ["k"], "v", {"p25": 0.25}).collect()}
     ap = {r.k: r.p25 for r in approx_quantiles(df, ["k"], "v", {"p25": 0.25}).collect()}
     assert ex["hot"] == pytest.approx(ap["hot"], abs=0.01) and set(ex) == set(ap)
+
+
+@pytest.mark.parametrize("hot_rows", [100, 10_000_000])
+def test_hybrid_hot_and_cold_groups(spark, hot_rows):
+    rng = np.random.default_rng(4)
+    rows = [("hot", float(v)) for v in rng.normal(size=3000)] + \
+           [(f"k{i % 7}", float(v)) for i, v in enumerate(rng.normal(size=300))] + \
+           [(None, float(v)) for v in rng.normal(size=150)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    a = with_position(df, ["k"], ["v"], name="pos", count_name="n", hot_rows=hot_rows)
+    b = (df.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("v")) - 1)
+         .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k"))))
+    assert sorted(a.select("k", "v", "pos", "n").collect(), key=repr) == sorted(b.collect(), key=repr)
+    q = {r.k: (r.p25, r.p90) for r in exact_quantiles(df, ["k"], "v", {"p25": 0.25, "p90": 0.9},
+                                                       hot_rows=hot_rows).collect()}
+    for key in ["hot", "k0", None]:
+        xs = [v for k, v in rows if k == key]
+        assert q[key] == pytest.approx((np.percentile(xs, 25), np.percentile(xs, 90)))
+    g = with_position(df.select("v"), [], ["v"], name="pos", hot_rows=hot_rows)
+    assert sorted(r.pos for r in g.collect()) == list(range(len(rows)))
