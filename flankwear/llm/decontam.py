@@ -8,8 +8,8 @@ each hit fixes a diagonal (text position less item position), and around it, ``F
 side, the aligned words are compared one by one.  The best stretch counts one for an equal word and
 ``PENALTY`` against a substituted one; a text overlaps an item where a stretch scores ``MIN_SCORE``.
 
-All masks start with two adjacent selected words.  Bitmaps of fixed size (``BITMAP_LONGS`` words, whatever
-the tables' sizes) over the items' word pairs and seeds drop almost all training positions before any
+All masks start with two adjacent selected words.  Bitmaps of fixed size (2^21 bits, whatever the
+tables' sizes) over the items' word pairs and seeds drop almost all training positions before any
 shuffle; a bitmap that fills up merely drops less.  Texts are matched by a 96-bit hash, so thousands of
 copies of a text, or a third of all rows, are searched where they lie but verified once.
 
@@ -19,35 +19,16 @@ null doc_id is carried along.
 """
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flankwear.llm.common import ascii_words, stage
+from flankwear.llm.common import ascii_words, bitmap, in_bitmap, stage
 
 #: Selected positions of each mask; all start with 0, 1 and lie in a span of 10 words.
 MASKS = ((0, 1, 3, 4, 6, 7, 9), (0, 1, 2, 5, 7, 8, 9), (0, 1, 4, 5, 6, 8, 9))
 SPAN, SEED_WORDS = 10, 7
 FLANK = 64               # words to either side of a seed that are compared
 PENALTY, MIN_SCORE = 2, 10
-BITMAP_LONGS = 32_768    # 2^21 bits
-
-
-def bitmap(hashes: DataFrame, column: str) -> Column:
-    """A fixed-size bitmap of a column of hashes as one literal (at most ``BITMAP_LONGS`` rows are collected)."""
-    bit = F.pmod(F.col(column), F.lit(BITMAP_LONGS * 64))
-    cells = (hashes.select((bit / 64).cast("int").alias("cell"), (bit % 64).cast("int").alias("b"))
-             .groupBy("cell").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("b"))).alias("v")))
-    out = np.zeros(BITMAP_LONGS, np.int64)
-    for r in cells.collect():
-        out[r["cell"]] = r["v"]
-    return F.lit(out)
-
-
-def in_bitmap(bits: Column, h: Column) -> Column:
-    bit = F.pmod(h, F.lit(BITMAP_LONGS * 64))
-    cell = F.get(bits, (bit / 64).cast("int"))
-    return F.call_function("shiftright", cell, (bit % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
 
 
 def seed(words: Column, at: Column, mask: tuple[int, ...]) -> Column:

@@ -9,8 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flankwear.llm.common import table
+from flankwear.llm.common import table, tokenizer_path
+from flankwear.llm.decontam import contaminated
 from flankwear.llm.near_dup import near_duplicates
+from flankwear.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,3 +27,15 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op6_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of two-word shingles have a similarity of 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, similarity=0.8)
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens, one row per piece."""
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap with benchmark items, with the best stretch of each pair."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
