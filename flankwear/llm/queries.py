@@ -8,11 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flankwear.llm.common import table, tokenizer_path
 from flankwear.llm.decontam import contaminated
+from flankwear.llm.langid import held_out, identify
 from flankwear.llm.near_dup import near_duplicates
 from flankwear.llm.packing import pack
+from flankwear.llm.quality import classify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,3 +42,16 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that overlap with benchmark items, with the best stretch of each pair."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak-label posterior, linear score and decision of every document."""
+    return classify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; the rows of one fold of four train nothing."""
+    out = held_out(F.col("doc_id"))
+    return identify(table(spark, sf_dir, "documents"), ~out).withColumn("held_out", out)
