@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flankwear.llm import chat, license_scan
 from flankwear.llm.common import table, tokenizer_path
 from flankwear.llm.decontam import contaminated
 from flankwear.llm.langid import held_out, identify
@@ -55,3 +56,24 @@ def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; the rows of one fold of four train nothing."""
     out = held_out(F.col("doc_id"))
     return identify(table(spark, sf_dir, "documents"), ~out).withColumn("held_out", out)
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates of every document."""
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op9_license_scan"] = license_scan.oracle_sql()
+
+
+@query
+def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue from every participant's perspective; spans as text."""
+    out = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.transform("spans", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))
+    longs = [F.col(c).cast("bigint").alias(c) for c in ("n_turns", "n_own", "n_chars", "n_learn")]
+    return out.select("conv_id", "part", "participant", *longs, F.array_join(spans, ",").alias("spans"), "rendered")
+
+
+ORACLE["op7_perspective_rotation"] = chat.oracle_sql()
