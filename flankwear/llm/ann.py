@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from flankwear.llm.common import stage
 
-CODE_BITS = 256
-SIGMAS = 3.0
+CODE_BITS = 512
+SIGMAS = 2.5
 ROWS, QUERIES = 8192, 2048   # of one block
 _STEP = 256                  # queries estimated at once
 
@@ -123,9 +123,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, code_bits: int =
     nq = queries.count()
     rb, qb = max(1, -(-n // ROWS)), max(1, -(-nq // QUERIES))
     left = (codes.withColumn("rb", F.pmod(F.xxhash64("vec_id"), F.lit(rb)))
-            .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-    right = (queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int"))
-             .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).cast("bigint")))
+            .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(qb - 1).cast("bigint")))))
+    right = (queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)))
+             .withColumn("rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(rb - 1).cast("bigint")))))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):

@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flankwear.llm import chat, license_scan
+from flankwear.llm.ann import nearest
 from flankwear.llm.common import table, tokenizer_path
 from flankwear.llm.decontam import contaminated
+from flankwear.llm.html_text import extract_text
 from flankwear.llm.langid import held_out, identify
 from flankwear.llm.near_dup import near_duplicates
 from flankwear.llm.packing import pack
 from flankwear.llm.quality import classify
+from flankwear.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -77,3 +80,41 @@ def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op7_perspective_rotation"] = chat.oracle_sql()
+
+
+@query
+def op2_rotated_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vec_id divisible by 20, against all rows."""
+    out = nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+#: Brute force; products are summed in order of the components, as in the operator.
+ORACLE["op2_rotated_bit_codes"] = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, r.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * r.v[i])) AS score
+      FROM e q JOIN e r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM k WHERE rank <= 20"""
+
+
+@query
+def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to monolithic archives, normalised, and read back by offset."""
+    records, _ = archive_pages(spark, table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op4_warc_normaliser"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha256(b) AS h FROM p),
+m AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) END AS f FROM d)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+       CASE WHEN f <> page_id OR (f IS NOT NULL AND page_id IS NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f IS DISTINCT FROM page_id THEN f END AS refers_to FROM m"""
+
+
+@query
+def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_text(table(spark, sf_dir, "pages"))
