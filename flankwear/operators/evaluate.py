@@ -70,14 +70,17 @@ def classification_report(oof: DataFrame, by: Sequence[str] = ("model",)) -> Dat
 
 
 def regression_metrics(oof: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """MAE, RMSE, R² (1 − SSE/SST) and explained variance, one aggregation."""
+    """MAE, RMSE, R² (1 − SSE/SST) and explained variance, one aggregation.
+    A constant target has R² and explained variance 1 where it is met exactly, else 0."""
     e = F.col("y_true") - F.col("y_pred")
     g = oof.groupBy(*_by(by)).agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
                                   F.sum(e * e).alias("_sse"), F.var_pop("y_true").alias("_vy"),
                                   F.count(F.lit(1)).alias("_n"), F.var_pop(e).alias("_ve"))
-    return g.select(*_by(by), "mae", "rmse",
-                    (1 - F.col("_sse") / (F.col("_vy") * F.col("_n"))).alias("r2"),
-                    (1 - F.col("_ve") / F.col("_vy")).alias("explained_variance"))
+    def share(rest, whole):
+        return F.when(whole == 0, (rest == 0).cast("double")).otherwise(1 - F.try_divide(rest, whole))
+
+    return g.select(*_by(by), "mae", "rmse", share(F.col("_sse"), F.col("_vy") * F.col("_n")).alias("r2"),
+                    share(F.col("_ve"), F.col("_vy")).alias("explained_variance"))
 
 
 def fold_summary(oof: DataFrame, task: str, by: Sequence[str] = ("model",)) -> DataFrame:

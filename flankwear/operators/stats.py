@@ -51,7 +51,8 @@ def avg_rank(df: DataFrame, col: str) -> DataFrame:
 
 
 def kruskal(df: DataFrame, col: str, by: str) -> DataFrame:
-    """Tie-corrected Kruskal-Wallis H across the levels of ``by`` and its χ² p-value."""
+    """Tie-corrected Kruskal-Wallis H across the levels of ``by`` and its χ² p-value.
+    Where all values are tied (or there is one value) H and p are NULL."""
     d = df.select(F.col(by).alias("_g"), F.col(col).alias("_x")).where(F.col("_x").isNotNull() & F.col("_g").isNotNull())
     ranks = avg_rank(d, "_x")
     cnt = d.groupBy("_g", "_x").agg(F.count(F.lit(1)).alias("_c"))
@@ -62,17 +63,19 @@ def kruskal(df: DataFrame, col: str, by: str) -> DataFrame:
     ties = ranks.agg(F.sum(F.pow(F.col("ties"), 3) - F.col("ties")).alias("T"))
     N = F.col("N").cast("double")
     h = with_scalars(tot, ties) \
-        .withColumn("H0", F.lit(12.0) / (N * (N + 1)) * F.col("S") - 3 * (N + 1)) \
-        .withColumn("C", 1 - F.col("T") / (N * N * N - N)) \
-        .withColumn("H", F.col("H0") / F.col("C"))
+        .withColumn("H0", F.try_divide(F.lit(12.0), N * (N + 1)) * F.col("S") - 3 * (N + 1)) \
+        .withColumn("C", 1 - F.try_divide(F.col("T"), N * N * N - N)) \
+        .withColumn("H", F.try_divide("H0", "C"))
     return h.select(F.lit(col).alias("column"), "k", F.col("N").alias("n"), "H",
                     chi2_sf(F.col("H"), F.col("k") - 1).alias("p"))
 
 
 def linreg(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Least-squares slope, intercept, Pearson r and the two-sided p of the slope."""
+    """Least-squares slope, intercept, Pearson r and the two-sided p of the slope.
+    A perfect fit has p 0; under three points or without spread p is NULL."""
     by = list(by)
     g = df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
                             F.corr(x, y).alias("r"), F.regr_count(y, x).alias("n"))
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
-    return g.withColumn("p", t_two_sided(t, F.col("n") - 2))
+    t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, F.greatest(F.lit(0.0), 1 - F.col("r") * F.col("r"))))
+    perfect = (F.col("n") > 2) & (1 - F.col("r") * F.col("r") <= 0)
+    return g.withColumn("p", F.when(perfect, 0.0).when(F.col("n") > 2, t_two_sided(t, F.col("n") - 2)))
