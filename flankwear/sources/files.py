@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flankwear.operators.signal_stats import CHANNELS
-from flankwear.operators.ordering import with_position
+from flankwear.session import write_stage
 
 SIGNAL_SCHEMA = T.StructType([T.StructField(c, T.DoubleType(), True) for c in CHANNELS])
 # Name fragments that mark non-signal files.
@@ -18,19 +19,57 @@ SKIP_NAMES = r"(?i)(wear|features)"
 PASS_FILE = r"c_(\d+)_(\d+)\.csv$"
 
 
+def first_lines(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
+    """(file, name, header): the first line of every file, without its carriage return or byte-order mark."""
+    r = spark.read.option("recursiveFileLookup", "true")
+    lines = (r.option("pathGlobFilter", glob) if glob else r).text(path if isinstance(path, str) else list(path))
+    # the first line lies in the block that starts at 0; ids rise within a block
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"),
+                         F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+    first = lines.where("at = 0").groupBy("file", "name").agg(F.min_by("value", "n").alias("header"))
+    return first.withColumn("header", F.regexp_replace("header", "^\ufeff|\r$", ""))
+
+
+def _layouts(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> dict[str, list[str]]:
+    """Header line -> files that start with it (file names only, as Spark's own listing holds them)."""
+    out: dict[str, list[str]] = {}
+    for r in first_lines(spark, path, glob).orderBy("file").collect():
+        out.setdefault(r["header"], []).append(r["file"])
+    return out
+
+
+def _by_name(spark: SparkSession, files: dict[str, list[str]], infer: bool = False) -> list[DataFrame]:
+    """One frame per distinct header, so files with another column order are never read by position."""
+    return [spark.read.option("header", "true").option("inferSchema", str(infer).lower()).csv(names) for names in files.values()]
+
+
+def _stack(frames: Sequence[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for d in frames[1:]:
+        out = out.unionByName(d, allowMissingColumns=True)
+    return out
+
+
 def read_signals(spark: SparkSession, path: str, long: bool = True) -> DataFrame:
     """S01 + S02 + rule R1: recursive headerless CSV scan with the 7 named channels.
 
-    Files named like wear / feature tables are skipped; ``i`` is the row index
-    inside each file (file split order, then read order), computed without a
-    per-file window; NaN becomes NULL.  ``long`` unpivots to ``(…, channel, x)``.
+    Files named like wear / feature tables are pruned by name before they are read;
+    ``i`` is the row index inside each file.  Samples arrive in file order, so the
+    index is the row's place in its block plus the rows of the file's earlier blocks
+    (a small table of counts): nothing is sorted.  The parsed rows are staged once,
+    so both uses see the same ids.  NaN becomes NULL.  ``long`` unpivots to
+    ``(…, channel, x)``.
     """
-    df = (spark.read.schema(SIGNAL_SCHEMA).option("recursiveFileLookup", "true").option("header", "false")
-          .csv(path)
-          .select("*", F.col("_metadata.file_path").alias("file"),
-                  F.col("_metadata.file_block_start").alias("_blk"), F.monotonically_increasing_id().alias("_rid")))
-    df = df.where(~F.element_at(F.split("file", "/"), -1).rlike(SKIP_NAMES))
-    df = with_position(df, ["file"], ["_blk", "_rid"], name="i").drop("_blk", "_rid")
+    df = (spark.read.schema(SIGNAL_SCHEMA).option("recursiveFileLookup", "true").option("header", "false").csv(path)
+          .where(~F.col("_metadata.file_name").rlike(SKIP_NAMES))
+          .select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_blk"),
+                  F.monotonically_increasing_id().alias("_rid")))
+    df = write_stage(df)
+    blocks = df.groupBy("file", "_blk").agg(F.min("_rid").alias("_r0"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    df = (df.join(blocks, ["file", "_blk"]).withColumn("i", F.col("_off") + F.col("_rid") - F.col("_r0"))
+          .select(*CHANNELS, "file", "i"))
     for c in CHANNELS:
         df = df.withColumn(c, F.nanvl(F.col(c), F.lit(None).cast("double")))
     if not long:
@@ -55,27 +94,35 @@ def read_wear(spark: SparkSession, path: str, header: bool = False,
               required: Sequence[str] = ("cut", "flute_1", "flute_2", "flute_3")) -> DataFrame:
     """Wear files -> ``(tool, passe, vb1, vb2, vb3)`` (raw units).
 
-    Headerless: read as text, coerce, drop all-empty rows (a text header row
-    becomes empty and disappears); 2 columns = (pass, vb), ≥4 = (pass, vb1..3).
-    Headed: files must hold the required columns, else they are skipped.
+    Headerless: coerce, drop all-empty rows (a text header row becomes empty and
+    disappears); each file's own number of columns counts: 2 = (pass, vb), 4 or
+    more = (pass, vb1..3), other files are skipped.  Headed: files are read by
+    name, in any column order; a file without the required columns is skipped.
     Tool = file name without ``_wear``.
     """
-    r = spark.read.option("header", str(header).lower()).option("inferSchema", "false")
-    df = r.option("recursiveFileLookup", "true").option("pathGlobFilter", "*wear*.csv").csv(path)
-    df = df.withColumn("tool", F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_name"), r"\."), 1), "_wear$", ""))
+    empty = spark.createDataFrame([], "tool string, passe int, vb1 double, vb2 double, vb3 double")
+    files = _layouts(spark, path, "*wear*.csv")
+    groups: dict[tuple[str, ...], list[DataFrame]] = {}
     if header:
-        if not set(required) <= set(df.columns):
-            return spark.createDataFrame([], "tool string, passe int, vb1 double, vb2 double, vb3 double")
-        cols = [required[0], *required[1:4]]
+        have = {h: [c.strip().strip('"') for c in h.split(",")] for h in files}
+        good = {h: f for h, f in files.items() if set(required[:4]) <= set(have[h])}
+        groups[tuple(required[:4])] = _by_name(spark, good)
     else:
-        cols = [c for c in df.columns if c.startswith("_c")]
-    num = [F.expr(f"try_cast(`{c}` AS double)").alias(f"_n{i}") for i, c in enumerate(cols)]
-    d = df.select("tool", *num).na.drop("all", subset=[f"_n{i}" for i in range(len(cols))])
-    if len(cols) >= 4:
-        return d.select("tool", F.col("_n0").cast("int").alias("passe"), F.col("_n1").alias("vb1"),
-                        F.col("_n2").alias("vb2"), F.col("_n3").alias("vb3"))
-    return d.select("tool", F.col("_n0").cast("int").alias("passe"), F.col("_n1").alias("vb1"),
-                    F.lit(None).cast("double").alias("vb2"), F.lit(None).cast("double").alias("vb3"))
+        for h, names in files.items():
+            n = len(h.split(","))
+            if n == 2 or n >= 4:
+                cols = [f"_c{i}" for i in range(min(n, 4))]
+                d = spark.read.option("header", "false").schema(", ".join(f"_c{i} string" for i in range(n))).csv(names)
+                groups.setdefault(tuple(cols), []).append(d)
+    out = [empty]
+    for cols, frames in groups.items():
+        for d in frames:
+            tool = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_name"), r"\."), 1), "_wear$", "")
+            num = [F.expr(f"try_cast(trim(`{c}`) AS double)").alias(f"_n{i}") for i, c in enumerate(cols)]
+            d = d.select(tool.alias("tool"), *num).na.drop("all", subset=[f"_n{i}" for i in range(len(cols))])
+            vb = [F.col(f"_n{i}") if i < len(cols) else F.lit(None).cast("double") for i in (1, 2, 3)]
+            out.append(d.select("tool", F.col("_n0").cast("int").alias("passe"), *[v.alias(f"vb{i + 1}") for i, v in enumerate(vb)]))
+    return _stack(out)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -86,27 +133,29 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_experiments(spark: SparkSession, glob: str) -> DataFrame:
-    """Many headed experiment CSVs; ``exp_id`` from the ``_NN.`` in the file name."""
-    df = spark.read.option("header", "true").option("inferSchema", "true").csv(glob)
-    return df.withColumn("exp_id", F.regexp_extract(F.col("_metadata.file_name"), r"_(\d+)\.", 1).try_cast("int"))
+    """Many headed experiment CSVs, stacked by column name (files may order or hold columns differently);
+    ``exp_id`` from the ``_NN.`` in the file name."""
+    frames = _by_name(spark, _layouts(spark, glob), infer=True)
+    if not frames:
+        raise FileNotFoundError(f"no experiment file in {glob}")
+    exp = F.regexp_extract(F.col("_metadata.file_name"), r"_(\d+)\.", 1).try_cast("int")
+    return _stack([d.withColumn("exp_id", exp) for d in frames])
 
 
 def read_many(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Stack the files that exist (by name, missing columns NULL); none -> error."""
+    """Stack the files that exist (by name, missing columns NULL); none -> error.  Only absent paths are
+    skipped; a file that is there and can't be read raises."""
     present = []
     for p in paths:
         try:
-            spark.read.option("header", "true").csv(p).schema  # resolves the path
+            spark.read.text(p)           # resolves the path, reads nothing
             present.append(p)
-        except Exception:  # noqa: BLE001 - absent file is skipped
-            continue
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     if not present:
         raise FileNotFoundError("none of the input files exist")
-    out = None
-    for p in present:
-        d = read_table(spark, p)
-        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
-    return out
+    return _stack([read_table(spark, p) for p in present])
 
 
 def read_programs(spark: SparkSession, programs: dict[str, str]) -> DataFrame:
@@ -134,6 +183,29 @@ def classify_source(schema: T.StructType) -> str:
     return "unknown"
 
 
+def probe_source(spark: SparkSession, path: str) -> str:
+    """S11 on files: the first line tells whether there is a header; only then are types looked at, in the first
+    file by name.  Wear and feature files beside raw signals do not count."""
+    firsts = first_lines(spark, path)
+    raw = firsts.where(~F.col("name").rlike(SKIP_NAMES))
+    first = (raw if raw.limit(1).count() else firsts).orderBy("file").first()
+    if first is None:
+        return "unknown"
+    cells = [c.strip().strip('"') for c in first["header"].split(",")]
+
+    def number(c: str) -> bool:
+        try:
+            float(c)
+        except ValueError:
+            return False
+        return True
+
+    if all(map(number, cells)):          # no header: raw signals or unnamed numbers
+        return classify_source(T.StructType([T.StructField(f"_c{i}", T.DoubleType()) for i in range(len(cells))]))
+    kind = classify_source(spark.read.option("header", "true").option("inferSchema", "true").csv(first["file"]).schema)
+    return "unknown" if kind == "raw_signals" else kind      # raw signals have no header
+
+
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
     """Nested JSON result / profile documents (one per line or multi-line)."""
     return spark.read.option("multiLine", "true").json(path)

@@ -42,7 +42,7 @@ def stream_window_stats(spark: SparkSession, path: str, schema, ts: str, duratio
 
 def incremental_pass_features(spark: SparkSession, in_path: str, out_path: str, checkpoint: str,
                               channels: Sequence[str] = CHANNELS, trigger_once: bool = True):
-    """New pass files -> pass features appended per micro-batch.
+    """New pass files -> pass features, one folder per micro-batch.
 
     Each micro-batch holds whole files, so the batch operator sees every
     sample of a pass; the sample index is the read order inside the file.
@@ -55,8 +55,8 @@ def incremental_pass_features(spark: SparkSession, in_path: str, out_path: str,
         d = df.withColumn("_rid", F.monotonically_increasing_id())
         d = with_position(d, ["file"], ["_rid"], name="i").drop("_rid")
         d = with_pass_key(d).unpivot(["tool", "passe", "i"], list(channels), "channel", "x")
-        extract_pass_features(d, channels).withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("append").parquet(out_path)
+        # one folder per micro-batch: a replayed batch overwrites its own rows
+        extract_pass_features(d, channels).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     w = src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w
