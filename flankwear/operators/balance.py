@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flankwear.operators.joins import bounded_broadcast
 from flankwear.operators.ordering import with_position
 
 SEED = 42
@@ -33,13 +32,13 @@ def strategy_table(df: DataFrame, y: str) -> DataFrame:
 
 def encode_weights(weights: DataFrame, mapping: DataFrame) -> DataFrame:
     """Re-key class weights from label text to the encoded index."""
-    return weights.join(bounded_broadcast(mapping.withColumnRenamed("label", "class")), "class", "inner") \
+    return weights.join(mapping.withColumnRenamed("label", "class"), "class", "inner") \
         .select("label_idx", "class", "weight")
 
 
 def with_weights(df: DataFrame, y: str, weights: DataFrame, out: str = "weight") -> DataFrame:
     """Attach ``weightCol`` for pyspark.ml from the per-class table (tiny, broadcast)."""
-    return df.join(bounded_broadcast(weights.select(F.col("class").alias(y), F.col("weight").alias(out))), y, "left")
+    return df.join(weights.select(F.col("class").alias(y), F.col("weight").alias(out)), y, "left")
 
 
 def balance(df: DataFrame, task: str, y: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Skew-safe order statistics.
+"""Skew-safe order statistics, one plan at every size.
 
 A window ``row_number() OVER (PARTITION BY g ORDER BY v)`` or Spark's exact
 ``percentile`` aggregate sends every row of a group to one task.  When one
@@ -25,22 +25,6 @@ from pyspark.sql import functions as F
 
 from flankwear.session import write_stage
 
-# A group with more rows than this is "hot" and is sliced; smaller groups use plain plans.
-HOT_ROWS = 2_000_000
-# Above this many hot keys the hot-key table is joined without a broadcast hint.
-MAX_HOT_KEYS = 200_000
-
-
-def _split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int):
-    """Return (hot-key table or None, number of hot keys); the count is one partial aggregate."""
-    if not keys:
-        n = df.limit(hot_rows + 1).count()
-        return None, (1 if n > hot_rows else 0)
-    cnt = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn"))
-    hot = cnt.where(F.col("_gn") > hot_rows).select(*keys)
-    return hot, hot.limit(MAX_HOT_KEYS + 1).count()
-
-
 def _ns_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join on ``keys`` treating NULL keys as equal (a NULL group is a group too)."""
     r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
@@ -52,55 +36,20 @@ def _ns_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -
     return out if how in ("left_anti", "left_semi") else out.drop(*[f"_r_{k}" for k in keys])
 
 
-def _parts(df: DataFrame, keys: Sequence[str], hot: DataFrame):
-    hb = F.broadcast(hot)  # at most MAX_HOT_KEYS rows (checked by the caller)
-    return _ns_join(df, hb, keys, "left_anti"), _ns_join(df, hb, keys, "left_semi")
-
-
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                   name: str = "pos", count_name: str | None = None,
-                  slices: int | None = None, stage_input: bool = False,
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
+                  slices: int | None = None, stage_input: bool = False) -> DataFrame:
     """Add the 0-based position of each row inside its ``keys`` group, ordered by ``order``.
 
     Equivalent to ``row_number() - 1`` over ``partitionBy(keys).orderBy(order)``
-    (ties broken arbitrarily), but no task ever holds more than ``hot_rows`` rows
-    of one group: groups above it are range-sliced.  If ``count_name`` is given
-    the group size is added as well.  The range partitioner samples its input in
-    a separate pass; ``stage_input`` writes an expensive input (e.g. an
-    aggregate) once so that pass does not recompute it.
+    (ties broken arbitrarily), but no task ever holds more than its slice of the
+    sorted rows.  If ``count_name`` is given the group size is added as well.  The
+    range partitioner samples its input in a separate pass; ``stage_input`` writes
+    an expensive input (e.g. an aggregate) once so that pass does not recompute it.
     """
     keys = list(keys)
     if stage_input:
         df = write_stage(df)
-    hot, n_hot = _split_hot(df, keys, hot_rows)
-    if n_hot == 0:
-        return _window_position(df, keys, order, name, count_name)
-    if not keys:
-        return _sliced_position(df, keys, order, name, count_name, slices)
-    if n_hot > MAX_HOT_KEYS:  # very many huge groups: slice everything
-        return _sliced_position(df, keys, order, name, count_name, slices)
-    cold, hotd = _parts(df, keys, hot)
-    return (_window_position(cold, keys, order, name, count_name)
-            .unionByName(_sliced_position(hotd, keys, order, name, count_name, slices, small_blocks=True)))
-
-
-def _window_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                     name: str, count_name: str | None) -> DataFrame:
-    """Groups bounded by ``hot_rows``: a plain window per group."""
-    o = [F.col(c) if isinstance(c, str) else c for c in order]
-    w = Window.partitionBy(*keys).orderBy(*o) if keys else Window.orderBy(*o)
-    out = df.withColumn(name, F.row_number().over(w) - 1)
-    if count_name:
-        out = out.withColumn(count_name, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    return out
-
-
-def _sliced_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                     name: str, count_name: str | None, slices: int | None,
-                     small_blocks: bool = False) -> DataFrame:
-    """Hot groups: range slices, staged once, offsets from per-slice counts."""
-    keys = list(keys)
     sort_cols = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
     # without an explicit count AQE may merge neighbouring (small) slices; merged
     # slices are still contiguous ranges, which is all the offsets rely on
@@ -111,50 +60,29 @@ def _sliced_position(df: DataFrame, keys: Sequence[str], order: Sequence[str | C
     s = write_stage(s)
     blocks = s.groupBy("_slice", *keys).agg(F.min("_mid").alias("_m0"),
                                              F.count(F.lit(1)).alias("_bn"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per slice and group; without keys one row per slice, dealt by a constant
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.col("_slice") < 0)
+    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
     cols = ["_slice", *keys, "_m0", "_off"]
     if count_name:
-        blocks = blocks.withColumn(count_name, F.sum("_bn").over(Window.partitionBy(*keys)))
+        blocks = blocks.withColumn(count_name, F.sum("_bn").over(whole))
         cols.append(count_name)
-    # blocks: one row per (slice, hot group) -- bounded by hot keys + slices when small_blocks
-    bl = blocks.select(*cols)
-    out = _ns_join(s, F.broadcast(bl) if small_blocks else bl, ["_slice", *keys], "inner")
+    out = _ns_join(s, blocks.select(*cols), ["_slice", *keys], "inner")
     return (out.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_m0"))
             .drop("_slice", "_mid", "_m0", "_off"))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: dict[str, float], slices: int | None = None,
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+                    probs: dict[str, float], slices: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles (numpy default / ``quantile_cont``) per group.
 
     ``probs`` maps output column name -> probability.  NULL values are ignored;
-    a group with no values yields no row (callers left-join).  Groups up to
-    ``hot_rows`` rows use Spark's exact ``percentile`` aggregate (bounded state
-    per group); larger groups use the sliced position plan.
+    a group with no values yields no row (callers left-join).
     """
     keys = list(keys)
     v = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    hot, n_hot = _split_hot(v, keys, hot_rows)
-    if n_hot == 0:
-        return _native_quantiles(v, keys, probs)
-    if not keys or n_hot > MAX_HOT_KEYS:
-        return _sliced_quantiles(v, keys, probs, slices, small_blocks=False)
-    cold, hotd = _parts(v, keys, hot)
-    return _native_quantiles(cold, keys, probs).unionByName(_sliced_quantiles(hotd, keys, probs, slices, True))
-
-
-def _native_quantiles(v: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    names = list(probs)
-    q = F.percentile(F.col("_v"), F.array(*[F.lit(float(probs[n])) for n in names]))
-    out = v.groupBy(*keys).agg(q.alias("_q"))
-    return out.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-
-
-def _sliced_quantiles(v: DataFrame, keys: Sequence[str], probs: dict[str, float], slices: int | None,
-                      small_blocks: bool) -> DataFrame:
-    r = _sliced_position(v, keys, ["_v"], "_pos", "_n", slices, small_blocks=small_blocks)
+    r = with_position(v, keys, ["_v"], "_pos", "_n", slices)
     wanted = []
     for p in probs.values():
         h = F.lit(float(p)) * (F.col("_n") - 1)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from flankwear.functions.scalar import short_name
 from flankwear.operators.evaluate import regression_metrics
-from flankwear.operators.joins import bounded_broadcast
 
 # Medal names for the top three.
 MEDALS = ["gold", "silver", "bronze"]
@@ -64,7 +63,7 @@ def predicted_vs_actual(oof: DataFrame, task: str) -> DataFrame:
         s = regression_metrics(oof).select("model", "mae", "r2")
     else:
         s = oof.groupBy("model").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy"))
-    return oof.join(bounded_broadcast(s), "model")  # one row per model
+    return oof.join(s, "model")  # one row per model
 
 
 def per_group_errors(oof: DataFrame, group: str = "fold") -> DataFrame:
