@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flankwear.operators.joins import bounded_broadcast
 
 # Wear-state presets (thresholds in mm, labels in order).
 WEAR_PRESETS = {
@@ -20,10 +19,10 @@ WEAR_PRESETS = {
 # Right-closed wear classes used for the per-tool distribution (the plot labels,
 # with their line break written as a space because they become column names).
 WEAR_CLASSES_RIGHT = ([0.1, 0.2, 0.3], ["New (<0.1)", "Acceptable (0.1-0.2)", "Worn (0.2-0.3)", "EOL (>0.3)"])
-# Feature-group prefixes.
-FEATURE_GROUPS = [("force", "^force_"), ("vibration", "^vib_"), ("acoustic", "^ae_"),
-                  ("motor", "^(S1_|X1_|Y1_|Z1_)"), ("roughness", "^(Ra|Rz|Rsk|Rku|RSm|Rt)"),
-                  ("cutting_force", "^(Fx|Fy|Fz|F)$"), ("process", "^(ap|vc|f)$")]
+# Feature groups, by name prefix or by exact name.
+GROUP_PREFIXES = {"pass_signals": ["force_", "vib_", "ae_"], "motor_signals": ["S1_", "X1_", "Y1_", "Z1_"]}
+GROUP_NAMES = {"roughness": ["Ra", "Rz", "Rsk", "Rku", "RSm", "Rt"], "forces": ["Fx", "Fy", "Fz", "F"],
+               "cutting_params": ["ap", "vc", "f"]}
 
 
 def _c(c: str | Column) -> Column:
@@ -114,13 +113,12 @@ def short_name(c: str | Column) -> Column:
     return F.when(x.contains("_"), F.regexp_replace(x, r"^[^_]*_", "")).otherwise(x)
 
 
-def feature_group(name: str | Column, groups=FEATURE_GROUPS, other: str = "other") -> Column:
-    """tag a feature name with its sensor group by prefix."""
+def feature_group(name: str | Column, prefixes=GROUP_PREFIXES, names=GROUP_NAMES, other: str = "other") -> Column:
+    """tag a feature name with its sensor group, by prefix or exact name."""
     x = _c(name)
-    e = None
-    for g, pat in groups:
-        e = F.when(x.rlike(pat), g) if e is None else e.when(x.rlike(pat), g)
-    return e.otherwise(other)
+    member = {g: reduce(lambda a, b: a | b, [x.startswith(p) for p in ps]) for g, ps in prefixes.items()}
+    member |= {g: x.isin(*ns) for g, ns in names.items()}
+    return F.coalesce(*[F.when(hit, F.lit(g)) for g, hit in member.items()], F.lit(other))
 
 
 def with_time(df: DataFrame, fs: float, i: str = "i", out: str = "t_ms") -> DataFrame:
@@ -152,14 +150,14 @@ def label_encode(df: DataFrame, col: str, out: str = "label_idx", missing: str =
     m = label_mapping(df, col, missing)
     key = F.coalesce(F.col(col).cast("string"), F.lit(missing))
     return (df.withColumn("_lbl", key)
-            .join(bounded_broadcast(m.withColumnRenamed("label", "_lbl")), "_lbl", "left")
+            .join(m.withColumnRenamed("label", "_lbl"), "_lbl", "left")
             .withColumnRenamed("label_idx", out).drop("_lbl"))
 
 
 def label_decode(df: DataFrame, mapping: DataFrame, col: str, out: str) -> DataFrame:
     """index -> label through the mapping table."""
     m = mapping.select(F.col("label_idx").alias(col), F.col("label").alias(out))
-    return df.join(bounded_broadcast(m), col, "left")
+    return df.join(m, col, "left")
 
 
 def binary_target(c: str | Column, positive: str = "worn") -> Column:

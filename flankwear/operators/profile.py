@@ -61,42 +61,44 @@ def zero_variance(df: DataFrame, cols: Sequence[str], tol: float = ZERO_VARIANCE
     return long.withColumn("zero_variance", F.coalesce(F.col("std") < tol, F.lit(False)))
 
 
+def column_facts(df: DataFrame) -> DataFrame:
+    """One row per column: position, column, kind (string, integer, number, other) and, for integer columns, the
+    distinct count (HLL++ at 1 %, exact in effect at the small counts that decide).  One bounded aggregation."""
+    def kind(t: T.DataType) -> str:
+        return ("string" if isinstance(t, T.StringType) else "integer" if isinstance(t, T.IntegralType)
+                else "number" if isinstance(t, T.NumericType) else "other")
+
+    fields = [(i, f.name, kind(f.dataType)) for i, f in enumerate(df.schema.fields)]
+    one = df.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(_q(n), 0.01).alias(f"d{i}")
+                                                 for i, n, k in fields if k == "integer"])
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(n).alias("column"), F.lit(k).alias("kind"),
+                     (F.col(f"d{i}") if k == "integer" else F.lit(None).cast("bigint")).alias("n_distinct")) for i, n, k in fields]
+    return one.select(F.explode(F.array(*rows)).alias("f")).select("f.*")
+
+
 def detect_target(schema: T.StructType, keywords: Sequence[str] = TARGET_KEYWORDS,
                   target: str | None = None) -> str | None:
-    """Explicit target, else first keyword with an exact lower-case match,
-    else the last string column, else the last numeric column."""
-    names = [f.name for f in schema.fields]
-    if target:
-        return target
-    low = {n.lower(): n for n in names}
-    for k in [*keywords, *EXTRA_TARGETS]:
-        if k in low:
-            return low[k]
-    strings = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-    if strings:
-        return strings[-1]
-    nums = [f.name for f in schema.fields if isinstance(f.dataType, T.NumericType)]
-    return nums[-1] if nums else None
+    """Explicit target, else the best column by (rule, order): a keyword's place in the list, then the last
+    string column, then the last numeric one."""
+    place = {k: i for i, k in reversed(list(enumerate([*keywords, *EXTRA_TARGETS])))}
+    kinds = ((0, lambda i, f: place.get(f.name.lower())), (1, lambda i, f: -i if isinstance(f.dataType, T.StringType) else None),
+             (2, lambda i, f: -i if isinstance(f.dataType, T.NumericType) else None))
+    ranked = [(rule, order, f.name) for i, f in enumerate(schema.fields) for rule, of in kinds if (order := of(i, f)) is not None]
+    return target or min(ranked, default=(0, 0, None))[2]
+
+
+def meta_columns(df: DataFrame, target: str, keywords: Sequence[str] = META_KEYWORDS, max_int_distinct: int = 20) -> DataFrame:
+    """P13 as a table: the facts of the columns that hold meta data (keyword in the name, text, or an integer with
+    few distinct values), the target left out."""
+    named = F.lower("column").rlike("|".join(keywords))
+    few = (F.col("kind") == "integer") & (F.col("n_distinct") < max_int_distinct)
+    return column_facts(df).where((F.col("column") != target) & (named | (F.col("kind") == "string") | few))
 
 
 def detect_meta(df: DataFrame, target: str, keywords: Sequence[str] = META_KEYWORDS,
                 max_int_distinct: int = 20) -> list[str]:
-    """Keyword substring, string type, or integer with few distinct values."""
-    meta, ints = [], []
-    for f in df.schema.fields:
-        if f.name == target:
-            continue
-        low = f.name.lower()
-        if any(k in low for k in keywords) or isinstance(f.dataType, T.StringType):
-            meta.append(f.name)
-        elif isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-            ints.append(f.name)
-    if ints:
-        # HLL++ at 1 % error is near-exact at the small cardinalities that matter here, and
-        # unlike an exact distinct it keeps a bounded state per column
-        row = df.agg(*[F.approx_count_distinct(_q(c), 0.01).alias(c) for c in ints]).first()
-        meta += [c for c in ints if row[c] < max_int_distinct]
-    return meta
+    """Names of the meta columns in table order (at most one per column of the schema)."""
+    return [r["column"] for r in meta_columns(df, target, keywords, max_int_distinct).orderBy("position").collect()]
 
 
 def task_stats(df: DataFrame, targets: Sequence[str]) -> DataFrame:

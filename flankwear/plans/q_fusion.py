@@ -225,8 +225,11 @@ def q_u05(spark, d):
             .unionByName(fu.in_both(a, t).withColumn("relation", F.lit("both"))))
 
 
-FG_SQL = ("CASE " + " ".join(f"WHEN regexp_matches(feature, '{pat}') THEN '{g}'" for g, pat in fx.FEATURE_GROUPS)
-          + " ELSE 'other' END")
+FG_SQL = """CASE WHEN left(feature, 6) = 'force_' OR left(feature, 4) = 'vib_' OR left(feature, 3) = 'ae_' THEN 'pass_signals'
+  WHEN left(feature, 3) IN ('S1_', 'X1_', 'Y1_', 'Z1_') THEN 'motor_signals'
+  WHEN feature IN ('Ra', 'Rz', 'Rsk', 'Rku', 'RSm', 'Rt') THEN 'roughness'
+  WHEN feature IN ('Fx', 'Fy', 'Fz', 'F') THEN 'forces' WHEN feature IN ('ap', 'vc', 'f') THEN 'cutting_params'
+  ELSE 'other' END"""
 
 
 @register("f11_feature_group", FUSED_SQL + NONEMPTY_SQL + "SELECT " + FG_SQL

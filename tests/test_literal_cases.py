@@ -146,12 +146,21 @@ def test_shared_columns_and_set_ops(spark):
     assert sorted(r.feature for r in fu.in_both(a, b).collect()) == ["force"]
 
 
-def test_bounded_broadcast_and_sizing(spark):
-    from flankwear.operators.joins import bounded_broadcast
+def test_sizing():
     from flankwear.session import partitions_for
-    small = spark.range(5)
-    big = spark.range(50)
-    assert bounded_broadcast(small, 10).count() == 5
-    assert bounded_broadcast(big, 10).count() == 50
-    assert "broadcast" in bounded_broadcast(small, 10)._jdf.queryExecution().logical().toString().lower()
     assert partitions_for(100 * 2 ** 40, cores=8000) == 819200 and partitions_for(10, cores=4) == 8
+
+
+def test_target_meta_and_groups(spark):
+    from flankwear.functions import scalar as fx
+    from flankwear.operators import profile as pr
+    df = spark.createDataFrame([(i, i % 3, i % 40, "x", float(i), "u", i) for i in range(60)],
+                               "a int, few int, many int, Label string, force_x double, note string, run_no int")
+    assert pr.detect_target(df.schema) == "Label" and pr.detect_target(df.schema, target="a") == "a"
+    assert pr.detect_target(df.select("a", "note", "many").schema) == "note"
+    assert pr.detect_target(df.select("a", "many").schema) == "many"
+    assert pr.detect_meta(df, "Label") == ["few", "note", "run_no"]
+    names = ["force_x", "ae_rms", "S1_x", "Ra", "Rank", "Fx", "F", "f", "vc", "zz", "Rt"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(fx.feature_group("n").alias("g")).collect()
+    assert [r.g for r in got] == ["pass_signals", "pass_signals", "motor_signals", "roughness", "other", "forces", "forces",
+                                  "cutting_params", "cutting_params", "other", "roughness"]
