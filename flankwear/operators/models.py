@@ -8,6 +8,7 @@ with a bounded per-row aggregate.  No pair is ever emitted as a row.
 """
 from __future__ import annotations
 
+import inspect
 import math
 import time
 from collections.abc import Callable, Sequence
@@ -15,15 +16,18 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor)
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flankwear.operators.stats import with_scalars
+from flankwear.session import write_stage
 
 SEED = 42
 
@@ -52,17 +56,45 @@ def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ estimators
+class MissingToLow(Transformer, HasInputCol, HasOutputCol):
+    """Vectors with missing entries (NaN) set below every value, so that one split of a tree separates them."""
+
+    LOW = -1e30
+
+    def __init__(self, inputCol: str, outputCol: str):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        filled = F.transform(vector_to_array(self.getInputCol()), lambda x: F.when(F.isnan(x), self.LOW).otherwise(x))
+        return df.withColumn(self.getOutputCol(), array_to_vector(filled))
+
+
+#: Models whose features are standardised on the training fold.
+SCALED = ("svm", "knn", "logistic_regression", "ridge", "mlp")
+
+
 def make_model(name: str, task: str, features: str = "features", label: str = "label",
                weight_col: str | None = None, seed: int = SEED, n_features: int | None = None,
-               n_classes: int | None = None, n_rows: int | None = None, weight_sum: float | None = None,
-               sigma_y: float | None = None, C: float = 1.0, alpha: float = 1.0) -> Estimator:
+               n_classes: int | None = None, n_rows: float | None = None, sigma_y: float | None = None,
+               C: float = 1.0, alpha: float = 1.0, scale: bool = False) -> Estimator:
     """The benchmark grid as pyspark.ml estimators.
 
-    M14 (C=1, L2): ``regParam = 1/(C·n)`` (``1/(C·Σw)`` with weights); M15 (α=1):
-    ``regParam = α·σ_y/n`` with the population σ of the label and the normal solver.
-    ``n_rows`` / ``weight_sum`` / ``sigma_y`` are the training-fold statistics.
+    M14 (C=1, L2): ``regParam = 1/(C·n)``; M15 (α=1): ``regParam = α·σ_y/n`` with the population σ of the
+    label and the normal solver; M09 and M10 (C=10): ``1/(C·n)``.  ``n_rows`` (or the sum of weights) and
+    ``sigma_y`` are statistics of the training fold; models that need them raise without them.  ``scale``
+    puts M01 in front of the models of ``SCALED``, so that it is fitted on the training fold.
+
+    Spark's forests stop at depth 30 (its own limit).  M04 draws a third of the features at each split and no
+    bootstrap, as Spark has no random thresholds; M07 takes missing values (NaN), which it sets apart below all
+    others; M10 is a linear Huber fit over the random features, as Spark has no epsilon-insensitive loss.
     """
     cls = task == "classification"
+    if scale and name in SCALED:
+        est = make_model(name, task, "_scaled", label, weight_col, seed, n_features, n_classes, n_rows, sigma_y, C, alpha)
+        return Pipeline(stages=[StandardScaler(inputCol=features, outputCol="_scaled", withMean=True), est])
+    if name in ("logistic_regression", "ridge", "svm") and not n_rows:
+        raise ValueError(f"{name} needs the number of training rows")
     kw = dict(featuresCol=features, labelCol=label)
     # tree growth: larger node batches per pass over the data and cached node ids
     tkw = dict(maxMemoryInMB=2048, cacheNodeIds=True, checkpointInterval=10)
@@ -72,43 +104,67 @@ def make_model(name: str, task: str, features: str = "features", label: str = "l
                 else RandomForestRegressor(numTrees=300, maxDepth=30, featureSubsetStrategy="all", seed=seed, **tkw,
                                            **kw, **wkw))
     if name == "extra_trees":
-        return (RandomForestClassifier(numTrees=300, maxDepth=30, bootstrap=False, featureSubsetStrategy="sqrt",
-                                       maxBins=16, seed=seed, **kw, **wkw) if cls
-                else RandomForestRegressor(numTrees=300, maxDepth=30, bootstrap=False, featureSubsetStrategy="all",
-                                           maxBins=16, seed=seed, **kw, **wkw))
-    if name in ("gradient_boosting", "hist_gradient_boosting"):
-        bins = 255 if name.startswith("hist") else 32
-        if cls:
-            gbt = GBTClassifier(maxIter=200, stepSize=0.05, maxDepth=3, maxBins=bins, seed=seed, **wkw)
-            return gbt.setFeaturesCol(features).setLabelCol(label) if (n_classes or 2) <= 2 else \
-                OneVsRest(classifier=gbt, featuresCol=features, labelCol=label, **wkw)
-        return GBTRegressor(maxIter=200, stepSize=0.05, maxDepth=3, maxBins=bins, seed=seed, **kw, **wkw)
+        forest = RandomForestClassifier if cls else RandomForestRegressor
+        return forest(numTrees=300, maxDepth=30, bootstrap=False, featureSubsetStrategy="sqrt" if cls else "onethird",
+                      maxBins=16, seed=seed, **tkw, **kw, **wkw)
+    if name == "gradient_boosting":
+        return _boosted(cls, features, label, wkw, seed, n_classes, maxIter=200, stepSize=0.05, maxDepth=3, maxBins=32)
+    if name == "hist_gradient_boosting":
+        # library defaults of the histogram learner: rate 0.1, 31 leaves (depth 5), 255 bins
+        est = _boosted(cls, "_filled", label, wkw, seed, n_classes, maxIter=200, stepSize=0.1, maxDepth=5, maxBins=255)
+        return Pipeline(stages=[MissingToLow(features, "_filled"), est])
     if name == "bagging":
-        return (RandomForestClassifier(numTrees=100, featureSubsetStrategy="all", seed=seed, **kw, **wkw) if cls
-                else RandomForestRegressor(numTrees=100, featureSubsetStrategy="all", seed=seed, **kw, **wkw))
+        forest = RandomForestClassifier if cls else RandomForestRegressor
+        return forest(numTrees=100, maxDepth=30, featureSubsetStrategy="all", seed=seed, **tkw, **kw, **wkw)
     if name == "decision_tree":
         return (DecisionTreeClassifier(maxDepth=10, maxBins=256, seed=seed, **kw, **wkw) if cls
                 else DecisionTreeRegressor(maxDepth=10, maxBins=256, seed=seed, **kw, **wkw))
     if name == "logistic_regression":
-        denom = (weight_sum if weight_col and weight_sum else n_rows) or 1000
-        return LogisticRegression(regParam=1.0 / (C * denom), elasticNetParam=0.0, standardization=False,
+        return LogisticRegression(regParam=1.0 / (C * n_rows), elasticNetParam=0.0, standardization=False,
                                   maxIter=200, **kw, **wkw)
     if name == "ridge":
-        reg = alpha * (sigma_y or 1.0) / (n_rows or 1000)
-        return LinearRegression(regParam=reg, elasticNetParam=0.0, standardization=False, solver="normal", **kw, **wkw)
+        if sigma_y is None:
+            raise ValueError("ridge needs the label's population deviation on the training rows")
+        return LinearRegression(regParam=alpha * sigma_y / n_rows, elasticNetParam=0.0, standardization=False,
+                                solver="normal", **kw, **wkw)
     if name == "linear_regression":
         return LinearRegression(regParam=0.0, **kw, **wkw)
     if name == "svm":
+        reg = 1.0 / (10.0 * n_rows)
         if cls:
-            return OneVsRest(classifier=LinearSVC(maxIter=100, regParam=0.01), featuresCol=features, labelCol=label)
-        return LinearRegression(loss="huber", regParam=0.01, **kw)
+            return OneVsRest(classifier=LinearSVC(maxIter=100, regParam=reg), featuresCol=features, labelCol=label, **wkw)
+        return LinearRegression(loss="huber", regParam=reg, **kw, **wkw)
     if name == "mlp":
         layers = [n_features or 1, 128, 64, n_classes or 2]
         return MultilayerPerceptronClassifier(layers=layers, maxIter=200, seed=seed, **kw)
     raise ValueError(f"unknown model {name}")
 
 
+def _boosted(cls: bool, features: str, label: str, wkw: dict, seed: int, n_classes: int | None, **params) -> Estimator:
+    """Gradient boosting; more than two classes one against the rest."""
+    if not cls:
+        return GBTRegressor(featuresCol=features, labelCol=label, seed=seed, **params, **wkw)
+    gbt = GBTClassifier(featuresCol=features, labelCol=label, seed=seed, **params, **wkw)
+    return gbt if (n_classes or 2) <= 2 else OneVsRest(classifier=gbt, featuresCol=features, labelCol=label, **wkw)
+
+
+def fold_statistics(df: DataFrame, folds: Sequence[int], label: str = "label", fold: str = "fold",
+                    weight_col: str | None = None) -> dict[int, dict[str, float]]:
+    """Per fold: rows (or weights) and the label's population deviation of the other folds, from one aggregation."""
+    w = F.col(weight_col) if weight_col else F.lit(1.0)
+    y = F.col(label).cast("double")
+    per = {r[fold]: r for r in df.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(y).alias("s"),
+                                                    F.sum(y * y).alias("q")).collect()}
+    out = {}
+    for f in folds:
+        rest = [r for k, r in per.items() if k != f]
+        n, s, q = (sum(r[c] for r in rest) for c in ("n", "s", "q"))
+        out[f] = {"n_rows": sum(r["w"] for r in rest), "sigma_y": math.sqrt(max(0.0, q / n - (s / n) ** 2)) if n else 0.0}
+    return out
+
+
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
+    """Feature vector; missing values stay in it as NaN."""
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep").transform(df)
 
 
@@ -116,7 +172,6 @@ def rbf_features(df: DataFrame, cols: Sequence[str], n: int = 100, gamma: float
                  seed: int = SEED, out: str = "features") -> DataFrame:
     """M09/M10 mapping: random Fourier features ``sqrt(2/n)·cos(W x + b)`` approximating an
     RBF kernel, computed batch-wise (Arrow) with one matrix product per batch."""
-    from pyspark.ml.functions import array_to_vector
     d = len(cols)
     g = gamma if gamma is not None else 1.0 / d
     rng = np.random.default_rng(seed)
@@ -139,9 +194,13 @@ def oof_predict(df: DataFrame, make: Callable[[], Estimator], folds: Sequence[in
     """Each row predicted by a model fitted on the other folds (k fits, one per fold).
 
     Like ``CrossValidator(parallelism=…)``, up to ``parallelism`` fold fits are
-    submitted concurrently; each fit is itself a distributed job."""
+    submitted concurrently; each fit is itself a distributed job.  ``make`` may take
+    the training fold's statistics (``n_rows``, ``sigma_y``) as keywords."""
+    needs = "n_rows" in inspect.signature(make).parameters
+    stats = fold_statistics(df, folds, label, fold) if needs else {}
+
     def one(f):
-        m = make().fit(df.where(F.col(fold) != f))
+        m = (make(**stats[f]) if needs else make()).fit(df.where(F.col(fold) != f))
         p = m.transform(df.where(F.col(fold) == f))
         return p.select(F.lit(model_name).alias("model"), row_id, fold, F.col(label).alias("y_true"),
                         F.col("prediction").alias("y_pred"))
@@ -162,16 +221,19 @@ def refit_predict(df: DataFrame, make: Callable[[], Estimator], label: str = "la
 
 def benchmark(df: DataFrame, grid: dict[str, Callable[[], Estimator]], folds: Sequence[int], task: str,
               label: str = "label") -> tuple[DataFrame, list[dict]]:
-    """V05 + E20 + E21 over a model grid: OOF table and one status row per model."""
+    """V05 + E20 + E21 over a model grid: OOF table and one status row per model.
+    The entry ``knn`` takes the table and returns its OOF rows (staged, so that its time is measured)."""
     oofs, status = [], []
     for name, make in grid.items():
         t0 = time.time()
         try:
-            o = oof_predict(df, make, folds, name, label)
+            o = make(df) if name == "knn" else oof_predict(df, make, folds, name, label)
             oofs.append(o)
             status.append({"model": name, "status": "ok", "error": None, "fit_time_s": time.time() - t0})
         except Exception as e:  # noqa: BLE001 - a failed model stays as a row (E21)
-            status.append({"model": name, "status": "error", "error": str(e)[:500], "fit_time_s": time.time() - t0})
+            status.append({"model": name, "status": "error", "error": str(e), "fit_time_s": time.time() - t0})
+    if not oofs:
+        raise RuntimeError(f"every model failed: {status}")
     oof = oofs[0]
     for o in oofs[1:]:
         oof = oof.unionByName(o)
@@ -197,13 +259,24 @@ def importance_spread(spark, model, names: Sequence[str]) -> DataFrame:
     return df.groupBy("feature").agg(F.avg("importance").alias("mean"), F.stddev_pop("importance").alias("std"))
 
 
-def permute_column(df: DataFrame, col: str, seed: int, row_id: str = "row_id") -> DataFrame:
-    """E19 helper: a seeded permutation of one column (hash order vs id order, joined on position)."""
+def permuted_copies(df: DataFrame, features: Sequence[str], repeats: int, seed: int = SEED, row_id: str = "row_id") -> DataFrame:
+    """E19 helper: for every feature and repeat a copy of the table in which that feature is permuted.
+
+    Rows are numbered once in a hash order; in a repeat each row takes the feature of the row a seeded distance
+    further on in that order (a permutation without fixed points).  One numbering and one join for all copies."""
     from flankwear.operators.ordering import with_position
-    a = with_position(df, [], [row_id], name="_p")
-    b = with_position(df.select(row_id, F.col(col).alias("_perm")).withColumn(
-        "_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_id).cast("string")))), [], ["_h"], name="_p")
-    return a.join(b.select("_p", "_perm"), "_p").drop(col, "_p").withColumnRenamed("_perm", col)
+    h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_id).cast("string")))
+    base = write_stage(with_position(df.withColumn("_h", h), [], ["_h", row_id], name="_p", count_name="_n").drop("_h"))
+    rng = np.random.default_rng(seed)
+    shift = F.array(*[F.lit(float(u)) for u in rng.random(repeats)])
+    step = F.floor(F.element_at(shift, F.col("repeat") + 1) * F.greatest(F.lit(1), F.col("_n") - 1)) + 1
+    other = base.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_o_{c}") for c in features])
+    each = base.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))) \
+        .withColumn("_q", F.pmod(F.col("_p") + step, F.col("_n")))
+    each = each.join(other, "_q").withColumn("feature", F.explode(F.array(*[F.lit(c) for c in features])))
+    for c in features:
+        each = each.withColumn(c, F.when(F.col("feature") == c, F.col(f"_o_{c}")).otherwise(F.col(c)))
+    return each.drop("_p", "_q", "_n", *[f"_o_{c}" for c in features])
 
 
 # ------------------------------------------------------------------ J09 / J10 / M11 / M12: exact block-pair kNN
@@ -212,67 +285,62 @@ def _blocks(n: int, target: int) -> int:
 
 
 def knn(query: DataFrame, ref: DataFrame, k: int, vec: str = "vec", qid: str = "qid", rid: str = "rid",
-        within: str | None = None, exclude_self: bool = False, block_rows: int | None = None) -> DataFrame:
+        within: str | None = None, exclude_self: bool = False, block_rows: int = 4096, differ: str | None = None) -> DataFrame:
     """Exact k nearest references per query row: ``(qid, rid, dist2, rank)``.
 
-    ``within`` restricts neighbours to rows with the same value (e.g. class).
-    Query rows go to ``bq`` blocks and references to ``br`` blocks; each query
-    block meets each reference block once (query rows copied ``br`` times,
-    references ``bq`` times), so the work is exact brute force but a task never
-    holds more than two blocks, and only ``k`` candidates per query row and
-    block leave the task.
+    ``within`` restricts neighbours to rows with the same value (e.g. class), ``differ`` to rows with
+    another value (e.g. fold).  Query and reference rows go to blocks of about ``block_rows`` rows and
+    every pair of blocks meets once, so the work is exact brute force, but a task never holds more than
+    two blocks and the distances of a slice, and only ``k`` candidates per query row leave it.
     """
-    nq, nr = query.count(), ref.count()
-    # blocks of 1k-16k rows: at most ~64 blocks per side below a million rows, which
-    # bounds the copy factor of each side while a task holds only two blocks
-    size = block_rows or min(16384, max(1024, math.ceil(max(nq, nr) / 64)))
-    bq, br = _blocks(nq, size), _blocks(nr, size)
+    bq, br = _blocks(query.count(), block_rows), _blocks(ref.count(), block_rows)
     g = [within] if within else []
-    q = (query.select(F.col(qid).alias("_id"), F.col(vec).alias("_v"), *g)
+    extra = [F.col(differ).alias("_d")] if differ else [F.lit(None).cast("int").alias("_d")]
+    q = (query.select(F.col(qid).alias("_id"), F.col(vec).alias("_v"), *extra, *g)
          .withColumn("_bq", F.pmod(F.xxhash64("_id"), F.lit(bq)))
          .withColumn("_br", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))))
-    r = (ref.select(F.col(rid).alias("_id"), F.col(vec).alias("_v"), *g)
+    r = (ref.select(F.col(rid).alias("_id"), F.col(vec).alias("_v"), *extra, *g)
          .withColumn("_br", F.pmod(F.xxhash64("_id"), F.lit(br)))
          .withColumn("_bq", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
-    q = q.withColumn("_side", F.lit(0))
-    r = r.withColumn("_side", F.lit(1))
-    both = q.unionByName(r)
-    keys = ["_bq", "_br", *g]
+    both = q.withColumn("_side", F.lit(0)).unionByName(r.withColumn("_side", F.lit(1)))
 
     def topk(pdf: pd.DataFrame) -> pd.DataFrame:
         qs, rs = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
+        none = pd.DataFrame({"qid": pd.Series(dtype="int64"), "rid": pd.Series(dtype="int64"), "dist2": pd.Series(dtype="float64")})
         if len(qs) == 0 or len(rs) == 0:
-            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "rid": pd.Series(dtype="int64"),
-                                 "dist2": pd.Series(dtype="float64")})
+            return none
         A = np.vstack(qs["_v"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
         B = np.vstack(rs["_v"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-        d2 = np.empty((A.shape[0], B.shape[0]))
+        qi, ri = qs["_id"].to_numpy(), rs["_id"].to_numpy()
+        dq, dr = qs["_d"].to_numpy(), rs["_d"].to_numpy()
+        out = []
         ch = max(1, int(4_000_000 // max(1, B.shape[0] * B.shape[1])))  # temporaries of ~32 MB
         for s0 in range(0, A.shape[0], ch):
             diff = A[s0:s0 + ch, None, :] - B[None, :, :]
-            d2[s0:s0 + ch] = np.einsum("ijk,ijk->ij", diff, diff)
-        qi, ri = qs["_id"].to_numpy(), rs["_id"].to_numpy()
-        if exclude_self:
-            d2 = np.where(qi[:, None] == ri[None, :], np.inf, d2)
-        kk = min(k, d2.shape[1])
-        order = np.lexsort((np.broadcast_to(ri, d2.shape), d2), axis=1)[:, :kk]
-        rows_q = np.repeat(qi, kk)
-        rows_r = ri[order].ravel()
-        dd = np.take_along_axis(d2, order, axis=1).ravel()
-        keep = np.isfinite(dd)
-        return pd.DataFrame({"qid": rows_q[keep], "rid": rows_r[keep], "dist2": dd[keep]})
-
-    cand = both.groupBy(*keys).applyInPandas(topk, "qid long, rid long, dist2 double")
-    best = (cand.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist2", "rid"))), 1, k).alias("_nn"))
-            .select("qid", F.posexplode("_nn").alias("_r", "_s"))
-            .select("qid", F.col("_s.rid").alias("rid"), F.col("_s.dist2").alias("dist2"), (F.col("_r") + 1).alias("rank")))
-    return best
+            d2 = np.einsum("ijk,ijk->ij", diff, diff)
+            if exclude_self:
+                d2[qi[s0:s0 + ch, None] == ri[None, :]] = np.inf
+            if differ:
+                d2[dq[s0:s0 + ch, None] == dr[None, :]] = np.inf
+            kk = min(k, d2.shape[1])
+            kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+            for j in range(len(d2)):
+                near = np.flatnonzero((d2[j] <= kth[j]) & np.isfinite(d2[j]))
+                near = near[np.lexsort((ri[near], d2[j][near]))[:kk]]
+                out.append(pd.DataFrame({"qid": qi[s0 + j], "rid": ri[near], "dist2": d2[j][near]}))
+        return pd.concat(out) if out else none
+
+    cand = both.groupBy("_bq", "_br", *g).applyInPandas(topk, "qid long, rid long, dist2 double")
+    w = Window.partitionBy("qid").orderBy("dist2", "rid")    # the group limit cuts to k rows before the shuffle
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rid", "dist2", "rank")
 
 
 def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, task: str = "classification", vec: str = "vec",
-                label: str = "label", row_id: str = "row_id") -> DataFrame:
+                label: str = "label", row_id: str = "row_id", differ: str | None = None) -> DataFrame:
     """Majority vote (ties to the smallest label) or mean of the k nearest training rows."""
-    nn = knn(test.select(F.col(row_id).alias("qid"), vec), train.select(F.col(row_id).alias("rid"), vec), k)
+    more = [differ] if differ else []
+    nn = knn(test.select(F.col(row_id).alias("qid"), vec, *more), train.select(F.col(row_id).alias("rid"), vec, *more), k,
+             vec=vec, differ=differ)
     lab = train.select(F.col(row_id).alias("rid"), F.col(label).alias("_y"))
     j = nn.join(lab, "rid")
     if task == "regression":
@@ -282,21 +350,35 @@ def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, task: str = "clas
         F.min_by("_y", F.struct(-F.col("_n"), F.col("_y"))).alias("prediction"))
 
 
-def knn_oof(df: DataFrame, k: int, folds: Sequence[int], task: str, vec: str = "vec", label: str = "label",
-            row_id: str = "row_id", fold: str = "fold", model_name: str = "knn", parallelism: int = 4) -> DataFrame:
-    """V05 for M11/M12 (fold plans built concurrently, like ``oof_predict``)."""
-    def one(f):
-        p = knn_predict(df.where(F.col(fold) != f), df.where(F.col(fold) == f), k, task, vec, label, row_id)
-        return (p.join(df.select(row_id, fold, F.col(label).alias("y_true")), row_id)
-                .select(F.lit(model_name).alias("model"), row_id, fold, "y_true", F.col("prediction").alias("y_pred")))
+def knn_oof(df: DataFrame, k: int, task: str, vec: str = "vec", label: str = "label",
+            row_id: str = "row_id", fold: str = "fold", model_name: str = "knn") -> DataFrame:
+    """V05 for M11/M12: one block plan in which references of the query's own fold do not count."""
+    p = knn_predict(df, df, k, task, vec, label, row_id, differ=fold)
+    return (p.join(df.select(row_id, fold, F.col(label).alias("y_true")), row_id)
+            .select(F.lit(model_name).alias("model"), row_id, fold, "y_true", F.col("prediction").alias("y_pred")))
 
-    folds = list(folds)
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(folds)))) as pool:
-        parts = list(pool.map(one, folds))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+def scale_by_fold(df: DataFrame, folds: Sequence[int], vec: str = "vec", fold: str = "fold", out: str = "vec") -> list[DataFrame]:
+    """M01 inside the folds for models without an estimator: per fold the whole table, standardised with the means
+    and deviations of the other folds."""
+    parts = []
+    for f in folds:
+        m = StandardScaler(inputCol="_in", outputCol="_out", withMean=True).fit(
+            df.where(F.col(fold) != f).withColumn("_in", array_to_vector(vec)))
+        parts.append(m.transform(df.withColumn("_in", array_to_vector(vec))).withColumn(out, vector_to_array("_out")).drop("_in", "_out"))
+    return parts
+
+
+def knn_oof_scaled(df: DataFrame, k: int, folds: Sequence[int], task: str, vec: str = "vec", label: str = "label",
+                   row_id: str = "row_id", fold: str = "fold", model_name: str = "knn") -> DataFrame:
+    """M11 / M12 as in the benchmark: scaled on each training fold, then voted; written once."""
+    out = None
+    for f, scaled in zip(folds, scale_by_fold(df, folds, vec, fold)):
+        p = knn_predict(scaled.where(F.col(fold) != f), scaled.where(F.col(fold) == f), k, task, vec, label, row_id)
+        p = (p.join(df.select(row_id, fold, F.col(label).alias("y_true")), row_id)
+             .select(F.lit(model_name).alias("model"), row_id, fold, "y_true", F.col("prediction").alias("y_pred")))
+        out = p if out is None else out.unionByName(p)
+    return write_stage(out)
 
 
 # ------------------------------------------------------------------ B03 SMOTE
@@ -316,8 +398,8 @@ def smote(df: DataFrame, y: str, vec: str = "vec", row_id: str = "row_id", k: in
     need = F.col("_nmax") - F.col("_nc")
     copies = F.when(need > F.col("_p"), F.ceil((need - F.col("_p")) / F.col("_nc"))).otherwise(0).cast("int")
     req = (base.where(copies > 0).select(row_id, y, vec, "_nc", F.explode(F.sequence(F.lit(0), copies - 1)).alias("_q")))
-    nn = knn(df.select(F.col(row_id).alias("qid"), vec, y), df.select(F.col(row_id).alias("rid"), vec, y), k,
-             within=y, exclude_self=True)
+    nn = knn(base.where(copies > 0).select(F.col(row_id).alias("qid"), vec, y), df.select(F.col(row_id).alias("rid"), vec, y), k,
+             vec=vec, within=y, exclude_self=True)
     kk = nn.groupBy("qid").agg(F.count(F.lit(1)).alias("_k"))
     hsh = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(row_id).cast("string"), F.col("_q").cast("string")))
     u1 = F.conv(F.substring(hsh, 1, 8), 16, 10).cast("double") / 4294967296.0
@@ -334,9 +416,6 @@ def smote(df: DataFrame, y: str, vec: str = "vec", row_id: str = "row_id", k: in
     return orig.unionByName(syn)
 
 
-
-
-
 # ------------------------------------------------------------------ M18, M20, E19
 def multi_output_predict(df: DataFrame, features: Sequence[str], targets: Sequence[str],
                          make: Callable[[str], Estimator], row_id: str = "row_id",
@@ -363,19 +442,17 @@ def with_source_feature(df: DataFrame, source: str = "source", out: str = "sourc
 
 def permutation_importance(model, df: DataFrame, features: Sequence[str], label: str = "label",
                            repeats: int = 10, seed: int = SEED, row_id: str = "row_id") -> DataFrame:
-    """Mean drop of the support-weighted F1 when one feature column is permuted
-    (seeded, per repeat).  One scoring job per (feature, repeat)."""
+    """Mean drop (and its deviation) of the support-weighted F1 when one feature column is permuted
+    (seeded, per repeat).  All features and repeats are scored in one plan."""
     from flankwear.operators.evaluate import classification_metrics
 
-    def score(frame: DataFrame) -> float:
+    def score(frame: DataFrame, by: list[str]) -> DataFrame:
         pred = model.transform(assemble(frame, features)).select(
-            F.lit("m").alias("model"), row_id, F.lit(0).alias("fold"),
-            F.col(label).cast("string").alias("y_true"), F.col("prediction").cast("string").alias("y_pred"))
-        return classification_metrics(pred).first().f1_weighted
-
-    base = score(df)
-    rows = []
-    for f in features:
-        drops = [base - score(permute_column(df, f, seed + r, row_id)) for r in range(repeats)]
-        rows.append((f, float(np.mean(drops)), float(np.std(drops))))
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double, importance_std double")
+            *by, row_id, F.col(label).cast("string").alias("y_true"), F.col("prediction").cast("string").alias("y_pred"))
+        return classification_metrics(pred, by).select(*by, "f1_weighted")
+
+    whole = score(df.withColumn("model", F.lit("m")), ["model"]).select(F.col("f1_weighted").alias("_whole"))
+    each = score(permuted_copies(df, features, repeats, seed, row_id), ["feature", "repeat"])
+    drop = F.col("_whole") - F.col("f1_weighted")
+    return (with_scalars(each, whole).groupBy("feature")
+            .agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("importance_std")))

@@ -21,7 +21,6 @@ from flankwear.operators import profile as pr
 from flankwear.operators import report as rp
 from flankwear.operators import signal_stats as ss
 from flankwear.operators import wear as wr
-from flankwear.operators.joins import bounded_broadcast
 from flankwear.sources import files as fs
 from flankwear.session import write_stage
 from flankwear.sources import sinks as sk
@@ -35,9 +34,7 @@ def _p(out: str, name: str) -> str:
 
 def step_profile(spark: SparkSession, path: str, out: str, target: str | None = None) -> str:
     """Step 1: classify the source and profile it; returns the source kind."""
-    probe = spark.read.option("header", "false").option("inferSchema", "true") \
-        .option("recursiveFileLookup", "true").csv(path)
-    kind = fs.classify_source(probe.schema) if not path.endswith(".parquet") else "table"
+    kind = "table" if path.endswith(".parquet") else fs.probe_source(spark, path)
     if kind == "raw_signals":
         sig = fs.with_pass_key(fs.read_signals(spark, path))
         wear = wr.wear_table(fs.read_wear(spark, path))
@@ -45,12 +42,14 @@ def step_profile(spark: SparkSession, path: str, out: str, target: str | None =
     else:
         kind = "table"
         prof = pr.profile_table(fs.read_table(spark, path), target=target)
-    sk.write_profile(prof.withColumn("kind", F.lit(kind)), _p(out, "profile"), "profile")
+    sk.write_profile(prof.withColumn("kind", F.lit(kind)).withColumn("written_at", F.current_timestamp().cast("string")),
+                     _p(out, "profile"), "profile")
     return kind
 
 
 def step_features(spark: SparkSession, path: str, out: str, kind: str, target: str | None = None) -> DataFrame:
-    """Step 2: pass features + wear labels (raw signals), or cleaned feature table."""
+    """Step 2: pass features + wear labels (raw signals), or the table's recommended features (step 1's profile:
+    neither meta nor leaky), complete cases only."""
     if kind == "raw_signals":
         sig = fs.with_pass_key(fs.read_signals(spark, path)).select("tool", "passe", "channel", "i", "x")
         feats = ss.extract_pass_features(sig)
@@ -60,11 +59,12 @@ def step_features(spark: SparkSession, path: str, out: str, kind: str, target: s
         cols = [c for c in table.columns if c not in ("tool", "passe", "vb_mean", "etat")]
     else:
         df = fs.read_table(spark, path)
-        y = pr.detect_target(df.schema, target=target)
-        meta = pr.detect_meta(df, y)
-        cols = pr.select_features(df, meta, [], y)
+        prof = latest_profile(spark, out)
+        y = target or prof["target_column"]
+        cols = pr.select_features(df, prof["meta_columns"] or [], prof["features_leaky"] or [], y, prof["features_recommended"])
         table = pr.complete_cases(df, [*cols, y])
-    table = table.withColumn("row_id", F.xxhash64(*[F.col(f"`{c}`") for c in table.columns]))
+    # ids are unique, also of equal rows, and fixed by being written
+    table = table.withColumn("row_id", F.monotonically_increasing_id())
     table = table.select("row_id", F.col(y).cast("string").alias("y"), *cols)
     sk.write_features(table, _p(out, "features"), partition_by=None)
     return spark.read.parquet(_p(out, "features"))
@@ -79,57 +79,76 @@ def step_balance(spark: SparkSession, feats: DataFrame, out: str) -> DataFrame:
     return w
 
 
-def step_benchmark(spark: SparkSession, feats: DataFrame, out: str, cv: int = 5,
-                   models: Sequence[str] = DEFAULT_MODELS) -> tuple[DataFrame, DataFrame]:
-    """Step 4: encode, fold, fit every model once per fold, keep the OOF table."""
-    mapping = label_mapping(feats, "y")
-    enc = feats.join(bounded_broadcast(mapping.withColumnRenamed("label", "y")), "y")
-    k = ba.n_splits(enc, "y", cv).first()[0]
+def _grid(models: Sequence[str], task: str, n_features: int, n_classes: int | None, weight_col: str | None, k: int) -> dict:
+    def maker(name: str):
+        if name == "knn":                # scaled on each training fold, like the other distance-based models
+            return lambda df: mo.knn_oof_scaled(df, 5, range(k), task)
+        if name == "mlp":                # Spark's network takes no weights
+            return lambda: mo.make_model(name, task, n_features=n_features, n_classes=n_classes, scale=True)
+        return lambda n_rows, sigma_y: mo.make_model(name, task, n_features=n_features, n_classes=n_classes, weight_col=weight_col,
+                                                     n_rows=n_rows, sigma_y=sigma_y, scale=True)
+    return {name: maker(name) for name in models}
+
+
+def step_benchmark(spark: SparkSession, feats: DataFrame, out: str, cv: int = 5, models: Sequence[str] = DEFAULT_MODELS,
+                   task: str = "classification") -> tuple[DataFrame, DataFrame]:
+    """Step 4: encode (classification: with step 3's class weights), fold, fit every model once per fold with its
+    scaling inside the fold, keep the OOF table; metrics are means and deviations of the folds' scores."""
     cols = [c for c in feats.columns if c not in ("row_id", "y")]
-    enc = ba.stratified_folds(enc, "y", k).withColumn("label", F.col("label_idx").cast("double"))
+    weight_col, n_classes = None, None
+    if task == "classification":
+        mapping = label_mapping(feats, "y")
+        n_classes = mapping.count()
+        enc = feats.join(mapping.withColumnRenamed("label", "y"), "y")
+        enc = ba.with_weights(enc, "y", spark.read.parquet(_p(out, "class_weights")))
+        k = ba.n_splits(enc, "y", cv).first()[0]
+        enc = ba.stratified_folds(enc, "y", k).withColumn("label", F.col("label_idx").cast("double"))
+        weight_col = "weight"
+    else:
+        enc = feats.withColumn("label", F.expr("try_cast(y AS double)")).where("label IS NOT NULL")
+        k = ba.n_splits(enc, None, cv).first()[0]
+        enc = ba.kfolds(enc, k)
     enc = mo.assemble(enc, cols).withColumn("vec", F.array(*[F.col(f"`{c}`").cast("double") for c in cols]))
     # read k x models times by the fits: written once (rule R6), not recomputed per fit
     enc = write_stage(enc)
-    n_classes = mapping.count()
-    grid = {}
-    for name in models:
-        if name == "knn":
-            continue
-        grid[name] = (lambda name=name: mo.make_model(name, "classification", n_features=len(cols),
-                                                      n_classes=n_classes))
-    oof, status = mo.benchmark(enc, grid, range(k), "classification")
-    if "knn" in models:
-        oof = oof.unionByName(mo.knn_oof(enc.select("row_id", "vec", "label", "fold"), 5, range(k),
-                                         "classification", model_name="knn"))
-        status.append({"model": "knn", "status": "ok", "error": None, "fit_time_s": 0.0})
-    oof = oof.select("model", "row_id", "fold", F.col("y_true").cast("string").alias("y_true"),
-                     F.col("y_pred").cast("int").cast("string").alias("y_pred"))
-    oof = oof.withColumn("y_true", F.regexp_replace("y_true", r"\.0$", ""))
-    metrics = ev.classification_metrics(oof).join(mo.status_table(spark, status), "model", "right")
-    sk.write_results(oof, metrics, spark.createDataFrame([(json.dumps({"cv": k}),)], "meta string"),
+    oof, status = mo.benchmark(enc, _grid(models, task, len(cols), n_classes, weight_col, k), range(k), task)
+    oof = oof.select("model", "row_id", "fold", "y_true", "y_pred")
+    if task == "classification":
+        oof = oof.withColumns({c: F.col(c).cast("int").cast("string") for c in ("y_true", "y_pred")})
+    metrics = ev.fold_summary(oof, task).join(mo.status_table(spark, status), "model", "right")
+    sk.write_results(oof, metrics, spark.createDataFrame([(json.dumps({"cv": k, "task": task}),)], "meta string"),
                      _p(out, "results"))
     return oof, metrics
 
 
-def step_report(spark: SparkSession, oof: DataFrame, metrics: DataFrame, out: str) -> None:
-    """Step 5: leaderboard, radar and confusion tables."""
-    rp.leaderboard(metrics, "f1_macro").write.mode("overwrite").parquet(_p(out, "leaderboard"))
-    rp.radar_scores(rp.ok_only(metrics), ["accuracy", "balanced_accuracy", "f1_macro"]) \
+def step_report(spark: SparkSession, oof: DataFrame, metrics: DataFrame, out: str, task: str = "classification") -> None:
+    """Step 5: leaderboard, radar and (classification) confusion or (regression) residual tables."""
+    cls = task == "classification"
+    rp.leaderboard(metrics, "f1_macro" if cls else "r2").write.mode("overwrite").parquet(_p(out, "leaderboard"))
+    rp.radar_scores(rp.ok_only(metrics), ["accuracy", "balanced_accuracy", "f1_macro"] if cls else ["r2", "mae", "rmse"]) \
         .write.mode("overwrite").parquet(_p(out, "radar"))
-    ev.confusion_matrix(oof).write.mode("overwrite").parquet(_p(out, "confusion"))
+    if cls:
+        ev.confusion_matrix(oof).write.mode("overwrite").parquet(_p(out, "confusion"))
+    else:
+        ev.residual_rmse(oof).write.mode("overwrite").parquet(_p(out, "residuals"))
+
+
+def latest_profile(spark: SparkSession, out: str):
+    """The profile document written last (profiles are appended, one per run)."""
+    return spark.read.json(_p(out, "profile")).orderBy(F.desc("written_at")).first()
 
 
 def run(spark: SparkSession, path: str, out: str, cv: int = 5, target: str | None = None,
         models: Sequence[str] = DEFAULT_MODELS, from_step: int = 1) -> None:
     """Run steps ``from_step``..5; earlier steps are read back from ``out``."""
-    kind = step_profile(spark, path, out, target) if from_step <= 1 else \
-        spark.read.json(_p(out, "profile")).first().kind
+    kind = step_profile(spark, path, out, target) if from_step <= 1 else latest_profile(spark, out)["kind"]
+    task = "classification" if kind == "raw_signals" else latest_profile(spark, out)["task"]
     feats = step_features(spark, path, out, kind, target) if from_step <= 2 else spark.read.parquet(_p(out, "features"))
-    if from_step <= 3:
+    if from_step <= 3 and task == "classification":
         step_balance(spark, feats, out)
     if from_step <= 4:
-        oof, metrics = step_benchmark(spark, feats, out, cv, models)
+        oof, metrics = step_benchmark(spark, feats, out, cv, models, task)
     else:
         oof = spark.read.parquet(_p(out, "results", ) + "/oof")
         metrics = spark.read.parquet(_p(out, "results") + "/metrics")
-    step_report(spark, oof, metrics, out)
+    step_report(spark, oof, metrics, out, task)

@@ -49,13 +49,13 @@ lab AS (SELECT q, f.label AS y FROM nn JOIN f ON f.vec_id = nn.rr)"""
 SELECT 'knn' AS model, v.q AS row_id, f.fold, CAST(f.label AS DOUBLE) AS y_true, CAST(arg_min(v.y, (-v.n, v.y)) AS DOUBLE) AS y_pred
 FROM votes v JOIN f ON f.vec_id = v.q GROUP BY v.q, f.fold, f.label""")
 def q_m11(spark, d):
-    return mo.knn_oof(emb(spark, d), 5, range(5), "classification")
+    return mo.knn_oof(emb(spark, d), 5, "classification")
 
 
 @register("m12_knn_regressor", with_ctes(KNN_SQL) + """SELECT 'knn' AS model, l.q AS row_id, f.fold, CAST(f.label AS DOUBLE) AS y_true, """
           + r("avg(l.y)", "y_pred") + " FROM lab l JOIN f ON f.vec_id = l.q GROUP BY l.q, f.fold, f.label")
 def q_m12(spark, d):
-    return present(mo.knn_oof(emb(spark, d), 5, range(5), "regression"))
+    return present(mo.knn_oof(emb(spark, d), 5, "regression"))
 
 
 @register("b03_j09_smote")
@@ -73,7 +73,33 @@ def _ml_table(spark, d):
 @register("v05_m14_logistic_oof")
 def q_v05(spark, d):
     t = _ml_table(spark, d)
-    return mo.oof_predict(t, lambda: mo.make_model("logistic_regression", "classification"), range(5), "logistic_regression")
+    return mo.oof_predict(t, lambda n_rows, sigma_y: mo.make_model("logistic_regression", "classification", n_rows=n_rows, scale=True),
+                          range(5), "logistic_regression")
+
+
+@register("v05_m15_ridge_oof")
+def q_v05r(spark, d):
+    t = _ml_table(spark, d)
+    return mo.oof_predict(t, lambda n_rows, sigma_y: mo.make_model("ridge", "regression", n_rows=n_rows, sigma_y=sigma_y, scale=True),
+                          range(5), "ridge")
+
+
+@register("v05_m09_svc_oof")
+def q_v05s(spark, d):
+    t = _ml_table(spark, d)
+    return mo.oof_predict(t, lambda n_rows, sigma_y: mo.make_model("svm", "classification", n_rows=n_rows, scale=True), range(5), "svm")
+
+
+@register("e19_permutation_importance")
+def q_e19(spark, d):
+    """Drop of the weighted F1 of a decision tree when a line item's column is permuted (target: return flag)."""
+    from flankwear.functions import scalar as fx
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    li = b.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), "l_returnflag",
+                                              *[F.col(c).cast("double").alias(c) for c in cols])
+    t = fx.label_encode(li, "l_returnflag", out="label").withColumn("label", F.col("label").cast("double"))
+    m = mo.make_model("decision_tree", "classification").fit(mo.assemble(t, cols))
+    return mo.permutation_importance(m, t, cols, repeats=10)
 
 
 @register("v05_m13_tree_oof")
@@ -86,20 +112,23 @@ def q_v05t(spark, d):
 def q_e17(spark, d):
     t = _ml_table(spark, d)
     m = mo.make_model("decision_tree", "classification").fit(t)
-    return mo.feature_importances(spark, m, [f"dim_{i}" for i in range(64)])
+    return mo.feature_importances(spark, m, [f"dim_{i}" for i in range(m.numFeatures)])
 
 
 @register("m18_multi_output_tree")
 def q_m18(spark, d):
+    """Five energy targets from command, program and feed stand-ins, out of fold; no target is a feature."""
     from flankwear.functions import scalar as fx
-    p = b.programs(spark, d)
-    p = fx.one_hot(p, "Commands", ["A", "N", "R"]).withColumn("row_id", F.monotonically_increasing_id())
-    p = p.withColumn("is_F", (F.col("program") == "F").cast("int"))
-    p = p.withColumnRenamed("ENERGY|x", "E_x").withColumnRenamed("ENERGY|z", "E_z").withColumnRenamed("ENERGY|S", "E_S")
     from flankwear.session import write_stage
-    p = write_stage(p.select("row_id", "Commands_A", "Commands_N", "Commands_R", "is_F", "E_x", "E_z", "E_S"))
-    feats = ["Commands_A", "Commands_N", "Commands_R", "is_F", "E_z", "E_S"]
-    return mo.multi_output_predict(p, feats, ["E_x"], lambda t: mo.make_model("decision_tree", "regression", label=t))
+    li = b.table(spark, d, "lineitem")
+    targets = {"E_x": "l_quantity", "E_y": "l_extendedprice", "E_z": "l_discount", "E_S": "l_tax", "E_T": "l_linenumber"}
+    p = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.col("l_returnflag").alias("Commands"),
+                  (F.col("l_linestatus") == "F").cast("int").alias("is_F"), (F.col("l_suppkey") % 100).cast("double").alias("F_val"),
+                  (F.col("l_partkey") % 100).cast("double").alias("delta_X"),
+                  *[F.col(c).cast("double").alias(t) for t, c in targets.items()])
+    p = write_stage(ba.kfolds(fx.one_hot(p, "Commands", ["A", "N", "R"]), 3))
+    feats = ["Commands_A", "Commands_N", "Commands_R", "is_F", "F_val", "delta_X"]
+    return mo.multi_output_predict(p, feats, list(targets), lambda t: mo.make_model("decision_tree", "regression", label=t), folds=range(3))
 
 
 @register("m20_source_feature", """SELECT source, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS source_idx

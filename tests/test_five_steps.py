@@ -25,3 +25,20 @@ def test_five_steps_raw_signals(spark, tmp_path):
     oof = spark.read.parquet(out + "/results/oof")
     feats = spark.read.parquet(out + "/features")
     assert oof.groupBy("model").count().where(F.col("count") != feats.count()).count() == 0
+
+
+def test_five_steps_tables_and_regression(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 3))
+    y = x[:, 0] * 2 + x[:, 1] + rng.normal(scale=0.1, size=90)
+    lines = ["p,q,r,leak,sample_no,wear"] + [f"{a:.4f},{b:.4f},{c:.4f},{v * 3:.6f},{i},{v:.6f}" for i, ((a, b, c), v) in enumerate(zip(x, y))]
+    lines += lines[-1:]          # a repeated row is a row of its own
+    (tmp_path / "t.csv").write_text("\n".join(lines) + "\n")
+    out = str(tmp_path / "out")
+    pl.run(spark, str(tmp_path / "t.csv"), out, cv=3, models=("ridge", "decision_tree", "knn"))
+    feats = spark.read.parquet(out + "/features")
+    assert feats.columns == ["row_id", "y", "p", "q", "r"]               # leaky and meta columns are gone
+    assert feats.count() == 91 == feats.select("row_id").distinct().count()
+    lb = {r.model: r for r in spark.read.parquet(out + "/leaderboard").collect()}
+    assert lb["ridge"].r2 > 0.9 and lb["ridge"].rank == 1 and lb["ridge"].r2_std is not None and lb["knn"].fit_time_s > 0
+    assert spark.read.parquet(out + "/residuals").count() == 3

@@ -161,21 +161,76 @@ def test_approx_quantiles_close_to_exact(spark):
     assert ex["hot"] == pytest.approx(ap["hot"], abs=0.01) and set(ex) == set(ap)
 
 
-@pytest.mark.parametrize("hot_rows", [100, 10_000_000])
-def test_hybrid_hot_and_cold_groups(spark, hot_rows):
+@pytest.mark.parametrize("slices", [None, 1, 7])
+def test_hot_and_cold_groups(spark, slices):
     rng = np.random.default_rng(4)
     rows = [("hot", float(v)) for v in rng.normal(size=3000)] + \
            [(f"k{i % 7}", float(v)) for i, v in enumerate(rng.normal(size=300))] + \
            [(None, float(v)) for v in rng.normal(size=150)]
     df = spark.createDataFrame(rows, "k string, v double")
-    a = with_position(df, ["k"], ["v"], name="pos", count_name="n", hot_rows=hot_rows)
+    a = with_position(df, ["k"], ["v"], name="pos", count_name="n", slices=slices)
     b = (df.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("v")) - 1)
          .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k"))))
     assert sorted(a.select("k", "v", "pos", "n").collect(), key=repr) == sorted(b.collect(), key=repr)
-    q = {r.k: (r.p25, r.p90) for r in exact_quantiles(df, ["k"], "v", {"p25": 0.25, "p90": 0.9},
-                                                       hot_rows=hot_rows).collect()}
+    q = {r.k: (r.p25, r.p90) for r in exact_quantiles(df, ["k"], "v", {"p25": 0.25, "p90": 0.9}, slices=slices).collect()}
     for key in ["hot", "k0", None]:
         xs = [v for k, v in rows if k == key]
         assert q[key] == pytest.approx((np.percentile(xs, 25), np.percentile(xs, 90)))
-    g = with_position(df.select("v"), [], ["v"], name="pos", hot_rows=hot_rows)
+    g = with_position(df.select("v"), [], ["v"], name="pos", slices=slices)
     assert sorted(r.pos for r in g.collect()) == list(range(len(rows)))
+    assert "SinglePartition" not in g._jdf.queryExecution().toString()
+    assert with_position(df.where("v > 99"), [], ["v"]).collect() == []
+
+
+def test_tail_probabilities_settle_for_large_degrees():
+    from flankwear.functions.pvalues import chi2_sf_value, t_two_sided_value
+    assert chi2_sf_value(1e6, 1e6) == pytest.approx(0.499812, abs=1e-6)
+    assert chi2_sf_value(1e8, 1e8) == pytest.approx(0.499981, abs=1e-6)
+    assert t_two_sided_value(1.959963984540054, 1e9) == pytest.approx(0.05, abs=1e-8)
+    assert t_two_sided_value(12.706204736432095, 1) == pytest.approx(0.05, abs=1e-9)
+    assert chi2_sf_value(0.0, 3) == 1.0 and np.isnan(chi2_sf_value(-1.0, 3))
+
+
+def test_edge_values_do_not_divide_by_zero(spark):
+    from flankwear.operators import evaluate as ev
+    from flankwear.operators import stats as st
+    oof = spark.createDataFrame([("a", 1.0, 1.0), ("a", 1.0, 1.0), ("b", 2.0, 1.0), ("b", 2.0, 2.0), ("c", 1.0, 1.0), ("c", 2.0, 1.0)],
+                                "model string, y_true double, y_pred double")
+    got = {r.model: r.r2 for r in ev.regression_metrics(oof).collect()}
+    assert got["a"] == 1.0 and got["b"] == 0.0 and got["c"] == pytest.approx(-1.0)
+    tied = spark.createDataFrame([("g", 1.0), ("h", 1.0), ("h", 1.0)], "g string, x double")
+    assert tuple(st.kruskal(tied, "x", "g").select("H", "p").first()) == (None, None) or \
+        all(v is None or np.isnan(v) for v in st.kruskal(tied, "x", "g").select("H", "p").first())
+    line = spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(5)], "x double, y double")
+    assert st.linreg(line, "x", "y").first().p == 0.0
+    assert st.linreg(line.where("x < 2"), "x", "y").first().p is None
+
+
+def test_grid_models(spark):
+    rng = np.random.default_rng(8)
+    X = rng.normal(size=(160, 3))
+    y = (X[:, 0] > 0).astype(float)
+    rows = [(i, float("nan") if i % 9 == 0 else float(X[i, 0]), *map(float, X[i, 1:]), float(y[i]), float(X[i, 0] * 2 + X[i, 1]))
+            for i in range(160)]
+    df = mo.assemble(spark.createDataFrame(rows, "row_id long, a double, b double, c double, label double, t double"), ["a", "b", "c"])
+    hist = mo.make_model("hist_gradient_boosting", "regression", label="t")
+    hist.getStages()[1].setMaxIter(5)
+    assert hist.fit(df).transform(df).where("prediction IS NULL OR isnan(prediction)").count() == 0   # takes missing values
+    full = df.where("NOT isnan(a)")
+    extra = mo.make_model("extra_trees", "regression", label="t").setNumTrees(6).fit(full)
+    assert len({t.toDebugString.split("\n", 1)[1] for t in extra.trees}) > 1 and extra.getMaxDepth() == 30
+    assert mo.make_model("bagging", "regression").getMaxDepth() == 30
+    for name in ("logistic_regression", "svm"):
+        with pytest.raises(ValueError):
+            mo.make_model(name, "classification")
+    folds = ba.kfolds(full, 4)
+    stats = mo.fold_statistics(folds, range(4), "t")
+    rest = [r[5] for r in rows if not np.isnan(r[1])]
+    assert sum(s["n_rows"] for s in stats.values()) == 3 * len(rest)
+    oof = mo.oof_predict(folds, lambda n_rows, sigma_y: mo.make_model("ridge", "regression", label="t", n_rows=n_rows, sigma_y=sigma_y,
+                                                                       scale=True), range(4), "ridge", label="t")
+    assert oof.count() == len(rest) and oof.where("abs(y_true - y_pred) > 0.5").count() == 0
+    knn = mo.knn_oof(folds.withColumn("vec", F.array("a", "b", "c")), 5, "classification")
+    per_fold = mo.knn_oof_scaled(folds.withColumn("vec", F.array("a", "b", "c")), 5, range(4), "classification")
+    for o in (knn, per_fold):
+        assert o.count() == len(rest) and o.where("y_true = y_pred").count() > 0.8 * len(rest)
