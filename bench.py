@@ -22,6 +22,7 @@ from flankwear.operators import models as mo  # noqa: E402
 from flankwear.operators import profile as pr  # noqa: E402
 from flankwear.operators import signal_stats as ss  # noqa: E402
 from flankwear.operators import spectral as sp  # noqa: E402
+from flankwear.operators import stats as st  # noqa: E402
 from flankwear.operators import wear as wr  # noqa: E402
 from flankwear.plans import bindings as b  # noqa: E402
 from flankwear.plans import q_fusion, q_models, q_spectral  # noqa: E402
@@ -49,17 +50,18 @@ def plans(spark, d):
         "g08_welch_features": lambda: sp.extract_spectral_features(
             b.spectral_signals(spark, d), q_spectral.spectral_wear(spark, d), b.SPECTRAL_FS, b.SPECTRAL_L,
             channels=b.EVENT_CHANNELS, f0=q_spectral.F0),
-        "a41_profile": lambda: pr.describe(b.table(spark, d, "lineitem"),
-                                           ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
-        .join(pr.null_profile(b.table(spark, d, "lineitem")).withColumnRenamed("n_rows", "rows"), "column", "left"),
+        "a41_profile": lambda: pr.profile_table(b.table(spark, d, "lineitem"), target="l_returnflag"),
+        "a28_describe": lambda: pr.describe(b.table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]),
+        # one group holds all rows
+        "w10_hot_group_ranks": lambda: st.avg_rank(b.table(spark, d, "lineitem"), "l_extendedprice"),
         "u01_fusion": lambda: q_fusion.fused(spark, d),
         "v05_m14_logistic_oof": lambda: mo.oof_predict(
-            q_models._ml_table(spark, d), lambda: mo.make_model("logistic_regression", "classification"), range(5),
-            "logistic_regression"),
+            q_models._ml_table(spark, d), lambda n_rows, sigma_y: mo.make_model(
+                "logistic_regression", "classification", n_rows=n_rows, scale=True), range(5), "logistic_regression"),
         "e01_e09_metrics": lambda: ev.classification_metrics(b.oof_classification(spark, d))
         .join(ev.fold_summary(b.oof_classification(spark, d), "classification")
               .select("model", "accuracy_std", "f1_macro_std"), "model"),
-        "m11_knn_oof": lambda: mo.knn_oof(q_models.emb(spark, d), 5, range(5), "classification"),
+        "m11_knn_oof": lambda: mo.knn_oof(q_models.emb(spark, d), 5, "classification"),
         "x01_window_stats": lambda: __import__("flankwear.streaming.windows", fromlist=["x"]).tumbling_stats(
             b.table(spark, d, "events").select("ts", F.col("event_type").alias("channel"), F.col("value").alias("x")),
             "ts", "1 hour", ["channel"]),
