@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,30 +29,75 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flankwear.llm.common import stage
+from flankwear.llm.common import slices, stage
 
-CACHE = 250_000          # distinct chunks a worker keeps in each of two generations
-_SLICE = 2_000           # documents of one batch tokenised before rows are handed on
+CACHE = 160_000          # distinct chunks a worker keeps in each of two generations
+
+
+#: Printable stand-ins of bytes in byte-level vocabularies: visible Latin-1 characters stand for themselves, the others
+#: for U+0100 on, in order.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_STAND_IN = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_VISIBLE}))}
+#: Marks behind a word; not the apostrophe, which starts contractions.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_MARKS_B = _MARKS.encode()
 
 
 class ChunkCache(dict):
-    """Token ids (little-endian bytes) of white-space chunks; the pre-tokeniser never joins two chunks."""
+    """Token ids (little-endian bytes) of white-space chunks; the pre-tokeniser never joins two chunks.
+
+    Most chunks are one word of Latin letters and perhaps some marks behind it: the pre-tokeniser's two parts,
+    which go straight to the vocabulary model.  All others are encoded by the tokeniser itself."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         super().__init__()
-        self.encode, self.older = Tokenizer.from_file(path).encode, {}
+        self.whole, self.older = Tokenizer.from_file(path), {}
+        self.parts = self.whole.model.tokenize if _is_word_bpe(self.whole) else None
+
+    def _encode(self, chunk: bytes) -> bytes:
+        ids = self.whole.encode(chunk.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.parts(word)]).tobytes()
+
+    def _find(self, chunk: bytes) -> bytes:
+        if self.parts is None:
+            return self._encode(chunk)
+        stem = chunk.rstrip(_MARKS_B)
+        if len(stem) < len(chunk):       # letters and marks are parts of their own
+            if not stem:
+                return self._encode(chunk)
+            text = stem.decode("utf-8", "surrogatepass")
+            word = text.isalpha() and max(text) < "\u0250" and text.lower().isalpha()
+            return self[stem] + self[chunk[len(stem):]] if word else self._encode(chunk)
+        if chunk.isalpha():              # ASCII letters, lower case unless the text holds "<|"
+            return self._letters(chunk.decode().lower())
+        text = chunk.decode("utf-8", "surrogatepass")
+        if text.isalpha() and max(text) < "\u0250" and (low := text.lower()).isalpha():
+            return self._letters(low.encode().decode("latin-1").translate(_STAND_IN))
+        return self._encode(chunk)
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.older.get(chunk)
-        if ids is None:
-            text = chunk.decode("utf-8", "surrogatepass")
-            ids = np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        found = self.older.get(chunk)
+        if found is None:
+            found = self._find(chunk)
         if len(self) >= CACHE:
             self.older = dict(self)
             self.clear()
-        self[chunk] = ids
-        return ids
+        self[chunk] = found
+        return found
+
+
+def _is_word_bpe(tokenizer) -> bool:
+    """Whether the tokeniser lower-cases, splits letters from marks and is byte-level, so that the short way holds."""
+    import json
+    spec = json.loads(tokenizer.to_str())
+    steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    return (steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in split] == ["Split", "ByteLevel"]
+            and split[0]["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"})
 
 
 _CACHES: dict[str, ChunkCache] = {}
@@ -72,28 +118,26 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, with
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _CACHES.get(tokenizer) or _CACHES.setdefault(tokenizer, ChunkCache(tokenizer))
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for whole in batches:
-            for k in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(k, _SLICE)
-                row, piece, start, length, crc, nth, ids = [], [], [], [], [], [], []
-                for i, text in enumerate(batch.column("text").to_pylist()):
-                    buf = memoryview(token_bytes(text, cache) + end)
-                    for p, a in enumerate(range(0, len(buf), 4 * capacity)):
-                        body = buf[a:a + 4 * capacity]
-                        n = len(body) // 4
-                        row.append(i), piece.append(p), start.append(a // 4), length.append(n)
-                        crc.append(zlib.crc32(body)), nth.append(int(seen[n]))
-                        seen[n] += 1
-                        if with_ids:
-                            ids.append(np.frombuffer(body, "<u4").astype(np.int32))
-                cols = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
-                        pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
-                        pa.array([part] * len(row), pa.int32()), pa.array(nth, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
-                if with_ids:
-                    cols.append(pa.array(ids, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.record_batch(cols, names)
+        for batch in slices(batches):
+            row, piece, start, length, crc, nth, ids = [], [], [], [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                buf = memoryview(token_bytes(text, cache) + end)
+                for p, a in enumerate(range(0, len(buf), 4 * capacity)):
+                    body = buf[a:a + 4 * capacity]
+                    n = len(body) // 4
+                    row.append(i), piece.append(p), start.append(a // 4), length.append(n)
+                    crc.append(zlib.crc32(body)), nth.append(int(seen[n]))
+                    seen[n] += 1
+                    if with_ids:
+                        ids.append(np.frombuffer(body, "<u4").astype(np.int32))
+            cols = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
+                    pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
+                    pa.array([part] * len(row), pa.int32()), pa.array(nth, pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
+            if with_ids:
+                cols.append(pa.array(ids, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.record_batch(cols, names)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, "
