@@ -10,7 +10,6 @@ spread over many independent segments.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -19,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flankwear.operators.signal_stats import CHANNELS, STATS, channel_stats
-from flankwear.session import write_stage
 
 # Frequency bands (Hz), tooth-pass parameters and harmonic half-width.
 BANDS = [(0, 200), (200, 600), (600, 1500), (1500, 4000), (4000, 10000)]
@@ -51,34 +49,66 @@ def segments(sig: DataFrame, L: int, keys: Sequence[str] = ("tool", "passe", "ch
     arr = (s.groupBy(*keys, "seg")
            .agg(F.sort_array(F.collect_list(F.struct("j", "x"))).alias("_s"), F.count(F.lit(1)).alias("L"))
            .select(*keys, "seg", F.col("L").cast("int").alias("L"), F.col("_s.x").alias("x")))
-    # one row per group: the longest segment tells whether any segment is full
-    longest = arr.groupBy(*keys).agg(F.max("L").alias("_mx"))
-    arr = arr.join(longest, keys)
-    keep = (F.col("L") == F.lit(L)) | ((F.col("_mx") < F.lit(L)) & (F.col("seg") == 0))
-    return arr.where(keep).drop("_mx")
+    # one row per group: the last sample tells whether any segment is full
+    last = sig.groupBy(*keys).agg(F.max("i").alias("_last"))
+    arr = arr.join(last, keys)
+    keep = (F.col("L") == F.lit(L)) | ((F.col("_last") + 1 < F.lit(L)) & (F.col("seg") == 0))
+    return arr.where(keep).drop("_last")
+
+
+def _by_length(seg: pd.Series, fs: float):
+    """(row numbers, one-sided density) of the segments, batched by their length."""
+    lens = seg.map(len).to_numpy()
+    for L in np.unique(lens):
+        idx = np.nonzero(lens == L)[0]
+        x = np.vstack([np.asarray(seg.iloc[k], dtype=np.float64) for k in idx])
+        x = x - x.mean(axis=1, keepdims=True)             # constant detrend
+        w = 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(L) / L)  # periodic Hann
+        p = np.abs(np.fft.rfft(x * w, axis=1)) ** 2 / (fs * np.sum(w * w))
+        p[:, 1:-1 if L % 2 == 0 else None] *= 2.0
+        yield idx, int(L), p
 
 
 def _periodogram_udf(fs: float):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def periodogram(seg: pd.Series) -> pd.Series:
         out = [None] * len(seg)
-        lens = seg.map(len).to_numpy()
-        for L in np.unique(lens):
-            idx = np.nonzero(lens == L)[0]
-            x = np.vstack([np.asarray(seg.iloc[k], dtype=np.float64) for k in idx])
-            x = x - x.mean(axis=1, keepdims=True)             # constant detrend
-            w = 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(L) / L)  # periodic Hann
-            p = np.abs(np.fft.rfft(x * w, axis=1)) ** 2 / (fs * np.sum(w * w))
-            if L % 2 == 0:
-                p[:, 1:-1] *= 2.0
-            else:
-                p[:, 1:] *= 2.0
+        for idx, _, p in _by_length(seg, fs):
             for r, k in enumerate(idx):
                 out[k] = p[r].tolist()
         return pd.Series(out)
     return periodogram
 
 
+def segment_energies(sig: DataFrame, fs: float, L: int, f0: float, keys: Sequence[str] = ("tool", "passe", "channel"),
+                     bands=BANDS, n: int = N_HARMONICS, half: float = HARMONIC_HALF_WIDTH, eps: float = 1e-12) -> DataFrame:
+    """G02-G05 for features: band powers, their shares and harmonic energies as rows ``keys + (stat, v)``.
+
+    Sums over bins and the mean over segments commute, so a segment leaves its task as a dozen sums instead
+    of its spectrum, and only those are shuffled and averaged."""
+    keys = list(keys)
+    ranges = [(lo, hi, False) for lo, hi in bands] + [(f0 * h - half, f0 * h + half, True) for h in range(1, n + 1)]
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def sums(seg: pd.Series) -> pd.Series:
+        out = [None] * len(seg)
+        for idx, size, p in _by_length(seg, float(fs)):
+            freq = np.arange(p.shape[1]) * float(fs) / size
+            pick = [(freq >= lo) & ((freq <= hi) if closed else (freq < hi)) for lo, hi, closed in ranges]
+            rows = np.column_stack([p.sum(axis=1), *[p[:, m].sum(axis=1) for m in pick]])
+            for r, k in enumerate(idx):
+                out[k] = rows[r].tolist()
+        return pd.Series(out)
+
+    parts = segments(sig, L, keys).select(*keys, sums("x").alias("s"))
+    mean = parts.groupBy(*keys).agg(*[F.avg(F.get("s", F.lit(i))).alias(f"s{i}") for i in range(len(ranges) + 1)])
+    names = [f"band_{lo}_{hi}" for lo, hi in bands] + [f"tpf_h{h}" for h in range(1, n + 1)]
+    stats = [F.struct(F.lit(x).alias("stat"), F.col(f"s{i + 1}").alias("v")) for i, x in enumerate(names)]
+    stats += [F.struct(F.lit(f"{x}_rel").alias("stat"), (F.col(f"s{i + 1}") / (F.col("s0") + F.lit(eps))).alias("v"))
+              for i, x in enumerate(names[:len(bands)])]
+    return mean.select(*keys, F.explode(F.array(*stats)).alias("t")).select(*keys, "t.stat", "t.v")
+
+
 def welch(sig: DataFrame, fs: float, L: int, keys: Sequence[str] = ("tool", "passe", "channel")) -> DataFrame:
     """Welch PSD ``keys + (bin, freq, psd)``, one-sided density, mean over segments."""
     keys = list(keys)
@@ -168,22 +198,12 @@ def extract_spectral_features(sig: DataFrame, wear: DataFrame, fs: float, L: int
     transform the long ``(tool, passe, channel, stat, v)`` table before the pivot."""
     keys = ["tool", "passe", "channel"]
     f0 = f0 if f0 is not None else tooth_pass_hz()
-    # time statistics and the PSD are independent: their staging jobs run side by side.
-    # The PSD feeds four aggregations, so it is written once instead of re-running the UDF per reader.
-    with ThreadPoolExecutor(max_workers=2) as pool:
-        f_t = pool.submit(channel_stats, sig, keys)
-        f_p = pool.submit(lambda: write_stage(welch(sig, fs, L, keys)))
-        tstat, psd = f_t.result(), f_p.result()
-    tstat = (tstat.withColumnRenamed("max", "peak")
+    tstat = (channel_stats(sig, keys).withColumnRenamed("max", "peak")
              .withColumn("energy", F.col("energy_mean"))
              .withColumn("crest", F.col("peak") / (F.col("rms") + F.lit(1e-12))))
-    bp = band_power(psd, keys)
-    bl = bp.select(*keys, F.col("band").alias("stat"), F.col("power").alias("v")).unionByName(
-        bp.select(*keys, F.concat("band", F.lit("_rel")).alias("stat"), F.col("power_rel").alias("v")))
-    hl = tpf_energy(psd, f0, keys=keys).select(*keys, F.col("harmonic").alias("stat"), F.col("energy").alias("v"))
     tstats = [s if s != "max" else "peak" for s in STATS]
     tl = tstat.unpivot(keys, tstats, "stat", "v")
-    long = tl.unionByName(bl).unionByName(hl)
+    long = tl.unionByName(segment_energies(sig, fs, L, f0, keys))
     if long_hook is not None:
         long = long_hook(long)
     names = spectral_names()
