@@ -86,7 +86,8 @@ def q_v05r(spark, d):
 
 @register("v05_m09_svc_oof")
 def q_v05s(spark, d):
-    t = _ml_table(spark, d)
+    """Two classes: label 0 against the rest."""
+    t = _ml_table(spark, d).withColumn("label", (F.col("label") == 0).cast("double"))
     return mo.oof_predict(t, lambda n_rows, sigma_y: mo.make_model("svm", "classification", n_rows=n_rows, scale=True), range(5), "svm")
 
 
@@ -122,11 +123,12 @@ def q_m18(spark, d):
     from flankwear.session import write_stage
     li = b.table(spark, d, "lineitem")
     targets = {"E_x": "l_quantity", "E_y": "l_extendedprice", "E_z": "l_discount", "E_S": "l_tax", "E_T": "l_linenumber"}
-    p = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.col("l_returnflag").alias("Commands"),
+    p = li.select(F.monotonically_increasing_id().alias("row_id"), F.col("l_returnflag").alias("Commands"),
                   (F.col("l_linestatus") == "F").cast("int").alias("is_F"), (F.col("l_suppkey") % 100).cast("double").alias("F_val"),
                   (F.col("l_partkey") % 100).cast("double").alias("delta_X"),
                   *[F.col(c).cast("double").alias(t) for t, c in targets.items()])
-    p = write_stage(ba.kfolds(fx.one_hot(p, "Commands", ["A", "N", "R"]), 3))
+    # the ids are fixed by being written, before the folds are dealt
+    p = write_stage(ba.kfolds(write_stage(fx.one_hot(p, "Commands", ["A", "N", "R"])), 3))
     feats = ["Commands_A", "Commands_N", "Commands_R", "is_F", "F_val", "delta_X"]
     return mo.multi_output_predict(p, feats, list(targets), lambda t: mo.make_model("decision_tree", "regression", label=t), folds=range(3))
 
