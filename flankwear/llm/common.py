@@ -1,7 +1,10 @@
 """Small helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in pieces, so that only a few texts exist as Python strings at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Place of a public tokenizer's file (installed alike on all machines)."""
     import public_tokenizers
@@ -35,10 +45,12 @@ def ascii_words(text: Column) -> Column:
     return F.filter(F.split(lowered, WORD_BREAK), lambda w: w != "")
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose ``key`` is in ``ids`` (null-safe), all columns unchanged."""
-    k = ids.select(F.col(key).alias("__keep")).distinct()
-    return docs.join(k, docs[key].eqNullSafe(k["__keep"]), "left_semi")
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def bitmap(hashes: DataFrame, column: str) -> Column:

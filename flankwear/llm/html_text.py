@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flankwear.llm.common import slices
+
 BOILER, NEITHER, ARTICLE = 0, 1, 2       # zones
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "zone", "heading")
 
@@ -213,7 +215,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     tree = train_tree()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(x, tree) for x in batch.column("html").to_pylist()]
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                                    pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])

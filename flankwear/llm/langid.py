@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flankwear.llm.common import slices
+
 FIT_ROWS = 4_000         # labelled documents per language that train the model, on average
 BUCKETS = 1 << 15
 SMOOTH = 0.5             # added to every trigram count
@@ -75,7 +77,7 @@ def language_model(docs: DataFrame, train: Column) -> tuple[list[str], np.ndarra
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[str, np.ndarray] = {}
-            for batch in batches:
+            for batch in slices(batches):
                 for t, k in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                     if (g := trigrams(t)) is not None:
                         total.setdefault(k, np.zeros(BUCKETS))[g[0]] += g[1]
@@ -137,7 +139,7 @@ def identify(docs: DataFrame, train: Column | None = None) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, logp = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             pred, score, langs, shares = [], [], [], []
             for t in batch.column("text").to_pylist():
                 g = trigrams(t) if names else None
@@ -166,7 +168,7 @@ def drop_unidentified(docs: DataFrame, train: Column | None = None) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logp = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             grams = [trigrams(t) for t in batch.column("text").to_pylist()]
             keep = [g is not None and (not len(logp) or bool(mixture(g, logp).max() >= MIN_SHARE)) for g in grams]
             yield batch.filter(pa.array(keep, pa.bool_()))

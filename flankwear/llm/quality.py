@@ -6,7 +6,7 @@
 2. Expectation-maximisation on the pattern counts estimates, for every labeller, how often it casts each
    vote on good and on bad documents, and the share of good ones; labellers that overlap on a document
    correct each other.  Every pattern gets the posterior probability of being good.
-3. A bounded sample (``FIT_ROWS`` documents, by a hash of the text, ``FIT_PARTS`` groups) with posterior
+3. A bounded sample (``FIT_ROWS`` documents by a hash of the text, in groups of ``PART_ROWS``) with posterior
    labels trains linear scorers over hashed byte trigrams and hashed bands of text statistics, one per
    group; their weights are averaged.  The scorer then scores every whole text.
 
@@ -26,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIT_ROWS, FIT_PARTS = 12_000, 6       # bound of the training sample, and the groups that train side by side
+from flankwear.llm.common import slices
+
+FIT_ROWS, PART_ROWS = 12_000, 2_000   # bound of the training sample, and rows of each group that trains by itself
 BUCKETS = 1 << 15                     # hashed features
 KEEP_SCORE = 0.5
 FALSE_ALARM = 0.003                   # bound on P(labeller votes bad | good): its bad votes need extreme values
@@ -121,8 +123,10 @@ def features(raw: bytes, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[idx, BUCKETS - 256 + 16 * np.arange(len(STATS)) + band], np.r_[val, np.full(len(STATS), len(STATS) ** -0.5)]
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 6) -> np.ndarray:
-    """Weights (the last one is the bias) of a logistic scorer on soft labels; AdaGrad in row order."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 6, steps: int = 6000) -> np.ndarray:
+    """Weights (the last one is the bias) of a logistic scorer on soft labels; AdaGrad in row order, at least
+    ``epochs`` rounds and ``steps`` updates."""
+    epochs = max(epochs, -(-steps // max(1, len(rows))))
     w, g = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-3)
     for _ in range(epochs):
         for (i, x), t in zip(rows, target):
@@ -142,7 +146,7 @@ def _raw(text: str | None) -> bytes:
 def quality_model(docs: DataFrame) -> tuple[np.ndarray, dict[int, float], np.ndarray]:
     """(P(vote | class) per labeller, posterior by vote pattern, weights of the scorer)."""
     def cast_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.record_batch([pa.array([pattern(votes(text_stats(_raw(t)))) for t in batch.column("text").to_pylist()],
                                             pa.int32())], ["pattern"])
 
@@ -166,7 +170,8 @@ def quality_model(docs: DataFrame) -> tuple[np.ndarray, dict[int, float], np.nda
     sample = texts.where(h < int(share * (1 << 20))).withColumn("order", F.xxhash64("text", F.lit(6)))
     if share < 1:            # a text that very many rows repeat counts once
         sample = sample.dropDuplicates(["order"])
-    fitted = sample.groupBy(F.pmod("order", F.lit(FIT_PARTS)).alias("part")).applyInPandas(fit, "w array<double>, rows long")
+    groups = max(1, -(-min(FIT_ROWS, sum(counts.values())) // PART_ROWS))
+    fitted = sample.groupBy(F.pmod("order", F.lit(groups)).alias("part")).applyInPandas(fit, "w array<double>, rows long")
     parts = [(np.array(r["w"]), r["rows"]) for r in fitted.collect()]
     total = sum(n for _, n in parts)
     w = sum(w * n for w, n in parts) / total if total else np.zeros(BUCKETS + 1)
@@ -182,7 +187,7 @@ def classify(docs: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         post, w = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             bad, good, p, s = [], [], [], []
             for t in batch.column("text").to_pylist():
                 raw = _raw(t)
@@ -211,7 +216,7 @@ def drop_bad(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for t in batch.column("text").to_pylist():
                 raw = _raw(t)

@@ -1,5 +1,3 @@
-import sys
-
 import pytest
 
 import corpus_pipeline as cp
@@ -9,8 +7,6 @@ from flankwear.llm.langid import identify
 from flankwear.llm.near_dup import near_duplicates
 from flankwear.llm.quality import classify
 
-sys.path.insert(0, "tests/llm")
-
 
 def test_stages_are_the_dealt_ones():
     assert [n for n, _ in cp.STAGES] == ["quality_classifier", "language_id", "near_dedup", "decontamination", "packing"]
@@ -44,17 +40,19 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
 @pytest.mark.parametrize("rows", [[], "edge"])
 def test_run_on_odd_tables(spark, tmp_path, rows):
     sound = "A plain sentence of several words, and one more that ends here with number {}."
+    leak = "It was a dark night when the seven sailors found an old map of the far northern islands."
     if rows:
         rows = [(1, None, "en"), (2, "", "en"), (None, sound.format(1), None), (3, sound.format(2), "en"), (3, sound.format(2), "en"),
-                (4, "spam " * 50000, None)] + [(10 + i, sound.format(f"q{i} " * 9), "en") for i in range(40)]
+                (4, "spam " * 50000, None), (5, sound.format(3) + " " + leak, "en")] \
+            + [(10 + i, " ".join(f"{w}{chr(97 + i % 26)}" for w in sound.split()) + f" and then {i} more came by.", "en") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string") \
         .selectExpr("*", "'s' AS source", "1L AS n_chars", "2 AS kept", "'x' AS __n", "3 AS length", "4 AS score")
     df.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, sound.format("q3 " * 9) + " tail of it")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = cp.run(spark, str(tmp_path)).collect()
     ids = [r["doc_id"] for r in out]
     if not rows:
         assert out == []
     else:
-        assert 1 not in ids and 2 not in ids and 4 not in ids and ids.count(3) == 1 and None in ids
+        assert not {1, 2, 4, 5} & {*ids} and ids.count(3) == 1 and None in ids
         assert out[0]["sequence_id"] is not None and tokenizer_path()
