@@ -118,3 +118,41 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     keys = found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
     cleared = docs.where(hit).join(keys, (k1 == keys["__k1"]) & (k2 == keys["__k2"]), "left_anti")
     return docs.where(~hit).unionByName(cleared)
+
+
+def oracle_sql() -> str:
+    """The same result in DuckDB text: every seed of every document, stretches from prefix sums."""
+    def key(m: tuple[int, ...]) -> str:
+        return "concat_ws(' ', " + ", ".join(f"w[i + {p + 1}]" for p in m) + ")"
+
+    def seeds_of(src: str, ident: str) -> str:
+        return " UNION ALL ".join(f"SELECT {ident}, i, {n} AS m, {key(m)} AS h FROM {src}" for n, m in enumerate(MASKS))
+
+    words = ("list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+             "'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+it AS (SELECT min(item_id) AS item_id, w FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) >= {SPAN} GROUP BY w),
+dp AS (SELECT rid, w, i FROM d, unnest(range(greatest(0, len(w) - {SPAN - 1}))) AS u(i)),
+ip AS (SELECT item_id, w, i FROM it, unnest(range(len(w) - {SPAN - 1})) AS u(i)),
+ds AS ({seeds_of('dp', 'rid')}),
+js AS ({seeds_of('ip', 'item_id')}),
+g AS (SELECT rid, item_id, ds.i - js.i AS d, min(ds.i) AS lo, max(ds.i) AS hi FROM ds JOIN js USING (m, h) GROUP BY ALL),
+a AS (SELECT g.rid, g.item_id, g.d, d.w, it.w AS v, greatest(0, g.d, lo - {FLANK}) AS s,
+             least(len(d.w), len(it.w) + g.d, hi + {SPAN + FLANK}) AS e
+      FROM g JOIN d USING (rid) JOIN it USING (item_id)),
+c AS (SELECT rid, item_id, d, k, CASE WHEN w[k + 1] = v[k - d + 1] THEN 1 ELSE {-PENALTY} END AS x
+      FROM a, unnest(range(s, e)) AS u(k)),
+p AS (SELECT *, sum(x) OVER (PARTITION BY rid, item_id, d ORDER BY k) AS t FROM c),
+q AS (SELECT *, least(0, min(t) OVER (PARTITION BY rid, item_id, d ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS lowest,
+             min(k) OVER (PARTITION BY rid, item_id, d) AS k0 FROM p),
+b AS (SELECT rid, item_id, d, k0, max(t - coalesce(lowest, 0)) AS score, arg_max(coalesce(lowest, 0), (t - coalesce(lowest, 0), -k)) AS base,
+             arg_max(k, (t - coalesce(lowest, 0), -k)) AS last FROM q GROUP BY ALL),
+f AS (SELECT b.rid, b.item_id, b.d, b.score, b.last,
+             greatest(coalesce(max(p.k) + 1, b.k0), CASE WHEN b.base = 0 THEN b.k0 ELSE 0 END) AS first
+      FROM b LEFT JOIN p ON p.rid = b.rid AND p.item_id = b.item_id AND p.d = b.d AND p.k < b.last AND p.t = b.base
+      WHERE b.score >= {MIN_SCORE} GROUP BY b.rid, b.item_id, b.d, b.score, b.last, b.base, b.k0),
+r AS (SELECT *, (score + {PENALTY} * (last - first + 1)) / {PENALTY + 1} AS matched FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY rid, item_id ORDER BY score DESC, matched DESC, first, last DESC) AS n FROM r)
+SELECT doc_id, item_id, score::INTEGER AS score, matched::INTEGER AS matched, first::INTEGER AS first_word, last::INTEGER AS last_word
+FROM o JOIN d USING (rid) WHERE n = 1"""

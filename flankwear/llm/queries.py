@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flankwear.llm import chat, license_scan
+from flankwear.llm import chat, decontam, license_scan
 from flankwear.llm.ann import nearest
 from flankwear.llm.common import table, tokenizer_path
 from flankwear.llm.decontam import contaminated
@@ -48,6 +48,9 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+ORACLE["op10_benchmark_decontamination"] = decontam.oracle_sql()
+
+
 @query
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak-label posterior, linear score and decision of every document."""

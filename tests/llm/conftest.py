@@ -18,7 +18,7 @@ def same_as_sql(spark):
     """Rows of a registered query on a folder of tables equal its DuckDB text's rows."""
     from flankwear.llm import queries
 
-    def check(name: str, sf_dir: str, tables=("documents", "embeddings", "pages", "conversations")):
+    def check(name: str, sf_dir: str, tables=("documents", "embeddings", "pages", "conversations", "benchmark")):
         con = duckdb.connect()
         for t in tables:
             if (p := Path(sf_dir, f"{t}.parquet")).exists():

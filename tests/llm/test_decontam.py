@@ -45,7 +45,11 @@ def test_whole_small_table(spark, small):
     assert left == {d for d, _ in rows} - {d for d, *_ in want}
 
 
-def test_substitutions_and_edges(spark):
+def test_same_as_sql(same_as_sql, small):
+    assert same_as_sql("op10_benchmark_decontamination", small)
+
+
+def test_substitutions_and_edges(spark, tmp_path, same_as_sql):
     rnd = random.Random(1)
     item = [f"t{i}" for i in range(24)]
     other = [f"u{i}" for i in range(200)]
@@ -61,6 +65,9 @@ def test_substitutions_and_edges(spark):
     it = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "'c' AS d", "7 AS j")
     got = run(df, it)
     assert got == brute(docs, items)
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    it.write.parquet(f"{tmp_path}/benchmark.parquet")
+    same_as_sql("op10_benchmark_decontamination", str(tmp_path))
     assert {d for d, *_ in got} == {1, 2, 3, 6, 9, None, 11} and {i for _, i, _ in got} == {5}
     kept = dc.drop_contaminated(df, it)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [4, 5, 7, 8, 10]
