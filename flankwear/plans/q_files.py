@@ -21,7 +21,7 @@ def _folder(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@register("s07_s09_k03_csv_tables", "SELECT o_orderstatus, count(*) AS n, " + r("sum(o_totalprice)", "price")
+@register("s07_csv_tables_s09_k03", "SELECT o_orderstatus, count(*) AS n, " + r("sum(o_totalprice)", "price")
           + ", min(o_orderkey) AS first_key FROM orders GROUP BY 1")
 def q_csv(spark, d):
     """Orders in two CSV tables with columns in another order, stacked by name; an absent path is skipped."""
