@@ -77,12 +77,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably (survives executor loss) and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def write_stage(df: DataFrame, name: str | None = None, fmt: str = "parquet") -> DataFrame:
     """Write a stage table under the shared checkpoint folder and read it back.
 
