@@ -3,9 +3,13 @@
 A page is read once into flat blocks of text, split at block-level tags; markup, comments, scripts, styles
 and form controls leave no text.  Each block has its number of words, its link density, the same of the
 block before and after it, whether it is a heading, and its zone: in the article (or main) element, in an
-element that by tag, role, class or id holds menus, headers, footers, side bars, notices, adverts, forms
-or reader comments, or neither.  A decision tree, grown on the small labelled table below, says which
-blocks are main text.  Pages are independent rows, so Spark spreads them as they lie, without a shuffle.
+element that by tag or role holds menus, headers, footers, side bars or dialogues, or neither.  A decision
+tree, grown on the small labelled table below, says which blocks are main text.  Forms and containers with
+a class or id that names boilerplate are no verdict: a second tree, grown on labelled containers, decides by
+how the name matches, the container's words and link density and its share of the page (a layout wrapper or
+a page in one form holds most of it), and a block stays only if each of them around it does.  An article or
+main element opens its own zone in any of these, but not in reader comments, related links, adverts or hidden
+elements, which go whole.  Pages are independent rows, so Spark spreads them as they lie, without a shuffle.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one
 newline in page order; nothing else is dropped or capped.  Defined results: null or empty html, or a page
@@ -72,45 +76,85 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                     "samp small span strike strong sub sup time tt u var wbr".split())
 _BOXES = frozenset("nav header footer aside form article main section div ul ol table details dialog fieldset figure menu".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_NO_TEXT = frozenset("nav footer aside form dialog menu fieldset".split())
+_NO_TEXT = frozenset("nav footer aside dialog menu".split())
+_FORMS = frozenset("form fieldset".split())
 #: Words of class or id values (split at other characters) that name boilerplate.
 _NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars menu nav "
                    "navbar navigation breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices popup modal "
                    "overlay newsletter subscribe subscription signup login social share sharing related recommended comment comments "
                    "respond replies disqus widget toolbar pagination pager legal copyright disclaimer search".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Of these, the ones whose containers hold no article of the page.
+_SEALED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion related recommended comment "
+                    "comments respond replies disqus".split())
+#: Words that leave a name what it is ("sidebar-left", "comment-list"); with any other word it is a name in part ("related-work").
+_SHAPES = frozenset("box wrap wrapper container inner outer list item items block area section group row col column left right top "
+                    "bottom main primary secondary site page post posts article articles content contents links link thread form bar "
+                    "button buttons icons slot unit zone panel region body text title the".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 
+NONE, PART, WHOLE, SEALED = 0, 1, 2, 3   # how far a container's names or tag mark it
+BOX_FEATURES = ("mark", "words", "links", "share", "zone")
 
-def _is_boiler(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in _NO_TEXT or (tag == "header" and not in_article):
-        return True
+#: Labelled containers: how they are marked, words, link density, share of the page's words outside links, zone of the
+#: place they stand in, then 1 if they may hold main text.
+LABELLED_BOXES = (
+    (WHOLE, 900, 0.05, 0.97, NEITHER, 1), (WHOLE, 300, 0.30, 0.90, NEITHER, 1), (WHOLE, 80, 0.10, 1.00, NEITHER, 1),
+    (WHOLE, 1500, 0.20, 0.70, NEITHER, 1), (WHOLE, 40, 0.00, 0.80, NEITHER, 1), (WHOLE, 700, 0.02, 0.95, ARTICLE, 1),
+    (WHOLE, 60, 0.00, 0.75, ARTICLE, 1), (WHOLE, 25, 0.10, 1.00, ARTICLE, 1), (WHOLE, 12, 0.00, 0.90, NEITHER, 1),
+    (WHOLE, 3, 0.00, 0.02, ARTICLE, 0), (WHOLE, 14, 0.00, 0.06, ARTICLE, 0), (WHOLE, 60, 0.10, 0.20, ARTICLE, 0),
+    (WHOLE, 120, 0.00, 0.40, ARTICLE, 0), (WHOLE, 30, 1.00, 0.00, ARTICLE, 0), (WHOLE, 9, 0.20, 0.30, ARTICLE, 0),
+    (WHOLE, 40, 0.00, 0.08, NEITHER, 0), (WHOLE, 15, 1.00, 0.00, NEITHER, 0), (WHOLE, 150, 0.40, 0.30, NEITHER, 0),
+    (WHOLE, 300, 0.10, 0.40, NEITHER, 0), (WHOLE, 2, 0.50, 0.10, NEITHER, 0), (WHOLE, 60, 0.95, 0.80, NEITHER, 0),
+    (WHOLE, 20, 0.90, 0.75, ARTICLE, 0),
+    (PART, 3, 0.00, 0.01, ARTICLE, 1), (PART, 9, 0.00, 0.05, ARTICLE, 1), (PART, 40, 0.10, 0.10, ARTICLE, 1),
+    (PART, 200, 0.05, 0.25, ARTICLE, 1), (PART, 600, 0.20, 0.80, ARTICLE, 1), (PART, 1, 0.00, 0.01, ARTICLE, 1),
+    (PART, 12, 0.30, 0.03, ARTICLE, 1), (PART, 30, 0.40, 0.08, ARTICLE, 1),
+    (PART, 4, 1.00, 0.00, ARTICLE, 0), (PART, 25, 0.90, 0.01, ARTICLE, 0), (PART, 60, 0.80, 0.05, ARTICLE, 0),
+    (PART, 900, 0.10, 0.95, NEITHER, 1), (PART, 120, 0.00, 0.20, NEITHER, 1), (PART, 60, 0.10, 0.10, NEITHER, 1),
+    (PART, 45, 0.00, 0.15, NEITHER, 1), (PART, 300, 0.30, 0.50, NEITHER, 1), (PART, 20, 0.00, 0.90, NEITHER, 1),
+    (PART, 5, 1.00, 0.00, NEITHER, 0), (PART, 14, 0.00, 0.05, NEITHER, 0), (PART, 3, 0.00, 0.02, NEITHER, 0),
+    (PART, 20, 0.10, 0.08, NEITHER, 0), (PART, 60, 0.90, 0.03, NEITHER, 0), (PART, 200, 0.80, 0.20, NEITHER, 0),
+)
+
+
+def _marked(tag: str, attrs: str, in_article: bool) -> tuple[bool, int]:
+    """Whether a container is boilerplate by tag or role, and how far its names or its being a form mark it."""
+    boiler = tag in _NO_TEXT or (tag == "header" and not in_article)
+    mark = WHOLE if tag in _FORMS else NONE
     for name, *value in _ATTR.findall(attrs):
         name, v = name.lower(), "".join(value).lower()
-        if name == "hidden" or (name == "aria-hidden" and v == "true") or (name == "role" and v in _ROLES) \
+        if name == "hidden" or (name == "aria-hidden" and v == "true") \
                 or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v)):
-            return True
-        if name in ("class", "id"):
-            words = set(re.split(r"[^a-z0-9]+", v))
-            if words & _NAMES or ("header" in words and not in_article):
-                return True
-    return False
+            mark = SEALED
+        elif name == "role":
+            boiler = boiler or v in _ROLES
+            mark = max(mark, WHOLE if v == "form" else NONE)
+        elif name in ("class", "id"):
+            for token in v.split():
+                words = {w for w in re.split(r"[^a-z0-9]+", token) if w}
+                named = words & _NAMES or (words & {"header"} if not in_article else set())
+                if named:
+                    mark = max(mark, PART if words - named - _SHAPES else SEALED if words & _SEALED else WHOLE)
+    return boiler, mark
 
 
-def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
-    """(text, words, link density, zone, heading) of the text blocks of a page, in order."""
-    out: list[tuple[str, int, float, int, int]] = []
+def blocks(page: str) -> tuple[list[tuple[str, int, float, int, int, tuple]], list[tuple[int, int]]]:
+    """(text, words, link density, zone, heading, numbers of the marked containers around it) of the text blocks of a
+    page, in order, and (mark, zone of its place) of the marked containers."""
+    out: list[tuple[str, int, float, int, int, tuple]] = []
+    marked: list[tuple[int, int]] = []
     parts: list[str] = []
     linked = 0                           # words inside links of the open block
     in_link = heading = False
-    boxes: list[tuple[str, int]] = []    # open containers and their zones
+    boxes: list[tuple[str, int, tuple, bool]] = []    # open containers: zone, marked ones around, whether sealed
     has_article = False
 
     def close() -> None:
         nonlocal linked, in_link
         words = _html.unescape("".join(parts)).split()
         if words:
-            zone = boxes[-1][1] if boxes else NEITHER
-            out.append((" ".join(words), len(words), min(1.0, linked / len(words)), zone, int(heading)))
+            zone, around = boxes[-1][1:3] if boxes else (NEITHER, ())
+            out.append((" ".join(words), len(words), min(1.0, linked / len(words)), zone, int(heading), around))
         parts.clear()
         linked, in_link = 0, False
 
@@ -147,17 +191,22 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
             elif tag in _BOXES:
                 heading = False
                 if m["end"]:
-                    if any(t == tag for t, _ in boxes):
+                    if any(x[0] == tag for x in boxes):
                         while boxes.pop()[0] != tag:
                             pass
                 elif not m["attrs"].endswith("/"):
-                    zone = boxes[-1][1] if boxes else NEITHER
-                    if zone != BOILER:
-                        if _is_boiler(tag, m["attrs"], zone == ARTICLE):
+                    zone, around, sealed = boxes[-1][1:] if boxes else (NEITHER, (), False)
+                    if not sealed:
+                        boiler, mark = _marked(tag, m["attrs"], zone == ARTICLE)
+                        sealed = mark == SEALED
+                        if tag in ("article", "main") and not (boiler or sealed):
+                            zone, around, has_article = ARTICLE, (), True
+                        elif boiler or sealed:
                             zone = BOILER
-                        elif tag in ("article", "main"):
-                            zone, has_article = ARTICLE, True
-                    boxes.append((tag, zone))
+                        if mark in (PART, WHOLE) and zone != BOILER:
+                            around = (*around, len(marked))
+                            marked.append((mark, zone))
+                    boxes.append((tag, zone, around, sealed))
             else:
                 heading = False
                 if tag == "body":
@@ -166,8 +215,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
         text(page[at:])
     close()
     if has_article:                      # what lies outside the article of a page that has one is not the article
-        out = [(t, n, d, BOILER if z == NEITHER else z, h) for t, n, d, z, h in out]
-    return out
+        out = [(t, n, d, BOILER if z == NEITHER else z, *x) for t, n, d, z, *x in out]
+    return out, marked
 
 
 def grow(rows: np.ndarray, labels: np.ndarray, least: int = 2) -> tuple | int:
@@ -202,12 +251,28 @@ def train_tree() -> tuple | int:
     return grow(table[:, :-1], table[:, -1])
 
 
+_BOX_TREE = grow(np.array(LABELLED_BOXES, float)[:, :-1], np.array(LABELLED_BOXES, float)[:, -1])
+
+
+def _boxes_with_text(found: list[tuple], marked: list[tuple[int, int]]) -> list[int]:
+    """Of each marked container, 1 if it may hold main text."""
+    words, linked = [0] * len(marked), [0.0] * len(marked)
+    for _, n, d, _, _, around in found:
+        for b in around:
+            words[b] += n
+            linked[b] += n * d
+    free = sum(n * (1 - d) for _, n, d, *_ in found)
+    return [decide(_BOX_TREE, (mark, n, k / n, (n - k) / free if free else 0.0, zone)) if n else 0
+            for (mark, zone), n, k in zip(marked, words, linked)]
+
+
 def main_text(page: str | None, tree: tuple | int) -> str:
     """Main text of one page."""
-    found = blocks(page or "")
-    shape = [(0, 0.0), *((n, d) for _, n, d, _, _ in found), (0, 0.0)]
-    return "\n".join(t for k, (t, n, d, zone, h) in enumerate(found)
-                     if decide(tree, (n, d, *shape[k], *shape[k + 2], zone, h)))
+    found, marked = blocks(page or "")
+    holds = _boxes_with_text(found, marked)
+    shape = [(0, 0.0), *((n, d) for _, n, d, *_ in found), (0, 0.0)]
+    return "\n".join(t for k, (t, n, d, zone, h, around) in enumerate(found)
+                     if all(holds[b] for b in around) and decide(tree, (n, d, *shape[k], *shape[k + 2], zone, h)))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

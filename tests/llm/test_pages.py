@@ -75,6 +75,28 @@ def test_main_text():
     assert ht.main_text(plain, tree).endswith(("text " * 30).strip())
 
 
+def test_article_inside_marked_containers():
+    tree = ht.train_tree()
+    text = "word " * 30
+    article = f"<article><h1>Head</h1><p>{text}</p><p>Short.</p></article>"
+    want = f"Head\n{text.strip()}\nShort."
+    side = "<div class='sidebar'><p>Read our other pages as well, there are many more of them.</p></div>"
+    for a, b in (("<div class='content-sidebar-wrap'>", "</div>"), ("<div class='site sidebar-right'>", "</div>"), ("<div id='page' class='page menu-open'>", "</div>"),
+                 ("<form method=post>", "</form>"), ("<dialog open>", "</dialog>"), ("<fieldset><menu>", "</menu></fieldset>")):
+        assert ht.main_text(a + "<div><a href=1>Home</a></div>" + article + side + b, tree) == want, a
+    for a, b in (("<section id='comments'>", "</section>"), ("<div class='related-posts'>", "</div>"), ("<div class='ad-slot'>", "</div>"), ("<div hidden>", "</div>")):
+        assert ht.main_text(article + a + article + b, tree) == want, a
+    for a, b in (("<form>", "</form>"), ("<div class='content-sidebar-wrap'>", "</div>"), ("<div class='site sidebar-right'>", "</div>")):     # no article
+        assert ht.main_text(f"{a}<div><a href=1>Home</a></div><p>{text}</p><p>{text}</p>{side}{b}", tree) == f"{text}\n{text}".replace(" \n", "\n").strip(), a
+    inner = f"<article><p>{text}</p><section class='related-work'><h2>Related work</h2><p>{text}</p></section><div class='share-price'>Shares fell to 12.40</div>" \
+        "<div class='share-this-page'><a href=1>Send</a></div><form><label>Your name</label></form></article>"
+    assert ht.main_text(inner, tree).split("\n") == [text.strip(), "Related work", text.strip(), "Shares fell to 12.40"]
+
+
+def test_box_tree_fits_its_table():
+    assert all(ht.decide(ht._BOX_TREE, row[:-1]) == row[-1] for row in ht.LABELLED_BOXES)
+
+
 def test_tree_fits_its_table():
     tree = ht.train_tree()
     assert all(ht.decide(tree, row[:-1]) == row[-1] for row in ht.LABELLED)
