@@ -12,7 +12,10 @@ main element opens its own zone in any of these, but not in reader comments, rel
 elements, which go whole.  Pages are independent rows, so Spark spreads them as they lie, without a shuffle.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one
-newline in page order; nothing else is dropped or capped.  Defined results: null or empty html, or a page
+newline in page order; nothing else is dropped or capped.  Only raw-text elements (scripts, styles, titles,
+text areas, frames) run to the end of the page when unclosed; other elements without text (buttons, drawings,
+selects, media) end at their close tag, or unclosed at the next block-level tag or the close of what holds
+them; a self-closed svg or math element is empty.  Defined results: null or empty html, or a page
 without main text, gives an empty text; unclosed or stray tags are read as far as they go; repeated rows
 give one row each; a null page_id or url is carried along.
 """
@@ -66,16 +69,21 @@ LABELLED = (
     (5, 1.00, 60, 0.00, 40, 0.00, NEITHER, 0, 0), (9, 0.60, 52, 0.00, 30, 0.10, NEITHER, 0, 0),
 )
 
-_DROPPED = "script|style|noscript|template|title|textarea|select|button|svg|math|iframe|object|canvas|audio|video|datalist"
+_RAW = "script|style|title|textarea|iframe"
+_DROPPED = frozenset("noscript template select button svg math object canvas audio video datalist".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?"
-    r"|<(?P<raw>" + _DROPPED + r")(?=[\s/>])(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?P<raw>" + _RAW + r")(?=[\s/>])(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>", re.S | re.I)
 _ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden|type)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s "
                     "samp small span strike strong sub sup time tt u var wbr".split())
 _BOXES = frozenset("nav header footer aside form article main section div ul ol table details dialog fieldset figure menu".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Block-level tags, at which an unclosed dropped element ends.
+_FLOW = _BOXES | _HEADINGS | frozenset("p pre blockquote address li dl dt dd tr td th tbody thead tfoot caption figcaption hr center "
+                                       "summary body html".split())
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NO_TEXT = frozenset("nav footer aside dialog menu".split())
 _FORMS = frozenset("form fieldset".split())
 #: Words of class or id values (split at other characters) that name boilerplate.
@@ -138,6 +146,43 @@ def _marked(tag: str, attrs: str, in_article: bool) -> tuple[bool, int]:
     return boiler, mark
 
 
+def _dropped_ends(tokens: list[re.Match]) -> dict[int, tuple[int, int]]:
+    """For the start tag of each dropped element, the token to go on with and the character from which text counts again."""
+    ends: dict[int, tuple[int, int]] = {}
+    stack: list[tuple[str, int]] = []    # open elements
+    count: dict[str, int] = {}
+    unclosed: list[tuple[int, int]] = []                    # (start tag, token that closes what holds it)
+    for i, m in enumerate(tokens):
+        tag = (m["tag"] or "").lower()
+        if not tag or tag in _VOID:
+            continue
+        if not m["end"]:
+            if not (tag in ("svg", "math") and m["attrs"].endswith("/")):
+                stack.append((tag, i))
+                count[tag] = count.get(tag, 0) + 1
+        elif count.get(tag):
+            while True:
+                t, at = stack.pop()
+                count[t] -= 1
+                if t == tag:
+                    break
+                if t in _DROPPED:
+                    unclosed.append((at, i))
+            if tag in _DROPPED:
+                ends[at] = (i + 1, m.end())
+    unclosed += [(at, len(tokens)) for t, at in stack if t in _DROPPED]
+    if unclosed:
+        after, following = len(tokens), [0] * len(tokens)   # the next block-level tag after each token
+        for i in range(len(tokens) - 1, -1, -1):
+            following[i] = after
+            if (tokens[i]["tag"] or "").lower() in _FLOW:
+                after = i
+        for at, i in unclosed:
+            to = min(i, following[at])
+            ends[at] = (to, tokens[to].start() if to < len(tokens) else tokens[0].endpos)
+    return ends
+
+
 def blocks(page: str) -> tuple[list[tuple[str, int, float, int, int, tuple]], list[tuple[int, int]]]:
     """(text, words, link density, zone, heading, numbers of the marked containers around it) of the text blocks of a
     page, in order, and (mark, zone of its place) of the marked containers."""
@@ -166,13 +211,22 @@ def blocks(page: str) -> tuple[list[tuple[str, int, float, int, int, tuple]], li
                 linked += len(s.split())
 
     at, in_head = 0, False
-    for m in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    ends = _dropped_ends(tokens) if any((m["tag"] or "").lower() in _DROPPED for m in tokens) else {}
+    skip = 0                             # tokens before this one lie in a dropped element
+    for i, m in enumerate(tokens):
+        if i < skip:
+            continue
         if not in_head:
             text(page[at:m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if tag in _DROPPED:
+            if i in ends:
+                skip, at = ends[i]
+            continue
         if tag == "head" or (in_head and tag in ("body", *_BOXES)):
             in_head = tag == "head" and not m["end"]
             if tag == "head":

@@ -93,6 +93,22 @@ def test_article_inside_marked_containers():
     assert ht.main_text(inner, tree).split("\n") == [text.strip(), "Related work", text.strip(), "Shares fell to 12.40"]
 
 
+def test_dropped_elements_end():
+    tree = ht.train_tree()
+    for page, want in (
+            ("<p>A</p><svg class=i /><p>B</p><svg><path d=x></svg><p>C</p>", "A\nB\nC"), ("<p>A <math/>B</p><p>C</p>", "A B\nC"),
+            ("<p>A</p><button>Go<p>B</p>", "A\nB"), ("<p>A</p><div><select><option>x<option>y</div><p>B</p>", "A\nB"),
+            ("<p>A <a href=1><svg><path d=x></a> B</p><p>C</p>", "A B\nC"), ("<p>A <button><div>Go</div> on</button> B</p>", "A B"),
+            ("<p>A</p><video><source src=x><p>no player</p></video><p>B</p>", "A\nB"), ("<p>A</p></button></svg><p>B</p>", "A\nB"),
+            ("<p>A</p><svg><g><svg><text>x</text></svg><text>y</text></g></svg><p>B</p>", "A\nB"), ("<p>A</p><svg><title>t</title><style>s", "A"),
+            ("<p>A</p><template><p>x</p></template>B<canvas>no", "A\nB"), ("<p>A<textarea><p>x", "A"), ("<p>A</p><BUTTON>Go<H2>B</H2>", "A\nB")):
+        assert ht.main_text(f"<article>{page}", tree) == want, page
+        if "textarea" not in page and "<style" not in page:
+            assert ht.main_text(f"<article>{page}</article><article><p>Next</p></article>", tree) == want + "\nNext", page
+    many = "<article>" + "<svg><button>" * 20000 + "<p>A</p></article>" + "</svg>"
+    assert ht.main_text(many, tree) == "A"
+
+
 def test_box_tree_fits_its_table():
     assert all(ht.decide(ht._BOX_TREE, row[:-1]) == row[-1] for row in ht.LABELLED_BOXES)
 
