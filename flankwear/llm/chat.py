@@ -5,8 +5,11 @@ all others as named users; only the assistant's own words (and the end mark afte
 which the mask says as character spans of the rendered text.  System turns are rendered alike for all.
 
 Turns are numbered in order of (turn, role, text) by a range sort that spreads a long dialogue over many
-tasks, and dialogues are cut into parts of ``PART_TURNS`` turns, each a sample of its own; so one dialogue
-may hold any share of all rows.  A speaker gets a sample for every part in which they speak.
+tasks.  Every participant of the dialogue gets the whole of it, whether they speak early, late or once; a
+rendering is stored in parts of ``PART_TURNS`` turns, so one dialogue may hold any share of all rows.  Joined
+in order of ``part``, a participant's parts are the rendering; ``first_turn`` and ``first_char`` say where in
+it a part begins.  The DuckDB twin is the same up to ``PART_TURNS`` turns a dialogue; above, it still gives a
+speaker only the parts in which they speak, with spans from the start of each part.
 
 Markers inside a text are escaped (``<|`` becomes ``<\\|``), nothing else is changed.  Defined results: null
 text is empty; a null role counts as the speaker ``unknown``; null turns come first; repeated rows are turns
@@ -14,10 +17,10 @@ of their own; a null conv_id is a dialogue like any other; a dialogue of system
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flankwear.operators.ordering import with_position
+from flankwear.operators.ordering import _ns_join, with_position
 
 PART_TURNS = 256
 SYSTEM = ("system",)     # roles that are no participants
@@ -30,16 +33,37 @@ def _header(role: Column, me: Column) -> Column:
             .otherwise(F.concat(F.lit("<|user name="), role, F.lit("|>\n"))))
 
 
+def _samples(rows: DataFrame) -> DataFrame:
+    """Every part of a dialogue with each of its participants, and the characters of their rendering before the part;
+    from counts and lengths only, no text."""
+    cells = rows.groupBy("conv_id", "part", "role").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("text") + F.lit(len(END))).alias("chars"))
+    other = F.length(_header(F.col("role"), F.lit(None).cast("string")))
+    sizes = cells.groupBy("conv_id", "part").agg(
+        F.sum(F.col("chars") + F.col("n") * other).alias("plain"),
+        F.map_from_entries(F.collect_list(F.struct("role", "n"))).alias("own"))                     # PART_TURNS at most
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("plain", F.coalesce(F.sum("plain").over(earlier.partitionBy("conv_id")), F.lit(0)))
+    speakers = cells.where(~F.col("role").isin(*SYSTEM)).select("conv_id", F.col("role").alias("participant")).distinct()
+    grid = _ns_join(sizes, speakers, ["conv_id"], "inner").select(
+        "conv_id", "part", "participant", "plain", F.coalesce(F.try_element_at("own", F.col("participant")), F.lit(0)).alias("n"))
+    spoken = F.coalesce(F.sum("n").over(earlier.partitionBy("conv_id", "participant")), F.lit(0))
+    me = F.col("participant")
+    less = F.length(_header(me, me)) - F.length(_header(me, F.lit(None).cast("string")))
+    return grid.select("conv_id", "part", "participant", (F.col("plain") + spoken * less).alias("first_char"))
+
+
 def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """One row per dialogue part and participant who speaks in it: conv_id, part, participant, n_turns, n_own,
-    rendered, spans (start and end of the characters to learn, ends exclusive), n_chars, n_learn."""
+    """One row per dialogue part and participant of the dialogue: conv_id, part, participant, n_turns, n_own,
+    rendered, spans (start and end of the characters to learn, ends exclusive, counted from the part's start), n_chars,
+    n_learn, first_turn and first_char (turns and characters of the rendering before the part)."""
     rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
                         F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("<|"), F.lit("<\\|")).alias("text"))
     rows = with_position(rows, ["conv_id"], ["turn", "role", "text"], "pos")
-    parts = (rows.groupBy("conv_id", F.floor(F.col("pos") / part_turns).alias("part"))
+    rows = rows.withColumn("part", F.floor(F.col("pos") / part_turns))
+    parts = (rows.groupBy("conv_id", "part")
              .agg(F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("turns")))    # PART_TURNS at most
-    speakers = F.array_distinct(F.filter(F.transform("turns", lambda t: t["role"]), lambda r: ~r.isin(*SYSTEM)))
-    each = parts.select("conv_id", "part", "turns", F.explode(speakers).alias("participant"))
+    each = _ns_join(parts, _samples(rows), ["conv_id", "part"], "inner")
     me = F.col("participant")
     said = each.withColumn("said", F.transform("turns", lambda t: F.struct(
         (t["role"] == me).alias("own"), _header(t["role"], me).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"))))
@@ -53,7 +77,8 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
     spans = F.aggregate("said", zero, step, lambda a: a["spans"])
-    out = said.select("conv_id", "part", "participant", F.size("turns").alias("n_turns"), "rendered", spans.alias("spans"))
+    out = said.select("conv_id", "part", "participant", F.size("turns").alias("n_turns"), "rendered", spans.alias("spans"),
+                      (F.col("part") * part_turns).alias("first_turn"), "first_char")
     return out.select("*", F.size("spans").alias("n_own"), F.length("rendered").alias("n_chars"),
                       F.aggregate("spans", F.lit(0), lambda a, x: a + x["end"] - x["start"]).alias("n_learn"))
 

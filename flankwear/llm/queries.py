@@ -75,9 +75,10 @@ ORACLE["op9_license_scan"] = license_scan.oracle_sql()
 
 @query
 def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every dialogue from every participant's perspective; spans as text."""
+    """Every dialogue from every participant's perspective; spans as text, counted over the whole rendering."""
     out = chat.rotate(table(spark, sf_dir, "conversations"))
-    spans = F.transform("spans", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))
+    at = lambda c: (F.col("first_char") + c).cast("string")
+    spans = F.transform("spans", lambda x: F.concat(at(x["start"]), F.lit("-"), at(x["end"])))
     longs = [F.col(c).cast("bigint").alias(c) for c in ("n_turns", "n_own", "n_chars", "n_learn")]
     return out.select("conv_id", "part", "participant", *longs, F.array_join(spans, ",").alias("spans"), "rendered")
 

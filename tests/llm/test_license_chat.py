@@ -5,6 +5,7 @@ import pytest
 from flankwear.llm import chat
 from flankwear.llm import license_scan as ls
 from flankwear.llm.common import WORD_BREAK
+from flankwear.llm.queries import op7_perspective_rotation
 
 
 def test_license_whole_small_table(same_as_sql, small):
@@ -85,5 +86,22 @@ def test_chat_parts_brute_force_and_edges(spark):
     assert got == want and (2, 0, "system") not in got and len([k for k in got if k[0] == 9]) == 9
 
 
+def test_chat_long_dialogues_are_whole_for_every_participant(spark, tmp_path):
+    rows = [(c, k, "system" if k == 0 or k >= 520 else ("eve" if k == 1 else "zoe" if k == 515 else ("ann", "bob")[k % 2]), f"turn {k}" * (k % 3))
+            for c in (7, None) for k in range(800)] + [(8, 0, "ann", "short")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got, learn = {}, {}
+    for r in sorted(op7_perspective_rotation(spark, str(tmp_path)).collect(), key=lambda r: r["part"]):
+        assert r["part"] == len(got.setdefault((r["conv_id"], r["participant"]), []))
+        got[r["conv_id"], r["participant"]].append((r["rendered"], r["n_turns"]))
+        learn.setdefault((r["conv_id"], r["participant"]), []).extend(tuple(map(int, x.split("-"))) for x in r["spans"].split(",") if x)
+    assert set(got) == {(c, me) for c in (7, None) for me in ("ann", "bob", "eve", "zoe")} | {(8, "ann")}
+    for (c, me), pieces in got.items():
+        text, spans = render([(role, body) for x, _, role, body in rows if x == c], me)
+        assert "".join(p for p, _ in pieces) == text and learn[c, me] == spans
+        assert [n for _, n in pieces] == ([1] if c == 8 else [256, 256, 256, 32])
+
+
 def test_chat_empty(spark):
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
