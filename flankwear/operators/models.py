@@ -190,17 +190,20 @@ def rbf_features(df: DataFrame, cols: Sequence[str], n: int = 100, gamma: float
 # ------------------------------------------------------------------ V05, V07, E17-E21
 def oof_predict(df: DataFrame, make: Callable[[], Estimator], folds: Sequence[int], model_name: str,
                 label: str = "label", row_id: str = "row_id", fold: str = "fold",
-                parallelism: int = 4) -> DataFrame:
+                parallelism: int = 4, train: dict[int, DataFrame] | None = None) -> DataFrame:
     """Each row predicted by a model fitted on the other folds (k fits, one per fold).
 
     Like ``CrossValidator(parallelism=…)``, up to ``parallelism`` fold fits are
     submitted concurrently; each fit is itself a distributed job.  ``make`` may take
-    the training fold's statistics (``n_rows``, ``sigma_y``) as keywords."""
+    the training fold's statistics (``n_rows``, ``sigma_y``) as keywords.  ``train`` has
+    the training rows of each fold where they are not just the other folds' (``smote_folds``)."""
     needs = "n_rows" in inspect.signature(make).parameters
     stats = fold_statistics(df, folds, label, fold) if needs else {}
+    if needs and train:
+        stats = {f: stats[f] | {"n_rows": float(train[f].count())} for f in folds}
 
     def one(f):
-        m = (make(**stats[f]) if needs else make()).fit(df.where(F.col(fold) != f))
+        m = (make(**stats[f]) if needs else make()).fit(train[f] if train else df.where(F.col(fold) != f))
         p = m.transform(df.where(F.col(fold) == f))
         return p.select(F.lit(model_name).alias("model"), row_id, fold, F.col(label).alias("y_true"),
                         F.col("prediction").alias("y_pred"))
@@ -220,14 +223,14 @@ def refit_predict(df: DataFrame, make: Callable[[], Estimator], label: str = "la
 
 
 def benchmark(df: DataFrame, grid: dict[str, Callable[[], Estimator]], folds: Sequence[int], task: str,
-              label: str = "label") -> tuple[DataFrame, list[dict]]:
+              label: str = "label", train: dict[int, DataFrame] | None = None) -> tuple[DataFrame, list[dict]]:
     """V05 + E20 + E21 over a model grid: OOF table and one status row per model.
     The entry ``knn`` takes the table and returns its OOF rows (staged, so that its time is measured)."""
     oofs, status = [], []
     for name, make in grid.items():
         t0 = time.time()
         try:
-            o = make(df) if name == "knn" else oof_predict(df, make, folds, name, label)
+            o = make(df) if name == "knn" else oof_predict(df, make, folds, name, label, train=train)
             oofs.append(o)
             status.append({"model": name, "status": "ok", "error": None, "fit_time_s": time.time() - t0})
         except Exception as e:  # noqa: BLE001 - a failed model stays as a row (E21)
@@ -358,23 +361,28 @@ def knn_oof(df: DataFrame, k: int, task: str, vec: str = "vec", label: str = "la
             .select(F.lit(model_name).alias("model"), row_id, fold, "y_true", F.col("prediction").alias("y_pred")))
 
 
-def scale_by_fold(df: DataFrame, folds: Sequence[int], vec: str = "vec", fold: str = "fold", out: str = "vec") -> list[DataFrame]:
+def scale_by_fold(df: DataFrame, folds: Sequence[int], vec: str = "vec", fold: str = "fold", out: str = "vec",
+                  train: dict[int, DataFrame] | None = None) -> list[DataFrame]:
     """M01 inside the folds for models without an estimator: per fold the whole table, standardised with the means
-    and deviations of the other folds."""
+    and deviations of the other folds.  With ``train`` those are the means and deviations of its rows, which take
+    the place of the other folds and have a null fold."""
     parts = []
     for f in folds:
-        m = StandardScaler(inputCol="_in", outputCol="_out", withMean=True).fit(
-            df.where(F.col(fold) != f).withColumn("_in", array_to_vector(vec)))
-        parts.append(m.transform(df.withColumn("_in", array_to_vector(vec))).withColumn(out, vector_to_array("_out")).drop("_in", "_out"))
+        rest = train[f] if train else df.where(F.col(fold) != f)
+        m = StandardScaler(inputCol="_in", outputCol="_out", withMean=True).fit(rest.withColumn("_in", array_to_vector(vec)))
+        whole = df if not train else df.where(F.col(fold) == f).unionByName(
+            rest.withColumn(fold, F.lit(None).cast("int")), allowMissingColumns=True)
+        parts.append(m.transform(whole.withColumn("_in", array_to_vector(vec))).withColumn(out, vector_to_array("_out")).drop("_in", "_out"))
     return parts
 
 
 def knn_oof_scaled(df: DataFrame, k: int, folds: Sequence[int], task: str, vec: str = "vec", label: str = "label",
-                   row_id: str = "row_id", fold: str = "fold", model_name: str = "knn") -> DataFrame:
+                   row_id: str = "row_id", fold: str = "fold", model_name: str = "knn",
+                   train: dict[int, DataFrame] | None = None) -> DataFrame:
     """M11 / M12 as in the benchmark: scaled on each training fold, then voted; written once."""
     out = None
-    for f, scaled in zip(folds, scale_by_fold(df, folds, vec, fold)):
-        p = knn_predict(scaled.where(F.col(fold) != f), scaled.where(F.col(fold) == f), k, task, vec, label, row_id)
+    for f, scaled in zip(folds, scale_by_fold(df, folds, vec, fold, train=train)):
+        p = knn_predict(scaled.where(~F.col(fold).eqNullSafe(f)), scaled.where(F.col(fold) == f), k, task, vec, label, row_id)
         p = (p.join(df.select(row_id, fold, F.col(label).alias("y_true")), row_id)
              .select(F.lit(model_name).alias("model"), row_id, fold, "y_true", F.col("prediction").alias("y_pred")))
         out = p if out is None else out.unionByName(p)
@@ -416,6 +424,14 @@ def smote(df: DataFrame, y: str, vec: str = "vec", row_id: str = "row_id", k: in
     return orig.unionByName(syn)
 
 
+def smote_folds(df: DataFrame, folds: Sequence[int], label: str = "label", vec: str = "vec", row_id: str = "row_id",
+                fold: str = "fold", features: str = "features") -> dict[int, DataFrame]:
+    """B03 inside the folds (Q10): per fold the rows of the other folds, oversampled; written once for all models."""
+    filled = F.transform(vec, lambda x: F.coalesce(x, F.lit(float("nan"))))
+    return {f: write_stage(smote(df.where(F.col(fold) != f), label, vec, row_id).withColumn(features, array_to_vector(filled)))
+            for f in folds}
+
+
 # ------------------------------------------------------------------ M18, M20, E19
 def multi_output_predict(df: DataFrame, features: Sequence[str], targets: Sequence[str],
                          make: Callable[[str], Estimator], row_id: str = "row_id",

@@ -79,10 +79,11 @@ def step_balance(spark: SparkSession, feats: DataFrame, out: str) -> DataFrame:
     return w
 
 
-def _grid(models: Sequence[str], task: str, n_features: int, n_classes: int | None, weight_col: str | None, k: int) -> dict:
+def _grid(models: Sequence[str], task: str, n_features: int, n_classes: int | None, weight_col: str | None, k: int,
+          train: dict[int, DataFrame] | None = None) -> dict:
     def maker(name: str):
         if name == "knn":                # scaled on each training fold, like the other distance-based models
-            return lambda df: mo.knn_oof_scaled(df, 5, range(k), task)
+            return lambda df: mo.knn_oof_scaled(df, 5, range(k), task, train=train)
         if name == "mlp":                # Spark's network takes no weights
             return lambda: mo.make_model(name, task, n_features=n_features, n_classes=n_classes, scale=True)
         return lambda n_rows, sigma_y: mo.make_model(name, task, n_features=n_features, n_classes=n_classes, weight_col=weight_col,
@@ -92,18 +93,20 @@ def _grid(models: Sequence[str], task: str, n_features: int, n_classes: int | No
 
 def step_benchmark(spark: SparkSession, feats: DataFrame, out: str, cv: int = 5, models: Sequence[str] = DEFAULT_MODELS,
                    task: str = "classification") -> tuple[DataFrame, DataFrame]:
-    """Step 4: encode (classification: with step 3's class weights), fold, fit every model once per fold with its
-    scaling inside the fold, keep the OOF table; metrics are means and deviations of the folds' scores."""
+    """Step 4: encode, fold, fit every model once per fold with its scaling inside the fold and, in a classification,
+    by step 3's strategy: training folds oversampled (smote), class weights or neither; keep the OOF table; metrics are means and deviations of the folds' scores."""
     cols = [c for c in feats.columns if c not in ("row_id", "y")]
-    weight_col, n_classes = None, None
+    weight_col, n_classes, strategy = None, None, "none"
     if task == "classification":
         mapping = label_mapping(feats, "y")
         n_classes = mapping.count()
         enc = feats.join(mapping.withColumnRenamed("label", "y"), "y")
-        enc = ba.with_weights(enc, "y", spark.read.parquet(_p(out, "class_weights")))
+        strategy = spark.read.json(_p(out, "strategy")).first()["strategy"]
+        if strategy == "class_weight":
+            enc = ba.with_weights(enc, "y", spark.read.parquet(_p(out, "class_weights")))
+            weight_col = "weight"
         k = ba.n_splits(enc, "y", cv).first()[0]
         enc = ba.stratified_folds(enc, "y", k).withColumn("label", F.col("label_idx").cast("double"))
-        weight_col = "weight"
     else:
         enc = feats.withColumn("label", F.expr("try_cast(y AS double)")).where("label IS NOT NULL")
         k = ba.n_splits(enc, None, cv).first()[0]
@@ -111,7 +114,8 @@ def step_benchmark(spark: SparkSession, feats: DataFrame, out: str, cv: int = 5,
     enc = mo.assemble(enc, cols).withColumn("vec", F.array(*[F.col(f"`{c}`").cast("double") for c in cols]))
     # read k x models times by the fits: written once (rule R6), not recomputed per fit
     enc = write_stage(enc)
-    oof, status = mo.benchmark(enc, _grid(models, task, len(cols), n_classes, weight_col, k), range(k), task)
+    train = mo.smote_folds(enc, range(k)) if strategy == "smote" else None
+    oof, status = mo.benchmark(enc, _grid(models, task, len(cols), n_classes, weight_col, k, train), range(k), task, train=train)
     oof = oof.select("model", "row_id", "fold", "y_true", "y_pred")
     if task == "classification":
         oof = oof.withColumns({c: F.col(c).cast("int").cast("string") for c in ("y_true", "y_pred")})

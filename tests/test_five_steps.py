@@ -2,6 +2,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+import pytest
+
 from flankwear.plans import five_steps as pl
 
 
@@ -42,3 +44,26 @@ def test_five_steps_tables_and_regression(spark, tmp_path):
     lb = {r.model: r for r in spark.read.parquet(out + "/leaderboard").collect()}
     assert lb["ridge"].r2 > 0.9 and lb["ridge"].rank == 1 and lb["ridge"].r2_std is not None and lb["knn"].fit_time_s > 0
     assert spark.read.parquet(out + "/residuals").count() == 3
+
+
+@pytest.mark.parametrize("small, strategy", [(60, "smote"), (200, "class_weight"), (320, "none")])
+def test_benchmark_follows_the_strategy(spark, tmp_path, monkeypatch, small, strategy):
+    rng = np.random.default_rng(5)
+    n = 340 if strategy != "smote" else 480
+    rows = [(i, "few" if i < small else "many", float(rng.normal(2.5 * (i < small))), float(rng.normal())) for i in range(n + small)]
+    feats = spark.createDataFrame(rows, "row_id long, y string, a double, b double")
+    made, folds, smote, make_model = [], [], pl.mo.smote, pl.mo.make_model
+    monkeypatch.setattr(pl.mo, "make_model", lambda *a, **k: "n_rows" in k and made.append((k["weight_col"], k["n_rows"])) or make_model(*a, **k))
+    monkeypatch.setattr(pl.mo, "smote", lambda df, *a, **k: folds.append((df, smote(df, *a, **k))) or folds[-1][1])
+    out = str(tmp_path / "out")
+    pl.step_balance(spark, feats, out)
+    assert spark.read.json(out + "/strategy").first()["strategy"] == strategy
+    oof, metrics = pl.step_benchmark(spark, feats, out, cv=2, models=("logistic_regression", "knn"))
+    assert {r["status"] for r in metrics.collect()} == {"ok"} and oof.where("row_id < 0").count() == 0
+    assert oof.groupBy("model").count().where(F.col("count") == n + small).count() == 2
+    assert {w for w, _ in made} == {"weight" if strategy == "class_weight" else None}
+    assert len(folds) == (2 if strategy == "smote" else 0)
+    for before, after in folds:      # only the other fold's rows, oversampled to equal classes
+        assert before.select("fold").distinct().count() == 1
+        assert [r["count"] for r in after.groupBy("label").count().collect()] == [n // 2] * 2
+    assert {m for _, m in made} == ({float(n)} if strategy == "smote" else {(n + small) / 2})
