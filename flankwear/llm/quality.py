@@ -6,7 +6,7 @@
 2. Expectation-maximisation on the pattern counts estimates, for every labeller, how often it casts each
    vote on good and on bad documents, and the share of good ones; labellers that overlap on a document
    correct each other.  Every pattern gets the posterior probability of being good.
-3. A bounded sample (``FIT_ROWS`` documents by a hash of the text, in groups of ``PART_ROWS``) with posterior
+3. A bounded sample (``FIT_ROWS`` distinct texts by their hash, in groups of ``PART_ROWS``) with posterior
    labels trains linear scorers over hashed byte trigrams and hashed bands of text statistics, one per
    group; their weights are averaged.  The scorer then scores every whole text.
 
@@ -164,13 +164,13 @@ def quality_model(docs: DataFrame) -> tuple[np.ndarray, dict[int, float], np.nda
                 target.append(post[pattern(votes(s))])
         return pd.DataFrame({"w": [train(rows, np.array(target)).tolist()], "rows": [len(rows)]})
 
-    # the sample: hashes below the share that makes FIT_ROWS documents on average
-    share = min(1.0, FIT_ROWS / max(1, sum(counts.values())))
+    # the sample: hashes below the share that makes FIT_ROWS distinct texts on average; a repeated text counts once
+    texts = texts.withColumn("order", F.xxhash64("text", F.lit(6)))
+    distinct = texts.select("order").distinct().count()
+    share = min(1.0, FIT_ROWS / max(1, distinct))
     h = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20))
-    sample = texts.where(h < int(share * (1 << 20))).withColumn("order", F.xxhash64("text", F.lit(6)))
-    if share < 1:            # a text that very many rows repeat counts once
-        sample = sample.dropDuplicates(["order"])
-    groups = max(1, -(-min(FIT_ROWS, sum(counts.values())) // PART_ROWS))
+    sample = texts.where(h < int(share * (1 << 20))).dropDuplicates(["order"])
+    groups = max(1, -(-min(FIT_ROWS, distinct) // PART_ROWS))
     fitted = sample.groupBy(F.pmod("order", F.lit(groups)).alias("part")).applyInPandas(fit, "w array<double>, rows long")
     parts = [(np.array(r["w"]), r["rows"]) for r in fitted.collect()]
     total = sum(n for _, n in parts)

@@ -47,6 +47,20 @@ def test_clean_corpus_is_left_alone(spark):
     assert q.drop_bad(df).count() == 300
 
 
+def test_repeated_texts_train_once_at_every_size(spark, monkeypatch):
+    sound = "A plain sentence of several words, and one more that ends here. Number {}, as it happens, is all there is to it."
+    once = [(i, sound.format(i)) for i in range(40)]
+    many = once + [(100 + i, once[i % 20][1]) for i in range(400)]
+
+    def sizes(rows):
+        return q.quality_model(spark.createDataFrame(rows, "doc_id long, text string"))[2]
+
+    monkeypatch.setattr(q, "fit_labellers", lambda counts: (None, None, dict.fromkeys(range(3 ** len(q.STATS)), 0.9)))   # only the sample differs
+    assert np.allclose(sizes(once), sizes(many))         # below the bound
+    monkeypatch.setattr(q, "FIT_ROWS", 60)               # 440 rows are above it, their 40 texts are not
+    assert np.allclose(sizes(once), sizes(many))
+
+
 def test_edges(spark):
     sound = "A plain sentence of several words, and one more that ends here."
     rows = [(1, None), (2, ""), (3, " \n"), (4, sound), (4, sound), (None, sound), (5, "spam " * 60000), (6, "ab"), (7, "!!! $$$ ### " * 50)]
