@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flankwear.llm import chat, decontam, license_scan
+from flankwear.llm import chat, decontam, license_scan, quality_rules
 from flankwear.llm.ann import nearest
 from flankwear.llm.common import table, tokenizer_path
 from flankwear.llm.decontam import contaminated
@@ -122,3 +122,12 @@ SELECT page_id, n AS payload_bytes, h AS payload_digest,
 def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every document and the verdict of the rule cascade (the rejecting rule depends on measured costs)."""
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+ORACLE["op11_rule_cascade"] = quality_rules.oracle_sql()
