@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flankwear.llm import chat, decontam, license_scan, quality_rules
+from flankwear.llm import chat, decontam, license_scan, merkle, quality_rules
 from flankwear.llm.ann import nearest
 from flankwear.llm.common import table, tokenizer_path
 from flankwear.llm.decontam import contaminated
@@ -131,3 +131,12 @@ def op11_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op11_rule_cascade"] = quality_rules.oracle_sql()
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash trees over all documents; leaf, proof and check of every one, a seventh of them tampered with."""
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_merkle_manifest"] = merkle.oracle_sql()
