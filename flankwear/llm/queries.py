@@ -19,6 +19,7 @@ from flankwear.llm.langid import held_out, identify
 from flankwear.llm.near_dup import near_duplicates
 from flankwear.llm.packing import pack
 from flankwear.llm.quality import classify
+from flankwear.llm.repair import repair_damaged
 from flankwear.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +141,9 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op12_merkle_manifest"] = merkle.oracle_sql()
+
+
+@query
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults, and the cheapest edits that repair its structure."""
+    return repair_damaged(table(spark, sf_dir, "conversations"))
