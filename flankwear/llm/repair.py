@@ -190,17 +190,17 @@ def scan(parts: DataFrame, combine: Callable[[list], list], spread: Callable[[li
         return pd.DataFrame({"gid": [key[0]], "part": [int(key[1])], "value": [combine(values)]})
 
     if last < fan:
-        above = kids.select("gid", "block").distinct().select("gid", "block", F.array(*map(F.lit, start)).cast("array<long>").alias("bound"))
+        above = kids.select(F.col("gid").alias("of"), F.col("block").alias("at")).distinct().select("of", "at", F.array(*map(F.lit, start)).cast("array<long>").alias("bound"))
     else:
         over = stage(kids.groupBy("gid", "block").applyInPandas(up, "gid string, part long, value array<long>"))
-        above = scan(over, combine, spread, start, last // fan, fan).select("gid", F.col("part").alias("block"), "bound")
+        above = scan(over, combine, spread, start, last // fan, fan).select(F.col("gid").alias("of"), F.col("part").alias("at"), "bound")
 
     def down(rows: pd.DataFrame, bound: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("part")
         values = [list(map(int, v)) for v in rows["value"]]
         return pd.DataFrame({"gid": rows["gid"], "part": rows["part"], "bound": spread(values, list(map(int, bound["bound"].iloc[0])))})
 
-    return stage(kids.groupBy("gid", "block").cogroup(above.groupBy("gid", "block"))
+    return stage(kids.groupBy("gid", "block").cogroup(above.groupBy("of", "at"))
                  .applyInPandas(down, "gid string, part long, bound array<long>"))
 
 

@@ -147,7 +147,7 @@ def test_learned_rules(spark):
     assert rp.learn(df.limit(0)) == []
 
 
-@pytest.mark.parametrize("part,fan", [(256, 256), (4, 2), (1, 3)])
+@pytest.mark.parametrize("part,fan", [(256, 256), (4, 2), (4, 256)])
 def test_conversations_equal_loops(spark, part, fan):
     rows = made(40, 9, 1) + [(1000, t, ROLES[t % 4], f"long {t % 50}" + ".?"[t % 2] * (t % 3 > 0)) for t in range(90)]
     rows += [(5000, 2, "user", "Same."), (5000, 2, "user", "Same."), (None, None, None, None)]
