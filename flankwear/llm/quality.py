@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from flankwear.llm.common import slices
 
 FIT_ROWS, PART_ROWS = 12_000, 2_000   # bound of the training sample, and rows of each group that trains by itself
+DRAWS = 1 << 60                       # a text is drawn by a hash below its share of so many
 BUCKETS = 1 << 15                     # hashed features
 KEEP_SCORE = 0.5
 FALSE_ALARM = 0.003                   # bound on P(labeller votes bad | good): its bad votes need extreme values
@@ -168,12 +169,14 @@ def quality_model(docs: DataFrame) -> tuple[np.ndarray, dict[int, float], np.nda
     texts = texts.withColumn("order", F.xxhash64("text", F.lit(6)))
     distinct = texts.select("order").distinct().count()
     share = min(1.0, FIT_ROWS / max(1, distinct))
-    h = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20))
-    sample = texts.where(h < int(share * (1 << 20))).dropDuplicates(["order"])
+    h = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(DRAWS))
+    sample = texts.where(h < int(share * DRAWS)).dropDuplicates(["order"])
     groups = max(1, -(-min(FIT_ROWS, distinct) // PART_ROWS))
     fitted = sample.groupBy(F.pmod("order", F.lit(groups)).alias("part")).applyInPandas(fit, "w array<double>, rows long")
     parts = [(np.array(r["w"]), r["rows"]) for r in fitted.collect()]
     total = sum(n for _, n in parts)
+    if not total and share < 1:
+        raise RuntimeError("the drawn sample holds no text with words; raise FIT_ROWS")
     w = sum(w * n for w, n in parts) / total if total else np.zeros(BUCKETS + 1)
     return theta, post, w
 

@@ -1,3 +1,4 @@
+import pytest
 from collections import Counter
 from itertools import product
 
@@ -85,3 +86,12 @@ def test_empty_table(spark):
 
 def test_votes_cover_patterns():
     assert len({q.pattern(v) for v in product(range(3), repeat=len(q.STATS))}) == 3 ** len(q.STATS)
+
+
+def test_sample_of_huge_corpora(spark, monkeypatch):
+    from flankwear.llm import quality
+    df = spark.createDataFrame([(k, f"plain words of text number {k} " * 8) for k in range(50)], "doc_id long, text string")
+    monkeypatch.setattr(quality, "FIT_ROWS", 1e-9)            # as with far more texts than the sample can hold
+    with pytest.raises(RuntimeError, match="FIT_ROWS"):
+        quality.quality_model(df)
+    assert int(12_000 / 1e13 * quality.DRAWS) > 0
