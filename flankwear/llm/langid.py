@@ -2,8 +2,9 @@
 
 A text is lower-cased; letters keep their code points and everything else is a blank.  Its units are the
 hashed letter trigrams (word borders included).  Training counts trigrams per language on a bounded
-sample of labelled rows (about ``FIT_ROWS`` documents per language, by a hash of the id) in Spark tasks;
-the model is a table of ``BUCKETS`` smoothed log probabilities per language, of fixed size.
+sample of labelled rows (about ``FIT_ROWS`` documents per language, by a hash of id and text; rows that repeat
+both count once) in Spark tasks; the model is a table of ``BUCKETS`` smoothed log probabilities for each of the
+``MAX_LANGS`` most frequent labels (ties by name; rarer labels are never predicted), of fixed size.
 
 For each document EM finds the proportions of the languages that explain its trigrams best.  Starting from
 the best single language, the next one in order of its fitted proportion is taken in as long as the log
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from flankwear.llm.common import slices
 
 FIT_ROWS = 4_000         # labelled documents per language that train the model, on average
+MAX_LANGS = 128          # labels that get a model, most frequent first
+DRAWS = 1 << 60          # a row is drawn by a hash below its label's share of so many
 BUCKETS = 1 << 15
 SMOOTH = 0.5             # added to every trigram count
 PENALTY = 4.0            # log-likelihood gain per language, times log(number of trigrams)
@@ -67,13 +70,15 @@ def language_model(docs: DataFrame, train: Column) -> tuple[list[str], np.ndarra
     """Languages and their log probabilities (language, bucket) from the labelled rows where ``train`` holds."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"),
                        train.alias("__train")).where("__train and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+             .orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     names = sorted(sizes)
-    share = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, FIT_ROWS / sizes[k]))]) if names else None
+    share = F.create_map(*[F.lit(x) for k in names for x in (k, int(min(1.0, FIT_ROWS / sizes[k]) * DRAWS))]) if names else None
     counts = np.zeros((len(names), BUCKETS))
     if names:
-        draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
-        sample = rows.where(draw < share[F.col("lang")]).select("text", "lang")
+        draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(DRAWS))
+        sample = (rows.where(draw < share[F.col("lang")]).withColumn("__th", F.xxhash64("text"))
+                  .dropDuplicates(["doc_id", "lang", "__th"]).select("text", "lang"))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[str, np.ndarray] = {}
@@ -88,8 +93,8 @@ def language_model(docs: DataFrame, train: Column) -> tuple[list[str], np.ndarra
         at = {k: i for i, k in enumerate(names)}
         # BUCKETS counts per language, whatever the corpus size
         table = sample.mapInArrow(count, "lang string, b int, n double").groupBy("lang", "b").agg(F.sum("n").alias("n"))
-        for r in table.collect():
-            counts[at[r["lang"]], r["b"]] = r["n"]
+        rows_ = table.toArrow()
+        counts[[at[k] for k in rows_["lang"].to_pylist()], rows_["b"].to_numpy()] = rows_["n"].to_numpy()
     counts += SMOOTH
     return names, np.log(counts / counts.sum(axis=1, keepdims=True))
 

@@ -66,3 +66,18 @@ def test_nothing_to_learn_from(spark, corpus):
     assert {(r["lang_pred"], r["score"]) for r in none} == {("und", 0.0)}
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert li.identify(empty).collect() == [] and li.drop_unidentified(empty).collect() == []
+
+
+def test_sample_bounds(spark, monkeypatch):
+    from flankwear.llm import langid
+    rows = [(None, f"null id row {'abcdefghij'[k % 10] * (k + 1)}", "en") for k in range(400)] + [(1, "same row again", "de")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "FIT_ROWS", 40)
+    names, logp = langid.language_model(df, F.lit(True))
+    assert names == ["de", "en"]
+    grams = langid.trigrams("null")[0]
+    p = np.exp(logp[1])
+    n = (p[grams] / p.min() * langid.SMOOTH - langid.SMOOTH).round()
+    assert 10 <= n.max() <= 90                               # about 40 of the 400 rows without id, not none or all
+    monkeypatch.setattr(langid, "MAX_LANGS", 1)
+    assert langid.language_model(df, F.lit(True))[0] == ["en"]
