@@ -11,7 +11,9 @@ of the template's distinct words:
   blocks meet templates in an equi-join on those words;
 * length filter: the block must hold at least ``need`` words of the templates' vocabulary;
 * positional filter: the block must hold at least ``need`` of them from the joining word on;
-* each pair of block and template is verified once, at the rarest word that both share.
+* each pair of block and template is verified once, at the rarest word that both share;
+* a label is given only where the block also holds the template's telling phrases (name, kind and version)
+  word by word, so that a notice of a neighbouring license is not taken for it.
 
 Phrases are templates of threshold 1 whose words must also stand consecutively; every such place is
 counted in the one block in whose first half it starts.
@@ -42,8 +44,18 @@ TEMPLATES = {
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
+#: Phrases without which a template's label is not given.
+TELLING = {
+    "cc-by-nc": ["cc by nc"],
+    "gpl-3.0": ["general public license", "version 3"],
+    "apache-2.0": ["apache license", "2 0"],
+    "mit": ["mit license"],
+    "mit-text": ["permission is hereby granted"],
+    "bsd": ["source and binary forms"],
+    "mpl-2.0": ["mozilla public license", "2 0"],
+}
 THRESHOLD = 0.8
-BLOCK = 32               # words; no template or phrase is longer
+BLOCK = 32               # words of a block's half at least; the longest template if that is longer
 
 
 def _split(text: str) -> list[str]:
@@ -74,21 +86,21 @@ def _strings(words: list[str]) -> Column:
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES,
-                 threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+                 threshold: float = THRESHOLD, block: int = BLOCK, telling: dict[str, list[str]] = TELLING) -> DataFrame:
     """One row per document row: doc_id, n_words, n_base (places of phrases), first_word, last_word (their smallest
     and largest start), base_labels and labels (distinct, sorted, comma-joined), score (largest share of a matching
     template's words in a block; 0 without a match), n_blocks (matching blocks)."""
     vocabulary = sorted({w for t in [*templates.values(), *phrases] for w in _split(t)})
     counts = word_counts(docs, vocabulary)
     rows = template_rows(templates, phrases, threshold, counts)
-    if any(len(_split(t)) > block for t in [*templates.values(), *phrases]):
-        raise ValueError("a template is longer than a block")
+    block = max(block, *[len(_split(t)) for t in [*templates.values(), *phrases]])
     ranked = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
-    index = [(w, pos, label, phrase, words, words[:pos], need, ranked[ranked.index(w):])
+    index = [(w, pos, label, phrase, words, words[:pos], need, ranked[ranked.index(w):],
+              [] if phrase else [f" {x} " for x in telling.get(label, [])])
              for label, phrase, words, need in rows for pos, w in enumerate(words[:len(words) - need + 1])]
     index = docs.sparkSession.createDataFrame(
         index, "word string, pos int, label string, phrase array<string>, t array<string>, earlier array<string>, "
-               "need int, onward array<string>")
+               "need int, onward array<string>, telling array<string>")
     prefix = sorted({w for _, _, words, need in rows for w in words[:len(words) - need + 1]})
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
@@ -106,9 +118,10 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases
             & (F.size(F.array_intersect(held, "onward")) >= F.col("need"))              # positional filter
             & (F.size(F.array_intersect("b", "earlier")) == 0))                         # at the first common word
     share = F.size(F.array_intersect("b", "t")) / F.size("t")
+    told = F.forall("telling", lambda x: F.contains(F.concat(F.lit(" "), F.array_join("b", " "), F.lit(" ")), x))
     places = F.filter(F.sequence(F.lit(0), F.lit(block - 1)),
                       lambda i: F.slice("b", i + 1, F.size("phrase")) == F.col("phrase"))
-    met = met.withColumn("share", F.when(fits & (F.size(F.array_intersect("b", "t")) >= F.col("need")), share))
+    met = met.withColumn("share", F.when(fits & (F.size(F.array_intersect("b", "t")) >= F.col("need")) & told, share))
     met = met.withColumn("at", F.when(F.col("share").isNotNull() & F.col("phrase").isNotNull(), places))
     base = F.size("at") > 0
     own = F.col("share").isNotNull() & F.col("phrase").isNull()
@@ -129,19 +142,20 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases
 def oracle_sql() -> str:
     """The same result in DuckDB text, by brute force: every block against every template."""
     sql_list = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-    temps = ", ".join(f"('{k}', {sql_list(sorted(set(_split(v))))}, {math.ceil(THRESHOLD * len(set(_split(v))) - 1e-9)})"
+    temps = ", ".join(f"('{k}', {sql_list(sorted(set(_split(v))))}, {sql_list(f' {x} ' for x in TELLING[k])}, {math.ceil(THRESHOLD * len(set(_split(v))) - 1e-9)})"
                       for k, v in TEMPLATES.items())
     phr = ", ".join(f"('{v}', {sql_list(_split(k))}, {len(_split(k))})" for k, v in PHRASES.items())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
-t(label, words, need) AS (VALUES {temps}),
+t(label, words, telling, need) AS (VALUES {temps}),
 p(label, words, n) AS (VALUES {phr}),
 b AS (SELECT rid, k, w[k * {BLOCK} + 1 : k * {BLOCK} + {2 * BLOCK}] AS b
       FROM d, unnest(range(greatest(0, (len(w) + {BLOCK - 1}) // {BLOCK}))) AS u(k)),
 m AS (SELECT rid, k, label, len(list_intersect(b, words)) / len(words)::DOUBLE AS share
-      FROM b, t WHERE len(list_intersect(b, words)) >= need),
+      FROM b, t WHERE len(list_intersect(b, words)) >= need
+        AND len(list_filter(telling, lambda x: contains(' ' || array_to_string(b, ' ') || ' ', x))) = len(telling)),
 g AS (SELECT rid, i, label FROM (SELECT rid, w, i FROM d, unnest(range(len(w))) AS u(i)) x, p
       WHERE w[i + 1] = words[1] AND w[i + 1 : i + n] = words),
 mg AS (SELECT rid, max(share) AS s, count(DISTINCT k) AS n_blocks, list(DISTINCT label) AS ls FROM m GROUP BY rid),
