@@ -8,10 +8,10 @@ Turns are numbered in order of (turn, role, text) by a range sort that spreads a
 tasks.  Every participant of the dialogue gets the whole of it, whether they speak early, late or once; a
 rendering is stored in parts of ``PART_TURNS`` turns, so one dialogue may hold any share of all rows.  Joined
 in order of ``part``, a participant's parts are the rendering; ``first_turn`` and ``first_char`` say where in
-it a part begins.  The DuckDB twin is the same up to ``PART_TURNS`` turns a dialogue; above, it still gives a
-speaker only the parts in which they speak, with spans from the start of each part.
+it a part begins.
 
-Markers inside a text are escaped (``<|`` becomes ``<\\|``), nothing else is changed.  Defined results: null
+Markers inside a text are escaped (``<|`` becomes ``<\\|``), nothing else is changed; in a header a role's
+``<|``, ``|>`` and line breaks are escaped too (``<\\|``, ``|\\>``, ``\\n``), so that no role forges a header.  Defined results: null
 text is empty; a null role counts as the speaker ``unknown``; null turns come first; repeated rows are turns
 of their own; a null conv_id is a dialogue like any other; a dialogue of system turns alone gives no row.
 """
@@ -27,10 +27,17 @@ SYSTEM = ("system",)     # roles that are no participants
 END = "<|end|>\n"
 
 
+#: What a role's characters become in a header.
+ESCAPES = (("<|", "<\\|"), ("|>", "|\\>"), ("\n", "\\n"))
+
+
 def _header(role: Column, me: Column) -> Column:
+    shown = role
+    for plain, escaped in ESCAPES:
+        shown = F.replace(shown, F.lit(plain), F.lit(escaped))
     return (F.when(role == me, F.lit("<|assistant|>\n"))
             .when(role.isin(*SYSTEM), F.concat(F.lit("<|"), role, F.lit("|>\n")))
-            .otherwise(F.concat(F.lit("<|user name="), role, F.lit("|>\n"))))
+            .otherwise(F.concat(F.lit("<|user name="), shown, F.lit("|>\n"))))
 
 
 def _samples(rows: DataFrame) -> DataFrame:
@@ -85,19 +92,22 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
 
 def oracle_sql(part_turns: int = PART_TURNS) -> str:
     """The query's digest of the same result in DuckDB text."""
+    shown = "q.role"
+    for plain, escaped in ESCAPES:
+        shown = f"replace({shown}, {plain!r}, '{escaped}')" if plain != "\n" else f"replace({shown}, chr(10), '{escaped}')"
     return f"""
 WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '<\\|') AS text, turn
            FROM conversations),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM t),
 q AS (SELECT *, pos // {part_turns} AS part FROM n),
-s AS (SELECT DISTINCT conv_id, part, role AS participant FROM q WHERE role <> 'system'),
-r AS (SELECT s.conv_id, s.part, s.participant, q.pos, q.role = s.participant AS own,
+s AS (SELECT DISTINCT conv_id, role AS participant FROM q WHERE role <> 'system'),
+r AS (SELECT s.conv_id, q.part, s.participant, q.pos, q.role = s.participant AS own,
              CASE WHEN q.role = s.participant THEN '<|assistant|>' WHEN q.role = 'system' THEN '<|system|>'
-                  ELSE '<|user name=' || q.role || '|>' END || chr(10) AS head, q.text || '<|end|>' || chr(10) AS body
-      FROM s JOIN q ON s.conv_id IS NOT DISTINCT FROM q.conv_id AND s.part = q.part),
-o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, participant ORDER BY pos) AS e FROM r)
+                  ELSE '<|user name=' || {shown} || '|>' END || chr(10) AS head, q.text || '<|end|>' || chr(10) AS body
+      FROM s JOIN q ON s.conv_id IS NOT DISTINCT FROM q.conv_id),
+o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant ORDER BY pos) AS e FROM r)
 SELECT conv_id, part::BIGINT AS part, participant, count(*)::BIGINT AS n_turns, count(*) FILTER (own)::BIGINT AS n_own,
-       max(e)::BIGINT AS n_chars, (sum(length(body)) FILTER (own))::BIGINT AS n_learn,
-       string_agg((e - length(body))::BIGINT || '-' || e::BIGINT, ',' ORDER BY pos) FILTER (own) AS spans,
+       sum(length(head) + length(body))::BIGINT AS n_chars, coalesce(sum(length(body)) FILTER (own), 0)::BIGINT AS n_learn,
+       coalesce(string_agg((e - length(body))::BIGINT || '-' || e::BIGINT, ',' ORDER BY pos) FILTER (own), '') AS spans,
        string_agg(head || body, '' ORDER BY pos) AS rendered
 FROM o GROUP BY conv_id, part, participant"""
