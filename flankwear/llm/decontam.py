@@ -13,7 +13,10 @@ tables' sizes) over the items' word pairs and seeds drop almost all training pos
 shuffle; a bitmap that fills up merely drops less.  Texts are matched by a 96-bit hash, so thousands of
 copies of a text, or a third of all rows, are searched where they lie but verified once.
 
-Defined results: null or wordless texts and items of fewer than ``SPAN`` words overlap with nothing; items
+Items of ``LEAST`` to ``SPAN - 1`` words are too short for a mask: they are found as whole word sequences, one
+seed per length, and score their number of words.
+
+Defined results: null or wordless texts and items of fewer than ``LEAST`` words overlap with nothing; items
 with equal words are reported once, under the smallest item_id; repeated rows give a result row each; a
 null doc_id is carried along.
 """
@@ -27,6 +30,7 @@ from flankwear.llm.common import ascii_words, bitmap, in_bitmap, stage
 #: Selected positions of each mask; all start with 0, 1 and lie in a span of 10 words.
 MASKS = ((0, 1, 3, 4, 6, 7, 9), (0, 1, 2, 5, 7, 8, 9), (0, 1, 4, 5, 6, 8, 9))
 SPAN, SEED_WORDS = 10, 7
+LEAST = 4                # shorter items are everyday phrases and left alone
 FLANK = 64               # words to either side of a seed that are compared
 PENALTY, MIN_SCORE = 2, 10
 
@@ -70,11 +74,32 @@ def _text_key() -> list[Column]:
     return [F.xxhash64(t).alias("k1"), F.hash(t).alias("k2")]
 
 
+def _short_overlaps(docs: DataFrame, short: DataFrame) -> DataFrame | None:
+    """Places of items of fewer than ``SPAN`` words as whole sequences: k1, k2, item_id, score, matched, first, last."""
+    lengths = sorted(r["n"] for r in short.select(F.size("w").alias("n")).distinct().collect())       # SPAN - LEAST at most
+    if not lengths:
+        return None
+    whole = lambda w, at, n: F.xxhash64(F.lit(n), F.slice(w, at + 1, n))
+    known = short.select("item_id", F.col("w").alias("v"), F.xxhash64(F.size("w"), "w").alias("h"),
+                         F.xxhash64(F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("pair"))
+    pairs, seeds_ = bitmap(known, "pair"), bitmap(known, "h")
+    texts = docs.select(*_text_key(), ascii_words(F.col("text").cast("string")).alias("w"))
+    at = (texts.select("k1", "k2", "w", F.posexplode("w").alias("i", "w0"))
+          .where(in_bitmap(pairs, F.xxhash64("w0", F.get("w", F.col("i") + 1)))))
+    fits = F.filter(F.array(*map(F.lit, lengths)), lambda n: F.col("i") + n <= F.size("w"))
+    each = at.select("k1", "k2", "i", F.explode(F.transform(fits, lambda n: F.struct(
+        F.slice("w", F.col("i") + 1, n).alias("x"), whole(F.col("w"), F.col("i"), n).alias("h")))).alias("s"))
+    hits = each.select("k1", "k2", "i", "s.x", "s.h").where(in_bitmap(seeds_, F.col("h"))).join(known, "h").where(F.col("x") == F.col("v"))
+    n = F.size("v")
+    return hits.select("k1", "k2", "item_id", n.alias("score"), n.alias("matched"), F.col("i").alias("first"), (F.col("i") + n - 1).alias("last"))
+
+
 def text_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Overlaps of distinct texts with items: k1, k2 (text hash), item_id, score, matched, first_word, last_word."""
-    it = stage(items.select(F.col("item_id").cast("bigint").alias("item_id"), ascii_words(F.col("text").cast("string")).alias("w"))
-               .where(F.size("w") >= SPAN).groupBy("w").agg(F.min("item_id").alias("item_id"))
-               .withColumn("item", F.xxhash64("w")))
+    every = stage(items.select(F.col("item_id").cast("bigint").alias("item_id"), ascii_words(F.col("text").cast("string")).alias("w"))
+                  .where(F.size("w") >= LEAST).groupBy("w").agg(F.min("item_id").alias("item_id"))
+                  .withColumn("item", F.xxhash64("w")))
+    it = every.where(F.size("w") >= SPAN)
     item_pos = positions(it, ["item", "item_id"])
     item_seeds = stage(seeds(item_pos, ["item"]).withColumnRenamed("i", "j"))
     pairs, known = bitmap(item_pos, "pair"), bitmap(item_seeds, "h")
@@ -95,9 +120,11 @@ def text_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     same = F.zip_with(F.slice("w", start + 1, stop - start), F.slice("v", start - F.col("d") + 1, stop - start),
                       lambda a, b: a == b)
     best = both.select("k1", "k2", "item_id", start.alias("start"), _best_stretch(same).alias("b")).where(F.col("b.score") >= MIN_SCORE)
-    top = best.groupBy("k1", "k2", "item_id").agg(
-        F.max(F.struct(F.col("b.score").alias("score"), F.col("b.matched").alias("matched"),
-                       (-F.col("start") - F.col("b.first")).alias("first"), (F.col("start") + F.col("b.last")).alias("last"))).alias("m"))
+    best = best.select("k1", "k2", "item_id", "b.score", "b.matched", (F.col("start") + F.col("b.first")).alias("first"),
+                       (F.col("start") + F.col("b.last")).alias("last"))
+    if (short := _short_overlaps(docs, every.where(F.size("w") < SPAN))) is not None:
+        best = best.unionByName(short)
+    top = best.groupBy("k1", "k2", "item_id").agg(F.max(F.struct("score", "matched", (-F.col("first")).alias("first"), "last")).alias("m"))
     return stage(top.select("k1", "k2", "item_id", "m.score", "m.matched", (-F.col("m.first")).alias("first_word"),
                             F.col("m.last").alias("last_word")))
 
@@ -132,7 +159,11 @@ def oracle_sql() -> str:
              "'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')")
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
-it AS (SELECT min(item_id) AS item_id, w FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) >= {SPAN} GROUP BY w),
+ev AS (SELECT min(item_id) AS item_id, w FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) >= {LEAST} GROUP BY w),
+it AS (SELECT * FROM ev WHERE len(w) >= {SPAN}),
+sh AS (SELECT d.rid, s.item_id, len(s.w) AS score, i AS first, i + len(s.w) - 1 AS last
+       FROM (SELECT item_id, w FROM ev WHERE len(w) < {SPAN}) s, (SELECT rid, w, unnest(range(len(w))) AS i FROM d) d
+       WHERE d.w[i + 1] = s.w[1] AND d.w[i + 1 : i + len(s.w)] = s.w),
 dp AS (SELECT rid, w, i FROM d, unnest(range(greatest(0, len(w) - {SPAN - 1}))) AS u(i)),
 ip AS (SELECT item_id, w, i FROM it, unnest(range(len(w) - {SPAN - 1})) AS u(i)),
 ds AS ({seeds_of('dp', 'rid')}),
@@ -152,7 +183,8 @@ f AS (SELECT b.rid, b.item_id, b.d, b.score, b.last,
              greatest(coalesce(max(p.k) + 1, b.k0), CASE WHEN b.base = 0 THEN b.k0 ELSE 0 END) AS first
       FROM b LEFT JOIN p ON p.rid = b.rid AND p.item_id = b.item_id AND p.d = b.d AND p.k < b.last AND p.t = b.base
       WHERE b.score >= {MIN_SCORE} GROUP BY b.rid, b.item_id, b.d, b.score, b.last, b.base, b.k0),
-r AS (SELECT *, (score + {PENALTY} * (last - first + 1)) / {PENALTY + 1} AS matched FROM f),
+r AS (SELECT rid, item_id, score, first, last, (score + {PENALTY} * (last - first + 1)) / {PENALTY + 1} AS matched FROM f
+      UNION ALL SELECT rid, item_id, score, first, last, score FROM sh),
 o AS (SELECT *, row_number() OVER (PARTITION BY rid, item_id ORDER BY score DESC, matched DESC, first, last DESC) AS n FROM r)
 SELECT doc_id, item_id, score::INTEGER AS score, matched::INTEGER AS matched, first::INTEGER AS first_word, last::INTEGER AS last_word
 FROM o JOIN d USING (rid) WHERE n = 1"""

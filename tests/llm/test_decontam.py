@@ -86,3 +86,16 @@ def test_empty_tables(spark):
 def test_no_python_in_plan(spark, small):
     plan = dc.contaminated(table(spark, small, "documents"), table(spark, small, "benchmark"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_short_items_are_whole_sequences(spark, same_as_sql, tmp_path):
+    items = [(1, "one two three four five six seven eight nine"), (2, "what is it now"), (3, "too short here"), (4, "WHAT is it, now!"), (5, None),
+             (6, " ".join(f"w{k}" for k in range(20)))]
+    docs = [(1, "a b one two three four five six seven eight nine c"), (2, "one two three four five six seven eight nin"),
+            (3, "so what is it now and what is it now"), (4, "too short here"), (None, "what is it now"), (5, " ".join(f"w{k}" for k in range(20)))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = same_as_sql("op10_benchmark_decontamination", str(tmp_path))
+    out = {(r["doc_id"], r["item_id"], r["score"], r["first_word"], r["last_word"]) for r in
+           dc.contaminated(*[spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "benchmark")]).collect()}
+    assert len(got) == 4 and out == {(1, 1, 9, 2, 10), (3, 2, 4, 1, 4), (None, 2, 4, 0, 3), (5, 6, 20, 0, 19)}
