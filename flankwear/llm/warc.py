@@ -112,6 +112,21 @@ def write_archives(records: DataFrame, folder: str, max_bytes: int = MAX_ARCHIVE
     return stage(records.mapInArrow(run, "path string, records bigint, bytes bigint"))
 
 
+def header_fields(head: bytes) -> dict[str, str]:
+    """Named fields of a record's head, names in lower case; a line that begins with white space goes on with the one
+    before it; of fields of one name the last one counts."""
+    out: dict[str, str] = {}
+    name = None
+    for line in head.decode("utf-8", "surrogatepass").replace("\r\n", "\n").split("\n")[1:]:
+        if line[:1] in (" ", "\t") and name is not None:
+            out[name] = f"{out[name]} {line.strip()}".strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
 def records_of(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
     """(headers, block, raw record) of a gzip stream of WARC records, whatever its members; one record in memory."""
     inflate, buf = zlib.decompressobj(31), bytearray()
@@ -133,9 +148,8 @@ def records_of(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes,
                 if buf.strip():
                     raise ValueError("the archive ends within a record")
                 return
-        head = bytes(buf[:cut]).decode("utf-8", "surrogatepass").split("\r\n")
-        fields = dict(x.split(": ", 1) for x in head[1:] if ": " in x)
-        end = cut + 4 + int(fields["Content-Length"])
+        fields = header_fields(bytes(buf[:cut]))
+        end = cut + 4 + int(fields["content-length"])
         while len(buf) < end + 4:
             if not more():
                 raise ValueError("the archive ends within a record")
@@ -164,7 +178,7 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
                         z = zlib.compressobj(6, zlib.DEFLATED, 31)
                         member = z.compress(raw) + z.flush()
                         out.write(member)
-                        rows.append((target, at, len(member), fields["WARC-Type"], fields["WARC-Record-ID"]))
+                        rows.append((target, at, len(member), fields["warc-type"], fields["warc-record-id"]))
                         at += len(member)
                 with store.open_output_stream(target.removesuffix(".warc.gz") + ".idx", compression=None) as out:
                     out.write("".join(f"{o}\t{n}\t{t}\t{r}\n" for _, o, n, t, r in rows).encode())
@@ -192,11 +206,11 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 source.seek(offset)
                 (h, block, _), = records_of(iter([source.read(length)]))
                 payload = block.partition(b"\r\n\r\n")[2]
-                kept = h["WARC-Type"] == "response"
-                rows.append((int(h["X-Page-ID"]) if "X-Page-ID" in h else None, h.get("WARC-Target-URI"), h["WARC-Type"],
+                kept = h["warc-type"] == "response"
+                rows.append((int(h["x-page-id"]) if "x-page-id" in h else None, h.get("warc-target-uri"), h["warc-type"],
                              len(payload) if kept else None,
-                             hashlib.sha256(payload).hexdigest() if kept else h["WARC-Payload-Digest"].removeprefix("sha256:"),
-                             int(h["X-Refers-To-Page"]) if "X-Refers-To-Page" in h else None))
+                             hashlib.sha256(payload).hexdigest() if kept else h["warc-payload-digest"].removeprefix("sha256:"),
+                             int(h["x-refers-to-page"]) if "x-refers-to-page" in h else None))
             types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
             names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"]
             yield pa.record_batch([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], names)

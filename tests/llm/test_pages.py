@@ -10,6 +10,14 @@ from flankwear.llm.queries import op5_html_blocks
 LONG = "<p>" + "long enough payload " * 12 + "</p>"
 
 
+def test_foreign_headers():
+    head = b"WARC/1.0\r\nwarc-type:response\r\nContent-length:4\r\nWARC-Target-URI: http://x/\r\n  folded: on\r\nWARC-Record-ID:<a>\r\n"
+    got = warc.header_fields(head.rstrip())
+    assert got == {"warc-type": "response", "content-length": "4", "warc-target-uri": "http://x/ folded: on", "warc-record-id": "<a>"}
+    data = gzip.compress((head + b"\r\nbody\r\n\r\n") * 2)
+    assert [(f["warc-record-id"], b) for f, b, _ in warc.records_of(iter([data]))] == [("<a>", b"body")] * 2
+
+
 def test_warc_whole_small_table(same_as_sql, small):
     assert len(same_as_sql("op4_warc_normaliser", small)) == 50
 
