@@ -1,19 +1,21 @@
 """Per-pass signal statistics.
 
 Signals are kept long: ``(tool, passe, channel, i, x)``.  All 13 statistics
-are computed by ONE grouped aggregation over ``(tool, passe, channel)``
+come from two scans: ONE grouped aggregation over ``(tool, passe, channel)``
 (partial aggregation map-side, so a hot pass is pre-reduced in every task)
-plus one skew-safe quantile plan; a pivot with an explicit channel list turns
+for the moments and the quantiles' brackets, and one scan that ranks the
+samples inside the brackets; a pivot with an explicit channel list turns
 the result wide at the very end.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flankwear.operators.ordering import approx_quantiles, exact_quantiles
+from flankwear.operators.ordering import _ns_join, approx_quantiles, bracket_aggs, quantiles_in
+from flankwear.session import write_stage
 
 # Channel names of a raw milling pass, sampling rate, statistic order.
 CHANNELS = ["force_x", "force_y", "force_z", "vib_x", "vib_y", "vib_z", "ae"]
@@ -26,8 +28,8 @@ STAT_DIGITS = {"mean": 8, "std": 8, "rms": 8, "max": 6, "p2p": 6, "skew": 8, "ku
 KEYS = ["tool", "passe"]
 
 
-def moment_stats(sig: DataFrame, keys: Sequence[str], x: str = "x", eps: float = 1e-12) -> DataFrame:
-    """A01-A11 per group: one aggregation, NULL inputs skipped (all-NULL -> NULLs)."""
+def moment_stats(sig: DataFrame, keys: Sequence[str], x: str = "x", eps: float = 1e-12, also: Sequence[Column] = ()) -> DataFrame:
+    """A01-A11 per group: one aggregation, NULL inputs skipped (all-NULL -> NULLs); ``also`` adds aggregates to it."""
     v = F.col(x)
     agg = sig.groupBy(*keys).agg(
         F.count(v).alias("n"),
@@ -41,6 +43,7 @@ def moment_stats(sig: DataFrame, keys: Sequence[str], x: str = "x", eps: float =
         F.sum(v * v).alias("energy"),
         F.avg(v * v).alias("energy_mean"),
         F.avg(F.abs(v)).alias("_mabs"),
+        *also,
     )
     return (agg
             .withColumn("crest", F.when(F.col("rms").isNull(), F.lit(None).cast("double"))
@@ -53,10 +56,15 @@ def channel_stats(sig: DataFrame, keys: Sequence[str] = ("tool", "passe", "chann
                   eps: float = 1e-12, approx: bool = False) -> DataFrame:
     """Long pass-feature table: one row per (keys) with A01-A14 (+ energy_mean, n)."""
     keys = list(keys)
-    m = moment_stats(sig, keys, x, eps)
-    qf = approx_quantiles if approx else exact_quantiles
-    q = qf(sig, keys, x, {"p25": 0.25, "p75": 0.75})
-    out = m.join(q, keys, "left").withColumn("iqr", F.col("p75") - F.col("p25"))
+    probs = {"p25": 0.25, "p75": 0.75}
+    if approx:
+        m = moment_stats(sig, keys, x, eps)
+        q = approx_quantiles(sig, keys, x, probs)
+    else:
+        # the first scan: moments and quantile brackets; the second one ranks the rows in brackets
+        m = write_stage(moment_stats(sig, keys, x, eps, bracket_aggs(sig, x, list(probs.values()))))
+        q = quantiles_in(sig, keys, x, probs, m.where("_n > 0").select(*keys, "_n", "_nan", "_b"))
+    out = _ns_join(m, q, keys, "left").withColumn("iqr", F.col("p75") - F.col("p25"))
     return out.select(*keys, "n", *STATS, "energy_mean")
 
 

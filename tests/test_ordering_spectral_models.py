@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from flankwear.operators import balance as ba
 from flankwear.operators import models as mo
 from flankwear.operators import spectral as sp
-from flankwear.operators.ordering import exact_quantiles, with_position
+from flankwear.operators import ordering
+from flankwear.operators.ordering import exact_quantiles, sorted_quantiles, with_position
 
 
 def test_positions_match_row_number_with_hot_key(spark):
@@ -172,7 +173,7 @@ def test_hot_and_cold_groups(spark, slices):
     b = (df.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("v")) - 1)
          .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k"))))
     assert sorted(a.select("k", "v", "pos", "n").collect(), key=repr) == sorted(b.collect(), key=repr)
-    q = {r.k: (r.p25, r.p90) for r in exact_quantiles(df, ["k"], "v", {"p25": 0.25, "p90": 0.9}, slices=slices).collect()}
+    q = {r.k: (r.p25, r.p90) for r in sorted_quantiles(df, ["k"], "v", {"p25": 0.25, "p90": 0.9}, slices=slices).collect()}
     for key in ["hot", "k0", None]:
         xs = [v for k, v in rows if k == key]
         assert q[key] == pytest.approx((np.percentile(xs, 25), np.percentile(xs, 90)))
@@ -234,3 +235,49 @@ def test_grid_models(spark):
     per_fold = mo.knn_oof_scaled(folds.withColumn("vec", F.array("a", "b", "c")), 5, range(4), "classification")
     for o in (knn, per_fold):
         assert o.count() == len(rest) and o.where("y_true = y_pred").count() > 0.8 * len(rest)
+
+
+def test_bracketed_quantiles(spark, monkeypatch):
+    """Two scans give numpy's quantiles whatever the sketch's accuracy: ties, NULL groups, one hot group, a sketch that is off."""
+    monkeypatch.setattr(ordering, "ACCURACY", 100)
+    rng = np.random.default_rng(4)
+    rows = [("hot", float(x)) for x in rng.normal(size=6000).round(3)] + [("hot", 0.5)] * 3000 + [(None, float(x)) for x in rng.random(900)]
+    rows += [("one", 1.0), ("null", None), ("two", 1.0), ("two", 4.0)]
+    probs = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p999": 0.999, "p1": 1.0}
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    want = {}
+    for k, v in rows:
+        want.setdefault(k, []).extend([v] if v is not None else [])
+
+    def check(got):
+        assert {r.k for r in got} == {k for k, v in want.items() if v}
+        for r in got:
+            for name, p in probs.items():
+                assert r[name] == pytest.approx(np.quantile(want[r.k], p), abs=1e-12)
+
+    check(exact_quantiles(df, ["k"], "v", probs).collect())
+    v = df.where("v is not null")
+    brackets = ordering.write_stage(v.groupBy("k").agg(*ordering.bracket_aggs(v, "v", list(probs.values()))))
+    plan = ordering.quantiles_in(v, ["k"], "v", probs, brackets)
+    assert "Python" not in plan._jdf.queryExecution().toString()
+    off = ordering.write_stage(brackets.withColumn("_b", F.transform("_b", lambda x: x + 0.4)))
+    check(ordering.quantiles_in(v, ["k"], "v", probs, off).collect())
+    monkeypatch.setattr(ordering, "BROADCAST_GROUPS", 0)
+    check(ordering.quantiles_in(v, ["k"], "v", probs, brackets).collect())
+
+
+def test_bracketed_quantiles_share_of_rows(spark, monkeypatch):
+    """Only rows in brackets are cells: about 4 / ACCURACY of a group per probability, and one gap between."""
+    monkeypatch.setattr(ordering, "ACCURACY", 1000)
+    df = spark.range(100_000).select(F.lit(1).alias("k"), F.rand(7).alias("v"))
+    lo, hi = exact_quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.75}).select("a", "b").first()
+    v = np.sort([r.v for r in df.collect()])
+    assert (lo, hi) == pytest.approx((np.quantile(v, 0.25), np.quantile(v, 0.75)), abs=1e-12)
+
+
+def test_quantiles_with_nan(spark):
+    df = spark.createDataFrame([("a", float("nan")), ("a", 1.0), ("a", 2.0), ("b", 3.0), ("b", 5.0)], "k string, v double")
+    got = {r.k: r.m for r in exact_quantiles(df, ["k"], "v", {"m": 0.5}).collect()}
+    assert got == {"a": 2.0, "b": 4.0}
+    assert exact_quantiles(df.limit(0), ["k"], "v", {"m": 0.5}).collect() == []
+    assert exact_quantiles(df.where("k = 'b'"), [], "v", {"m": 0.5}).collect() == [(4.0,)]
