@@ -84,16 +84,16 @@ def _holds_nan(df: DataFrame, value: str) -> bool:
 
 
 def bracket_aggs(df: DataFrame, value: str, probs: Sequence[float]) -> list[Column]:
-    """Aggregates of the first scan: ``_n`` values, ``_nan`` of them NaN, and ``_b``, the bracket of every probability
+    """Aggregates of the first scan: ``__n`` values, ``__nan`` of them NaN, and ``__b``, the bracket of every probability
     (lower and upper end) from one mergeable sketch per group."""
     v = F.col(value)
     nan = F.count(F.when(F.isnan(v), 1)) if _holds_nan(df, value) else F.lit(0).cast("bigint")
     ends = [min(1.0, max(0.0, p + s * 2 / ACCURACY)) for p in probs for s in (-1, 1)]
-    return [F.count(v).alias("_n"), nan.alias("_nan"), F.percentile_approx(v, ends, ACCURACY).alias("_b")]
+    return [F.count(v).alias("__n"), nan.alias("__nan"), F.percentile_approx(v, ends, ACCURACY).alias("__b")]
 
 
 def quantiles_in(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], brackets: DataFrame) -> DataFrame:
-    """Exact quantiles from brackets (a written table: keys, ``_n``, ``_nan``, ``_b``) and one more scan of ``df``.
+    """Exact quantiles from brackets (a written table: keys, ``__n``, ``__nan``, ``__b``) and one more scan of ``df``.
 
     Every row becomes a cell of its group: its own value inside a bracket, else the gap between brackets it lies in.
     Cells are counted with partial aggregation, so a gap costs one row per task, a value tied a billion times too,
@@ -101,31 +101,31 @@ def quantiles_in(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str
     the ranks.  Groups of fewer than ``2 * ACCURACY`` rows are cells as a whole.  A rank that falls into a gap (the
     sketch was off, or the group holds NaN) sends its group through ``sorted_quantiles``."""
     keys = list(keys)
-    n_groups, worst = brackets.agg(F.count(F.lit(1)), F.max("_nan")).first()
-    small = F.col("_n") < 2 * ACCURACY
-    v = F.col("_v")
-    rows = df.select(*keys, F.col(value).alias("_v")).where(v.isNotNull())
+    n_groups, worst = brackets.agg(F.count(F.lit(1)), F.max("__nan")).first()
+    small = F.col("__n") < 2 * ACCURACY
+    v = F.col("__v")
+    rows = df.select(*keys, F.col(value).alias("__v")).where(v.isNotNull())
     side = F.broadcast(brackets) if n_groups <= BROADCAST_GROUPS else brackets
-    rows = _ns_join(rows, side.select(*keys, "_n", "_b"), keys, "inner")
-    ends = [(F.col("_b")[2 * j], F.col("_b")[2 * j + 1]) for j in range(len(probs))]
+    rows = _ns_join(rows, side.select(*keys, "__n", "__b"), keys, "inner")
+    ends = [(F.col("__b")[2 * j], F.col("__b")[2 * j + 1]) for j in range(len(probs))]
     inside = small
     for lo, hi in ends:
         inside = inside | ((v >= lo) & (v <= hi))
     below = [F.when(hi < v, hi) for _, hi in ends]
     gap = F.greatest(*below) if len(below) > 1 else below[0]
-    cells = (rows.select(*keys, "_n", F.when(inside, v).otherwise(gap).alias("_c"), (~inside).alias("_gap"))
-             .groupBy(*keys, "_c", "_gap").agg(F.count(F.lit(1)).alias("_k"), F.first("_n").alias("_n")))
-    run = Window.partitionBy(*keys).orderBy(F.col("_c").asc_nulls_first(), "_gap").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("_end", F.sum("_k").over(run))
+    cells = (rows.select(*keys, "__n", F.when(inside, v).otherwise(gap).alias("__cell"), (~inside).alias("__gap"))
+             .groupBy(*keys, "__cell", "__gap").agg(F.count(F.lit(1)).alias("__rows"), F.first("__n").alias("__n")))
+    run = Window.partitionBy(*keys).orderBy(F.col("__cell").asc_nulls_first(), "__gap").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("__end", F.sum("__rows").over(run))
     aggs = []
     for name, p in probs.items():
-        h = F.lit(float(p)) * (F.col("_n") - 1)
-        at = lambda r: F.max(F.when(~F.col("_gap") & (r < F.col("_end")) & (r >= F.col("_end") - F.col("_k")), F.col("_c")))
+        h = F.lit(float(p)) * (F.col("__n") - 1)
+        at = lambda r: F.max(F.when(~F.col("__gap") & (r < F.col("__end")) & (r >= F.col("__end") - F.col("__rows")), F.col("__cell")))
         lo, hi, frac = at(F.floor(h)), at(F.ceil(h)), F.max(h - F.floor(h))
         aggs.append((lo + frac * (hi - lo)).alias(name))
     out = cells.groupBy(*keys).agg(*aggs)
     if worst:
-        lost = brackets.where("_nan > 0").select(*keys)
+        lost = brackets.where("__nan > 0").select(*keys)
     else:
         missed = F.lit(False)
         for name in probs:
@@ -145,10 +145,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     ``probs`` maps output column name -> probability.  NULL values are ignored; a group with no values yields no row
     (callers left-join); NaN sorts last."""
     if not keys:
-        return exact_quantiles(df.select(F.lit(0).alias("_all"), value), ["_all"], value, probs).drop("_all")
-    v = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    brackets = write_stage(v.groupBy(*keys).agg(*bracket_aggs(v, "_v", list(probs.values()))))
-    return quantiles_in(v, keys, "_v", probs, brackets)
+        return exact_quantiles(df.select(F.lit(0).alias("__all"), value), ["__all"], value, probs).drop("__all")
+    v = df.select(*keys, F.col(value).alias("__v")).where(F.col("__v").isNotNull())
+    brackets = write_stage(v.groupBy(*keys).agg(*bracket_aggs(v, "__v", list(probs.values()))))
+    return quantiles_in(v, keys, "__v", probs, brackets)
 
 
 def sorted_quantiles(df: DataFrame, keys: Sequence[str], value: str,

@@ -6,8 +6,12 @@ profile costs a single scan regardless of column count.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,13 +150,83 @@ def corr_with_target(df: DataFrame, features: Sequence[str], target: str, digits
     return long.withColumn("abs_r", F.round(F.abs(F.col("r")), digits))
 
 
+#: Columns of a block of the cross-product matrix, and partial blocks that one task merges.
+GRAM_BLOCK, GRAM_FAN = 32, 512
+
+
+def _merge_moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Moments of two disjoint sets of rows together: n, both means, both squared deviations, co-deviation per pair."""
+    n = a[0] + b[0]
+    w = np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    k = a[0] * w
+    return np.stack([n, a[1] + dx * w, a[2] + dy * w, a[3] + b[3] + dx * dx * k, a[4] + b[4] + dy * dy * k, a[5] + b[5] + dx * dy * k])
+
+
+def _block_moments(x: np.ndarray, mx: np.ndarray, y: np.ndarray, my: np.ndarray) -> np.ndarray:
+    """Moments of all column pairs of two blocks of rows, over the rows where both columns are present (masks)."""
+    cx = np.divide(x.sum(0), mx.sum(0), out=np.zeros(x.shape[1]), where=mx.any(0))
+    cy = np.divide(y.sum(0), my.sum(0), out=np.zeros(y.shape[1]), where=my.any(0))
+    x, y = np.where(mx, x - cx, 0.0), np.where(my, y - cy, 0.0)
+    fx, fy = mx.astype(float), my.astype(float)
+    n = fx.T @ fy
+    sx, sy = x.T @ fy, fx.T @ y
+    d = np.where(n > 0, n, 1.0)
+    return np.stack([n, cx[:, None] + sx / d, cy[None, :] + sy / d, (x * x).T @ fy - sx * sx / d, fx.T @ (y * y) - sy * sy / d,
+                     x.T @ y - sx * sy / d])
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str], lower_only: bool = True) -> DataFrame:
-    """Pairwise Pearson matrix in long form (a, b, r); triangle by column order."""
-    pairs = [(a, b) for i, a in enumerate(cols) for j, b in enumerate(cols)
-             if (j < i if lower_only else True)]
-    one = df.agg(*[F.corr(_q(a).cast("double"), _q(b).cast("double")).alias(f"{a}||{b}") for a, b in pairs])
-    long = one.unpivot([], [f"`{a}||{b}`" for a, b in pairs], "pair", "r")
-    return long.select(F.split("pair", r"\|\|")[0].alias("a"), F.split("pair", r"\|\|")[1].alias("b"), "r")
+    """Pairwise-complete Pearson matrix in long form (a, b, r); triangle by column order.
+
+    One scan: every task turns its rows into masked cross-products, one matrix product per batch and pair of column
+    blocks, as moments around the batch's own means; blocks of tasks are merged in a tree of ``GRAM_FAN`` a task.
+    The plan is the same for any number of columns; a task holds 6 numbers per pair of columns.  r is NULL where
+    fewer than two complete rows are left or a column does not vary on them; NaN values make r NaN."""
+    cols = list(cols)
+    p = len(cols)
+    cuts = range(0, p, GRAM_BLOCK)
+    wanted = [(i, j) for i in cuts for j in cuts if j <= i or not lower_only]
+    shape = lambda i, j: (6, min(GRAM_BLOCK, p - i), min(GRAM_BLOCK, p - j))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            mask = np.column_stack([~np.asarray(c.is_null()) for c in batch.columns])
+            rows = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns])
+            for i, j in wanted:
+                u, v = slice(i, i + GRAM_BLOCK), slice(j, j + GRAM_BLOCK)
+                new = _block_moments(rows[:, u], mask[:, u], rows[:, v], mask[:, v])
+                total[i, j] = _merge_moments(total[i, j], new) if (i, j) in total else new
+        k = TaskContext.get().partitionId()
+        yield pa.record_batch([pa.array([x[0] for x in total], pa.int32()), pa.array([x[1] for x in total], pa.int32()),
+                               pa.array([k // GRAM_FAN] * len(total), pa.int32()), pa.array([m.tobytes() for m in total.values()], pa.binary())],
+                              ["i", "j", "part", "m"])
+
+    def merged(pdf: pd.DataFrame, i: int, j: int) -> np.ndarray:
+        out = None
+        for raw in pdf["m"]:
+            m = np.frombuffer(raw).reshape(shape(i, j))
+            out = m if out is None else _merge_moments(out, m)
+        return out
+
+    def partly(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": [key[0]], "j": [key[1]], "m": [merged(pdf, int(key[0]), int(key[1])).tobytes()]})
+
+    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = map(int, key)
+        n, mx, my, xx, yy, xy = merged(pdf, i, j)
+        flat = (n < 2) | (xx <= 1e-28 * n * mx * mx) | (yy <= 1e-28 * n * my * my)      # rounding of a constant's mean
+        with np.errstate(invalid="ignore", divide="ignore"):
+            r = xy / np.sqrt(xx * yy)
+        out = [(cols[i + u], cols[j + v], None if flat[u, v] else float(min(1.0, max(-1.0, r[u, v]))))
+               for u in range(r.shape[0]) for v in range(r.shape[1]) if j + v < i + u or not lower_only]
+        return pd.DataFrame(out, columns=["a", "b", "r"]).astype({"r": object})
+
+    values = df.select(*[_q(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
+    blocks = values.mapInArrow(products, "i int, j int, part int, m binary")
+    blocks = blocks.groupBy("i", "j", "part").applyInPandas(partly, "i int, j int, m binary")
+    return blocks.groupBy("i", "j").applyInPandas(finish, "a string, b string, r double")
 
 
 def class_balance(df: DataFrame, y: str, majority: float = IMBALANCE_MAJORITY) -> DataFrame:

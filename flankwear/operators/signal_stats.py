@@ -63,7 +63,7 @@ def channel_stats(sig: DataFrame, keys: Sequence[str] = ("tool", "passe", "chann
     else:
         # the first scan: moments and quantile brackets; the second one ranks the rows in brackets
         m = write_stage(moment_stats(sig, keys, x, eps, bracket_aggs(sig, x, list(probs.values()))))
-        q = quantiles_in(sig, keys, x, probs, m.where("_n > 0").select(*keys, "_n", "_nan", "_b"))
+        q = quantiles_in(sig, keys, x, probs, m.where("__n > 0").select(*keys, "__n", "__nan", "__b"))
     out = _ns_join(m, q, keys, "left").withColumn("iqr", F.col("p75") - F.col("p25"))
     return out.select(*keys, "n", *STATS, "energy_mean")
 

@@ -109,6 +109,17 @@ def q_a21(spark, d):
     return present(pr.corr_matrix(prof(spark, d), NUM))
 
 
+@register("a21_corr_matrix_wide", """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS j FROM embeddings)
+SELECT 'dim_' || a.j AS a, 'dim_' || b.j AS b, """ + r("corr(a.v, b.v)", "r") + """ FROM x a JOIN x b ON a.vec_id = b.vec_id AND b.j < a.j
+GROUP BY a.j, b.j""")
+def q_a21_wide(spark, d):
+    """All pairs of the dimensions of the vectors."""
+    e = b.table(spark, d, "embeddings").where("embedding IS NOT NULL")
+    n = e.agg(F.max(F.size("embedding"))).first()[0]
+    wide = e.select(*[F.get("embedding", F.lit(k)).cast("double").alias(f"dim_{k}") for k in range(n)])
+    return present(pr.corr_matrix(wide, wide.columns))
+
+
 @register("a22_class_balance", """WITH c AS (SELECT CAST(toxic AS VARCHAR) AS class, count(*) AS count FROM labels GROUP BY 1)
 SELECT class, count, CAST(sum(count) OVER () AS BIGINT) AS total, """ + r("count / sum(count) OVER () * 100.0", "pct") + ", "
           + r("max(count) OVER () / sum(count) OVER () * 100.0", "majority_pct") + """,

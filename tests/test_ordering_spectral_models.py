@@ -260,7 +260,7 @@ def test_bracketed_quantiles(spark, monkeypatch):
     brackets = ordering.write_stage(v.groupBy("k").agg(*ordering.bracket_aggs(v, "v", list(probs.values()))))
     plan = ordering.quantiles_in(v, ["k"], "v", probs, brackets)
     assert "Python" not in plan._jdf.queryExecution().toString()
-    off = ordering.write_stage(brackets.withColumn("_b", F.transform("_b", lambda x: x + 0.4)))
+    off = ordering.write_stage(brackets.withColumn("__b", F.transform("__b", lambda x: x + 0.4)))
     check(ordering.quantiles_in(v, ["k"], "v", probs, off).collect())
     monkeypatch.setattr(ordering, "BROADCAST_GROUPS", 0)
     check(ordering.quantiles_in(v, ["k"], "v", probs, brackets).collect())
@@ -281,3 +281,40 @@ def test_quantiles_with_nan(spark):
     assert got == {"a": 2.0, "b": 4.0}
     assert exact_quantiles(df.limit(0), ["k"], "v", {"m": 0.5}).collect() == []
     assert exact_quantiles(df.where("k = 'b'"), [], "v", {"m": 0.5}).collect() == [(4.0,)]
+
+
+def test_corr_matrix_pairwise_complete(spark):
+    """Blocks of columns, tasks and NULLs at random against pandas; constants and short pairs are NULL."""
+    import pandas as pd
+    from flankwear.operators import profile as pr
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 70)) @ rng.normal(size=(70, 70)) + 1e6
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:, 3] = 0.1
+    x[2:, 5] = np.nan
+    pdf = pd.DataFrame(x, columns=[f"c {k}" for k in range(70)])
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in row] for row in x],
+                               ", ".join(f"`c {k}` double" for k in range(70))).repartition(7)
+    want = pdf.corr()
+    got = {(r.a, r.b): r.r for r in pr.corr_matrix(df, pdf.columns, lower_only=False).collect()}
+    assert len(got) == 70 * 70
+    for (a, b), r in got.items():
+        if a == "c 3" or b == "c 3" or (("c 5" in (a, b)) and r is None):
+            assert r is None
+        elif "c 5" not in (a, b):
+            assert r == pytest.approx(want.loc[a, b], abs=1e-9)
+    low = {(r.a, r.b): r.r for r in pr.corr_matrix(df, pdf.columns).collect()}
+    assert len(low) == 70 * 69 // 2 and all(got[k] == pytest.approx(v, abs=1e-12) for k, v in low.items() if v is not None)
+    empty = pr.corr_matrix(df.limit(0), ["c 0", "c 1"]).collect()
+    assert [r.r for r in empty] in ([], [None])
+
+
+def test_corr_matrix_of_many_columns(spark):
+    import time
+    from flankwear.operators import profile as pr
+    df = spark.range(2000).select(*[F.rand(k).alias(f"x{k}") for k in range(196)])
+    begin = time.time()
+    assert pr.corr_matrix(df, df.columns).count() == 196 * 195 // 2
+    assert time.time() - begin < 60
+    text = [pr.corr_matrix(df, df.columns[:n])._jdf.queryExecution().sparkPlan().toString().count("Exchange") for n in (2, 196)]
+    assert text[0] == text[1]
