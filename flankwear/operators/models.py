@@ -1,21 +1,22 @@
 """Models, out-of-fold prediction and importances.
 
 Tree, linear and neural models are ``pyspark.ml`` estimators.  k-nearest
-neighbours and SMOTE use an exact block-pair plan: rows are dealt into blocks,
-every (query block, reference block) pair meets in one bounded pandas task that
-keeps only the ``k`` best candidates per query row, and candidates are merged
-with a bounded per-row aggregate.  No pair is ever emitted as a row.
+neighbours and SMOTE use an exact plan over blocks around pivots: the triangle
+inequality skips blocks that can't hold a neighbour, chunks of the others meet in
+bounded pandas tasks that keep only the ``k`` best candidates per query row.
+No pair is ever emitted as a row.
 """
 from __future__ import annotations
 
 import inspect
 import math
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
@@ -282,60 +283,162 @@ def permuted_copies(df: DataFrame, features: Sequence[str], repeats: int, seed:
     return each.drop("_p", "_q", "_n", *[f"_o_{c}" for c in features])
 
 
-# ------------------------------------------------------------------ J09 / J10 / M11 / M12: exact block-pair kNN
-def _blocks(n: int, target: int) -> int:
-    return max(1, int(math.ceil(n / float(target))))
+# ------------------------------------------------------------------ J09 / J10 / M11 / M12: exact kNN, blocks pruned by pivots
+MAX_PIVOTS = 1024
+_SLACK = 1e-9             # relative rounding allowed for in distance bounds
+
+
+def _matrix(column) -> np.ndarray:
+    """An Arrow list column or a pandas column of lists as a matrix."""
+    rows = column.to_numpy() if isinstance(column, pd.Series) else column.to_numpy(zero_copy_only=False)
+    return np.vstack([np.asarray(v, dtype=np.float64) for v in rows])
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of ``a`` and ``b``, by differences, in pieces of about 32 MB."""
+    out = np.empty((len(a), len(b)))
+    step = max(1, 4_000_000 // max(1, b.size))
+    for k in range(0, len(a), step):
+        diff = a[k:k + step, None, :] - b[None, :, :]
+        out[k:k + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    return out
+
+
+def choose_pivots(ref: DataFrame, n: int, vec: str, rid: str) -> np.ndarray:
+    """``n`` reference vectors far from one another: farthest-first over ``4 n`` rows in hash order (``4 * MAX_PIVOTS``
+    rows at most reach the driver)."""
+    rows = ref.select(rid, vec).where(F.col(vec).isNotNull()).orderBy(F.xxhash64(rid), rid).limit(4 * n).select(vec).collect()
+    x = np.array([r[0] for r in rows], dtype=np.float64)
+    if not len(x):
+        return x
+    chosen = [0]
+    gap = np.sqrt(((x - x[0]) ** 2).sum(1))
+    while len(chosen) < min(n, len(x)) and gap.max() > 0:
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, np.sqrt(((x - x[chosen[-1]]) ** 2).sum(1)))
+    return x[chosen]
 
 
 def knn(query: DataFrame, ref: DataFrame, k: int, vec: str = "vec", qid: str = "qid", rid: str = "rid",
         within: str | None = None, exclude_self: bool = False, block_rows: int = 4096, differ: str | None = None) -> DataFrame:
-    """Exact k nearest references per query row: ``(qid, rid, dist2, rank)``.
-
-    ``within`` restricts neighbours to rows with the same value (e.g. class), ``differ`` to rows with
-    another value (e.g. fold).  Query and reference rows go to blocks of about ``block_rows`` rows and
-    every pair of blocks meets once, so the work is exact brute force, but a task never holds more than
-    two blocks and the distances of a slice, and only ``k`` candidates per query row leave it.
-    """
-    bq, br = _blocks(query.count(), block_rows), _blocks(ref.count(), block_rows)
+    """Exact k nearest references per query row: ``(qid, rid, dist2, rank)``, ties to the smaller rid.
+
+    ``within`` restricts neighbours to rows with the same value (e.g. class), ``differ`` to rows with another value
+    (e.g. fold).  See ``knn_visits`` for the method."""
+    return knn_visits(query, ref, k, vec, qid, rid, within, exclude_self, block_rows, differ)[0]
+
+
+def knn_visits(query: DataFrame, ref: DataFrame, k: int, vec: str = "vec", qid: str = "qid", rid: str = "rid",
+               within: str | None = None, exclude_self: bool = False, block_rows: int = 4096,
+               differ: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``knn`` and, per query, the number of references it was compared with (qid, met).
+
+    References go to the block of their nearest pivot (about the square root of their number, ``MAX_PIVOTS`` at most);
+    a block knows its radius.  In the first round a query meets the blocks of its nearest pivots until they hold
+    ``4 k`` rows; its k-th distance there bounds the answer.  By the triangle inequality a block whose pivot is
+    farther than that bound plus the block's radius holds no neighbour, so the second round visits the other blocks
+    only.  Blocks are cut into chunks of about ``block_rows`` rows of either side that meet once, so no task holds
+    more than two chunks; only ``k`` candidates per query and chunk leave it, and no pair is a row."""
+    pivots = choose_pivots(ref, max(1, min(MAX_PIVOTS, math.isqrt(ref.count()))), vec, rid)
+    if not len(pivots):
+        none = query.sparkSession.createDataFrame([], "qid long, rid long, dist2 double, rank int")
+        return none, none.select("qid", F.lit(0).cast("long").alias("met"))
     g = [within] if within else []
-    extra = [F.col(differ).alias("_d")] if differ else [F.lit(None).cast("int").alias("_d")]
-    q = (query.select(F.col(qid).alias("_id"), F.col(vec).alias("_v"), *extra, *g)
-         .withColumn("_bq", F.pmod(F.xxhash64("_id"), F.lit(bq)))
-         .withColumn("_br", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))))
-    r = (ref.select(F.col(rid).alias("_id"), F.col(vec).alias("_v"), *extra, *g)
-         .withColumn("_br", F.pmod(F.xxhash64("_id"), F.lit(br)))
-         .withColumn("_bq", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
-    both = q.withColumn("_side", F.lit(0)).unionByName(r.withColumn("_side", F.lit(1)))
+    kinds = {f.name: f.dataType.simpleString() for f in query.schema.fields}
+    tail = "".join(f", {c} {kinds[c]}" for c in g)
+    extra = F.col(differ).cast("long") if differ else F.lit(None).cast("long")
+
+    def base(df: DataFrame, ident: str) -> DataFrame:
+        return df.where(F.col(vec).isNotNull()).select(F.col(ident).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_v"),
+                                                       extra.alias("_d"), *g)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                d = _distances(_matrix(b.column("_v")), pivots)
+                near = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.int32()), pa.array(d[np.arange(len(d)), near])],
+                                                 names=[*b.schema.names, "_b", "_dist"])
+
+    refs = write_stage(base(ref, rid).mapInArrow(place, f"_id long, _v array<double>, _d long{tail}, _b int, _dist double"))
+    blocks = {r["_b"]: (r["n"], r["radius"]) for r in refs.groupBy("_b").agg(F.count(F.lit(1)).alias("n"), F.max("_dist").alias("radius")).collect()}
+    size = np.array([blocks.get(j, (0, 0.0))[0] for j in range(len(pivots))])          # one number per pivot
+    radius = np.array([blocks.get(j, (0, 0.0))[1] for j in range(len(pivots))])
+    chunks = np.maximum(1, -(-size // block_rows))
+
+    def visits(second: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                d = _distances(_matrix(b.column("_v")), pivots)
+                order = np.argsort(d, axis=1, kind="stable")
+                before = np.cumsum(size[order], axis=1) - size[order]
+                first = np.zeros(d.shape, bool)
+                np.put_along_axis(first, order, before < 4 * k, axis=1)
+                if second:
+                    bound = np.sqrt(b.column("_ub").to_numpy(zero_copy_only=False).astype(np.float64))
+                    bound = np.where(np.isnan(bound), np.inf, bound)
+                    first = ~first & (d * (1 - _SLACK) <= (bound[:, None] + radius[None, :]) * (1 + _SLACK))
+                at, block = np.nonzero(first & (size > 0))
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(at)).columns, pa.array(block, pa.int32())], names=[*b.schema.names, "_b"])
+        return run
+
+    queries = write_stage(base(query, qid).withColumn("_ub", F.lit(None).cast("double")))
+    visit_schema = f"_id long, _v array<double>, _d long{tail}, _ub double, _b int"
 
     def topk(pdf: pd.DataFrame) -> pd.DataFrame:
         qs, rs = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
-        none = pd.DataFrame({"qid": pd.Series(dtype="int64"), "rid": pd.Series(dtype="int64"), "dist2": pd.Series(dtype="float64")})
-        if len(qs) == 0 or len(rs) == 0:
-            return none
-        A = np.vstack(qs["_v"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-        B = np.vstack(rs["_v"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-        qi, ri = qs["_id"].to_numpy(), rs["_id"].to_numpy()
-        dq, dr = qs["_d"].to_numpy(), rs["_d"].to_numpy()
-        out = []
-        ch = max(1, int(4_000_000 // max(1, B.shape[0] * B.shape[1])))  # temporaries of ~32 MB
-        for s0 in range(0, A.shape[0], ch):
-            diff = A[s0:s0 + ch, None, :] - B[None, :, :]
-            d2 = np.einsum("ijk,ijk->ij", diff, diff)
-            if exclude_self:
-                d2[qi[s0:s0 + ch, None] == ri[None, :]] = np.inf
-            if differ:
-                d2[dq[s0:s0 + ch, None] == dr[None, :]] = np.inf
-            kk = min(k, d2.shape[1])
-            kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
-            for j in range(len(d2)):
-                near = np.flatnonzero((d2[j] <= kth[j]) & np.isfinite(d2[j]))
-                near = near[np.lexsort((ri[near], d2[j][near]))[:kk]]
-                out.append(pd.DataFrame({"qid": qi[s0 + j], "rid": ri[near], "dist2": d2[j][near]}))
-        return pd.concat(out) if out else none
-
-    cand = both.groupBy("_bq", "_br", *g).applyInPandas(topk, "qid long, rid long, dist2 double")
+        found: tuple[list, list, list] = ([np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)])
+        if len(qs) and len(rs):
+            a, b = _matrix(qs["_v"]), _matrix(rs["_v"])
+            qi, ri = qs["_id"].to_numpy(), rs["_id"].to_numpy()
+            dq, dr = qs["_d"].to_numpy(), rs["_d"].to_numpy()
+            ub = pd.to_numeric(qs["_ub"]).to_numpy(dtype=np.float64)
+            ub = np.where(np.isnan(ub), np.inf, ub)
+            step = max(1, 4_000_000 // max(1, b.size))                                  # temporaries of about 32 MB
+            for s in range(0, len(a), step):
+                diff = a[s:s + step, None, :] - b[None, :, :]
+                d2 = np.einsum("ijk,ijk->ij", diff, diff)
+                if exclude_self:
+                    d2[qi[s:s + step, None] == ri[None, :]] = np.inf
+                if differ:
+                    d2[dq[s:s + step, None] == dr[None, :]] = np.inf
+                kk = min(k, d2.shape[1])
+                kth = np.minimum(np.partition(d2, kk - 1, axis=1)[:, kk - 1], ub[s:s + step])
+                i, j = np.nonzero((d2 <= kth[:, None]) & np.isfinite(d2))
+                o = np.lexsort((ri[j], d2[i, j], i))
+                i, j = i[o], j[o]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                for out, more in zip(found, (qi[s + i[keep]], ri[j[keep]], d2[i[keep], j[keep]])):
+                    out.append(more)
+        return pd.DataFrame({"qid": np.concatenate(found[0]), "rid": np.concatenate(found[1]), "dist2": np.concatenate(found[2])})
+
+    def meet(asked: DataFrame) -> DataFrame:
+        """Candidates of the asked (query, block) pairs; chunks of a block's queries meet chunks of its references."""
+        many = {r["_b"]: -(-r["n"] // block_rows) for r in asked.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()}
+        nq = F.array(*[F.lit(int(many.get(j, 1))) for j in range(len(pivots))])[F.col("_b")]
+        nr = F.array(*[F.lit(int(c)) for c in chunks])[F.col("_b")]
+        own = lambda n: F.pmod(F.xxhash64("_id"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        cols = ["_id", "_v", "_d", *g, "_ub", "_b", "_cq", "_cr", "_side"]
+        q = asked.withColumn("_cq", own(nq)).withColumn("_cr", every(nr)).withColumn("_side", F.lit(0))
+        r = refs.where(F.col("_b").isin(list(many))).withColumn("_cr", own(nr)).withColumn("_cq", every(nq)) \
+            .withColumn("_ub", F.lit(None).cast("double")).withColumn("_side", F.lit(1))
+        both = q.select(*cols).unionByName(r.select(*cols))
+        return both.groupBy("_b", "_cq", "_cr", *g).applyInPandas(topk, "qid long, rid long, dist2 double")
+
     w = Window.partitionBy("qid").orderBy("dist2", "rid")    # the group limit cuts to k rows before the shuffle
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rid", "dist2", "rank")
+    best = lambda c: c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rid", "dist2", "rank")
+    asked = write_stage(queries.mapInArrow(visits(False), visit_schema))
+    near = write_stage(best(meet(asked)))
+    bounds = near.where(F.col("rank") == k).select(F.col("qid").alias("_id"), F.col("dist2").alias("_ub"))
+    more = queries.drop("_ub").join(bounds, "_id", "left").select("_id", "_v", "_d", *g, "_ub")
+    again = write_stage(more.mapInArrow(visits(True), visit_schema))
+    counts = F.array(*[F.lit(int(n)) for n in size])[F.col("_b")]
+    met = (asked.select("_id", "_b").unionByName(again.select("_id", "_b")).groupBy(F.col("_id").alias("qid"))
+           .agg(F.sum(counts).alias("met")))
+    return best(near.drop("rank").unionByName(meet(again))), met
 
 
 def knn_predict(train: DataFrame, test: DataFrame, k: int = 5, task: str = "classification", vec: str = "vec",

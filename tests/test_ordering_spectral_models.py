@@ -318,3 +318,48 @@ def test_corr_matrix_of_many_columns(spark):
     assert time.time() - begin < 60
     text = [pr.corr_matrix(df, df.columns[:n])._jdf.queryExecution().sparkPlan().toString().count("Exchange") for n in (2, 196)]
     assert text[0] == text[1]
+
+
+def _nearest(q, r, k, ok):
+    """Nearest by all distances: {qid: [(rid, dist2)]}, ties to the smaller id."""
+    out = {}
+    for i, (qi, qv, *qx) in enumerate(q):
+        d = sorted((float(((np.asarray(qv) - np.asarray(rv)) ** 2).sum()), ri) for ri, rv, *rx in r if ok(qi, qx, ri, rx))
+        out[qi] = d[:k]
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [4096, 7])
+def test_knn_pruned_is_exact(spark, block_rows):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(12, 5)) * 30
+    rows = [(i, [float(x) for x in (centres[i % 12] + rng.normal(size=5)).round(1)], int(rng.integers(3)), "ab"[i % 2]) for i in range(360)]
+    rows += [(1000 + i, rows[i][1], 1, "a") for i in range(20)] + [(5000, rows[0][1], 2, "b")]        # equal vectors
+    df = spark.createDataFrame(rows, "qid long, vec array<double>, fold int, cls string").repartition(3)
+    ref = df.withColumnRenamed("qid", "rid")
+
+    def check(nn, want):
+        got = {}
+        for r in nn.orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append((r.dist2, r.rid))
+        assert set(got) == {q for q, v in want.items() if v}
+        for q, v in got.items():
+            assert [x for _, x in v] == [x for _, x in want[q]] and [d for d, _ in v] == pytest.approx([d for d, _ in want[q]])
+
+    check(mo.knn(df, ref, 5, block_rows=block_rows), _nearest(rows, rows, 5, lambda *a: True))
+    check(mo.knn(df, ref, 4, differ="fold", block_rows=block_rows), _nearest(rows, rows, 4, lambda q, qx, r, rx: qx[0] != rx[0]))
+    check(mo.knn(df, ref, 3, within="cls", exclude_self=True, block_rows=block_rows),
+          _nearest(rows, rows, 3, lambda q, qx, r, rx: qx[1] == rx[1] and q != r))
+    few = [r for r in rows if r[0] < 4]
+    check(mo.knn(df.where("qid < 30"), ref.where("rid < 4"), 9, block_rows=block_rows), _nearest(rows[:30], few, 9, lambda *a: True))
+    assert mo.knn(df, ref.limit(0), 3).collect() == []
+
+
+def test_knn_visits_few_pairs_of_clustered_vectors(spark):
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(25, 8)) * 20
+    rows = [(i, [float(x) for x in centres[i % 25] + rng.normal(size=8)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "qid long, vec array<double>")
+    nn, met = mo.knn_visits(df, df.withColumnRenamed("qid", "rid"), 5)
+    share = met.agg(F.sum("met")).first()[0] / len(rows) ** 2
+    assert nn.count() == 5 * len(rows) and share < 0.2, share
