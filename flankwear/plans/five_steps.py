@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from flankwear.functions.scalar import label_mapping
 from flankwear.operators import balance as ba
 from flankwear.operators import evaluate as ev
+from flankwear.operators import kernel
 from flankwear.operators import models as mo
 from flankwear.operators import profile as pr
 from flankwear.operators import report as rp
 from flankwear.operators import signal_stats as ss
+from flankwear.operators import trees
 from flankwear.operators import wear as wr
 from flankwear.sources import files as fs
 from flankwear.session import write_stage
@@ -79,11 +81,22 @@ def step_balance(spark: SparkSession, feats: DataFrame, out: str) -> DataFrame:
     return w
 
 
+#: Models that ``trees`` and ``kernel`` train, kernel, random cuts, missing directions and coupled classes included.
+OWN = ("extra_trees", "gradient_boosting", "hist_gradient_boosting", "svm")
+
+
 def _grid(models: Sequence[str], task: str, n_features: int, n_classes: int | None, weight_col: str | None, k: int,
           train: dict[int, DataFrame] | None = None) -> dict:
     def maker(name: str):
         if name == "knn":                # scaled on each training fold, like the other distance-based models
             return lambda df: mo.knn_oof_scaled(df, 5, range(k), task, train=train)
+        if name in OWN:                  # learners of this library: all folds in lockstep
+            def whole(df: DataFrame) -> DataFrame:
+                out = (kernel.oof(df, range(k), n_classes, weight_col, train) if name == "svm"
+                       else trees.oof(name, df, range(k), n_classes, weight_col, train))
+                return out.select("model", "row_id", "fold", "y_true", "y_pred")
+            whole.whole = True
+            return whole
         if name == "mlp":                # Spark's network takes no weights
             return lambda: mo.make_model(name, task, n_features=n_features, n_classes=n_classes, scale=True)
         return lambda n_rows, sigma_y: mo.make_model(name, task, n_features=n_features, n_classes=n_classes, weight_col=weight_col,

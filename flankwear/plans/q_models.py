@@ -109,6 +109,28 @@ def q_v05t(spark, d):
     return mo.oof_predict(t, lambda: mo.make_model("decision_tree", "classification"), range(5), "decision_tree")
 
 
+OOF_MODELS = ("decision_tree", "extra_trees", "gradient_boosting", "hist_gradient_boosting", "linear_regression", "svm")
+
+
+@register("v05_oof_tables", with_ctes(KNN_SQL) + f""", m AS (SELECT unnest({list(OOF_MODELS)}) AS model)
+SELECT model, fold, count(*) AS n, count(DISTINCT vec_id) AS n_ids, sum(vec_id)::BIGINT AS id_sum, sum((label = 0)::INT)::DOUBLE AS y_sum,
+       0 AS n_missing FROM f, m GROUP BY model, fold""")
+def q_v05_tables(spark, d):
+    """Every model predicts every row once, in the row's own fold (label 0 against the rest; small models)."""
+    from flankwear.operators import kernel, trees
+    t = _ml_table(spark, d).withColumn("label", (F.col("label") == 0).cast("double"))
+    few = {"extra_trees": dict(n_trees=3), "gradient_boosting": dict(n_iter=1), "hist_gradient_boosting": dict(n_iter=1, max_leaves=4)}
+    parts = [trees.oof(n, t, range(5), 2, **more) for n, more in few.items()] + [kernel.oof(t, range(5), 2, landmarks=20)]
+    parts += [mo.oof_predict(t, lambda n=n: mo.make_model(n, "regression" if n == "linear_regression" else "classification"), range(5), n) for n in ("decision_tree", "linear_regression")]
+    out = None
+    for p in parts:
+        p = p.select("model", "row_id", "fold", "y_true", "y_pred")
+        out = p if out is None else out.unionByName(p)
+    return out.groupBy("model", "fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("n_ids"),
+                                            F.sum("row_id").cast("bigint").alias("id_sum"), F.sum("y_true").alias("y_sum"),
+                                            F.count(F.when(F.col("y_pred").isNull(), 1)).cast("int").alias("n_missing"))
+
+
 @register("v07_e17_tree_importances")
 def q_e17(spark, d):
     t = _ml_table(spark, d)
