@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,11 +105,64 @@ def detect_meta(df: DataFrame, target: str, keywords: Sequence[str] = META_KEYWO
     return [r["column"] for r in meta_columns(df, target, keywords, max_int_distinct).orderBy("position").collect()]
 
 
+#: Distinct cells that a task keeps before it hands them on, and characters above which a text counts by its hash.
+DISTINCT_CELLS, LONG_CELL = 500_000, 64
+
+
+def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row per column (i, n_distinct): exact distinct counts of all columns from one scan and one shuffle.
+
+    No row is copied per column: a task reduces each batch column by column to its distinct values and keeps merging
+    them up to ``DISTINCT_CELLS``; only distinct cells (column, value as text) are shuffled, dealt by column and value,
+    so neither a common value nor a column of unique ones makes a task large.  NULL counts for nothing; -0.0 is 0.0."""
+    def cell(c: str) -> Column:
+        kind, v = df.schema[c].dataType, _q(c)
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return v + F.lit(0.0).cast(kind)
+        if isinstance(kind, (T.IntegralType, T.DecimalType, T.DateType, T.BooleanType)):
+            return v
+        text = F.to_json(v) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else F.hex(v) if isinstance(kind, T.BinaryType) else v.cast("string")
+        return F.when(F.length(text) > LONG_CELL, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[pa.Array]] = [[] for _ in cols]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for i, parts in enumerate(held):
+                if parts:
+                    values = pa.concat_arrays(parts).unique().cast(pa.string())
+                    yield pa.record_batch([pa.array(np.full(len(values), i, np.int32)), values], ["i", "v"])
+                    parts.clear()
+
+        size = 0
+        for batch in batches:
+            for i, c in enumerate(batch.columns):
+                held[i].append(c.drop_null().unique())
+                size += len(held[i][-1])
+            if size > DISTINCT_CELLS:
+                for i, parts in enumerate(held):
+                    held[i] = [pa.concat_arrays(parts).unique()]
+                size = sum(len(p[0]) for p in held)
+                if size > DISTINCT_CELLS // 2:
+                    yield from out()
+                    size = 0
+        yield from out()
+
+    cells = df.select(*[cell(c).alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(run, "i int, v string")
+    return cells.distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n_distinct"))
+
+
+def _distinct_of(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``distinct_counts`` as one row of columns ``_d_<i>`` (0 where a column has no value)."""
+    at = [F.coalesce(F.max(F.when(F.col("i") == i, F.col("n_distinct"))), F.lit(0)).alias(f"_d_{i}") for i in range(len(cols))]
+    return distinct_counts(df, cols).agg(*at)
+
+
 def task_stats(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     """Distinct count and rows per candidate target, and the resulting task."""
+    from flankwear.operators.stats import with_scalars
     types = {f.name: f.dataType for f in df.schema.fields}
-    one = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.count_distinct(_q(t)).alias(f"_d_{i}") for i, t in enumerate(targets)])
+    one = with_scalars(df.agg(F.count(F.lit(1)).alias("_n")), _distinct_of(df, targets))
     rows = []
     for i, t in enumerate(targets):
         is_str = isinstance(types[t], T.StringType)
@@ -267,8 +320,12 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each identical group (NULLs compare equal)."""
-    g = df.groupBy(*[_q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_k"))
+    """Rows beyond the first of each identical group (NULLs compare equal).  Groups are rows' 128-bit hashes with
+    the places of their NULLs, so 32 bytes a distinct row are shuffled whatever the table's width."""
+    nulls = F.concat(*[F.when(_q(c).isNull(), "1").otherwise("0") for c in df.columns])
+    cells = [F.to_json(_q(f.name)) if isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType)) else _q(f.name) for f in df.schema.fields]
+    keys = [F.xxhash64(nulls, *cells).alias("_h"), F.xxhash64(F.lit(2), *cells[::-1], nulls).alias("_g")]
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
     return g.agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias("n_duplicates"),
                  F.coalesce(F.sum("_k"), F.lit(0)).alias("n_rows"))
 
@@ -286,12 +343,13 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def column_catalog(df: DataFrame) -> DataFrame:
     """Type, non-null count, distinct count and smallest value (as text) per column."""
     cols = df.columns
-    one = df.agg(*[F.count_distinct(_q(c)).alias(f"d{i}") for i, c in enumerate(cols)],
-                 *[F.count(_q(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+    from flankwear.operators.stats import with_scalars
+    one = df.agg(*[F.count(_q(c)).alias(f"n{i}") for i, c in enumerate(cols)],
                  *[F.min(_q(c)).cast("string").alias(f"e{i}") for i, c in enumerate(cols)])
+    one = with_scalars(one, _distinct_of(df, cols))
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     rows = [F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("dtype"),
-                     F.col(f"n{i}").alias("non_null"), F.col(f"d{i}").alias("n_distinct"),
+                     F.col(f"n{i}").alias("non_null"), F.col(f"_d_{i}").alias("n_distinct"),
                      F.col(f"e{i}").alias("example")) for i, c in enumerate(cols)]
     return one.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
 
@@ -313,7 +371,8 @@ def head(df: DataFrame, n: int, order: Sequence) -> DataFrame:
 
 def profile_table(df: DataFrame, target: str | None = None) -> DataFrame:
     """One-row dataset profile (target, task, meta / feature / leaky / recommended
-    columns, correlations, quality counts) built from ≤ 4 aggregations."""
+    columns, correlations, quality counts) from five aggregations: the target's distinct
+    values and its encoding, the integer columns' distinct counts, everything else about columns, and duplicates."""
     tgt = detect_target(df.schema, target=target)
     task = task_stats(df, [tgt]).first().task
     meta = detect_meta(df, tgt)
@@ -326,16 +385,21 @@ def profile_table(df: DataFrame, target: str | None = None) -> DataFrame:
         y = F.col("_y")
     else:
         enc = df.withColumn("_y", y.cast("double"))
-    corr = corr_with_target(enc, feats, "_y") if feats else None
-    corr_map = (corr.agg(F.map_from_entries(F.collect_list(F.struct("feature", "abs_r"))).alias("correlations"))
-                if corr is not None else df.sparkSession.createDataFrame([({},)], "correlations map<string,double>"))
-    leaky_list = (leaky(corr).agg(F.collect_list(F.when(F.col("leaky"), F.col("feature"))).alias("features_leaky"))
-                  if corr is not None else df.sparkSession.createDataFrame([([],)], "features_leaky array<string>"))
-    nulls = null_profile(df).agg(F.sum("n_null").alias("total_nan"), F.first("n_rows").alias("n_rows"),
-                                 F.first("rows_after_dropna").alias("rows_after_dropna"))
-    dup = duplicate_count(df).select("n_duplicates")
+    cols, complete = df.columns, F.lit(True)
+    for c in cols:
+        complete = complete & _q(c).isNotNull()
+    # one look at the rows: correlations, missing values and complete rows
+    one = enc.agg(*[F.abs(F.corr(_q(c).cast("double"), F.col("_y").cast("double"))).alias(f"_r{i}") for i, c in enumerate(feats)],
+                  F.count(F.lit(1)).alias("n_rows"), F.count(F.when(complete, 1)).alias("rows_after_dropna"),
+                  *[F.count(F.when(_q(c).isNull(), 1)).alias(f"_n{i}") for i, c in enumerate(cols)])
+    pairs = F.array(*[F.struct(F.lit(c).alias("f"), F.col(f"_r{i}").alias("r")) for i, c in enumerate(feats)]) if feats else None
+    kind = "array<struct<f:string,r:double>>"
+    pairs = pairs if pairs is not None else F.array().cast(kind)
+    one = one.select("n_rows", "rows_after_dropna", sum((F.col(f"_n{i}") for i in range(len(cols))), F.lit(0)).cast("long").alias("total_nan"),
+                     F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["f"], F.round(p["r"], 5)))).alias("correlations"),
+                     F.transform(F.filter(pairs, lambda p: F.coalesce(p["r"] >= LEAKAGE_THRESHOLD, F.lit(False))), lambda p: p["f"]).alias("features_leaky"))
     from flankwear.operators.stats import with_scalars
-    out = with_scalars(with_scalars(with_scalars(corr_map, leaky_list), nulls), dup)
+    out = with_scalars(one, duplicate_count(df).select("n_duplicates"))
     return out.select(
         F.lit(tgt).alias("target_column"), F.lit(task).alias("task"),
         F.array(*[F.lit(m) for m in meta]).cast("array<string>").alias("meta_columns"),

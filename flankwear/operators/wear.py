@@ -141,8 +141,9 @@ def wear_inventory(wear: DataFrame, flutes: Sequence[str] = ("vb1", "vb2", "vb3"
 
 
 def pass_inventory(sig: DataFrame, fs: float = 50_000) -> DataFrame:
-    """Passes per tool, mean samples per pass and the mean pass duration in ms."""
-    per_pass = sig.groupBy("tool", "passe").agg(F.countDistinct("i").alias("samples"))
+    """Passes per tool, mean samples per pass and the mean pass duration in ms.  Sample indexes run from 0 without
+    gaps, so a pass has one more sample than its largest index."""
+    per_pass = sig.groupBy("tool", "passe").agg((F.max("i") + 1).alias("samples"))
     return per_pass.groupBy("tool").agg(
         F.count(F.lit(1)).alias("n_passes"),
         F.avg("samples").alias("samples_per_pass"),

@@ -178,6 +178,13 @@ def q_j04(spark, d):
     return wr.unlabeled(b.signals(spark, d, index=False).select("tool", "passe").distinct(), _wear(spark, d))
 
 
+@register("j04_without_worn_label", with_ctes(b.SIGNALS_SQL, b.WEAR_SQL) + """SELECT DISTINCT s.tool, s.passe FROM signals s
+WHERE NOT EXISTS (SELECT 1 FROM wear w WHERE w.tool = s.tool AND w.passe = s.passe AND w.vb_mean >= 0.1)""")
+def q_j04_worn(spark, d):
+    """Passes for which no wear beyond the new state was measured."""
+    return wr.unlabeled(b.signals(spark, d, index=False).select("tool", "passe").distinct(), _wear(spark, d).where("vb_mean >= 0.1"))
+
+
 @register("j06_compare_passes", with_ctes(b.CHANNEL_SIGNALS_SQL) + """, a AS (
   SELECT channel, i, x AS x_first FROM signals WHERE tool = 'c1' AND passe = 1),
 bb AS (SELECT channel, i, x AS x_last FROM signals WHERE tool = 'c1' AND passe = 30)

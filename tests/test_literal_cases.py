@@ -164,3 +164,26 @@ def test_target_meta_and_groups(spark):
     got = spark.createDataFrame([(n,) for n in names], "n string").select(fx.feature_group("n").alias("g")).collect()
     assert [r.g for r in got] == ["pass_signals", "pass_signals", "motor_signals", "roughness", "other", "forces", "forces",
                                   "cutting_params", "cutting_params", "other", "roughness"]
+
+
+def test_distinct_counts_without_row_copies(spark, monkeypatch):
+    """Exact counts of every kind of column; cells are handed on when a task holds many; no Expand in the plan."""
+    import datetime
+    from decimal import Decimal
+    from flankwear.operators import profile as pr
+    nan = float("nan")
+    rows = [(k % 7 if k % 11 else None, [0.0, -0.0, nan, 1.5, None][k % 5], f"t{k % 13}" * (40 if k % 2 else 1), k % 3 == 0, Decimal(k % 9) / 4,
+             datetime.date(2020, 1, 1 + k % 20), [k % 4], k, bytes([k % 6]), None) for k in range(900)]
+    schema = "a int, b double, c string, d boolean, e decimal(10,2), f date, g array<int>, h long, i binary, j string"
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    want = {0: 7, 1: 3, 2: 26, 3: 2, 4: 9, 5: 20, 6: 4, 7: 900, 8: 6}
+    for limit in (500_000, 50):
+        monkeypatch.setattr(pr, "DISTINCT_CELLS", limit)
+        got = pr.distinct_counts(df, df.columns)
+        assert {r.i: r.n_distinct for r in got.collect()} == want
+        assert "Expand" not in got._jdf.queryExecution().toString()
+    cat = {r.column: (r.non_null, r.n_distinct) for r in pr.column_catalog(df.drop("g", "i")).collect()}
+    assert cat["j"] == (0, 0) and cat["h"] == (900, 900) and cat["b"] == (720, 3)
+    dup = spark.createDataFrame([(None, "a"), ("a", None), ("a", None), (None, "a"), ("a", "a")], "x string, y string")
+    assert tuple(pr.duplicate_count(dup).first()) == (2, 5)
+    assert tuple(pr.duplicate_count(dup.limit(0)).first()) == (0, 0)
