@@ -2,14 +2,18 @@
 
 A page is read once into flat blocks of text, split at block-level tags; markup, comments, scripts, styles
 and form controls leave no text.  Each block has its number of words, its link density, the same of the
-block before and after it, whether it is a heading, and its zone: in the article (or main) element, in an
-element that by tag or role holds menus, headers, footers, side bars or dialogues, or neither.  A decision
-tree, grown on the small labelled table below, says which blocks are main text.  Forms and containers with
-a class or id that names boilerplate are no verdict: a second tree, grown on labelled containers, decides by
-how the name matches, the container's words and link density and its share of the page (a layout wrapper or
-a page in one form holds most of it), and a block stays only if each of them around it does.  An article or
-main element opens its own zone in any of these, but not in reader comments, related links, adverts or hidden
-elements, which go whole.  Pages are independent rows, so Spark spreads them as they lie, without a shuffle.
+block before and after it, whether it is a heading, its zone (in an article or main element, in an element
+that by tag or role holds menus, headers, footers, side bars or dialogues, or neither) and the zone's share of
+the page's words outside links (of articles and what is neither; all of it for the other elements of a page
+that has nothing else).  A decision tree, grown on the small labelled table below,
+says which blocks are main text; no zone is a verdict: a teaser article beside a long body goes, a menu of
+links inside an article too, and a page that lies whole in a dialogue stays.  Forms and elements with a class
+or id that names boilerplate are no verdict either: a second tree, grown on labelled containers, decides by
+how the name matches, the element's words and link density and its share of the page (a layout wrapper or a
+page in one form holds most of it), and a block stays only if each of them around it does.  Names are read on
+containers, list items, paragraphs and table cells, in parts (``user-comments``, ``userComments``,
+``commentlist``).  An article or main element opens its own zone in any of these, but not in reader comments,
+related links, adverts or hidden elements, which go whole.  Pages are independent rows, so Spark spreads them as they lie, without a shuffle.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one
 newline in page order; nothing else is dropped or capped.  Only raw-text elements (scripts, styles, titles,
@@ -33,40 +37,74 @@ from pyspark.sql import functions as F
 from flankwear.llm.common import slices
 
 BOILER, NEITHER, ARTICLE = 0, 1, 2       # zones
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "zone", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "zone", "heading", "share")
 
-#: Labelled blocks: the features above, then 1 for main text.  Blocks of pages with an article element first, then
-#: pages without one, where length and links decide.
+#: Labelled blocks: the features above (share: of the zone, among the page's words outside links), then 1 for main text.
+#: Blocks of articles first, then of boilerplate elements, then of neither, where length and links decide as well.
 LABELLED = (
-    (48, 0.00, 9, 0.00, 60, 0.00, ARTICLE, 0, 1), (9, 0.00, 0, 0.00, 48, 0.00, ARTICLE, 1, 1),
-    (1, 0.00, 80, 0.00, 35, 0.00, ARTICLE, 0, 1), (3, 0.00, 1, 0.00, 2, 0.00, ARTICLE, 0, 1),
-    (120, 0.05, 40, 0.00, 0, 0.00, ARTICLE, 0, 1), (25, 0.40, 60, 0.00, 70, 0.10, ARTICLE, 0, 1),
-    (6, 1.00, 40, 0.00, 50, 0.00, ARTICLE, 0, 1), (2, 0.00, 6, 1.00, 12, 0.00, ARTICLE, 0, 1),
-    (14, 0.00, 4, 1.00, 3, 0.00, ARTICLE, 0, 1), (70, 0.00, 3, 1.00, 9, 0.20, ARTICLE, 1, 1),
-    (4, 0.00, 0, 0.00, 2, 0.00, ARTICLE, 1, 1), (2, 0.50, 4, 0.00, 1, 0.00, ARTICLE, 0, 1),
-    (1, 1.00, 1, 1.00, 2, 1.00, ARTICLE, 0, 1), (3, 1.00, 9, 0.00, 1, 1.00, ARTICLE, 0, 1),
-    (8, 0.75, 2, 1.00, 4, 0.00, ARTICLE, 0, 1), (5, 0.00, 3, 0.00, 4, 0.00, ARTICLE, 0, 1),
-    (2, 0.00, 2, 0.00, 1, 0.00, ARTICLE, 0, 1), (6, 0.00, 1, 1.00, 0, 0.00, ARTICLE, 0, 1),
-    (1, 0.00, 0, 0.00, 0, 0.00, ARTICLE, 0, 1), (20, 1.00, 3, 0.00, 18, 1.00, ARTICLE, 0, 1),
-    (12, 1.00, 0, 0.00, 15, 1.00, BOILER, 0, 0), (1, 1.00, 1, 1.00, 1, 1.00, BOILER, 0, 0),
-    (9, 0.00, 1, 1.00, 11, 0.00, BOILER, 0, 0), (40, 0.00, 6, 0.00, 60, 0.00, BOILER, 0, 0),
-    (85, 0.02, 70, 0.00, 64, 0.00, BOILER, 0, 0), (16, 0.10, 55, 0.00, 0, 0.00, BOILER, 0, 0),
-    (4, 0.00, 0, 0.00, 40, 0.00, BOILER, 1, 0), (30, 0.00, 30, 0.00, 8, 0.50, BOILER, 0, 0),
-    (3, 0.00, 120, 0.00, 2, 1.00, BOILER, 0, 0), (22, 0.60, 14, 0.00, 90, 0.00, BOILER, 1, 0),
-    (60, 0.00, 8, 0.00, 45, 0.02, NEITHER, 0, 1), (35, 0.10, 50, 0.00, 28, 0.00, NEITHER, 0, 1),
-    (18, 0.00, 40, 0.00, 33, 0.05, NEITHER, 0, 1), (150, 0.20, 1, 1.00, 2, 1.00, NEITHER, 0, 1),
-    (7, 0.00, 0, 0.00, 60, 0.00, NEITHER, 1, 1), (5, 0.00, 45, 0.00, 52, 0.00, NEITHER, 1, 1),
-    (2, 0.00, 38, 0.00, 41, 0.00, NEITHER, 0, 1), (1, 0.00, 60, 0.02, 24, 0.00, NEITHER, 0, 1),
-    (4, 0.00, 70, 0.00, 19, 0.00, NEITHER, 0, 1), (11, 0.00, 26, 0.00, 55, 0.10, NEITHER, 0, 1),
-    (30, 0.00, 2, 0.00, 2, 0.00, NEITHER, 0, 1), (22, 0.00, 40, 0.00, 2, 0.00, NEITHER, 0, 1),
-    (40, 0.00, 3, 0.00, 4, 1.00, NEITHER, 0, 1), (25, 0.05, 5, 0.00, 1, 1.00, NEITHER, 0, 1),
-    (17, 0.00, 0, 0.00, 0, 0.00, NEITHER, 0, 1), (90, 0.00, 0, 0.00, 0, 0.00, NEITHER, 0, 1),
-    (1, 1.00, 1, 1.00, 1, 1.00, NEITHER, 0, 0), (2, 1.00, 0, 0.00, 2, 1.00, NEITHER, 0, 0),
-    (5, 0.80, 3, 1.00, 40, 0.00, NEITHER, 0, 0), (20, 0.90, 2, 1.00, 25, 0.90, NEITHER, 0, 0),
-    (45, 0.70, 60, 0.00, 12, 1.00, NEITHER, 0, 0), (4, 0.00, 2, 1.00, 3, 1.00, NEITHER, 0, 0),
-    (3, 0.00, 4, 0.00, 2, 0.00, NEITHER, 0, 0), (6, 0.00, 5, 0.60, 4, 0.00, NEITHER, 0, 0),
-    (2, 0.00, 1, 1.00, 6, 0.00, NEITHER, 1, 0), (8, 0.00, 3, 0.00, 0, 0.00, NEITHER, 0, 0),
-    (5, 1.00, 60, 0.00, 40, 0.00, NEITHER, 0, 0), (9, 0.60, 52, 0.00, 30, 0.10, NEITHER, 0, 0),
+    (48, 0.00, 9, 0.00, 60, 0.00, ARTICLE, 0, 1.00, 1), (9, 0.00, 0, 0.00, 48, 0.00, ARTICLE, 1, 0.90, 1),
+    (1, 0.00, 80, 0.00, 35, 0.00, ARTICLE, 0, 0.70, 1), (3, 0.00, 1, 0.00, 2, 0.00, ARTICLE, 0, 1.00, 1),
+    (120, 0.05, 40, 0.00, 0, 0.00, ARTICLE, 0, 0.60, 1), (25, 0.40, 60, 0.00, 70, 0.10, ARTICLE, 0, 0.95, 1),
+    (6, 1.00, 40, 0.00, 50, 0.00, ARTICLE, 0, 0.50, 1), (2, 0.00, 6, 1.00, 12, 0.00, ARTICLE, 0, 1.00, 1),
+    (14, 0.00, 4, 1.00, 3, 0.00, ARTICLE, 0, 0.90, 1), (70, 0.00, 3, 1.00, 9, 0.20, ARTICLE, 1, 0.70, 1),
+    (4, 0.00, 0, 0.00, 2, 0.00, ARTICLE, 1, 1.00, 1), (2, 0.50, 4, 0.00, 1, 0.00, ARTICLE, 0, 0.60, 1),
+    (1, 1.00, 1, 1.00, 2, 1.00, ARTICLE, 0, 0.95, 0), (3, 1.00, 9, 0.00, 1, 1.00, ARTICLE, 0, 0.50, 1),
+    (8, 0.75, 2, 1.00, 4, 0.00, ARTICLE, 0, 1.00, 1), (5, 0.00, 3, 0.00, 4, 0.00, ARTICLE, 0, 0.90, 1),
+    (2, 0.00, 2, 0.00, 1, 0.00, ARTICLE, 0, 0.70, 1), (6, 0.00, 1, 1.00, 0, 0.00, ARTICLE, 0, 1.00, 1),
+    (1, 0.00, 0, 0.00, 0, 0.00, ARTICLE, 0, 0.60, 1), (20, 1.00, 3, 0.00, 18, 1.00, ARTICLE, 0, 0.95, 1),
+    (12, 1.00, 0, 0.00, 15, 1.00, BOILER, 0, 0.00, 0), (1, 1.00, 1, 1.00, 1, 1.00, BOILER, 0, 0.00, 0),
+    (9, 0.00, 1, 1.00, 11, 0.00, BOILER, 0, 0.00, 0), (40, 0.00, 6, 0.00, 60, 0.00, BOILER, 0, 0.00, 0),
+    (85, 0.02, 70, 0.00, 64, 0.00, BOILER, 0, 0.00, 0), (16, 0.10, 55, 0.00, 0, 0.00, BOILER, 0, 0.00, 0),
+    (4, 0.00, 0, 0.00, 40, 0.00, BOILER, 1, 0.00, 0), (30, 0.00, 30, 0.00, 8, 0.50, BOILER, 0, 0.00, 0),
+    (3, 0.00, 120, 0.00, 2, 1.00, BOILER, 0, 0.00, 0), (22, 0.60, 14, 0.00, 90, 0.00, BOILER, 1, 0.00, 0),
+    (60, 0.00, 8, 0.00, 45, 0.02, NEITHER, 0, 1.00, 1), (35, 0.10, 50, 0.00, 28, 0.00, NEITHER, 0, 0.90, 1),
+    (18, 0.00, 40, 0.00, 33, 0.05, NEITHER, 0, 1.00, 1), (150, 0.20, 1, 1.00, 2, 1.00, NEITHER, 0, 0.80, 1),
+    (7, 0.00, 0, 0.00, 60, 0.00, NEITHER, 1, 1.00, 1), (5, 0.00, 45, 0.00, 52, 0.00, NEITHER, 1, 0.70, 1),
+    (2, 0.00, 38, 0.00, 41, 0.00, NEITHER, 0, 1.00, 1), (1, 0.00, 60, 0.02, 24, 0.00, NEITHER, 0, 0.90, 1),
+    (4, 0.00, 70, 0.00, 19, 0.00, NEITHER, 0, 1.00, 1), (11, 0.00, 26, 0.00, 55, 0.10, NEITHER, 0, 0.80, 1),
+    (30, 0.00, 2, 0.00, 2, 0.00, NEITHER, 0, 1.00, 1), (22, 0.00, 40, 0.00, 2, 0.00, NEITHER, 0, 0.70, 1),
+    (40, 0.00, 3, 0.00, 4, 1.00, NEITHER, 0, 1.00, 1), (25, 0.05, 5, 0.00, 1, 1.00, NEITHER, 0, 0.90, 1),
+    (17, 0.00, 0, 0.00, 0, 0.00, NEITHER, 0, 1.00, 1), (90, 0.00, 0, 0.00, 0, 0.00, NEITHER, 0, 0.80, 1),
+    (1, 1.00, 1, 1.00, 1, 1.00, NEITHER, 0, 1.00, 0), (2, 1.00, 0, 0.00, 2, 1.00, NEITHER, 0, 0.70, 0),
+    (5, 0.80, 3, 1.00, 40, 0.00, NEITHER, 0, 1.00, 0), (20, 0.90, 2, 1.00, 25, 0.90, NEITHER, 0, 0.90, 0),
+    (45, 0.70, 60, 0.00, 12, 1.00, NEITHER, 0, 1.00, 0), (4, 0.00, 2, 1.00, 3, 1.00, NEITHER, 0, 0.80, 0),
+    (3, 0.00, 4, 0.00, 2, 0.00, NEITHER, 0, 1.00, 0), (6, 0.00, 5, 0.60, 4, 0.00, NEITHER, 0, 0.70, 0),
+    (2, 0.00, 1, 1.00, 6, 0.00, NEITHER, 1, 1.00, 0), (8, 0.00, 3, 0.00, 0, 0.00, NEITHER, 0, 0.90, 0),
+    (5, 1.00, 60, 0.00, 40, 0.00, NEITHER, 0, 1.00, 0), (9, 0.60, 52, 0.00, 30, 0.10, NEITHER, 0, 0.80, 0),
+    (1, 1.00, 2, 1.00, 1, 1.00, ARTICLE, 0, 0.90, 0), (3, 1.00, 2, 1.00, 4, 1.00, ARTICLE, 0, 1.00, 0),
+    (5, 0.95, 3, 1.00, 2, 1.00, ARTICLE, 0, 0.70, 0), (2, 1.00, 4, 0.95, 3, 1.00, ARTICLE, 0, 0.60, 0),
+    (2, 1.00, 30, 0.00, 2, 1.00, ARTICLE, 0, 0.90, 1), (4, 1.00, 3, 1.00, 25, 0.00, ARTICLE, 0, 0.80, 1),
+    (7, 1.00, 2, 1.00, 60, 0.00, ARTICLE, 0, 1.00, 1), (30, 0.90, 12, 1.00, 20, 0.90, ARTICLE, 0, 0.90, 1),
+    (30, 0.00, 4, 0.00, 50, 0.00, ARTICLE, 0, 0.12, 0), (6, 0.00, 1, 1.00, 28, 0.00, ARTICLE, 1, 0.15, 0),
+    (18, 0.20, 7, 0.00, 3, 1.00, ARTICLE, 0, 0.05, 0), (45, 0.00, 9, 0.00, 40, 0.00, ARTICLE, 0, 0.20, 0),
+    (25, 0.00, 5, 0.00, 31, 0.00, ARTICLE, 0, 0.10, 0), (40, 0.00, 8, 0.00, 60, 0.00, ARTICLE, 0, 0.45, 1),
+    (22, 0.00, 30, 0.00, 12, 0.00, ARTICLE, 0, 0.40, 1), (5, 0.00, 2, 0.00, 44, 0.00, ARTICLE, 1, 0.42, 1),
+    (40, 0.00, 60, 0.00, 30, 0.00, NEITHER, 0, 0.10, 0), (12, 0.00, 80, 0.00, 5, 1.00, NEITHER, 0, 0.05, 0),
+    (30, 0.00, 50, 0.00, 0, 0.00, NEITHER, 0, 0.30, 0), (5, 0.00, 1, 1.00, 30, 0.00, NEITHER, 1, 0.20, 0),
+    (70, 0.05, 45, 0.00, 38, 0.00, NEITHER, 0, 0.35, 0), (25, 0.00, 9, 0.00, 90, 0.00, NEITHER, 0, 0.15, 0),
+    (33, 0.00, 28, 0.00, 40, 0.00, NEITHER, 0, 0.25, 0), (60, 0.00, 30, 0.00, 80, 0.00, NEITHER, 0, 0.40, 0),
+    (80, 0.00, 40, 0.00, 66, 0.00, NEITHER, 0, 0.87, 1), (35, 0.00, 60, 0.00, 44, 0.10, NEITHER, 0, 0.62, 1),
+    (60, 0.00, 8, 0.00, 45, 0.00, BOILER, 0, 1.00, 1), (90, 0.05, 30, 0.00, 70, 0.00, BOILER, 0, 1.00, 1),
+    (35, 0.00, 50, 0.00, 28, 0.00, BOILER, 0, 1.00, 1), (45, 0.00, 0, 0.00, 33, 0.00, BOILER, 0, 1.00, 1),
+    (9, 1.00, 3, 1.00, 2, 1.00, BOILER, 0, 1.00, 0), (2, 1.00, 1, 1.00, 4, 1.00, BOILER, 0, 1.00, 0),
+    (4, 0.00, 0, 0.00, 0, 0.00, BOILER, 0, 1.00, 0), (3, 0.50, 6, 1.00, 2, 0.00, BOILER, 0, 1.00, 0),
+    (16, 0.00, 0, 0.00, 0, 0.00, BOILER, 0, 1.00, 0), (25, 0.10, 3, 1.00, 0, 0.00, BOILER, 0, 1.00, 0),
+    (12, 0.00, 2, 1.00, 4, 1.00, BOILER, 0, 1.00, 0), (21, 0.20, 9, 0.50, 0, 0.00, BOILER, 0, 1.00, 0),
+    (28, 0.00, 6, 0.00, 2, 0.00, BOILER, 0, 1.00, 0), (70, 0.00, 20, 0.00, 35, 0.00, ARTICLE, 0, 0.38, 1),
+    (12, 0.00, 40, 0.00, 9, 0.00, ARTICLE, 0, 0.36, 1), (33, 0.00, 15, 0.00, 60, 0.00, ARTICLE, 0, 0.41, 1),
+    (4, 0.00, 33, 0.00, 48, 0.00, ARTICLE, 0, 0.39, 1), (52, 0.10, 4, 0.00, 20, 0.00, ARTICLE, 0, 0.37, 1),
+    (20, 0.00, 35, 0.00, 28, 0.00, NEITHER, 0, 0.41, 0), (9, 0.00, 44, 0.00, 31, 0.00, NEITHER, 0, 0.38, 0),
+    (33, 0.00, 12, 0.00, 50, 0.00, NEITHER, 0, 0.44, 0), (5, 0.00, 50, 0.00, 21, 0.00, NEITHER, 1, 0.40, 0),
+    (48, 0.00, 6, 0.00, 37, 0.00, NEITHER, 0, 0.39, 0), (2, 0.00, 0, 0.00, 11, 0.00, NEITHER, 0, 1.00, 0),
+    (1, 0.00, 3, 0.00, 2, 1.00, NEITHER, 0, 0.90, 0), (6, 0.00, 0, 0.00, 40, 0.00, NEITHER, 1, 1.00, 1),
+    (3, 0.00, 1, 1.00, 55, 0.00, NEITHER, 1, 0.90, 1), (2, 0.00, 9, 1.00, 37, 0.00, NEITHER, 1, 1.00, 1),
+    (5, 0.00, 2, 1.00, 30, 0.00, NEITHER, 1, 0.80, 1),
+    (60, 0.00, 3, 1.00, 4, 1.00, ARTICLE, 0, 0.90, 1), (14, 0.00, 2, 1.00, 3, 1.00, ARTICLE, 0, 1.00, 1),
+    (5, 0.00, 1, 1.00, 2, 1.00, ARTICLE, 0, 0.80, 1), (110, 0.20, 6, 1.00, 9, 1.00, ARTICLE, 0, 0.95, 1),
+    (2, 0.00, 4, 1.00, 1, 1.00, ARTICLE, 1, 0.70, 1), (26, 0.40, 5, 0.90, 7, 1.00, ARTICLE, 0, 1.00, 1),
+    (9, 0.30, 1, 1.00, 1, 1.00, ARTICLE, 0, 0.60, 1), (40, 0.10, 2, 0.95, 3, 0.98, ARTICLE, 0, 0.85, 1),
+    (60, 0.00, 45, 0.00, 0, 0.00, BOILER, 0, 1.00, 1), (35, 0.00, 50, 0.00, 3, 0.50, BOILER, 0, 1.00, 1),
+    (70, 0.00, 60, 0.00, 8, 0.00, BOILER, 0, 1.00, 1), (48, 0.10, 80, 0.00, 0, 0.00, BOILER, 0, 1.00, 1),
 )
 
 _RAW = "script|style|title|textarea|iframe"
@@ -78,7 +116,11 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden|type)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s "
                     "samp small span strike strong sub sup time tt u var wbr".split())
-_BOXES = frozenset("nav header footer aside form article main section div ul ol table details dialog fieldset figure menu".split())
+_BOXES = frozenset("nav header footer aside form article main section div ul ol table details dialog fieldset figure menu "
+                   "p li td th tr dl dt dd blockquote".split())
+#: Elements whose close tag may be left out: the start tags that end an open one, and the elements it is not looked for beyond.
+_IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+            "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"})}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Block-level tags, at which an unclosed dropped element ends.
 _FLOW = _BOXES | _HEADINGS | frozenset("p pre blockquote address li dl dt dd tr td th tbody thead tfoot caption figcaption hr center "
@@ -97,7 +139,8 @@ _SEALED = frozenset("ad ads advert adverts advertisement advertising sponsor spo
 #: Words that leave a name what it is ("sidebar-left", "comment-list"); with any other word it is a name in part ("related-work").
 _SHAPES = frozenset("box wrap wrapper container inner outer list item items block area section group row col column left right top "
                     "bottom main primary secondary site page post posts article articles content contents links link thread form bar "
-                    "button buttons icons slot unit zone panel region body text title the".split())
+                    "button buttons icons slot unit zone panel region body text title the user users reader readers visitor visitors "
+                    "latest recent popular more new all my your our page pages single entry entries default".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 
 NONE, PART, WHOLE, SEALED = 0, 1, 2, 3   # how far a container's names or tag mark it
@@ -125,12 +168,27 @@ LABELLED_BOXES = (
 )
 
 
+def _name_words(token: str) -> set[str]:
+    """Words of a class or id: split at other characters, digits and capitals after small letters, and between two known
+    words written as one."""
+    words: set[str] = set()
+    for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()):
+        if w in _NAMES or w in _SHAPES:
+            words.add(w)
+        elif w:
+            cut = next((k for k in range(2, len(w) - 1) if (w[:k] in _NAMES and (w[k:] in _SHAPES or w[k:] in _NAMES))
+                        or (w[:k] in _SHAPES and w[k:] in _NAMES)), 0)
+            words |= {w[:cut], w[cut:]} if cut else {w}
+    return words
+
+
 def _marked(tag: str, attrs: str, in_article: bool) -> tuple[bool, int]:
     """Whether a container is boilerplate by tag or role, and how far its names or its being a form mark it."""
     boiler = tag in _NO_TEXT or (tag == "header" and not in_article)
     mark = WHOLE if tag in _FORMS else NONE
     for name, *value in _ATTR.findall(attrs):
-        name, v = name.lower(), "".join(value).lower()
+        name, raw = name.lower(), "".join(value)
+        v = raw.lower()
         if name == "hidden" or (name == "aria-hidden" and v == "true") \
                 or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v)):
             mark = SEALED
@@ -138,8 +196,8 @@ def _marked(tag: str, attrs: str, in_article: bool) -> tuple[bool, int]:
             boiler = boiler or v in _ROLES
             mark = max(mark, WHOLE if v == "form" else NONE)
         elif name in ("class", "id"):
-            for token in v.split():
-                words = {w for w in re.split(r"[^a-z0-9]+", token) if w}
+            for token in raw.split():
+                words = _name_words(token)
                 named = words & _NAMES or (words & {"header"} if not in_article else set())
                 if named:
                     mark = max(mark, PART if words - named - _SHAPES else SEALED if words & _SEALED else WHOLE)
@@ -192,7 +250,6 @@ def blocks(page: str) -> tuple[list[tuple[str, int, float, int, int, tuple]], li
     linked = 0                           # words inside links of the open block
     in_link = heading = False
     boxes: list[tuple[str, int, tuple, bool]] = []    # open containers: zone, marked ones around, whether sealed
-    has_article = False
 
     def close() -> None:
         nonlocal linked, in_link
@@ -242,19 +299,32 @@ def blocks(page: str) -> tuple[list[tuple[str, int, float, int, int, tuple]], li
             close()
             if tag in _HEADINGS:
                 heading = not m["end"]
+                if heading and boxes and boxes[-1][0] == "p":
+                    boxes.pop()
             elif tag in _BOXES:
                 heading = False
                 if m["end"]:
                     if any(x[0] == tag for x in boxes):
                         while boxes.pop()[0] != tag:
                             pass
-                elif not m["attrs"].endswith("/"):
+                    continue
+                if boxes and boxes[-1][0] == "p":
+                    boxes.pop()              # a block ends an open paragraph
+                if tag in _IMPLIED:
+                    ended, beyond = _IMPLIED[tag]
+                    for k in range(len(boxes) - 1, -1, -1):
+                        if boxes[k][0] in beyond:
+                            break
+                        if boxes[k][0] in ended:
+                            del boxes[k:]
+                            break
+                if not m["attrs"].endswith("/"):
                     zone, around, sealed = boxes[-1][1:] if boxes else (NEITHER, (), False)
                     if not sealed:
                         boiler, mark = _marked(tag, m["attrs"], zone == ARTICLE)
                         sealed = mark == SEALED
                         if tag in ("article", "main") and not (boiler or sealed):
-                            zone, around, has_article = ARTICLE, (), True
+                            zone, around = ARTICLE, ()
                         elif boiler or sealed:
                             zone = BOILER
                         if mark in (PART, WHOLE) and zone != BOILER:
@@ -268,8 +338,6 @@ def blocks(page: str) -> tuple[list[tuple[str, int, float, int, int, tuple]], li
     if not in_head:
         text(page[at:])
     close()
-    if has_article:                      # what lies outside the article of a page that has one is not the article
-        out = [(t, n, d, BOILER if z == NEITHER else z, *x) for t, n, d, z, *x in out]
     return out, marked
 
 
@@ -324,9 +392,15 @@ def main_text(page: str | None, tree: tuple | int) -> str:
     """Main text of one page."""
     found, marked = blocks(page or "")
     holds = _boxes_with_text(found, marked)
+    stays = [all(holds[b] for b in around) for *_, around in found]
+    free = [0.0, 0.0, 0.0]                   # words outside links by zone, of kept containers
+    for (_, n, d, zone, _, _), ok in zip(found, stays):
+        free[zone] += n * (1 - d) if ok else 0.0
+    open_ = free[NEITHER] + free[ARTICLE]
+    share = [0.0 if open_ else 1.0, *(free[z] / open_ if open_ else 1.0 for z in (NEITHER, ARTICLE))]
     shape = [(0, 0.0), *((n, d) for _, n, d, *_ in found), (0, 0.0)]
-    return "\n".join(t for k, (t, n, d, zone, h, around) in enumerate(found)
-                     if all(holds[b] for b in around) and decide(tree, (n, d, *shape[k], *shape[k + 2], zone, h)))
+    return "\n".join(t for k, (t, n, d, zone, h, _) in enumerate(found)
+                     if stays[k] and decide(tree, (n, d, *shape[k], *shape[k + 2], zone, h, share[zone])))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

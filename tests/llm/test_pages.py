@@ -101,6 +101,50 @@ def test_article_inside_marked_containers():
     assert ht.main_text(inner, tree).split("\n") == [text.strip(), "Related work", text.strip(), "Shares fell to 12.40"]
 
 
+def test_names_on_small_elements_and_in_parts():
+    tree = ht.train_tree()
+    text, bad = " ".join(["word"] * 40), " ".join(["bad"] * 35)
+    for x in ("<ol class='commentlist'><li>%s</li></ol>", "<ul><li id='comment-12'>%s</li></ul>", "<div id='comment-12'>%s</div>",
+              "<div class='userComments'><p>%s</p></div>", "<p class='ad'>%s</p>", "<div class='CookieConsent'>%s</div>", "<div class='relatedArticles'>%s</div>",
+              "<ul><li class=ad>%s<li class='comment'>%s</ul>", "<dl><dt class=advert>%s<dd class=related>%s</dl>"):
+        assert ht.main_text(f"<article><p>{text}</p>{x.replace('%s', bad)}<p>{text}</p></article>", tree) == f"{text}\n{text}", x
+    assert ht.main_text(f"<table><tr><td id='sidebar'>{bad}<td><p>{text}</p><p>{text}</p></table>", tree) == f"{text}\n{text}"
+    assert ht.main_text(f"<article><p class=ad>{bad}<p>{text}<h2 class=x>Head</h2>{text}</article>", tree) == f"{text}\nHead\n{text}"   # implied ends
+    assert ht._name_words("userComments-12") == {"user", "comments"} and ht._name_words("adaptation") == {"adaptation"}
+
+
+def test_no_zone_is_a_verdict():
+    tree = ht.train_tree()
+    text, teaser = " ".join(["word"] * 70), " ".join(["bad"] * 20)
+    body = f"<div id='content'><p>{text}</p><p>{text}</p></div>"
+    assert ht.main_text(f"<article><h2>Bad</h2><p>{teaser}</p></article>{body}", tree) == f"{text}\n{text}"
+    assert ht.main_text(f"<article><p>{text}</p><p>{text}</p></article><div><p>{teaser}</p></div>", tree) == f"{text}\n{text}"
+    menu = "".join(f"<li><a href=/{k}>bad {k}</a></li>" for k in range(6))
+    got = ht.main_text(f"<article><p>{text}</p><ul>{menu}</ul><p>{text}</p><p><a href=x>one link</a></p><p>{text}</p></article>", tree)
+    assert got.count("bad") <= 2 and "one link" in got
+    assert ht.main_text(f"<dialog open><p>{text}</p><p>{text}</p></dialog>", tree) == f"{text}\n{text}"
+    assert ht.main_text("<article></article><footer><p>All our pages in one short line.</p></footer>", tree) == ""
+    for zone in (ht.BOILER, ht.NEITHER, ht.ARTICLE):           # every zone has blocks of either kind
+        assert {r[-1] for r in ht.LABELLED if r[6] == zone} == {0, 1}
+
+
+def test_a_neighbour_flips_a_block():
+    tree = ht.train_tree()
+    used = set()
+
+    def walk(t):
+        if not isinstance(t, int):
+            used.add(ht.FEATURES[t[0]])
+            walk(t[2]), walk(t[3])
+    walk(tree)
+    assert used & {"links_before", "links_after", "words_before", "words_after"} and {"links", "share"} <= used
+    assert ht.decide(tree, (3, 1.0, 2, 1.0, 2, 1.0, ht.ARTICLE, 0, 0.9)) == 0 and ht.decide(tree, (3, 1.0, 2, 1.0, 40, 0.0, ht.ARTICLE, 0, 0.9)) == 1
+    text = " ".join(["word"] * 50)
+    short = "<p>Six words stand in this.</p>"
+    assert "Six" in ht.main_text(f"<div><p>{text}</p>{short}<p>{text}</p></div>", tree)
+    assert "Six" not in ht.main_text(f"<div><p>{text}</p></div><div>{short}<a href=1>More</a></div>", tree)
+
+
 def test_dropped_elements_end():
     tree = ht.train_tree()
     for page, want in (
