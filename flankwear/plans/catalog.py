@@ -30,4 +30,4 @@ def load_all() -> None:
         importlib.import_module(f"flankwear.plans.{m}")
 
 
-MODULES = ["q_files", "q_signals", "q_profile", "q_fusion", "q_spectral", "q_eval", "q_models", "q_grid"]
+MODULES = ["q_files", "q_signals", "q_profile", "q_fusion", "q_spectral", "q_eval", "q_models", "q_grid", "q_stream"]
