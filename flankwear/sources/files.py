@@ -3,8 +3,9 @@ explicit schema where the reference relies on position, plus ``_metadata``
 columns for keys that live in file names."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,14 +21,33 @@ PASS_FILE = r"c_(\d+)_(\d+)\.csv$"
 
 
 def first_lines(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
-    """(file, name, header): the first line of every file, without its carriage return or byte-order mark."""
+    """(file, name, header): the first line of every file, without its carriage return or byte-order mark.
+
+    Every file block is a task of its own that stops after its first few lines; blocks that don't begin a file are
+    dropped.  The result (one row per file) is written once."""
     r = spark.read.option("recursiveFileLookup", "true")
     lines = (r.option("pathGlobFilter", glob) if glob else r).text(path if isinstance(path, str) else list(path))
-    # the first line lies in the block that starts at 0; ids rise within a block
-    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"),
-                         F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
-    first = lines.where("at = 0").groupBy("file", "name").agg(F.min_by("value", "n").alias("header"))
-    return first.withColumn("header", F.regexp_replace("header", "^\ufeff|\r$", ""))
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"),
+                         F.col("_metadata.file_block_start").alias("at"), F.col("value").alias("header"))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.slice(0, 1)
+                return
+
+    # no two files share a task, and a task reads a handful of lines ahead
+    alone = {"spark.sql.files.openCostInBytes": spark.conf.get("spark.sql.files.maxPartitionBytes"),
+             "spark.sql.files.minPartitionNum": "1", "spark.sql.execution.arrow.maxRecordsPerBatch": "16"}
+    before = {k: spark.conf.get(k, None) for k in alone}
+    try:
+        for k, v in alone.items():
+            spark.conf.set(k, v)
+        out = write_stage(lines.mapInArrow(first, "file string, name string, at long, header string").where("at = 0"))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return out.select("file", "name", F.regexp_replace("header", "^\ufeff|\r$", "").alias("header"))
 
 
 def _layouts(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> dict[str, list[str]]:
