@@ -31,29 +31,33 @@ def tooth_pass_hz(rpm: float = SPINDLE_RPM, flutes: int = FLUTES) -> float:
     return rpm / 60.0 * flutes
 
 
+#: Samples of a run, the unit in which segments are cut.
+RUN = 65_536
+
+
 def segments(sig: DataFrame, L: int, keys: Sequence[str] = ("tool", "passe", "channel")) -> DataFrame:
-    """Gather samples into full, half-overlapping segments of length ``L``.
+    """Full, half-overlapping segments of length ``L``: ``keys + (seg, L, x)`` with ``x`` the ordered sample array.
 
-    Output ``keys + (seg, L, x)`` with ``x`` the ordered sample array.  Every
-    sample is copied to the (at most two) segments covering it and segments
-    are grouped on ``(keys, seg)``: the raw samples are never joined with
-    anything, and a hot pass is spread over its many segments.  A signal
-    shorter than ``L`` becomes one segment of its own length.
+    Samples are shuffled once, to runs of about ``RUN`` samples of their signal; only the samples at the start of a run
+    (one hop of ``L / 2``) are copied to the run before it, whose last segment they end.  Segments are then cut in
+    place, so a hot pass is spread over its runs.  Sample indexes run from 0 without gaps (R1).  A signal shorter
+    than ``L`` becomes one segment of its own length.
     """
     keys = list(keys)
     step = L - L // 2
-    base = F.floor(F.col("i") / F.lit(step)).cast("int")
-    s = sig.select(*keys, "i", "x").withColumn("seg", F.explode(F.array(base, base - 1)))
-    s = s.withColumn("j", (F.col("i") - F.col("seg") * F.lit(step)).cast("int"))
-    s = s.where((F.col("seg") >= 0) & (F.col("j") < F.lit(L)))
-    arr = (s.groupBy(*keys, "seg")
-           .agg(F.sort_array(F.collect_list(F.struct("j", "x"))).alias("_s"), F.count(F.lit(1)).alias("L"))
-           .select(*keys, "seg", F.col("L").cast("int").alias("L"), F.col("_s.x").alias("x")))
-    # one row per group: the last sample tells whether any segment is full
-    last = sig.groupBy(*keys).agg(F.max("i").alias("_last"))
-    arr = arr.join(last, keys)
-    keep = (F.col("L") == F.lit(L)) | ((F.col("_last") + 1 < F.lit(L)) & (F.col("seg") == 0))
-    return arr.where(keep).drop("_last")
+    hops = max(1, RUN // step)                                    # of a run
+    hop = F.floor(F.col("i") / F.lit(step)).cast("int")
+    run = F.floor(hop / F.lit(hops)).cast("int")
+    halo = (F.pmod(hop, F.lit(hops)) == 0) & (hop > 0)
+    s = sig.select(*keys, "i", "x", F.explode(F.when(halo, F.array(run, run - 1)).otherwise(F.array(run))).alias("_run"))
+    runs = (s.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("_s"))
+            .select(*keys, "_run", F.col("_s.x").alias("_x")))
+    cut = F.filter(F.transform(F.sequence(F.lit(0), F.lit(hops - 1)), lambda k: F.struct(
+        (F.col("_run") * hops + k).alias("seg"), F.slice("_x", k * step + 1, L).alias("x"))), lambda g: F.size(g["x"]) == L)
+    short = (F.col("_run") == 0) & (F.size("_x") < L)             # the whole signal
+    whole = F.array(F.struct(F.lit(0).alias("seg"), F.col("_x").alias("x")))
+    return (runs.select(*keys, F.explode(F.when(short, whole).otherwise(cut)).alias("_g"))
+            .select(*keys, F.col("_g.seg").alias("seg"), F.size("_g.x").alias("L"), F.col("_g.x").alias("x")))
 
 
 def _by_length(seg: pd.Series, fs: float):

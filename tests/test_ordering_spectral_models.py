@@ -363,3 +363,21 @@ def test_knn_visits_few_pairs_of_clustered_vectors(spark):
     nn, met = mo.knn_visits(df, df.withColumnRenamed("qid", "rid"), 5)
     share = met.agg(F.sum("met")).first()[0] / len(rows) ** 2
     assert nn.count() == 5 * len(rows) and share < 0.2, share
+
+
+@pytest.mark.parametrize("length,run", [(8, 65_536), (8, 12), (7, 9), (7, 4), (5, 1)])
+def test_segments_cut_from_runs(spark, monkeypatch, length, run):
+    """Every full segment once, across the runs' borders, odd lengths and short signals included."""
+    monkeypatch.setattr(sp, "RUN", run)
+    sizes = {"a": 50, "b": length, "c": length - 1, "d": 1, "e": 3 * length + 2}
+    rows = [(k, i, None if i == 2 else float(i * 10 + len(k))) for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "tool string, i long, x double").repartition(4)
+    step = length - length // 2
+    want = {}
+    for k, n in sizes.items():
+        x = [v for t, _, v in rows if t == k]
+        for s in range(n // step + 1):
+            if len(x[s * step:s * step + length]) == length or (n < length and s == 0):
+                want[k, s] = x[s * step:s * step + length]
+    got = sp.segments(df, length, ["tool"]).collect()
+    assert {(r.tool, r.seg): list(r.x) for r in got} == want and len(got) == len(want) and all(r.L == len(r.x) for r in got)
