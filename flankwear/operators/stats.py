@@ -50,24 +50,26 @@ def avg_rank(df: DataFrame, col: str) -> DataFrame:
                                                   F.count(F.lit(1)).alias("ties"))
 
 
-def kruskal(df: DataFrame, col: str, by: str) -> DataFrame:
-    """Tie-corrected Kruskal-Wallis H across the levels of ``by`` and its χ² p-value.
-    Where all values are tied (or there is one value) H and p are NULL."""
-    d = df.select(F.col(by).alias("_g"), F.col(col).alias("_x")).where(F.col("_x").isNotNull() & F.col("_g").isNotNull())
-    ranks = avg_rank(d, "_x")
-    cnt = d.groupBy("_g", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    rs = cnt.join(ranks, "_x").groupBy("_g").agg(F.sum(F.col("_c") * F.col("avg_rank")).alias("R"),
-                                                F.sum("_c").alias("n_g"))
-    tot = rs.agg(F.sum("n_g").alias("N"), F.sum(F.col("R") * F.col("R") / F.col("n_g")).alias("S"),
-                 F.count(F.lit(1)).alias("k"))
-    ties = ranks.agg(F.sum(F.pow(F.col("ties"), 3) - F.col("ties")).alias("T"))
+def kruskal(df: DataFrame, col: str | Sequence[str], by: str) -> DataFrame:
+    """Tie-corrected Kruskal-Wallis H of each column across the levels of ``by`` and its χ² p-value; all columns
+    are ranked in one long table by one range sort.  Where all values are tied (or there is one value) H and p are NULL."""
+    cols = [col] if isinstance(col, str) else list(col)
+    wide = df.select(F.col(by).alias("_g"), *[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).where(F.col("_g").isNotNull())
+    d = wide.unpivot(["_g"], [f"c{i}" for i in range(len(cols))], "_c", "_x").where(F.col("_x").isNotNull())
+    p = with_position(d, ["_c"], ["_x"], name="_pos")
+    # ties share the mean of their ranks; a value's rows of one level count together
+    ranks = p.groupBy("_c", "_x").agg((F.avg("_pos") + 1).alias("rank"), F.count(F.lit(1)).alias("ties"))
+    cnt = d.groupBy("_c", "_g", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    rs = cnt.join(ranks, ["_c", "_x"]).groupBy("_c", "_g").agg(F.sum(F.col("_n") * F.col("rank")).alias("R"), F.sum("_n").alias("n_g"))
+    tot = rs.groupBy("_c").agg(F.sum("n_g").alias("N"), F.sum(F.col("R") * F.col("R") / F.col("n_g")).alias("S"), F.count(F.lit(1)).alias("k"))
+    ties = ranks.groupBy("_c").agg(F.sum(F.pow(F.col("ties"), 3) - F.col("ties")).alias("T"))
     N = F.col("N").cast("double")
-    h = with_scalars(tot, ties) \
+    h = tot.join(ties, "_c") \
         .withColumn("H0", F.try_divide(F.lit(12.0), N * (N + 1)) * F.col("S") - 3 * (N + 1)) \
         .withColumn("C", 1 - F.try_divide(F.col("T"), N * N * N - N)) \
         .withColumn("H", F.try_divide("H0", "C"))
-    return h.select(F.lit(col).alias("column"), "k", F.col("N").alias("n"), "H",
-                    chi2_sf(F.col("H"), F.col("k") - 1).alias("p"))
+    name = F.element_at(F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(f"c{i}"), F.lit(c))]), F.col("_c"))
+    return h.select(name.alias("column"), "k", F.col("N").alias("n"), "H", chi2_sf(F.col("H"), F.col("k") - 1).alias("p"))
 
 
 def linreg(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:

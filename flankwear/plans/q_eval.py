@@ -68,9 +68,7 @@ KW_COLS = ["l_quantity", "l_discount", "l_tax"]
 FROM (""" + " UNION ALL ".join(_kw_sql(c) for c in KW_COLS) + ")")
 def q_t01(spark, d):
     li = b.table(spark, d, "lineitem")
-    parts = [st.kruskal(li, c, "l_returnflag") for c in KW_COLS]
-    out = fx.union_all(parts)
-    return present(out.withColumn("stars", fx.stars("p")))
+    return present(st.kruskal(li, KW_COLS, "l_returnflag").withColumn("stars", fx.stars("p")))
 
 
 @register("t02_linreg", """SELECT l_returnflag, """ + r("regr_slope(l_extendedprice, l_quantity)", "slope") + ", "
