@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flankwear.operators import profile as pr
+from flankwear.operators import report as rp
 from flankwear.operators import spectral as sp
 from flankwear.operators import wear as wr
 from flankwear.plans import bindings as b
@@ -143,3 +145,11 @@ def q_g08(spark, d):
                                        channels=b.EVENT_CHANNELS, f0=F0, long_hook=present)
     return present(out, ["vb"])
 
+
+@register("a43_spectral_feature_counts", G08_SQL + """SELECT CASE WHEN regexp_matches(name, 'band_|tpf_') THEN 'frequency' ELSE 'time' END AS kind,
+  count(DISTINCT name) AS n_features FROM (UNPIVOT (SELECT * EXCLUDE (tool, passe) FROM wide) ON COLUMNS(*) INTO NAME name VALUE v) GROUP BY 1""")
+def q_a43_spectral(spark, d):
+    """Time and frequency features among the columns of the spectral table that hold values."""
+    out = sp.extract_spectral_features(b.spectral_signals(spark, d), spectral_wear(spark, d), FS, L, channels=b.EVENT_CHANNELS, f0=F0)
+    held = pr.null_profile(out, [c for c in out.columns if c not in ("tool", "passe", "vb")]).where("n_null < n_rows")
+    return rp.feature_counts(held.select(F.col("column").alias("feature")))
