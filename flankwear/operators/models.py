@@ -335,16 +335,12 @@ def knn_visits(query: DataFrame, ref: DataFrame, k: int, vec: str = "vec", qid:
                differ: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``knn`` and, per query, the number of references it was compared with (qid, met).
 
-    References go to the block of their nearest pivot (about the square root of their number, ``MAX_PIVOTS`` at most);
+    References go to the block of their nearest pivot (half the square root of their number, ``MAX_PIVOTS`` at most);
     a block knows its radius.  In the first round a query meets the blocks of its nearest pivots until they hold
     ``4 k`` rows; its k-th distance there bounds the answer.  By the triangle inequality a block whose pivot is
     farther than that bound plus the block's radius holds no neighbour, so the second round visits the other blocks
     only.  Blocks are cut into chunks of about ``block_rows`` rows of either side that meet once, so no task holds
     more than two chunks; only ``k`` candidates per query and chunk leave it, and no pair is a row."""
-    pivots = choose_pivots(ref, max(1, min(MAX_PIVOTS, math.isqrt(ref.count()))), vec, rid)
-    if not len(pivots):
-        none = query.sparkSession.createDataFrame([], "qid long, rid long, dist2 double, rank int")
-        return none, none.select("qid", F.lit(0).cast("long").alias("met"))
     g = [within] if within else []
     kinds = {f.name: f.dataType.simpleString() for f in query.schema.fields}
     tail = "".join(f", {c} {kinds[c]}" for c in g)
@@ -354,6 +350,13 @@ def knn_visits(query: DataFrame, ref: DataFrame, k: int, vec: str = "vec", qid:
         return df.where(F.col(vec).isNotNull()).select(F.col(ident).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_v"),
                                                        extra.alias("_d"), *g)
 
+    # both sides are written once; what is derived from them (blocks, visits) is cheap and made again where it is read
+    held = write_stage(base(ref, rid))
+    pivots = choose_pivots(held, max(1, min(MAX_PIVOTS, math.isqrt(held.count()) // 2)), "_v", "_id")
+    if not len(pivots):
+        none = query.sparkSession.createDataFrame([], "qid long, rid long, dist2 double, rank int")
+        return none, none.select("qid", F.lit(0).cast("long").alias("met"))
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -362,7 +365,7 @@ def knn_visits(query: DataFrame, ref: DataFrame, k: int, vec: str = "vec", qid:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.int32()), pa.array(d[np.arange(len(d)), near])],
                                                  names=[*b.schema.names, "_b", "_dist"])
 
-    refs = write_stage(base(ref, rid).mapInArrow(place, f"_id long, _v array<double>, _d long{tail}, _b int, _dist double"))
+    refs = held.mapInArrow(place, f"_id long, _v array<double>, _d long{tail}, _b int, _dist double")
     blocks = {r["_b"]: (r["n"], r["radius"]) for r in refs.groupBy("_b").agg(F.count(F.lit(1)).alias("n"), F.max("_dist").alias("radius")).collect()}
     size = np.array([blocks.get(j, (0, 0.0))[0] for j in range(len(pivots))])          # one number per pivot
     radius = np.array([blocks.get(j, (0, 0.0))[1] for j in range(len(pivots))])
@@ -387,6 +390,7 @@ def knn_visits(query: DataFrame, ref: DataFrame, k: int, vec: str = "vec", qid:
         return run
 
     queries = write_stage(base(query, qid).withColumn("_ub", F.lit(None).cast("double")))
+    many_queries = queries.count() > block_rows
     visit_schema = f"_id long, _v array<double>, _d long{tail}, _ub double, _b int"
 
     def topk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -418,25 +422,26 @@ def knn_visits(query: DataFrame, ref: DataFrame, k: int, vec: str = "vec", qid:
 
     def meet(asked: DataFrame) -> DataFrame:
         """Candidates of the asked (query, block) pairs; chunks of a block's queries meet chunks of its references."""
-        many = {r["_b"]: -(-r["n"] // block_rows) for r in asked.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()}
+        counted = asked.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect() if many_queries else []       # a number per pivot
+        many = {r["_b"]: -(-r["n"] // block_rows) for r in counted}
         nq = F.array(*[F.lit(int(many.get(j, 1))) for j in range(len(pivots))])[F.col("_b")]
         nr = F.array(*[F.lit(int(c)) for c in chunks])[F.col("_b")]
         own = lambda n: F.pmod(F.xxhash64("_id"), n).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         cols = ["_id", "_v", "_d", *g, "_ub", "_b", "_cq", "_cr", "_side"]
         q = asked.withColumn("_cq", own(nq)).withColumn("_cr", every(nr)).withColumn("_side", F.lit(0))
-        r = refs.where(F.col("_b").isin(list(many))).withColumn("_cr", own(nr)).withColumn("_cq", every(nq)) \
+        r = refs.withColumn("_cr", own(nr)).withColumn("_cq", every(nq)) \
             .withColumn("_ub", F.lit(None).cast("double")).withColumn("_side", F.lit(1))
         both = q.select(*cols).unionByName(r.select(*cols))
         return both.groupBy("_b", "_cq", "_cr", *g).applyInPandas(topk, "qid long, rid long, dist2 double")
 
     w = Window.partitionBy("qid").orderBy("dist2", "rid")    # the group limit cuts to k rows before the shuffle
     best = lambda c: c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rid", "dist2", "rank")
-    asked = write_stage(queries.mapInArrow(visits(False), visit_schema))
+    asked = queries.mapInArrow(visits(False), visit_schema)
     near = write_stage(best(meet(asked)))
     bounds = near.where(F.col("rank") == k).select(F.col("qid").alias("_id"), F.col("dist2").alias("_ub"))
     more = queries.drop("_ub").join(bounds, "_id", "left").select("_id", "_v", "_d", *g, "_ub")
-    again = write_stage(more.mapInArrow(visits(True), visit_schema))
+    again = more.mapInArrow(visits(True), visit_schema)
     counts = F.array(*[F.lit(int(n)) for n in size])[F.col("_b")]
     met = (asked.select("_id", "_b").unionByName(again.select("_id", "_b")).groupBy(F.col("_id").alias("qid"))
            .agg(F.sum(counts).alias("met")))
