@@ -67,3 +67,17 @@ def test_benchmark_follows_the_strategy(spark, tmp_path, monkeypatch, small, str
         assert before.select("fold").distinct().count() == 1
         assert [r["count"] for r in after.groupBy("label").count().collect()] == [n // 2] * 2
     assert {m for _, m in made} == ({float(n)} if strategy == "smote" else {(n + small) / 2})
+
+
+def test_benchmark_trains_its_own_kernel_machine(spark, tmp_path):
+    """The grid's svm is the kernel machine: it separates classes that no line does."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 2))
+    rows = [(i, "in" if np.hypot(*p) < 1.0 else "out", float(p[0]), float(p[1])) for i, p in enumerate(x)]
+    feats = spark.createDataFrame(rows, "row_id long, y string, a double, b double")
+    out = str(tmp_path / "out")
+    pl.step_balance(spark, feats, out)
+    oof, metrics = pl.step_benchmark(spark, feats, out, cv=2, models=("svm",))
+    r = metrics.first()
+    assert oof.count() == 90 and r.status == "ok" and r.accuracy > 0.8
