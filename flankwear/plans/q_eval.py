@@ -78,7 +78,18 @@ def q_t02(spark, d):
     return present(st.linreg(b.table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"]).drop("p"))
 
 
-@register("t02_linreg_pvalue")
+#: Student-t tails by Simpson's rule over the angle atan(t / sqrt(df)) in 4,000 steps.
+T_TAIL_SQL = """reg AS (SELECT l_returnflag, regr_slope(l_tax, l_discount) AS slope, regr_intercept(l_tax, l_discount) AS intercept,
+  corr(l_discount, l_tax) AS r, CAST(regr_count(l_tax, l_discount) AS BIGINT) AS n FROM lineitem GROUP BY 1),
+arc AS (SELECT *, atan(abs(r) * sqrt((n - 2) / (1 - r * r)) / sqrt(n - 2)) AS w FROM reg),
+inner_mass AS (SELECT l_returnflag, 2 * exp(lgamma((any_value(n) - 1) / 2.0) - lgamma((any_value(n) - 2) / 2.0)) / sqrt(pi())
+  * sum((CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * power(cos(w * k / 4000.0), n - 3)) * any_value(w) / 4000 / 3 AS m
+  FROM arc, generate_series(0, 4000) s(k) GROUP BY 1),
+tail AS (SELECT arc.*, 1 - m AS p FROM arc JOIN inner_mass USING (l_returnflag))"""
+
+
+@register("t02_linreg_pvalue", with_ctes(T_TAIL_SQL) + "SELECT l_returnflag, " + ", ".join(r(c, c) for c in ("slope", "intercept", "r", "p"))
+          + """, n, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM tail""")
 def q_t02p(spark, d):
     return present(st.linreg(b.table(spark, d, "lineitem"), "l_discount", "l_tax", ["l_returnflag"]).withColumn(
         "stars", fx.stars("p")))

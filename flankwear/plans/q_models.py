@@ -65,6 +65,40 @@ def q_b03(spark, d):
     return mo.smote(e, "label", "vec", "row_id", k=5, seed=42)
 
 
+CLASS_NN_SQL = """dims AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(generate_series(1, len(embedding))) AS j FROM embeddings),
+pairs AS (SELECT a.vec_id AS q, b.vec_id AS rid, a.label, sum((a.v - b.v) * (a.v - b.v)) AS dist2
+          FROM dims a JOIN dims b ON a.j = b.j AND a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+nn AS (SELECT q, rid, label, dist2, row_number() OVER (PARTITION BY q ORDER BY dist2, rid) AS rank FROM pairs QUALIFY rank <= 5)"""
+
+
+@register("j09_class_neighbours", with_ctes(CLASS_NN_SQL) + "SELECT q AS row_id, CAST(rank AS INTEGER) AS rank, rid, " + r("dist2", "dist2") + " FROM nn")
+def q_j09(spark, d):
+    """The five nearest vectors of every vector's own class."""
+    e = b.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
+    nn = mo.knn(e.withColumnRenamed("vec_id", "qid"), e.withColumnRenamed("vec_id", "rid"), 5, within="label", exclude_self=True)
+    return present(nn.select(F.col("qid").alias("row_id"), F.col("rank").cast("int").alias("rank"), "rid", "dist2"))
+
+
+@register("b03_smote_points", with_ctes(CLASS_NN_SQL) + """, sized AS (
+  SELECT vec_id, label, count(*) OVER (PARTITION BY label) AS nc,
+         row_number() OVER (PARTITION BY label ORDER BY md5('42|' || CAST(vec_id AS VARCHAR))) - 1 AS p FROM embeddings),
+want AS (SELECT vec_id, unnest(generate_series(0, CAST(ceil((max(nc) OVER () - nc - p) / nc) AS BIGINT) - 1)) AS copy FROM sized),
+kk AS (SELECT q, count(*) AS k FROM nn GROUP BY q),
+drawn AS (SELECT vec_id, copy, k, md5('42|' || CAST(vec_id AS VARCHAR) || '|' || CAST(copy AS VARCHAR)) AS h FROM want JOIN kk ON kk.q = vec_id),
+pick AS (SELECT vec_id, copy, CAST(floor(('0x' || substr(h, 1, 8))::BIGINT / 4294967296.0 * k) + 1 AS INTEGER) AS rank,
+         ('0x' || substr(h, 9, 8))::BIGINT / 4294967296.0 AS lam FROM drawn),
+syn AS (SELECT pick.vec_id, copy, a.label, a.j, a.v + lam * (n.v - a.v) AS v FROM pick JOIN nn ON nn.q = pick.vec_id AND nn.rank = pick.rank
+        JOIN dims a ON a.vec_id = pick.vec_id JOIN dims n ON n.vec_id = nn.rid AND n.j = a.j),
+points AS (SELECT label, true AS is_synthetic, vec_id, copy, j, v FROM syn UNION ALL SELECT label, false, vec_id, -1, j, v FROM dims)
+SELECT label, is_synthetic, """ + ", ".join([r("max(CASE WHEN j = 1 THEN v END)", "first"), r("sum(v * v)", "square"), r("sum(v * j)", "moment")])
+          + " FROM points GROUP BY label, is_synthetic, vec_id, copy")
+def q_b03_points(spark, d):
+    """Every original and synthetic point by its first component, squared length and first moment over its components."""
+    total = lambda terms: F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+    return present(q_b03(spark, d).select("label", "is_synthetic", F.get("vec", F.lit(0)).alias("first"), total(F.transform("vec", lambda x: x * x)).alias("square"),
+                                          total(F.transform("vec", lambda x, i: x * (i + 1))).alias("moment")))
+
+
 def _ml_table(spark, d):
     from pyspark.ml.functions import array_to_vector
     return emb(spark, d).withColumn("features", array_to_vector("vec"))

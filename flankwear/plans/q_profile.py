@@ -271,14 +271,73 @@ def q_a41(spark, d):
     return pr.profile_table(prof(spark, d), target="l_returnflag")
 
 
-@register("a42_profile_signals")
+#: Columns of the profiled table with their types, kinds and (integers) distinct counts, as DuckDB sees them.
+PROF_COLS = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+KINDS_SQL = "typed AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS \"column\", any_value(typeof({c})) AS t, count(DISTINCT {c}) AS n_distinct FROM prof"
+    for i, c in enumerate(PROF_COLS)) + """),
+kinds AS (SELECT *, CASE WHEN t = 'VARCHAR' THEN 'string' WHEN t IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT') THEN 'integer'
+  WHEN t IN ('FLOAT', 'DOUBLE') OR t LIKE 'DECIMAL%' THEN 'number' ELSE 'other' END AS kind FROM typed)"""
+
+
+def _meta_sql(target: str) -> str:
+    words = "|".join(pr.META_KEYWORDS)
+    return f"""("column" <> {target} AND (kind = 'string' OR (kind = 'integer' AND n_distinct < 20)
+    OR regexp_matches(lower("column"), '{words}')))"""
+
+
+A41_SQL = with_ctes(PROF_SQL, KINDS_SQL) + f""", roles AS (
+  SELECT position, "column", {_meta_sql("'l_returnflag'")} AS is_meta, kind IN ('integer', 'number') AS numeric FROM kinds),
+coded AS (SELECT prof.*, (SELECT count(DISTINCT o.l_returnflag) FROM lineitem o WHERE o.l_returnflag < prof.l_returnflag) AS y FROM prof),
+corrs AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", abs(corr({c}, y)) AS r FROM coded" for c in PROF_COLS[:6]) + """),
+q AS (SELECT count(*) AS n_rows, count(*) FILTER (WHERE """ + " AND ".join(f"{c} IS NOT NULL" for c in PROF_COLS) + """) AS rows_after_dropna,
+  """ + " + ".join(f"count(*) - count({c})" for c in PROF_COLS) + """ AS total_nan FROM prof),
+dup AS (SELECT CAST(sum(k - 1) AS BIGINT) AS n_duplicates FROM (SELECT count(*) AS k FROM prof GROUP BY """ + ", ".join(PROF_COLS) + """))
+SELECT 'l_returnflag' AS target_column, 'classification' AS task, "column", is_meta, numeric AND NOT is_meta AS is_feature,
+  numeric AND NOT is_meta AND coalesce(r >= 0.98, false) AS is_leaky, numeric AND NOT is_meta AND NOT coalesce(r >= 0.98, false) AS is_recommended,
+  CASE WHEN numeric AND NOT is_meta THEN round(r, 5) END AS correlation, n_rows, rows_after_dropna, total_nan,
+  """ + r("total_nan / (n_rows * 8) * 100", "nan_pct") + """, n_duplicates
+FROM roles LEFT JOIN corrs USING ("column"), q, dup"""
+
+
+@register("a41_profile_columns", A41_SQL)
+def q_a41_columns(spark, d):
+    """The profile document spread over the columns it speaks of."""
+    df = prof(spark, d)
+    held = lambda kind: F.array_contains(kind, F.col("column"))
+    p = pr.profile_table(df, target="l_returnflag").withColumn("column", F.explode(F.array(*[F.lit(c) for c in df.columns])))
+    return present(p.select("target_column", "task", "column", held("meta_columns").alias("is_meta"), held("features").alias("is_feature"),
+                            held("features_leaky").alias("is_leaky"), held("features_recommended").alias("is_recommended"),
+                            F.try_element_at("correlations", F.col("column")).alias("correlation"), "n_rows", "rows_after_dropna",
+                            "total_nan", "nan_pct", "n_duplicates"), ["nan_pct"])
+
+
+@register("a42_profile_signals", with_ctes(b.SIGNALS_SQL, b.WEAR_SQL) + """, pp AS (
+  SELECT tool, passe, count(DISTINCT i) AS samples FROM signals GROUP BY tool, passe),
+pi AS (SELECT tool, count(*) AS n_passes, avg(samples) AS s FROM pp GROUP BY tool),
+wi AS (SELECT tool, count(*) AS n_wear_rows, least(min(vb1), min(vb2), min(vb3)) AS lo, greatest(max(vb1), max(vb2), max(vb3)) AS hi,
+       (avg(vb1) + avg(vb2) + avg(vb3)) / 3 AS mid FROM wear GROUP BY tool)
+SELECT tool, n_passes, """ + r("s", "samples_per_pass") + ", " + r("s * 1000.0 / 50000.0", "duration_ms") + ", n_wear_rows, "
+          + r("lo", "vb_min") + ", " + r("hi", "vb_max") + ", " + r("mid", "vb_mean") + """, 50000.0::DOUBLE AS sampling_rate_hz
+FROM pi FULL OUTER JOIN wi USING (tool)""")
 def q_a42(spark, d):
     from flankwear.operators import wear as wr
-    return pr.profile_signals(wr.wear_inventory(wr.wear_table(b.raw_wear(spark, d))),
-                              wr.pass_inventory(b.signals(spark, d)))
+    return present(pr.profile_signals(wr.wear_inventory(wr.wear_table(b.raw_wear(spark, d))),
+                                      wr.pass_inventory(b.signals(spark, d))))
+
+
+ROLES_SQL = with_ctes(PROF_SQL, KINDS_SQL) + """, ranked AS (
+  SELECT "column", 0 AS rule, list_position([""" + ", ".join(f"'{k}'" for k in [*pr.TARGET_KEYWORDS, *pr.EXTRA_TARGETS]) + """], lower("column")) AS o FROM kinds
+  UNION ALL SELECT "column", 1, CASE WHEN kind = 'string' THEN -position END FROM kinds
+  UNION ALL SELECT "column", 2, CASE WHEN kind IN ('integer', 'number') THEN -position END FROM kinds),
+tgt AS (SELECT arg_min("column", (rule, o)) AS target FROM ranked WHERE o IS NOT NULL AND (rule > 0 OR o > 0)),
+marked AS (SELECT kinds.*, target, """ + _meta_sql("target") + """ AS is_meta, kind IN ('integer', 'number') AS is_numeric FROM kinds, tgt)
+SELECT "column", is_numeric, "column" = target AS is_target, is_meta, is_numeric AND NOT is_meta AND "column" <> target AS selected,
+  CASE WHEN "column" = 'l_extendedprice' THEN 'price' WHEN "column" IN ('l_discount', 'l_tax') THEN 'rates'
+       WHEN contains("column", 'flag') OR contains("column", 'status') THEN 'flags' END AS role FROM marked"""
 
 
-@register("p09_p10_p12_p13_p15_column_roles")
+@register("p09_p10_p12_p13_p15_column_roles", ROLES_SQL)
 def q_roles(spark, d):
     """Schema rules on the profiled table: numeric columns, target, meta, selected features, roles."""
     df = prof(spark, d)
