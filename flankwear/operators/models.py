@@ -265,24 +265,46 @@ def importance_spread(spark, model, names: Sequence[str]) -> DataFrame:
     return df.groupBy("feature").agg(F.avg("importance").alias("mean"), F.stddev_pop("importance").alias("std"))
 
 
-def permuted_copies(df: DataFrame, features: Sequence[str], repeats: int, seed: int = SEED, row_id: str = "row_id") -> DataFrame:
-    """E19 helper: for every feature and repeat a copy of the table in which that feature is permuted.
-
-    Rows are numbered once in a hash order; in a repeat each row takes the feature of the row a seeded distance
-    further on in that order (a permutation without fixed points).  One numbering and one join for all copies."""
-    from flankwear.operators.ordering import with_position
-    h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_id).cast("string")))
-    base = write_stage(with_position(df.withColumn("_h", h), [], ["_h", row_id], name="_p", count_name="_n").drop("_h"))
-    rng = np.random.default_rng(seed)
-    shift = F.array(*[F.lit(float(u)) for u in rng.random(repeats)])
-    step = F.floor(F.element_at(shift, F.col("repeat") + 1) * F.greatest(F.lit(1), F.col("_n") - 1)) + 1
-    other = base.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_o_{c}") for c in features])
-    each = base.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))) \
-        .withColumn("_q", F.pmod(F.col("_p") + step, F.col("_n")))
-    each = each.join(other, "_q").withColumn("feature", F.explode(F.array(*[F.lit(c) for c in features])))
-    for c in features:
-        each = each.withColumn(c, F.when(F.col("feature") == c, F.col(f"_o_{c}")).otherwise(F.col(c)))
-    return each.drop("_p", "_q", "_n", *[f"_o_{c}" for c in features])
+#: Rows of a block in which a column is permuted (blocks hold one to two times as many on average).
+PERMUTE_ROWS = 1000
+
+
+def permuted_copies(df: DataFrame, features: Sequence[str], repeats: int, seed: int = SEED, row_id: str = "row_id",
+                    keep: Sequence[str] = ()) -> DataFrame:
+    """E19 helper: for every feature and repeat a copy of the table (``row_id``, ``keep``, features) in which that feature is permuted.
+
+    Rows fall into random blocks by a seeded hash of their id; in a repeat each row takes the feature of the row a seeded
+    distance further on in its block's hash order (a permutation without fixed points).  Every row is shuffled once, on
+    its block; the copies arise in the task that holds the block and go on to the model without another shuffle.
+    NULL features move like values; a table of one row has nothing to trade and keeps its values."""
+    features, keep = list(features), [c for c in keep if c != row_id]
+    h = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(row_id).cast("string"), F.lit(""))))
+    blocks = max(1, df.count() // PERMUTE_ROWS)
+    u = np.random.default_rng(seed).random(repeats)
+    # features go by place, so that no column of the table can clash with the helper's names
+    base = df.select(F.col(row_id).alias("_id"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)],
+                     *[F.col(c).alias(f"_x{i}") for i, c in enumerate(features)], h.alias("_h"))
+    base = base.withColumn("_b", F.pmod(F.xxhash64("_h"), F.lit(blocks)))
+    kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
+    own = [c for c in base.columns if c not in ("_h", "_b")]
+    moved = [c for c in own if c.startswith("_x")]
+
+    def copies(block: pa.Table) -> pa.Table:
+        block = block.sort_by([("_h", "ascending"), ("_id", "ascending")])
+        m = block.num_rows
+        out = []
+        for k in range(repeats):
+            other = block.take(pa.array((np.arange(m) + (int(u[k] * (m - 1)) + 1)) % m))
+            out.append(pa.table([pa.array(np.full(m, k, np.int32)), *[block[c] for c in own], *[other[c] for c in moved]],
+                                ["repeat", *own, *[f"_o{c}" for c in moved]]))
+        return pa.concat_tables(out)
+
+    schema = ", ".join(["repeat int", *[f"{c} {kinds[c]}" for c in own], *[f"_o{c} {kinds[c]}" for c in moved]])
+    each = base.groupBy("_b").applyInArrow(copies, schema)
+    each = each.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
+    name = F.element_at(F.array(*[F.lit(c) for c in features]), F.col("_f") + 1)
+    return each.select(F.col("_id").alias(row_id), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "repeat", name.alias("feature"),
+                       *[F.when(F.col("_f") == i, F.col(f"_o_x{i}")).otherwise(F.col(f"_x{i}")).alias(c) for i, c in enumerate(features)])
 
 
 # ------------------------------------------------------------------ J09 / J10 / M11 / M12: exact kNN, blocks pruned by pivots
@@ -578,7 +600,7 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], label:
         return classification_metrics(pred, by).select(*by, "f1_weighted")
 
     whole = score(df.withColumn("model", F.lit("m")), ["model"]).select(F.col("f1_weighted").alias("_whole"))
-    each = score(permuted_copies(df, features, repeats, seed, row_id), ["feature", "repeat"])
+    each = score(permuted_copies(df, features, repeats, seed, row_id, [label]), ["feature", "repeat"])
     drop = F.col("_whole") - F.col("f1_weighted")
     return (with_scalars(each, whole).groupBy("feature")
             .agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("importance_std")))

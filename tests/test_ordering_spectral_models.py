@@ -381,3 +381,42 @@ def test_segments_cut_from_runs(spark, monkeypatch, length, run):
                 want[k, s] = x[s * step:s * step + length]
     got = sp.segments(df, length, ["tool"]).collect()
     assert {(r.tool, r.seg): list(r.x) for r in got} == want and len(got) == len(want) and all(r.L == len(r.x) for r in got)
+
+
+def test_permuted_copies_trade_one_feature_in_every_block(spark, monkeypatch):
+    """Every copy holds all rows; only its feature moves, every value once, NULLs too; blocks change nothing of that."""
+    monkeypatch.setattr(mo, "PERMUTE_ROWS", 20)
+    rows = [(i, float(i), None if i % 7 == 0 else i * 0.5, i % 3, "z") for i in range(150)]
+    df = spark.createDataFrame(rows, "row_id long, a double, repeat2 double, label int, _b string")
+    got = mo.permuted_copies(df, ["a", "repeat2"], 3, keep=["label"]).collect()
+    assert len(got) == 150 * 2 * 3
+    for rep in range(3):
+        for feat, still in (("a", "repeat2"), ("repeat2", "a")):
+            part = {r["row_id"]: r for r in got if r["repeat"] == rep and r["feature"] == feat}
+            assert len(part) == 150
+            want = {r[0]: dict(zip(("a", "repeat2", "label"), r[1:4])) for r in rows}
+            assert all(part[i][still] == want[i][still] and part[i]["label"] == want[i]["label"] for i in want)
+            assert sorted(map(repr, (r[feat] for r in part.values()))) == sorted(repr(x[feat]) for x in want.values())
+            if feat == "a":
+                assert all(part[i]["a"] != want[i]["a"] for i in want)
+    one = mo.permuted_copies(df.limit(1), ["a"], 2).collect()
+    assert len(one) == 2 and mo.permuted_copies(df.where("row_id < 0"), ["a"], 2).collect() == []
+
+
+def test_permutation_importance_against_a_plain_loop(spark):
+    """Scores of the copies equal the weighted F1 counted by hand; a feature that the tree ignores has importance 0."""
+    rows = [(i, float(i % 10), float(i % 4), float(i % 10 >= 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, x double, noise double, label double")
+    model = mo.make_model("decision_tree", "classification").fit(mo.assemble(df, ["x", "noise"]))
+    got = {r["feature"]: r for r in mo.permutation_importance(model, df, ["x", "noise"], repeats=4).collect()}
+    assert abs(got["noise"]["importance"]) < 1e-12
+    drops = []
+    for rep in range(4):
+        pairs = [(r["label"], float(r["x"] >= 5)) for r in mo.permuted_copies(df, ["x"], 4, keep=["label"]).where(F.col("repeat") == rep).collect()]
+        f1 = 0.0
+        for c in (0.0, 1.0):
+            tp = sum(t == c and p == c for t, p in pairs)
+            wrong = sum((t == c) != (p == c) for t, p in pairs)
+            f1 += 2 * tp / (2 * tp + wrong) * sum(t == c for t, _ in pairs) / len(pairs)
+        drops.append(1 - f1)
+    assert abs(got["x"]["importance"] - sum(drops) / 4) < 1e-9
