@@ -103,10 +103,15 @@ def window_stats(sig: DataFrame, ms: float = 40.0, fs: float = FS,
                                 F.count("x").alias("n"))
 
 
-def rms_ratio(sig: DataFrame, first: int, last: int, keys: Sequence[str] = ("tool", "channel")) -> DataFrame:
-    """RMS of pass ``last`` over RMS of pass ``first`` per channel (one scan)."""
-    sq = F.col("x") * F.col("x")
-    agg = (sig.where(F.col("passe").isin(first, last)).groupBy(*keys).agg(
-        F.sqrt(F.avg(F.when(F.col("passe") == first, sq))).alias("rms_first"),
-        F.sqrt(F.avg(F.when(F.col("passe") == last, sq))).alias("rms_last")))
+def rms_ratio(sig: DataFrame, first: int | None = None, last: int | None = None, keys: Sequence[str] = ("tool", "channel"),
+              group: str = "tool") -> DataFrame:
+    """RMS of the last pass over RMS of the first per channel; without numbers the first and last pass of each
+    ``group``.  One scan: passes are reduced to their mean square before any is chosen; a channel without samples in a
+    chosen pass has a NULL there."""
+    power = sig.where(F.col("passe").isNotNull()).groupBy(*keys, "passe").agg(F.avg(F.col("x") * F.col("x")).alias("ms"))
+    ends = power.groupBy(F.col(group).alias("_g")).agg((F.min("passe") if first is None else F.lit(first)).alias("_first"),
+                                                       (F.max("passe") if last is None else F.lit(last)).alias("_last"))
+    at = lambda end: F.sqrt(F.max(F.when(F.col("passe") == F.col(end), F.col("ms"))))
+    agg = (power.join(ends, F.col(group).eqNullSafe(F.col("_g"))).where((F.col("passe") == F.col("_first")) | (F.col("passe") == F.col("_last")))
+           .groupBy(*keys).agg(at("_first").alias("rms_first"), at("_last").alias("rms_last")))
     return agg.withColumn("ratio", F.try_divide(F.col("rms_last"), F.col("rms_first")))

@@ -14,7 +14,7 @@ from flankwear.operators.ordering import with_position
 # The five event types act as signal channels.
 EVENT_CHANNELS = ["click", "error", "purchase", "signup", "view"]
 # Event types read as the three flute measurements of the wear table.
-FLUTE_TYPES = ["click", "view", "purchase"]
+FLUTE_TYPES = ["click", "view"]
 N_TOOLS = 6
 
 
@@ -86,14 +86,15 @@ def raw_wear(spark: SparkSession, d: str) -> DataFrame:
     """Raw wear file stand-in ``(tool, passe, vb1, vb2, vb3)`` in µm.
 
     Flute k is the running sum over passes of the day's mean value of one
-    event type, divided by 10; flute 2 is missing every tenth pass.
+    kind of event (the third: all kinds but the first two), divided by 10;
+    flute 2 is missing every tenth pass.
     """
-    ev = table(spark, d, "events").where(F.col("event_type").isin(FLUTE_TYPES)).select(
+    ev = table(spark, d, "events").select(
         F.concat(F.lit("c"), (F.col("user_id") % N_TOOLS).cast("string")).alias("tool"),
         F.dayofmonth("ts").cast("int").alias("passe"), "event_type", "value")
+    kinds = [F.col("event_type") == t for t in FLUTE_TYPES]
     daily = ev.groupBy("tool", "passe").agg(
-        *[F.avg(F.when(F.col("event_type") == t, F.col("value"))).alias(f"d{k + 1}")
-          for k, t in enumerate(FLUTE_TYPES)])
+        *[F.avg(F.when(k, F.col("value"))).alias(f"d{i + 1}") for i, k in enumerate([*kinds, ~F.col("event_type").isin(FLUTE_TYPES)])])
     w = Window.partitionBy("tool").orderBy("passe").rowsBetween(Window.unboundedPreceding, 0)
     out = daily.select("tool", "passe", *[(F.sum(f"d{k}").over(w) / 10.0).alias(f"vb{k}") for k in (1, 2, 3)])
     return out.withColumn("vb2", F.when(F.col("passe") % 10 != 0, F.col("vb2")))
@@ -103,8 +104,8 @@ RAW_WEAR_SQL = """daily AS (
   SELECT 'c' || CAST(user_id % 6 AS VARCHAR) AS tool, CAST(day(ts) AS INTEGER) AS passe,
          avg(CASE WHEN event_type = 'click' THEN value END) AS d1,
          avg(CASE WHEN event_type = 'view' THEN value END) AS d2,
-         avg(CASE WHEN event_type = 'purchase' THEN value END) AS d3
-  FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1, 2),
+         avg(CASE WHEN event_type NOT IN ('click', 'view') THEN value END) AS d3
+  FROM events GROUP BY 1, 2),
 raw_wear AS (
   SELECT tool, passe,
          sum(d1) OVER w / 10.0 AS vb1,

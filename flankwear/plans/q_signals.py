@@ -203,13 +203,12 @@ def q_a17(spark, d):
     return present(ss.window_stats(b.channel_signals(spark, d), ms=40.0, fs=125.0))
 
 
-@register("a18_rms_ratio", with_ctes(b.SIGNALS_SQL) + """SELECT tool, channel, """
-          + r("sqrt(avg(CASE WHEN passe = 1 THEN x * x END))", "rms_first") + ", "
-          + r("sqrt(avg(CASE WHEN passe = 30 THEN x * x END))", "rms_last") + ", "
-          + r("sqrt(avg(CASE WHEN passe = 30 THEN x * x END)) / nullif(sqrt(avg(CASE WHEN passe = 1 THEN x * x END)), 0)",
-              "ratio") + " FROM signals WHERE passe IN (1, 30) GROUP BY tool, channel")
+@register("a18_rms_ratio", with_ctes(b.SIGNALS_SQL) + """, ends AS (SELECT tool, min(passe) AS a, max(passe) AS b FROM signals GROUP BY tool),
+power AS (SELECT tool, channel, sqrt(avg(CASE WHEN passe = a THEN x * x END)) AS first, sqrt(avg(CASE WHEN passe = b THEN x * x END)) AS last
+          FROM signals JOIN ends USING (tool) WHERE passe IN (a, b) GROUP BY tool, channel)
+SELECT tool, channel, """ + r("first", "rms_first") + ", " + r("last", "rms_last") + ", " + r("last / nullif(first, 0)", "ratio") + " FROM power")
 def q_a18(spark, d):
-    return present(ss.rms_ratio(b.signals(spark, d, index=False), 1, 30))
+    return present(ss.rms_ratio(b.signals(spark, d, index=False)))
 
 
 @register("f12_p08_time_axis", with_ctes(b.CHANNEL_SIGNALS_SQL) + """SELECT tool, passe, channel, i, """
