@@ -187,3 +187,22 @@ def test_distinct_counts_without_row_copies(spark, monkeypatch):
     dup = spark.createDataFrame([(None, "a"), ("a", None), ("a", None), (None, "a"), ("a", "a")], "x string, y string")
     assert tuple(pr.duplicate_count(dup).first()) == (2, 5)
     assert tuple(pr.duplicate_count(dup.limit(0)).first()) == (0, 0)
+
+
+def test_rms_ratio_takes_each_tools_own_passes(spark):
+    from flankwear.operators.signal_stats import rms_ratio
+    rows = [("a", 2, "x", 3.0), ("a", 2, "x", None), ("a", 5, "x", 6.0), ("a", 5, "x", -6.0), ("a", 3, "x", 99.0),
+            ("a", 2, "y", 1.0), ("b", 1, "x", 2.0), ("b", None, "x", 50.0), (None, 7, "x", 4.0)]
+    sig = spark.createDataFrame(rows, "tool string, passe int, channel string, x double")
+    got = {(r["tool"], r["channel"]): (r["rms_first"], r["rms_last"], r["ratio"]) for r in rms_ratio(sig).collect()}
+    assert got == {("a", "x"): (3.0, 6.0, 2.0), ("a", "y"): (1.0, None, None), ("b", "x"): (2.0, 2.0, 1.0), (None, "x"): (4.0, 4.0, 1.0)}
+    fixed = {r["tool"]: r["ratio"] for r in rms_ratio(sig.where("channel = 'x'"), 2, 3).collect()}
+    assert fixed == {"a": 33.0}
+
+
+def test_column_facts_count_few_values_exactly(spark):
+    from flankwear.operators.profile import column_facts
+    df = spark.range(1000).selectExpr("id % 19 AS a", "cast(id % 20 AS short) AS b", "cast(id % 21 AS byte) AS c", "cast(null AS int) AS e",
+                                      "cast(id AS string) AS s", "id * 0.5D AS f")
+    got = [(r["column"], r["kind"], r["n_distinct"]) for r in column_facts(df).orderBy("position").collect()]
+    assert got == [("a", "integer", 19), ("b", "integer", 20), ("c", "integer", 21), ("e", "integer", 0), ("s", "string", None), ("f", "number", None)]
