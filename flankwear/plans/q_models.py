@@ -118,6 +118,35 @@ def q_v05r(spark, d):
                           range(5), "ridge")
 
 
+def _linear_sql(alpha: float) -> str:
+    """Two-feature least squares with an L2 penalty, fitted on the other folds' centred sums."""
+    return f"""WITH f AS (SELECT o_orderkey AS row_id, CAST(o_custkey AS DOUBLE) AS a, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS b, o_totalprice AS y,
+    CAST((row_number() OVER (ORDER BY md5('42|' || CAST(o_orderkey AS VARCHAR))) - 1) % 5 AS INTEGER) AS fold FROM orders),
+s AS (SELECT k.fold, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) * count(*) + {alpha} AS aa, var_pop(b) * count(*) + {alpha} AS bb,
+      covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS bo
+      FROM (SELECT unnest(generate_series(0, 4)) AS fold) k JOIN f ON f.fold <> k.fold GROUP BY k.fold)
+SELECT row_id, f.fold, """ + r("y", "y_true") + ", " + r(
+        "my + (ay * bb - bo * ab) / (aa * bb - ab * ab) * (a - ma) + (bo * aa - ay * ab) / (aa * bb - ab * ab) * (b - mb)", "y_pred") + " FROM f JOIN s USING (fold)"
+
+
+def _linear_oof(spark, d, make, name):
+    o = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").cast("double").alias("a"),
+                                           F.substring("o_orderpriority", 1, 1).cast("double").alias("b"), F.col("o_totalprice").alias("label"))
+    t = mo.assemble(ba.kfolds(o, 5, 42), ["a", "b"])
+    return present(mo.oof_predict(t, make, range(5), name).select("row_id", "fold", "y_true", "y_pred"))
+
+
+@register("v05_m16_linear_regression_orders", _linear_sql(0.0))
+def q_m16_orders(spark, d):
+    """Order totals from customer key and priority, out of fold."""
+    return _linear_oof(spark, d, lambda: mo.make_model("linear_regression", "regression"), "linear_regression")
+
+
+@register("v05_m15_ridge_orders", _linear_sql(1.0))
+def q_m15_orders(spark, d):
+    return _linear_oof(spark, d, lambda n_rows, sigma_y: mo.make_model("ridge", "regression", n_rows=n_rows, sigma_y=sigma_y), "ridge")
+
+
 @register("v05_m09_svc_oof")
 def q_v05s(spark, d):
     """Two classes: label 0 against the rest."""
@@ -143,7 +172,8 @@ def q_v05t(spark, d):
     return mo.oof_predict(t, lambda: mo.make_model("decision_tree", "classification"), range(5), "decision_tree")
 
 
-OOF_MODELS = ("decision_tree", "extra_trees", "gradient_boosting", "hist_gradient_boosting", "linear_regression", "svm")
+OOF_MODELS = ("bagging", "decision_tree", "extra_trees", "gradient_boosting", "hist_gradient_boosting", "knn", "linear_regression",
+              "logistic_regression", "mlp", "random_forest", "ridge", "svm")
 
 
 @register("v05_oof_tables", with_ctes(KNN_SQL) + f""", m AS (SELECT unnest({list(OOF_MODELS)}) AS model)
@@ -156,6 +186,13 @@ def q_v05_tables(spark, d):
     few = {"extra_trees": dict(n_trees=3), "gradient_boosting": dict(n_iter=1), "hist_gradient_boosting": dict(n_iter=1, max_leaves=4)}
     parts = [trees.oof(n, t, range(5), 2, **more) for n, more in few.items()] + [kernel.oof(t, range(5), 2, landmarks=20)]
     parts += [mo.oof_predict(t, lambda n=n: mo.make_model(n, "regression" if n == "linear_regression" else "classification"), range(5), n) for n in ("decision_tree", "linear_regression")]
+    small = {"random_forest": dict(numTrees=3, maxDepth=5), "bagging": dict(numTrees=3, maxDepth=5), "mlp": dict(maxIter=5)}
+    for n, less in small.items():
+        est = mo.make_model(n, "classification", n_features=64)
+        parts.append(mo.oof_predict(t, lambda est=est, less=less: est.copy({est.getParam(p): v for p, v in less.items()}), range(5), n))
+    parts.append(mo.oof_predict(t, lambda n_rows, sigma_y: mo.make_model("logistic_regression", "classification", n_rows=n_rows, scale=True), range(5), "logistic_regression"))
+    parts.append(mo.oof_predict(t, lambda n_rows, sigma_y: mo.make_model("ridge", "regression", n_rows=n_rows, sigma_y=sigma_y, scale=True), range(5), "ridge"))
+    parts.append(mo.knn_oof(t, 5, "classification"))
     out = None
     for p in parts:
         p = p.select("model", "row_id", "fold", "y_true", "y_pred")
