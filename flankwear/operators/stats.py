@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flankwear.functions.pvalues import chi2_sf, t_two_sided
-from flankwear.operators.ordering import exact_quantiles, with_position
+from flankwear.operators.ordering import exact_quantiles, tied_ranks
+from flankwear.session import write_stage
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -45,21 +46,20 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
 
 def avg_rank(df: DataFrame, col: str) -> DataFrame:
     """Average rank (1-based, ties averaged) of each distinct value, with tie size."""
-    p = with_position(df.select(F.col(col).alias("_x")).where(F.col("_x").isNotNull()), [], ["_x"], name="_pos")
-    return p.groupBy(F.col("_x").alias(col)).agg((F.avg("_pos") + 1).alias("avg_rank"),
-                                                  F.count(F.lit(1)).alias("ties"))
+    v = df.select(F.col(col).alias("_x")).where(F.col("_x").isNotNull())
+    c = v.groupBy("_x").agg(F.count(F.lit(1)).alias("ties"))
+    return tied_ranks(c, [], "_x", name="avg_rank").select(F.col("_x").alias(col), "avg_rank", "ties")
 
 
 def kruskal(df: DataFrame, col: str | Sequence[str], by: str) -> DataFrame:
     """Tie-corrected Kruskal-Wallis H of each column across the levels of ``by`` and its χ² p-value; all columns
-    are ranked in one long table by one range sort.  Where all values are tied (or there is one value) H and p are NULL."""
+    are ranked by their distinct values in one long table.  Where all values are tied (or there is one value) H and p are NULL."""
     cols = [col] if isinstance(col, str) else list(col)
     wide = df.select(F.col(by).alias("_g"), *[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).where(F.col("_g").isNotNull())
     d = wide.unpivot(["_g"], [f"c{i}" for i in range(len(cols))], "_c", "_x").where(F.col("_x").isNotNull())
-    p = with_position(d, ["_c"], ["_x"], name="_pos")
     # ties share the mean of their ranks; a value's rows of one level count together
-    ranks = p.groupBy("_c", "_x").agg((F.avg("_pos") + 1).alias("rank"), F.count(F.lit(1)).alias("ties"))
-    cnt = d.groupBy("_c", "_g", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    cnt = write_stage(d.groupBy("_c", "_g", "_x").agg(F.count(F.lit(1)).alias("_n")))
+    ranks = tied_ranks(cnt.groupBy("_c", "_x").agg(F.sum("_n").alias("ties")), ["_c"], "_x")
     rs = cnt.join(ranks, ["_c", "_x"]).groupBy("_c", "_g").agg(F.sum(F.col("_n") * F.col("rank")).alias("R"), F.sum("_n").alias("n_g"))
     tot = rs.groupBy("_c").agg(F.sum("n_g").alias("N"), F.sum(F.col("R") * F.col("R") / F.col("n_g")).alias("S"), F.count(F.lit(1)).alias("k"))
     ties = ranks.groupBy("_c").agg(F.sum(F.pow(F.col("ties"), 3) - F.col("ties")).alias("T"))

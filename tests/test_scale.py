@@ -38,3 +38,26 @@ def test_label_encode_of_many_labels(spark, monkeypatch):
     monkeypatch.setattr(fx, "BROADCAST_LABELS", 1)
     out = fx.label_encode(spark.createDataFrame([("b",), ("a",), ("b",)], "y string"), "y")
     assert sorted((r.y, r.label_idx) for r in out.collect()) == [("a", 0), ("b", 1), ("b", 1)]
+
+
+def test_ranks_are_cut_among_distinct_values(spark, monkeypatch):
+    written = _spied(monkeypatch, ordering, stats)
+    x = [0.0] * 900 + [2.0] * 90 + [1.0] * 9 + [float("nan"), -0.0, None]
+    df = spark.createDataFrame([(v, "ab"[i % 2]) for i, v in enumerate(x)], "x double, g string")
+    out = sorted((str(r.x), r.avg_rank, r.ties) for r in stats.avg_rank(df, "x").collect())
+    assert out == [("0.0", 451.0, 901), ("1.0", 906.0, 9), ("2.0", 955.5, 90), ("nan", 1001.0, 1)]
+    assert max(t.count() for t in written) <= 4
+    written.clear()
+    assert stats.kruskal(df, "x", "g").first().n == 1001
+    assert max(t.count() for t in written) <= 8
+
+
+def test_tied_ranks_of_groups_and_slices(spark):
+    rng = np.random.default_rng(1)
+    rows = [(g, float(v), int(t)) for g in (None, "a", "b") for v, t in zip(rng.permutation(500), rng.integers(1, 4, 500))]
+    got = {(r.g, r.v): r["rank"] for r in ordering.tied_ranks(spark.createDataFrame(rows, "g string, v double, ties long"), ["g"], "v").collect()}
+    for g in (None, "a", "b"):
+        at = 0
+        for _, v, t in sorted(r for r in rows if r[0] == g) if g else sorted((r for r in rows if r[0] is None), key=lambda r: r[1]):
+            assert got[g, v] == at + (t + 1) / 2
+            at += t
