@@ -3,8 +3,8 @@
 Signals are kept long: ``(tool, passe, channel, i, x)``.  All 13 statistics
 come from two scans: ONE grouped aggregation over ``(tool, passe, channel)``
 (partial aggregation map-side, so a hot pass is pre-reduced in every task)
-for the moments and the quantiles' brackets, and one scan that ranks the
-samples inside the brackets; a pivot with an explicit channel list turns
+for the moments, and one scan that ranks the samples (of large groups only
+those inside brackets, which a sketch of these groups sets); a pivot with an explicit channel list turns
 the result wide at the very end.
 """
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flankwear.operators.ordering import _ns_join, approx_quantiles, bracket_aggs, quantiles_in
+from flankwear.operators.ordering import ACCURACY, BROADCAST_GROUPS, _ns_join, approx_quantiles, bracket_aggs, quantiles_in
 from flankwear.session import write_stage
 
 # Channel names of a raw milling pass, sampling rate, statistic order.
@@ -61,9 +61,17 @@ def channel_stats(sig: DataFrame, keys: Sequence[str] = ("tool", "passe", "chann
         m = moment_stats(sig, keys, x, eps)
         q = approx_quantiles(sig, keys, x, probs)
     else:
-        # the first scan: moments and quantile brackets; the second one ranks the rows in brackets
-        m = write_stage(moment_stats(sig, keys, x, eps, bracket_aggs(sig, x, list(probs.values()))))
-        q = quantiles_in(sig, keys, x, probs, m.where("__n > 0").select(*keys, "__n", "__nan", "__b"))
+        # the first scan: moments; a sketch only of groups too large to be ranked whole; the last scan ranks
+        n, nan, sketch = bracket_aggs(sig, x, list(probs.values()))
+        m = write_stage(moment_stats(sig, keys, x, eps, [n, nan]))
+        found = m.where("__n > 0").select(*keys, "__n", "__nan")
+        large = m.where(F.col("__n") >= 2 * ACCURACY).select(*keys)
+        if large.isEmpty():
+            found = found.withColumn("__b", F.lit(None).cast(f"array<{sig.schema[x].dataType.simpleString()}>"))
+        else:
+            b = write_stage(_ns_join(sig, F.broadcast(large) if large.count() <= BROADCAST_GROUPS else large, keys, "left_semi").groupBy(*keys).agg(sketch))
+            found = write_stage(_ns_join(found, b, keys, "left"))
+        q = quantiles_in(sig, keys, x, probs, found)
     out = _ns_join(m, q, keys, "left").withColumn("iqr", F.col("p75") - F.col("p25"))
     return out.select(*keys, "n", *STATS, "energy_mean")
 

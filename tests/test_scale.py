@@ -61,3 +61,16 @@ def test_tied_ranks_of_groups_and_slices(spark):
         for _, v, t in sorted(r for r in rows if r[0] == g) if g else sorted((r for r in rows if r[0] is None), key=lambda r: r[1]):
             assert got[g, v] == at + (t + 1) / 2
             at += t
+
+
+def test_only_large_groups_are_sketched(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=90)
+    sig = spark.createDataFrame([("c", 1 if i < 80 else 2, float(v)) for i, v in enumerate(x)] + [("c", 3, None)], "tool string, passe int, x double")
+    want = {1: np.percentile(x[:80], [25, 75]), 2: np.percentile(x[80:], [25, 75])}
+    for accuracy, sketched in ((10_000, False), (20, True)):
+        written = _spied(monkeypatch, signal_stats)
+        for m in (ordering, signal_stats):
+            monkeypatch.setattr(m, "ACCURACY", accuracy)
+        got = {r.passe: r for r in signal_stats.channel_stats(sig, ["tool", "passe"]).collect()}
+        assert all(np.allclose([got[p].p25, got[p].p75], w) for p, w in want.items()) and got[3].p25 is None and got[3].n == 0
+        assert [t.where("passe < 3").count() for t in written if "__b" in t.columns] == ([1, 2] if sketched else [])
