@@ -40,6 +40,25 @@ def test_label_encode_of_many_labels(spark, monkeypatch):
     assert sorted((r.y, r.label_idx) for r in out.collect()) == [("a", 0), ("b", 1), ("b", 1)]
 
 
+def test_copies_of_vectors_go_out_in_pieces():
+    b = pa.record_batch([pa.array([1, 2, 3]), pa.array([[0.0] * 100] * 3)], ["_id", "_v"])
+    at, block = np.repeat(np.arange(3), 40_000), np.tile(np.arange(40_000), 3)
+    out = list(mo._copies(b, at, block, 100))
+    assert max(p.num_rows for p in out) * 100 <= mo._PIECE and sum(p.num_rows for p in out) == 120_000
+    assert out[-1].column("_id")[-1].as_py() == 3 and out[-1].column("_b")[-1].as_py() == 39_999
+    assert [p.column("_id").to_pylist() for p in mo._cut(iter([b, b]), 2)] == [[1, 2], [3], [1, 2], [3]]
+
+
+def test_knn_in_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(mo, "_PIECE", 50)
+    x = np.random.default_rng(3).normal(size=(300, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, vec array<double>")
+    out = mo.knn(df.withColumnRenamed("i", "qid"), df.withColumnRenamed("i", "rid"), 3, exclude_self=True).collect()
+    d = ((x[:, None] - x[None]) ** 2).sum(2) + np.diag(np.full(300, np.inf))
+    want = {(q, int(r)) for q in range(300) for r in np.argsort(d[q])[:3]}
+    assert len(out) == 900 and {(r.qid, r.rid) for r in out} == want
+
+
 def test_ranks_are_cut_among_distinct_values(spark, monkeypatch):
     written = _spied(monkeypatch, ordering, stats)
     x = [0.0] * 900 + [2.0] * 90 + [1.0] * 9 + [float("nan"), -0.0, None]
