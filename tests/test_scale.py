@@ -59,6 +59,20 @@ def test_knn_in_small_pieces(spark, monkeypatch):
     assert len(out) == 900 and {(r.qid, r.rid) for r in out} == want
 
 
+def test_iterated_fits_have_tasks_by_work(spark):
+    seen = []
+
+    class Spy(LogisticRegression):
+        def _fit(self, df):
+            seen.append(df.rdd.getNumPartitions())
+            return super()._fit(df)
+
+    df = spark.range(400).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("double").alias("label"), (F.col("id") % 5).cast("int").alias("fold"),
+                                 array_to_vector(F.array((F.col("id") % 2).cast("double"), (F.col("id") % 3).cast("double"))).alias("features")).repartition(40)
+    out = mo.oof_predict(df, lambda: Spy(maxIter=5), range(5), "lr").collect()
+    assert seen == [1] * 5 and len(out) == 400 and all(r.y_true == r.y_pred for r in out)
+
+
 def test_ranks_are_cut_among_distinct_values(spark, monkeypatch):
     written = _spied(monkeypatch, ordering, stats)
     x = [0.0] * 900 + [2.0] * 90 + [1.0] * 9 + [float("nan"), -0.0, None]
