@@ -96,6 +96,17 @@ def test_tied_ranks_of_groups_and_slices(spark):
             at += t
 
 
+def test_targets_of_a_fold_without_joins(spark):
+    df = spark.range(300).select(F.col("id").alias("row_id"), (F.col("id") % 3).cast("int").alias("fold"), (F.col("id") % 7).cast("double").alias("x"),
+                                 (F.col("id") % 7 * 2).cast("double").alias("t1"), (F.col("id") % 7 + 1).cast("double").alias("t2"))
+    make = lambda t: mo.make_model("decision_tree", "regression", label=t)
+    out = mo.multi_output_predict(df, ["x"], ["t1", "t2"], make, folds=range(3))
+    assert "Join" not in _plan(out) and out.columns == ["row_id", "fold", "t1_pred", "t1_true", "t2_pred", "t2_true"]
+    rows = out.collect()
+    assert len(rows) == 300 and all(abs(r.t1_pred - r.t1_true) < 1e-9 and abs(r.t2_pred - r.t2_true) < 1e-9 for r in rows)
+    assert mo.multi_output_predict(df, ["x"], ["t1"], make).columns == ["row_id", "t1_pred", "t1_true"]
+
+
 def test_only_large_groups_are_sketched(spark, monkeypatch):
     x = np.random.default_rng(2).normal(size=90)
     sig = spark.createDataFrame([("c", 1 if i < 80 else 2, float(v)) for i, v in enumerate(x)] + [("c", 3, None)], "tool string, passe int, x double")
