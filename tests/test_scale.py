@@ -1,13 +1,14 @@
 """Steps whose cost must not hang on how common a value is or on how many files a table has."""
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from flankwear.functions import scalar as fx
 from flankwear.operators import models as mo
 from flankwear.operators import ordering, signal_stats, stats
+from flankwear.plans import q_models
 
 
 def _plan(df):
@@ -118,3 +119,39 @@ def test_only_large_groups_are_sketched(spark, monkeypatch):
         got = {r.passe: r for r in signal_stats.channel_stats(sig, ["tool", "passe"]).collect()}
         assert all(np.allclose([got[p].p25, got[p].p75], w) for p, w in want.items()) and got[3].p25 is None and got[3].n == 0
         assert [t.where("passe < 3").count() for t in written if "__b" in t.columns] == ([1, 2] if sketched else [])
+
+
+def test_rows_a_task_keeps_for_a_tree_are_bounded(spark, tmp_path, monkeypatch):
+    """One file of 2,000 line items: neither a fit nor a permutation reads it in one task, and nothing is lost or changed."""
+    class Spy(DecisionTreeClassifier):
+        def fit(self, df):
+            seen.append([r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()])
+            return super().fit(df)
+
+    seen, real = [], mo.make_model
+    rows = spark.range(2000, numPartitions=1).selectExpr(
+        "id AS l_orderkey", "1 AS l_linenumber", "if(id % 4 < 2, 'A', 'N') AS l_returnflag", "CAST(id % 4 AS DOUBLE) AS l_quantity",
+        "CAST(id % 9 AS DOUBLE) AS l_extendedprice", "CAST(id % 5 AS DOUBLE) AS l_discount", "CAST(id % 3 AS DOUBLE) AS l_tax")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(mo, "make_model", lambda *a, **k: Spy(maxDepth=real(*a, **k).getMaxDepth()))
+    want = {r.feature: r for r in q_models.q_e19(spark, str(tmp_path)).collect()}
+    assert [len(s) for s in seen] == [1] and want["l_quantity"].importance > 0.3 and abs(want["l_tax"].importance) < 1e-9
+    monkeypatch.setattr(mo, "TASK_BYTES", 112 * 200, raising=False)
+    got = {r.feature: r for r in q_models.q_e19(spark, str(tmp_path)).collect()}
+    assert sum(seen[1]) == 2000 and max(seen[1]) <= 300
+    assert got.keys() == want.keys()
+    assert all(abs(got[f].importance - want[f].importance) < 1e-9 and abs(got[f].importance_std - want[f].importance_std) < 1e-9 for f in want)
+    oof = mo.oof_predict(spark.range(1000, numPartitions=1).select(
+        F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("fold"), (F.col("id") % 3 > 0).cast("double").alias("label"),
+        array_to_vector(F.array((F.col("id") % 3).cast("double"))).alias("features")), Spy, range(2), "tree").collect()
+    assert [max(s) <= 250 and sum(s) == 500 for s in seen[2:]] == [True] * 2 and len(oof) == 1000 and all(r.y_true == r.y_pred for r in oof)
+
+
+def test_rows_to_permute_are_bounded_by_task(spark, monkeypatch):
+    monkeypatch.setattr(mo, "PERMUTE_ROWS", 10)
+    df = spark.range(4000).select(F.col("id").alias("row_id"), F.col("id").cast("double").alias("a"), F.lit(0.0).alias("b"))
+    want = sorted(map(tuple, mo.permuted_copies(df, ["a", "b"], 2).collect()))
+    monkeypatch.setattr(mo, "TASK_BYTES", 88 * 100, raising=False)
+    got = mo.permuted_copies(df, ["a", "b"], 2)
+    per_task = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) > 30 and max(per_task) < 1000 and sorted(map(tuple, got.collect())) == want
