@@ -155,3 +155,64 @@ def test_rows_to_permute_are_bounded_by_task(spark, monkeypatch):
     got = mo.permuted_copies(df, ["a", "b"], 2)
     per_task = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert len(per_task) > 30 and max(per_task) < 1000 and sorted(map(tuple, got.collect())) == want
+
+
+def _brute(rows, k, ok):
+    """Per query row the k nearest (squared distance, rid) among the rows that count."""
+    out = {}
+    for q, x, fold, cls in rows:
+        if x is None or not all(v is not None and np.isfinite(v) for v in x):
+            continue
+        found = [(float(((np.array(x) - np.array(y)) ** 2).sum()), r) for r, y, f, c in rows
+                 if y is not None and all(v is not None and np.isfinite(v) for v in y) and ok((q, fold, cls), (r, f, c))]
+        if found:
+            out[q] = sorted(found)[:k]
+    return out
+
+
+def test_neighbours_lay_every_vector_out_once_a_round(spark, monkeypatch):
+    """Vectors without structure, which pivots can't part: each lies in one chunk of bounded size, whatever it visits."""
+    written = _spied(monkeypatch, mo)
+    x = np.random.default_rng(5).normal(size=(700, 6))
+    rows = [(i, v.tolist(), i % 3, None) for i, v in enumerate(x)]
+    df = spark.createDataFrame([r[:3] for r in rows], "qid long, vec array<double>, fold int")
+    nn, met = mo.knn_visits(df, df.withColumnRenamed("qid", "rid"), 4, differ="fold", block_rows=100)
+    got = {}
+    for r in nn.collect():
+        got.setdefault(r.qid, []).append((r.rank, r.dist2, r.rid))
+    want = _brute(rows, 4, lambda q, r: q[1] != r[1])
+    assert {q: [x[2] for x in sorted(v)] for q, v in got.items()} == {q: [r for _, r in v] for q, v in want.items()}
+    assert met.agg(F.sum("met")).first()[0] > 0.5 * 700 ** 2                      # nearly all pairs count
+    chunks = [t for t in written if "_rows" in t.columns]
+    assert len(chunks) == 3                                                      # references, queries of two rounds
+    for t in chunks:
+        ids = [pa.ipc.open_stream(r["_rows"]).read_all()["_id"].to_pylist() for r in t.collect()]
+        assert max(map(len, ids)) <= 256 and sorted(i for c in ids for i in c) == list(range(700))
+
+
+def test_neighbours_of_odd_vectors(spark):
+    """Equal vectors, null classes and folds, null, infinite and missing components, in one table; far from zero."""
+    rng = np.random.default_rng(6)
+    rows = [(i, (1e6 + rng.integers(-9, 10, 3)).tolist(), int(rng.integers(3)), "ab"[i % 2]) for i in range(150)]
+    rows += [(200 + i, rows[i][1], None, None) for i in range(12)] + [(300 + i, [1e6] * 3, 1, "a") for i in range(40)]
+    rows += [(400, [float("nan"), 0.0, 0.0], 0, "a"), (401, [None, 0.0, 0.0], 0, "b"), (402, None, 0, "a"), (403, [float("inf"), 0.0, 0.0], 1, "a")]
+    df = spark.createDataFrame(rows, "qid long, vec array<double>, fold int, cls string").repartition(3)
+    ref = df.withColumnRenamed("qid", "rid")
+    for kw, ok in (({"differ": "fold"}, lambda q, r: q[1] is None or r[1] is None or q[1] != r[1]),
+                   ({"within": "cls", "exclude_self": True}, lambda q, r: q[2] == r[2] and q[0] != r[0])):
+        got = {}
+        for r in mo.knn(df, ref, 5, block_rows=32, **kw).collect():
+            got.setdefault(r.qid, []).append((r.rank, r.rid))
+        assert {q: [x[1] for x in sorted(v)] for q, v in got.items()} == {q: [r for _, r in v] for q, v in _brute(rows, 5, ok).items()}
+
+
+def test_bounds_in_single_precision_lose_no_neighbour():
+    rng = np.random.default_rng(7)
+    for scale, offset in ((1.0, 0.0), (1e-3, 1e4), (1e-200, 0.0), (1e120, 0.0), (0.0, 1.0)):
+        a, b = (offset + scale * rng.normal(size=(n, 7)) for n in (30, 400))
+        b[50:60] = b[0]
+        d = ((a[:, None] - b[None]) ** 2).sum(2)
+        best = (np.full((30, 5), np.inf), np.zeros((30, 5), np.int64), np.zeros((30, 5), bool))
+        for s in (0, 200):
+            mo.meet_cell(best, np.arange(30), a, b[s:s + 200], b[7], np.full(30, np.inf), np.arange(s, s + 200), np.zeros(200, bool), None)
+        assert [list(r) for r in best[1]] == [sorted(range(400), key=lambda j: (d[i, j], j))[:5] for i in range(30)]
