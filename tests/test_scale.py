@@ -1,11 +1,13 @@
 """Steps whose cost must not hang on how common a value is or on how many files a table has."""
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from flankwear.functions import scalar as fx
+from flankwear.operators import cart
 from flankwear.operators import models as mo
 from flankwear.operators import ordering, signal_stats, stats
 from flankwear.plans import q_models
@@ -216,3 +218,45 @@ def test_bounds_in_single_precision_lose_no_neighbour():
         for s in (0, 200):
             mo.meet_cell(best, np.arange(30), a, b[s:s + 200], b[7], np.full(30, np.inf), np.arange(s, s + 200), np.zeros(200, bool), None)
         assert [list(r) for r in best[1]] == [sorted(range(400), key=lambda j: (d[i, j], j))[:5] for i in range(30)]
+
+
+def test_trees_grown_together_are_those_of_the_library(spark, monkeypatch):
+    """Every fold's and target's tree predicts as Spark's fit on the same rows, from rows and from rows added up, in one or many passes."""
+    rng = np.random.default_rng(8)
+    n = 900
+    x = np.column_stack([rng.integers(0, 3, n), rng.integers(0, 40, n), rng.normal(size=n), np.zeros(n)]).astype(float)
+    t1, t2 = np.floor(10 * x[:, 2]) + x[:, 1] + rng.integers(0, 5, n), (x[:, 0] > 1) * 7.0 - x[:, 1]
+    label = (rng.integers(0, 9, n) + (x[:, 2] > 0) * 5 + x[:, 0] * 2) // 5
+    rows = [(i, i % 3, *map(float, (*x[i], t1[i], t2[i], label[i]))) for i in range(n)]
+    df = spark.createDataFrame(rows, "row_id long, fold int, a double, b double, c double, d double, t1 double, t2 double, label double").repartition(3)
+
+    def plain(cls):
+        return lambda t: mo.make_model("decision_tree", "classification" if cls else "regression", label=t).setMaxBins(32).setMaxDepth(6)
+
+    class Spark(type(mo.make_model("decision_tree", "regression"))):              # a subclass is fitted by itself
+        pass
+
+    for cols in (["a", "b", "c", "d"], ["a", "b"]):
+        want = mo.multi_output_predict(df, cols, ["t1", "t2"], lambda t: Spark(labelCol=t, maxBins=32, maxDepth=6), folds=range(3)).collect()
+        want = {r.row_id: r for r in want}
+        for size in (cart.GROUP_BYTES, 40_000):
+            monkeypatch.setattr(cart, "GROUP_BYTES", size)
+            out = mo.multi_output_predict(df, cols, ["t1", "t2"], plain(False), folds=range(3))
+            got = {r.row_id: r for r in out.collect()}
+            assert "MapInArrow" in _plan(out) and out.columns == ["row_id", "fold", "t1_pred", "t1_true", "t2_pred", "t2_true"] and got.keys() == want.keys()
+            assert all(abs(got[i].t1_pred - want[i].t1_pred) < 1e-9 and abs(got[i].t2_pred - want[i].t2_pred) < 1e-9 for i in want)
+    vec = mo.assemble(df, ["a", "b", "c"])
+    model = mo.fit_tree(plain(True)("label"), df, ["a", "b", "c"])
+    spark_model = plain(True)("label").fit(vec)
+    assert isinstance(model, cart.TreeModel)
+    assert [r.prediction for r in model.transform(vec).orderBy("row_id").collect()] == [r.prediction for r in spark_model.transform(vec).orderBy("row_id").collect()]
+    monkeypatch.setattr(mo, "PERMUTE_ROWS", 50)
+    a, b = ({r.feature: r for r in mo.permutation_importance(m, df, ["a", "b", "c"], repeats=3).collect()} for m in (model, spark_model))
+    assert a.keys() == b.keys() and all(abs(a[f].importance - b[f].importance) < 1e-9 and abs(a[f].importance_std - b[f].importance_std) < 1e-9 for f in a)
+
+
+@pytest.mark.parametrize("odd", [(5, 0, None, 1.0), (5, 0, float("nan"), 1.0), (5, 0, 1.0, None)])
+def test_trees_refuse_missing_values_like_the_library(spark, odd):
+    df = spark.createDataFrame([(i, i % 2, float(i), float(i)) for i in range(5)] + [odd], "row_id long, fold int, x double, t double")
+    with pytest.raises(Exception, match="null"):
+        mo.multi_output_predict(df, ["x"], ["t"], lambda t: mo.make_model("decision_tree", "regression", label=t), folds=range(2))
