@@ -128,3 +128,21 @@ def test_extra_trees_regression_and_synthetic_rows(spark):
     train = {f: df.where(F.col("fold") != f) for f in range(3)}
     again = {r.row_id: r.y_pred for r in tr.oof("extra_trees", df, range(3), None, n_trees=10, train=train).collect()}
     assert again == pytest.approx({r.row_id: r.y_pred for r in out})
+
+
+def test_values_by_node_are_joined_without_a_scan_per_node(spark, monkeypatch):
+    """Parts of several tasks give one row per node; a batch goes down a tree once a pass, however many nodes are open."""
+    parts = [(np.array([2, 5]), np.array([[1.0, 4.0], [3.0, 0.0]]), np.array([[1.0], [2.0]])), (np.array([5, 7]), np.array([[2.0, 9.0], [8.0, 8.0]]), np.array([[4.0], [8.0]]))]
+    ids, low, s = tr.merge_nodes(parts, (np.minimum, np.add))
+    assert ids.tolist() == [2, 5, 7] and low.tolist() == [[1, 4], [2, 0], [8, 8]] and s.tolist() == [[1], [6], [8]]
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 2, float(rng.integers(3)), [float(v) if v > -1.5 else None for v in rng.normal(size=3)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, fold int, label double, vec array<double>").repartition(3)
+    trees = tr.extra_trees(tr.training_rows(df), [0, 1], 3, n_trees=2)
+    for (f, _), t in trees.items():
+        mine = [r for r in rows if r[1] != f]
+        at = tr.route(t, np.array([[np.nan if v is None else v for v in r[3]] for r in mine]))
+        for n in np.unique(at):                                          # every leaf's shares are those of its rows
+            y = [r[2] for r, a in zip(mine, at) if a == n]
+            assert np.allclose(t["value"][n], np.bincount(np.array(y, int), minlength=3) / len(y))
+        assert len(np.unique(at)) > 50
